@@ -150,7 +150,8 @@ def target_label(bars: DataFrame, drop_last: bool = False) -> DataFrame:
 
 def with_target(rows: DataFrame, drop_last: bool = False) -> DataFrame:
     following = F.lead("close", 1).over(series.block_window())
-    rows = rows.withColumn("target", F.coalesce(following > F.col("close"), F.lit(False)).cast("int"))
+    rise = F.coalesce(following > F.col("close"), F.lit(False)).cast("int")
+    rows = rows.withColumn("target", F.when(F.col("close").isNotNull(), rise))
     if drop_last:
         rows = rows.withColumn("_more", F.lead("pos", 1).over(series.block_window()).isNotNull())
         rows = rows.where(F.col("_more") | F.col("_halo")).drop("_more")

@@ -35,8 +35,7 @@ class Frames:
     def __init__(self, key: str, group: str):
         ordered = Window.partitionBy(key).orderBy(group)
         self.before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        self.after = ordered.rowsBetween(1, Window.unboundedFollowing)
-        self.all = Window.partitionBy(key)
+        self.all = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def carry_between(df: DataFrame, group: str, carried: Carried, key: str = "ticker", own: Column | None = None) -> DataFrame:
@@ -48,6 +47,8 @@ def carry_between(df: DataFrame, group: str, carried: Carried, key: str = "ticke
     itself (not its halo).
     """
     rows = df if own is None else df.where(own)
+    # Both branches below read the same columns behind the same filters, so
+    # Spark runs the exchange under them once (ReusedExchange).
     summary = rows.groupBy(key, group).agg(*[agg.alias(name) for name, (agg, _) in carried.items()])
     frames = Frames(key, group)
     summary = summary.select(key, group, *[over(frames).alias(name) for name, (_, over) in carried.items()])
@@ -63,7 +64,7 @@ def _first_value(name: str, order: str) -> Column:
 
 
 def fill_carries(names: Iterable[str], order: str, backward: bool = True) -> Carried:
-    """Carries for ``filled``: last value before the group, first one after it."""
+    """Carries for ``filled``: last value before the group, first one of the series."""
     carried: Carried = {}
     for name in names:
         carried[f"_{name}_before"] = (
@@ -71,20 +72,24 @@ def fill_carries(names: Iterable[str], order: str, backward: bool = True) -> Car
             lambda f, n=f"_{name}_before": F.last(n, ignorenulls=True).over(f.before),
         )
         if backward:
-            carried[f"_{name}_after"] = (
+            carried[f"_{name}_first"] = (
                 _first_value(name, order),
-                lambda f, n=f"_{name}_after": F.first(n, ignorenulls=True).over(f.after),
+                lambda f, n=f"_{name}_first": F.first(n, ignorenulls=True).over(f.all),
             )
     return carried
 
 
 def filled(name: str, ordered, backward: bool = True) -> Column:
-    """Forward fill, then back fill, of a column over group window ``ordered``."""
+    """Forward fill, then back fill, of a column over group window ``ordered``.
+
+    Only leading nulls are left to the back fill, so its value is the first one
+    of the series; a frame that looks ahead from every row is not needed (Spark
+    evaluates those in quadratic time).
+    """
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    to_come = ordered.rowsBetween(0, Window.unboundedFollowing)
     values = [F.last(name, ignorenulls=True).over(so_far), F.col(f"_{name}_before")]
     if backward:
-        values += [F.first(name, ignorenulls=True).over(to_come), F.col(f"_{name}_after")]
+        values.append(F.col(f"_{name}_first"))
     return F.coalesce(*values)
 
 
@@ -105,7 +110,7 @@ def number_rows(
     """
     fill = list(fill)
     columns = df.columns
-    rows = df.withColumn("_span", span_of(order))
+    rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).withColumn("_span", span_of(order))
     carried: Carried = {
         "_start": (F.count(F.lit(1)), lambda f: F.coalesce(F.sum("_start").over(f.before), F.lit(0)))
     }
@@ -135,11 +140,12 @@ def cut_blocks(df: DataFrame, before: int = 0, after: int = 0, size: int = BLOCK
     if before:
         copies.append(F.when(offset >= size - before, own + 1))
     blocks = F.array_compact(F.array(*copies)) if len(copies) > 1 else F.array(own)
-    return df.withColumn("_block", F.explode(blocks)).withColumn("_halo", F.col("_block") != own)
+    rows = df.withColumn("_block", F.explode(blocks)).where(F.col("_block").isNotNull())
+    return rows.withColumn("_halo", F.col("_block") != own)
 
 
-def block_window(key: str = "ticker"):
-    return Window.partitionBy(key, "_block").orderBy("pos")
+def block_window(key: str = "ticker", order: str = "date"):
+    return Window.partitionBy(key, "_block").orderBy(order)
 
 
 def own_rows(df: DataFrame) -> DataFrame:

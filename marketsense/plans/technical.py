@@ -37,7 +37,7 @@ def technical_features(
     rows = indicators.with_target(rows, drop_last).withColumn("_flow", indicators.signed_volume())
 
     gappy = ["rsi", "atr"]
-    carried = series.fill_carries(gappy, "pos", look_back) | indicators.obv_carry(size)
+    carried = series.fill_carries(gappy, "date", look_back) | indicators.obv_carry(size)
     rows = series.carry_between(rows, "_block", carried, own=~F.col("_halo"))
     rows = rows.withColumn("obv", indicators.running_obv())
     ordered = series.block_window()
@@ -47,7 +47,7 @@ def technical_features(
 
     rows = series.cut_blocks(rows, before=LAG_STEPS)
     rows = rows.withColumns(indicators.lagged(TECHNICAL, LAG_STEPS))
-    rows = series.own_rows(rows).dropna("any", subset=TECHNICAL + LAGS)
+    rows = series.own_rows(rows).dropna("any", subset=TECHNICAL + LAGS + ["target"])
     if scale:
         rows = scaling.minmax_scale(rows, TECHNICAL + LAGS, "_block")
     return rows.select("ticker", "date", *TECHNICAL, *LAGS, "target")
