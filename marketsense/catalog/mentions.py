@@ -1,2 +1,190 @@
-QUERIES = {}
-ORACLES = {}
+"""Forum lines, mentions, live threads, pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketsense import fixtures
+from marketsense.operators import mentions as m
+from marketsense.sources import ndjson, pages
+
+TICKER = "that"
+START, END = "2020-01-01", "2023-12-31"
+LIMITS = {"sub0": 100, "sub1": 50, "sub2": 25}
+AS_OF = "2024-01-02"
+NAME = "la"
+TICKERS = ["that", "the", "for", "und"]
+
+
+def _parsed(spark, sf):
+    return ndjson.parse_lines(fixtures.table(spark, sf, "raw_lines"))
+
+
+def _threads(spark, sf):
+    return fixtures.table(spark, sf, "threads")
+
+
+def _scan(spark, sf):
+    folder = ndjson.rewrite_dump(fixtures.table(spark, sf, "raw_lines").select("value"), "lines")
+    return ndjson.scan_ndjson(spark, folder, "*.gz").select("value")
+
+
+def _parse_raw(spark, sf):
+    fields = F.col("fields")
+    return _parsed(spark, sf).select(
+        "doc_id",
+        fields.isNotNull().alias("parsed"),
+        F.try_element_at(fields, F.lit("id")).alias("id"),
+        F.try_element_at(fields, F.lit("created_utc")).alias("created_utc"),
+        F.try_element_at(fields, F.lit("author")).alias("author"),
+        F.try_element_at(fields, F.lit("score")).alias("score"),
+    )
+
+
+def _in_range(spark, sf):
+    rows = _parsed(spark, sf).withColumn("seconds", m.epoch_seconds(F.col("fields")))
+    return rows.where(m.in_range(F.col("seconds"), START, END)).select("doc_id", "seconds")
+
+
+def _text(spark, sf):
+    rows = _parsed(spark, sf).select("doc_id", m.mention_text(F.col("fields")).alias("body"))
+    return rows.where(F.col("body").isNotNull())
+
+
+def _scores(spark, sf):
+    rows = m.read_fields(_parsed(spark, sf))
+    return rows.select("doc_id", m.tx.json_integer(F.col("fields"), F.col("value"), "score").cast("string").alias("score"))
+
+
+def _coerced(spark, sf):
+    rows = m.coerce_dates(fixtures.table(spark, sf, "dirty_mentions").where(F.col("id").isNotNull()))
+    return rows.select("ticker", "id", "author", F.col("created_date").cast("timestamp_ntz").alias("created_date"))
+
+
+def _naive(df):
+    return df.withColumn("created_date", F.col("created_date").cast("timestamp_ntz"))
+
+
+def _union(spark, sf):
+    threads = _threads(spark, sf)
+    posts = m.with_reply_count(m.latest_posts(threads, LIMITS), threads)
+    rows = m.union_posts_comments(posts, m.latest_comments(threads, LIMITS))
+    return _naive(rows.withColumn("comments", F.col("comments").cast("double")))
+
+
+def _headlines(spark, sf):
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    return pages.page_headlines(
+        fixtures.table(spark, sf, "pages"), host, pages.element(tag="p"), pages.element(tag="b")
+    ).withColumn("place", F.col("place").cast("bigint"))
+
+
+def _news(spark, sf):
+    rows = fixtures.table(spark, sf, "pages").select(
+        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
+        (F.lit(1704067200) + F.col("page_id") * 60).alias("publish_time"),
+    )
+    frame = pages.news_frame(rows)
+    return frame.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+QUERIES = {
+    "scan_ndjson": _scan,
+    "parse_raw_lines": _parse_raw,
+    "extract_mentions": lambda s, d: _naive(m.extract_mentions(_parsed(s, d), TICKER, START, END)),
+    "mentions_in_range": _in_range,
+    "mention_text": _text,
+    "mentions_substring": lambda s, d: m.match_tickers(
+        fixtures.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), TICKERS
+    ).select("doc_id", "ticker"),
+    "mention_rejects": lambda s, d: m.count_outcomes(_parsed(s, d), TICKER, START, END),
+    "mention_score_cast": _scores,
+    "coerce_dates": _coerced,
+    "yesterday_mentions": lambda s, d: _naive(m.yesterday(_threads(s, d), AS_OF)),
+    "mention_word_counts": lambda s, d: m.word_counts(_threads(s, d), "La", NAME).select(
+        "post_id", "turn", "ticker_count", "name_count"
+    ),
+    "current_mentions": lambda s, d: _naive(m.current_mentions(_threads(s, d), "La", NAME, AS_OF, LIMITS)),
+    "latest_posts": lambda s, d: _naive(m.latest_posts(_threads(s, d), LIMITS)),
+    "latest_comments": lambda s, d: _naive(m.latest_comments(_threads(s, d), LIMITS)),
+    "union_posts_comments": _union,
+    "mentions_preview": lambda s, d: _naive(m.preview(fixtures.table(s, d, "mentions"))),
+    "ticker_universe": lambda s, d: pages.ticker_universe(fixtures.table(s, d, "symbols")),
+    "page_headlines": _headlines,
+    "news_frame": _news,
+}
+
+_SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x0B]"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+# One row per line with the JSON members; invalid lines and non-objects give null.
+_FIELDS = f"""{fixtures.ctes("raw_lines")},
+objects as (select doc_id, case when json_valid(value) and json_type(value) = 'OBJECT' then value::json end as j from raw_lines),
+fields as (
+  select doc_id, j, j is not null as parsed, j->>'id' as id, j->>'created_utc' as created_utc, j->>'author' as author, j->>'score' as score,
+         case when j is null then null when json_exists(j, '$.created_utc') then try_cast(j->>'created_utc' as double) else 0.0::double end as seconds,
+         case when json_exists(j, '$.body') then {_strip("(j->>'body')")}
+              when not json_exists(j, '$.body') then {_strip(
+                  "concat(" + _strip("case when json_exists(j, '$.title') then j->>'title' else '' end") + ", ' ', "
+                  + _strip("case when json_exists(j, '$.selftext') then j->>'selftext' else '' end") + ")")} end as body,
+         case when json_type(j->'score') = 'VARCHAR' then case when regexp_full_match(j->>'score', '[+-]?[0-9]+') then cast(j->>'score' as bigint) end
+              else cast(trunc(try_cast(j->>'score' as double)) as bigint) end as score_int
+  from objects),
+outcomes as (
+  select *, case when seconds is null then 'malformed'
+       when not seconds between epoch(timestamp '{START}') and epoch(timestamp '{END}') then 'out of range'
+       when body is null then 'malformed' when not contains(upper(body), upper('{TICKER}')) then 'no match'
+       when id is null then 'no id' when score is null then 'no score' when score_int is null then 'bad score' else 'ok' end as outcome
+  from fields)"""
+
+_LIMITED = f"""{fixtures.ctes("threads")},
+limits(subreddit, n) as (values {', '.join(f"('{k}', {v})" for k, v in LIMITS.items())}),
+posts as (
+  select t.* exclude (rn) from (select *, row_number() over (partition by subreddit order by created_date desc, post_id desc) as rn
+                                from threads where type = 'submission') t join limits using (subreddit) where rn <= n),
+comments as (select t.* from threads t semi join posts p on p.post_id = t.post_id and p.subreddit = t.subreddit where t.type = 'comment' and t.score >= 0),
+latest as (select * from posts union all select * from comments)"""
+
+# DuckDB's word boundary is ASCII only: write other letters as an ASCII one first.
+_ASCII = "regexp_replace(body, '[\\x{C0}-\\x{24F}]', 'z', 'g')"
+_COUNTS = f"""len(regexp_extract_all({_ASCII}, '\\bLa\\b')) as ticker_count, len(regexp_extract_all({_ASCII}, '(?i)\\b{NAME}\\b')) as name_count"""
+_YESTERDAY = f"created_date >= date '{AS_OF}' - interval 1 day and created_date < date '{AS_OF}'"
+
+_ELEMENT = "(?s)<({tag})(?:\\s[^>]*)?>(.*?)</{tag}>"
+
+ORACLES = {
+    "scan_ndjson": f"{fixtures.ctes('raw_lines')} select value from raw_lines",
+    "parse_raw_lines": f"{_FIELDS} select doc_id, parsed, id, created_utc, author, score from fields",
+    "extract_mentions": f"""{_FIELDS} select '{TICKER}' as ticker, make_timestamp(cast(seconds * 1000000 as bigint)) as created_date,
+case when json_exists(j, '$.author') then author else '[deleted]' end as author, body, score_int as score, id from outcomes where outcome = 'ok'""",
+    "mentions_in_range": f"""{_FIELDS} select doc_id, seconds from fields
+where seconds between epoch(timestamp '{START}') and epoch(timestamp '{END}')""",
+    "mention_text": f"{_FIELDS} select doc_id, body from fields where parsed and body is not null",
+    "mentions_substring": f"""select doc_id, ticker from documents
+join (values {', '.join(f"('{t}')" for t in TICKERS)}) w(ticker) on contains(upper(text), upper(ticker))""",
+    "mention_rejects": f"{_FIELDS} select outcome, count(*) as n_lines from outcomes group by outcome",
+    "mention_score_cast": f"{_FIELDS} select doc_id, cast(score_int as varchar) as score from fields",
+    "coerce_dates": f"""{fixtures.ctes('dirty_mentions')} select ticker, id, author, try_cast(created_date as timestamp) as created_date
+from dirty_mentions where try_cast(created_date as timestamp) is not null and id is not null""",
+    "yesterday_mentions": f"{fixtures.ctes('threads')} select * from threads where {_YESTERDAY}",
+    "mention_word_counts": f"{fixtures.ctes('threads')} select post_id, turn, {_COUNTS} from threads",
+    "current_mentions": f"""{_LIMITED} select * from (select *, {_COUNTS} from latest where {_YESTERDAY}) c
+where ticker_count > 0 or name_count > 0""",
+    "latest_posts": f"{_LIMITED} select * from posts",
+    "latest_comments": f"{_LIMITED} select * from comments",
+    "union_posts_comments": f"""{_LIMITED} select p.*, (select cast(count(*) as double) from threads t where t.post_id = p.post_id and t.type = 'comment') as comments from posts p
+union all select c.*, null from comments c""",
+    "mentions_preview": f"""{fixtures.ctes('mentions')} select * from (select 'head' as part, created_date, body, score, id from mentions order by created_date, id limit 5) h
+union all select * from (select 'tail' as part, created_date, body, score, id from mentions order by created_date desc, id desc limit 5) t""",
+    "ticker_universe": f"{fixtures.ctes('symbols')} select distinct replace(symbol, '.', '-') as symbol from symbols",
+    "page_headlines": f"""with found as (
+  select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as source, regexp_extract_all(html, '{_ELEMENT.format(tag="p")}', 2)[1:5] as items from pages),
+items as (select page_id, source, unnest(items) as content, generate_subscripts(items, 1) - 1 as place from found)
+select page_id, source, place, {_strip("regexp_replace(case when regexp_matches(content, '" + _ELEMENT.format(tag="b") + "') then regexp_extract(content, '" + _ELEMENT.format(tag="b") + "', 2) else content end, '<[^>]*>', '', 'g')")} as headline
+from items""",
+    "news_frame": "select regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, make_timestamp((1704067200 + page_id * 60) * 1000000) as date from pages",
+}
