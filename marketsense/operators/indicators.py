@@ -80,14 +80,14 @@ def signed_volume(flat: str = "subtract") -> Column:
     return sign * F.col("volume")
 
 
-def obv_carry(size: int) -> series.Carried:
+def obv_carry() -> series.Carried:
     """Running total of the earlier blocks (``_flow`` holds the signed volume)."""
     return {"_obv_before": (F.sum("_flow"), lambda f: F.coalesce(F.sum("_obv_before").over(f.before), F.lit(0.0)))}
 
 
 def running_obv() -> Column:
     so_far = series.block_window().rowsBetween(Window.unboundedPreceding, 0)
-    return F.col("_obv_before") + F.sum(F.when(~F.col("_halo"), F.col("_flow"))).over(so_far)
+    return F.col("_obv_before") + F.sum("_flow").over(so_far)
 
 
 def lagged(names: list[str], steps: int) -> dict[str, Column]:
@@ -125,9 +125,9 @@ def atr(bars: DataFrame) -> DataFrame:
 
 def obv(bars: DataFrame, flat: str = "subtract") -> DataFrame:
     rows = series.cut_blocks(series.number_rows(_pick(bars, "close", "volume")), before=1)
-    rows = rows.withColumn("_flow", signed_volume(flat))
-    rows = series.carry_between(rows, "_block", obv_carry(series.BLOCK_ROWS), own=~F.col("_halo"))
-    return _pick(series.own_rows(rows.withColumn("obv", running_obv())), "obv")
+    rows = series.own_rows(rows.withColumn("_flow", signed_volume(flat)))
+    rows = series.carry_between(rows, "_block", obv_carry())
+    return _pick(rows.withColumn("obv", running_obv()), "obv")
 
 
 def lag_features(df: DataFrame, names: list[str] | None = None, steps: int = LAG_STEPS) -> DataFrame:

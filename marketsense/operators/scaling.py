@@ -7,27 +7,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketsense.operators import series
 
 
-def extremes(names: list[str]) -> series.Carried:
+def extremes(names: list[str], key: str = "ticker") -> series.Carried:
     """Carries ``_<name>_min`` and ``_<name>_max`` of the whole series."""
     carried: series.Carried = {}
     for name in names:
-        for side, fn in (("min", F.min), ("max", F.max)):
+        for side in ("min", "max"):
             alias = f"_{name}_{side}"
-            carried[alias] = (fn(name), lambda f, a=alias, g=fn: g(a).over(f.all))
+            over = F.expr(f"{side}({alias}) over (partition by {key})")
+            carried[alias] = (F.expr(f"{side}({name})"), lambda _, over=over: over)
     return carried
 
 
 def scaled(name: str) -> Column:
     """(x - min) / (max - min); a constant column becomes 0, nulls stay null."""
-    low, high, value = F.col(f"_{name}_min"), F.col(f"_{name}_max"), F.col(name)
-    return F.when(value.isNotNull(), F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)))
+    ratio = f"try_divide({name} - _{name}_min, _{name}_max - _{name}_min)"
+    return F.expr(f"case when {name} is not null then coalesce({ratio}, 0.0D) end")
 
 
 def minmax_scale(df: DataFrame, names: list[str], group: str = "_span", key: str = "ticker") -> DataFrame:
     """Min-max scale columns per series; ``group`` is the partitioning rows have."""
-    doubles = df.withColumns({name: F.col(name).cast("double") for name in names})
-    rows = series.carry_between(doubles, group, extremes(names), key)
-    return rows.withColumns({name: scaled(name) for name in names}).drop(*extremes(names))
+    types = dict(df.dtypes)
+    kept = [f"cast({c} as double) as {c}" if c in names and types[c] != "double" else c for c in df.columns]
+    rows = series.carry_between(df.selectExpr(*kept), group, extremes(names, key), key)
+    return rows.select(*[scaled(c).alias(c) if c in names else c for c in df.columns])
 
 
 def minmax_features(df: DataFrame, names: list[str], key: str = "ticker", order: str = "date") -> DataFrame:

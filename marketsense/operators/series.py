@@ -38,18 +38,16 @@ class Frames:
         self.all = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def carry_between(df: DataFrame, group: str, carried: Carried, key: str = "ticker", own: Column | None = None) -> DataFrame:
+def carry_between(df: DataFrame, group: str, carried: Carried, key: str = "ticker") -> DataFrame:
     """Add columns that bring state from the other groups of the same series.
 
     ``carried`` maps a column name to (aggregate per group, value over the
     ``Frames`` of the summaries); the second callable sees the aggregate under
-    the same column name.  ``own`` limits the aggregates to rows of the group
-    itself (not its halo).
+    the same column name.  ``df`` must not hold halo copies.
     """
-    rows = df if own is None else df.where(own)
     # Both branches below read the same columns behind the same filters, so
     # Spark runs the exchange under them once (ReusedExchange).
-    summary = rows.groupBy(key, group).agg(*[agg.alias(name) for name, (agg, _) in carried.items()])
+    summary = df.groupBy(key, group).agg(*[agg.alias(name) for name, (agg, _) in carried.items()])
     frames = Frames(key, group)
     summary = summary.select(key, group, *[over(frames).alias(name) for name, (_, over) in carried.items()])
     return df.join(summary, [key, group])

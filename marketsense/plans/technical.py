@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marketsense.operators import indicators, scaling, series
 from marketsense.schemas import LAG_STEPS, LAGS, TECHNICAL
+from marketsense.session import stage
 
 PRICES = ["close", "high", "low", "volume"]
 
@@ -37,11 +38,11 @@ def technical_features(
     rows = indicators.with_target(rows, drop_last).withColumn("_flow", indicators.signed_volume())
 
     gappy = ["rsi", "atr"]
-    carried = series.fill_carries(gappy, "date", look_back) | indicators.obv_carry(size)
-    rows = series.carry_between(rows, "_block", carried, own=~F.col("_halo"))
+    carried = series.fill_carries(gappy, "date", look_back) | indicators.obv_carry()
+    rows = stage(series.own_rows(rows), "indicators")
+    rows = series.carry_between(rows, "_block", carried)
     rows = rows.withColumn("obv", indicators.running_obv())
     ordered = series.block_window()
-    rows = series.own_rows(rows)
     rows = rows.withColumns({name: series.filled(name, ordered, look_back) for name in gappy})
     rows = rows.select("ticker", "date", "pos", *TECHNICAL, "target")
 

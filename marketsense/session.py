@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,16 +58,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the files.
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and continue from the files.
 
-    Used where a result is read many times (model fitting): losing an executor
-    afterwards costs a re-read, not a re-computation.
+    For results that a plan reads more than once and that are dear to compute
+    (scored text) or small (series).  Unlike a cache it survives the loss of
+    executors: a lost task re-reads its files.
     """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = join_path(shared_folder(spark), "marketsense", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_path(folder: str, *parts: str) -> str:
