@@ -1,2 +1,65 @@
-QUERIES = {}
-ORACLES = {}
+"""Model training on the merged table.
+
+The grids are small so that the queries finish on a test machine; the full
+grids are ``modeling.FULL_FOREST_GRID`` and ``FULL_BOOSTED_GRID``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketsense import fixtures
+from marketsense.operators import sampling
+from marketsense.plans import modeling
+from marketsense.plans.merged import merged_features
+
+FOREST = {"numTrees": [5], "maxDepth": [2, 4]}
+BOOSTED = {"maxIter": [3], "maxDepth": [2], "stepSize": [0.05, 0.1]}
+N_FOLDS = 2
+
+
+def _merged(spark, sf):
+    return merged_features(fixtures.table(spark, sf, "bars"), fixtures.table(spark, sf, "mentions"))
+
+
+def _table(spark, sf):
+    return modeling.model_table(_merged(spark, sf))
+
+
+def _evaluated(spark, sf):
+    table = _table(spark, sf)
+    best = modeling.train_random_forest(table, {"numTrees": [5], "maxDepth": [4]}, N_FOLDS).bestModel
+    return modeling.evaluate_model(best, table.where("split = 'test'"), "random_forest")
+
+
+def _smote_counts(spark, sf):
+    scored = fixtures.table(spark, sf, "scored")
+    rows = scored.join(fixtures.table(spark, sf, "documents"), scored.id == F.col("doc_id")).select(
+        "id", "label", F.array(F.col("score"), F.length("text").cast("double"), F.sqrt(F.col("id"))).alias("features")
+    )
+    return sampling.smote(rows).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+QUERIES = {
+    "smote_counts": _smote_counts,
+    "train_random_forest": lambda s, d: modeling.grid_results(modeling.train_random_forest(_table(s, d), FOREST, N_FOLDS)),
+    "train_gbt": lambda s, d: modeling.grid_results(modeling.train_gbt(_table(s, d), BOOSTED, N_FOLDS)),
+    "grid_search_cv": lambda s, d: modeling.grid_results(
+        modeling.train_random_forest(_table(s, d), {"numTrees": [4], "maxDepth": [3, 5]}, 3)
+    ),
+    "cross_validate": lambda s, d: modeling.cross_validate({"numTrees": 5, "maxDepth": 3}, "forest", _table(s, d), N_FOLDS),
+    "evaluate_model": _evaluated,
+    "feature_importance": lambda s, d: modeling.feature_importance(
+        modeling.train_random_forest(_table(s, d), {"numTrees": [5], "maxDepth": [4]}, N_FOLDS).bestModel
+    ),
+    "train_pipeline": lambda s, d: modeling.train_pipeline(
+        _merged(s, d),
+        {"random_forest": {"numTrees": [5], "maxDepth": [3]}, "boosted_trees": {"maxIter": [3], "maxDepth": [2]}},
+        N_FOLDS,
+    ),
+}
+
+ORACLES = {
+    "smote_counts": f"""{fixtures.ctes("scored")}, c as (select label, count(*) as n from scored join documents on doc_id = id group by label)
+select label, (select max(n) from c) as n_rows from c""",
+}
