@@ -91,7 +91,7 @@ def _news(spark, sf):
 QUERIES = {
     "scan_ndjson": _scan,
     "parse_raw_lines": _parse_raw,
-    "extract_mentions": lambda s, d: _naive(m.extract_mentions(_parsed(s, d), TICKER, START, END)),
+    "extract_mentions": lambda s, d: _naive(m.extract_mentions(fixtures.table(s, d, "raw_lines"), TICKER, START, END)),
     "mentions_in_range": _in_range,
     "mention_text": _text,
     "mentions_substring": lambda s, d: m.match_tickers(

@@ -12,6 +12,7 @@ from marketsense.operators import align, daily, mentions as m
 from marketsense.plans.merged import merged_features
 from marketsense.plans.sentiment import current_features, sentiment_features
 from marketsense.schemas import LAGS, SENTIMENT, TECHNICAL
+from marketsense.session import stage
 
 WORD, NAME = "La", "la"
 
@@ -30,7 +31,7 @@ def _half_bars(spark, sf):
 
 
 def _asof(spark, sf):
-    days = _daily(spark, sf).withColumn(
+    days = stage(_daily(spark, sf), "daily").withColumn(
         "average_sentiment", F.when(F.dayofmonth("date") % 5 != 0, F.col("average_sentiment"))
     )
     found = align.asof_backward(fixtures.table(spark, sf, "bars").select("ticker", "date"), days)
@@ -60,7 +61,7 @@ QUERIES = {
     "trading_calendar": lambda s, d: align.trading_calendar(_half_bars(s, d), _daily(s, d)),
     "asof_sentiment": _asof,
     "sentiment_ma": lambda s, d: rounded(
-        daily.moving_average(_daily(s, d).select("ticker", "date", "average_sentiment")),
+        daily.moving_average(stage(_daily(s, d), "daily").select("ticker", "date", "average_sentiment")),
         10, "average_sentiment", "sentiment_moving_average_3d",
     ),
     "sentiment_features": lambda s, d: rounded(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketsense.sources.tables import read_texts
+
 BARS = """
 select o_orderpriority as ticker, cast(o_orderdate as date) as date,
        min_by(o_totalprice, o_orderkey) as open, max(o_totalprice) as high,
@@ -81,12 +83,17 @@ TABLES = {
     "documents": ("select doc_id, text, source from documents", ["documents"]),
 }
 
+# Tables with long texts, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived inputs as a DataFrame."""
     sql, sources = TABLES[name]
     for source in sources:
-        spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)
+        path = f"{sf_dir}/{source}.parquet"
+        df = read_texts(spark, path, TEXTS[source]) if source in TEXTS else spark.read.parquet(path)
+        df.createOrReplaceTempView(source)
     return spark.sql(sql)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 MAX_ENTRIES = 50_000
 
@@ -75,7 +76,7 @@ STARTER = {
 }
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Lexicon:
     """Valences by lower-case token, with the modifiers around them.
 
@@ -95,6 +96,7 @@ class Lexicon:
             raise ValueError(f"a lexicon may have at most {MAX_ENTRIES} entries")
 
 
+@cache
 def starter_lexicon() -> Lexicon:
     return Lexicon(STARTER)
 

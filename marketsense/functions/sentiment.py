@@ -11,22 +11,19 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from marketsense.functions import lexicon as lx
 from marketsense.functions.lexicon import Lexicon, starter_lexicon
+from marketsense.functions.text import let
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CONTEXT = 3
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _texts(words: list[str]) -> Column:
     return F.split(F.lit("|".join(words)), r"\|")
 
@@ -62,7 +59,10 @@ def tokens(text: Column, known: Callable[[Column], Column]) -> Column:
 
     def clean(token: Column) -> Column:
         bare = F.btrim(token, F.lit(PUNCTUATION))
-        return F.when((F.length(bare) <= 2) & known(F.lower(token)).isNotNull(), token).otherwise(bare)
+        return F.when(whole(token, bare), token).otherwise(bare)
+
+    def whole(token: Column, bare: Column) -> Column:
+        return (F.length(bare) <= 2) & (F.length(token) > F.length(bare)) & known(F.lower(token)).isNotNull()
 
     return F.filter(F.transform(F.split(text, r"\s+"), clean), lambda token: F.length(token) > 1)
 
@@ -163,7 +163,19 @@ def _emphasis(text: Column) -> Column:
 def sentiment(text: Column | str, lexicon: Lexicon | None = None) -> Column:
     """Compound sentiment in [-1, 1], rounded to 4 digits; 0.0 for empty or null text."""
     lexicon = lexicon or starter_lexicon()
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    if isinstance(text, str):
+        return _of_column(text, lexicon, id(SparkContext._active_spark_context))
+    return _scorer(text, lexicon)
+
+
+@lru_cache(maxsize=32)
+def _of_column(name: str, lexicon: Lexicon, context: int) -> Column:
+    """The expression is large; building it once per column, lexicon and context is enough."""
+    return _scorer(F.col(name), lexicon)
+
+
+def _scorer(text: Column, lexicon: Lexicon) -> Column:
+    text = F.coalesce(text, F.lit(""))
     lookup = LookupTable(lexicon.valences)
     boosters = _texts(lexicon.stronger + lexicon.weaker)
 
@@ -175,9 +187,10 @@ def sentiment(text: Column | str, lexicon: Lexicon | None = None) -> Column:
 
     def of_words(words: Column, known: Callable[[Column], Column]) -> Column:
         def hit(token: Column, place: Column) -> Column:
-            return F.struct(place.alias("place"), known(F.lower(token)).alias("valence"))
+            valence = known(F.lower(token))
+            return F.when(valence.isNotNull(), F.struct(place.alias("place"), valence.alias("valence")))
 
-        hits = F.filter(F.transform(words, hit), lambda h: h["valence"].isNotNull())
+        hits = F.array_compact(F.transform(words, hit))
         # A booster carries no valence of its own, nor does "kind" in "kind of".
         hits = F.filter(
             hits,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marketsense.functions.lexicon import Lexicon
 from marketsense.functions.sentiment import sentiment
@@ -56,29 +56,28 @@ def sentiment_decision(scored: DataFrame) -> DataFrame:
     days = days.groupBy("ticker", F.to_date("created_date").alias("date")).agg(
         F.avg("sentiment").alias(AVERAGE), F.avg("score").alias("average_score")
     )
-    # Day rows are far fewer than mentions; the two levels share their exchange.
-    stats = days.groupBy("ticker").agg(
-        F.avg(AVERAGE).alias("mean_sentiment"),
-        F.stddev_samp(AVERAGE).alias("std_sentiment"),
-        F.max("average_score").alias("best_score"),
+    # One row per ticker and day is left, at most the calendar per ticker, so a
+    # window is safe and spares the scores a second computation.
+    ticker = Window.partitionBy("ticker")
+    days = days.withColumns(
+        {
+            "mean_sentiment": F.avg(AVERAGE).over(ticker),
+            "std_sentiment": F.stddev_samp(AVERAGE).over(ticker),
+        }
     )
     good = (F.col(AVERAGE) > F.col("mean_sentiment")) & (F.col("average_score") >= 0)
-    return (
-        days.join(stats, "ticker")
-        .groupBy("ticker")
-        .agg(
-            F.count_if(good).alias("good_days"),
-            F.first("mean_sentiment").alias("mean_sentiment"),
-            F.first("std_sentiment").alias("std_sentiment"),
-        )
-        .select(
-            "ticker",
-            F.when(F.col("good_days") > 0, "yes").otherwise("no").alias("decision"),
-            "good_days",
-            "mean_sentiment",
-            "std_sentiment",
-            (F.col("mean_sentiment") * 1.5).alias("threshold"),
-        )
+    result = days.groupBy("ticker").agg(
+        F.count_if(good).alias("good_days"),
+        F.first("mean_sentiment").alias("mean_sentiment"),
+        F.first("std_sentiment").alias("std_sentiment"),
+    )
+    return result.select(
+        "ticker",
+        F.when(F.col("good_days") > 0, "yes").otherwise("no").alias("decision"),
+        "good_days",
+        "mean_sentiment",
+        "std_sentiment",
+        (F.col("mean_sentiment") * 1.5).alias("threshold"),
     )
 
 

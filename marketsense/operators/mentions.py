@@ -72,21 +72,48 @@ def classified(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFram
     return rows.withColumn("outcome", outcome)
 
 
-def extract_mentions(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFrame:
-    """Mentions of one ticker: a chain of narrow filters, cheapest first, no shuffle."""
-    fields = F.col("fields")
-    rows = parsed.where(in_range(epoch_seconds(fields), start, end))
-    rows = rows.withColumn("body", mention_text(fields))
-    rows = rows.where(tx.contains_ignoring_case(F.col("body"), ticker))
-    rows = rows.where(F.try_element_at(fields, F.lit("id")).isNotNull())
-    rows = rows.withColumn("score", tx.json_integer(fields, F.col("value"), "score")).where(F.col("score").isNotNull())
-    return rows.select(
-        F.lit(ticker).alias("ticker"),
-        F.timestamp_seconds(epoch_seconds(fields)).alias("created_date"),
-        tx.field_or(fields, "author", "[deleted]").alias("author"),
-        "body",
-        "score",
-        F.try_element_at(fields, F.lit("id")).alias("id"),
+def may_mention(line: Column, ticker: str) -> Column:
+    """False only for lines that cannot mention the ticker, judged before parsing.
+
+    A body holds the ticker as it stands in the line unless the line has escape
+    sequences; a ticker with white space could span title and text.
+    """
+    if ticker != "".join(ticker.split()):
+        return F.lit(True)
+    return tx.contains_ignoring_case(line, ticker) | line.contains("\\")
+
+
+def extract_mentions(lines: DataFrame, ticker: str, start: str, end: str, column: str = "value") -> DataFrame:
+    """Mentions of one ticker in raw JSON lines: narrow work only, no shuffle.
+
+    Lines that cannot match are dropped before parsing.  The rest goes through
+    one generator that parses each line once and yields one row or none; a
+    filter behind the parser would make Spark repeat the parsing inside it.
+    """
+
+    def mention(fields: Column) -> Column:
+        seconds = epoch_seconds(fields)
+        return F.when(in_range(seconds, start, end), tx.let(mention_text(fields), lambda body: matched(fields, seconds, body)))
+
+    def matched(fields: Column, seconds: Column, body: Column) -> Column:
+        identifier = F.try_element_at(fields, F.lit("id"))
+        hit = tx.contains_ignoring_case(body, ticker) & identifier.isNotNull()
+        return F.when(hit, tx.let(tx.json_integer(fields, F.col(column), "score"), lambda score: row(fields, seconds, body, score)))
+
+    def row(fields: Column, seconds: Column, body: Column, score: Column) -> Column:
+        made = F.struct(
+            F.lit(ticker).alias("ticker"),
+            F.timestamp_seconds(seconds).alias("created_date"),
+            tx.field_or(fields, "author", "[deleted]").alias("author"),
+            body.alias("body"),
+            score.alias("score"),
+            F.try_element_at(fields, F.lit("id")).alias("id"),
+        )
+        return F.when(score.isNotNull(), made)
+
+    parsed = F.from_json(column, "map<string,string>")
+    return lines.where(may_mention(F.col(column), ticker)).select(
+        F.inline(F.array_compact(F.array(tx.let(parsed, mention))))
     )
 
 
