@@ -44,7 +44,7 @@ def scan_large_window(spark: SparkSession, folder: str, pattern: str = "*.zst")
                     filesystem, name = pafs.LocalFileSystem(), path[5:]
                 else:
                     filesystem, name = pafs.FileSystem.from_uri(path)
-                with filesystem.open_input_stream(name) as raw:
+                with filesystem.open_input_stream(name, compression=None) as raw:
                     reader = zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(raw, read_across_frames=True)
                     text = io.TextIOWrapper(reader, encoding="utf-8", errors="replace", newline="\n")
                     chunk: list[str] = []
