@@ -19,6 +19,9 @@ FORUM_LIMITS = {"wallstreetbets": 100, "stocks": 50, "StockMarket": 25}
 # Above this many tickers the in-row search gives way to a join on substrings.
 IN_ROW_TICKERS = 200
 
+# Above this many the ticker list is shuffled, not broadcast.
+BROADCAST_TICKERS = 100_000
+
 
 def epoch_seconds(fields: Column) -> Column:
     """``created_utc`` as a number; a missing key counts as 0, an unusable value is null."""
@@ -144,6 +147,8 @@ def match_tickers(df: DataFrame, tickers: list[str], column: str = "body") -> Da
             F.char_length(upper) >= length, F.transform(starts, lambda i: F.substring(upper, i, F.lit(length)))
         ).otherwise(F.array().cast("array<string>"))
 
+    # The list comes from the caller, so its size is known.
+    wanted = F.broadcast(wanted) if len(tickers) <= BROADCAST_TICKERS else wanted
     every = F.array_distinct(F.flatten(F.array(*[pieces(length) for length in lengths])))
     return df.withColumn("_piece", F.explode(every)).join(wanted, "_piece").drop("_piece")
 

@@ -18,10 +18,14 @@ def extremes(names: list[str], key: str = "ticker") -> series.Carried:
     return carried
 
 
-def scaled(name: str) -> Column:
-    """(x - min) / (max - min); a constant column becomes 0, nulls stay null."""
-    ratio = f"try_divide({name} - _{name}_min, _{name}_max - _{name}_min)"
-    return F.expr(f"case when {name} is not null then coalesce({ratio}, 0.0D) end")
+def scaled(name: str, value: str | None = None) -> Column:
+    """(x - min) / (max - min); a constant column becomes 0, nulls stay null.
+
+    ``value`` names another column to scale by the extremes of ``name``.
+    """
+    value = value or name
+    ratio = f"try_divide({value} - _{name}_min, _{name}_max - _{name}_min)"
+    return F.expr(f"case when {value} is not null then coalesce({ratio}, 0.0D) end")
 
 
 def minmax_scale(df: DataFrame, names: list[str], group: str = "_span", key: str = "ticker") -> DataFrame:

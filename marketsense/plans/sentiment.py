@@ -9,7 +9,8 @@ from marketsense.operators import align, daily, scaling, series
 from marketsense.schemas import SENTIMENT
 from marketsense.session import stage
 
-MOVING = "sentiment_moving_average_3d"
+AVERAGE, MOVING = "average_sentiment", "sentiment_moving_average_3d"
+NUMBERS = [AVERAGE, "mention_count", "total_score"]
 
 
 def with_interaction(df: DataFrame) -> DataFrame:
@@ -32,27 +33,37 @@ def sentiment_features(
 
 
 def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = False) -> DataFrame:
-    numbers = ["average_sentiment", "mention_count", "total_score"]
-    rows = stage(align.asof_backward(calendar, days), "aligned")
-    rows = with_interaction(scaling.minmax_scale(rows, numbers)).drop("_span")
+    """Align, scale, smooth and fill.
 
+    Scaling is linear, so smoothing and filling run on the raw values and the
+    results are scaled: extremes and fill values then cross the blocks together.
+    """
+    look_back = not leak_free
+    rows = align.asof_backward(calendar, days).drop("_span")
+    rows = rows.withColumns({name: F.col(name).cast("double") for name in NUMBERS})
     rows = series.own_rows(daily.with_moving_average(series.cut_blocks(rows, before=3)))
     rows = series.carry_between(
         rows,
         "_block",
-        series.fill_carries(["average_sentiment"], "date", backward=False)
-        | series.fill_carries([MOVING], "date", backward=not leak_free),
+        scaling.extremes(NUMBERS)
+        | series.fill_carries([AVERAGE], "date", backward=False)
+        | series.fill_carries([MOVING], "date", look_back),
     )
     ordered = series.block_window()
-    return rows.select(
+    rows = rows.withColumns(
+        {"_average": series.filled(AVERAGE, ordered, backward=False), "_moving": series.filled(MOVING, ordered, look_back)}
+    )
+    average = scaling.scaled(AVERAGE)
+    rows = rows.select(
         "ticker",
         "date",
-        series.filled("average_sentiment", ordered, backward=False).alias("average_sentiment"),
-        F.coalesce("mention_count", F.lit(0.0)).alias("mention_count"),
-        F.coalesce("total_score", F.lit(0.0)).alias("total_score"),
-        series.filled(MOVING, ordered, backward=not leak_free).alias(MOVING),
-        "sentiment_mentions_interaction",
-    ).select("ticker", "date", *SENTIMENT)
+        scaling.scaled(AVERAGE, "_average").alias(AVERAGE),
+        F.coalesce(scaling.scaled("mention_count"), F.lit(0.0)).alias("mention_count"),
+        F.coalesce(scaling.scaled("total_score"), F.lit(0.0)).alias("total_score"),
+        scaling.scaled(AVERAGE, "_moving").alias(MOVING),
+        (average * scaling.scaled("mention_count")).alias("sentiment_mentions_interaction"),
+    )
+    return rows.select("ticker", "date", *SENTIMENT)
 
 
 def current_features(scored: DataFrame) -> DataFrame:

@@ -29,12 +29,11 @@ def scan_mentions_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_stage(df: DataFrame, path: str, by: str = "ticker") -> None:
     """Parquet partitioned by ticker; rewrites only the tickers present in ``df``.
 
-    Rows of a ticker and year go to one task first, so a partition gets few
-    files without one task writing a whole busy ticker.
+    Rows are rebalanced by ticker: small tickers share a task and a busy one is
+    split over as many tasks as its size asks for.
     """
-    parts = [F.col(by)] + ([F.year("date")] if "date" in df.columns else [])
-    rows = df.repartition(*parts)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    writer = df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(by).parquet(path)
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
