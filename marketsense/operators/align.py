@@ -31,10 +31,10 @@ def asof_backward(calendar: DataFrame, facts: DataFrame) -> DataFrame:
     rows = rows.where(F.col("ticker").isNotNull() & F.col("date").isNotNull()).withColumn("_span", series.span_of("date"))
     carried: series.Carried = {
         "_row_before": (
-            F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("date"))),
-            lambda f: F.last("_row_before", ignorenulls=True).over(f.before),
+            "max_by(_row, case when _row is not null then date end)",
+            "last(_row_before, true) over {before}",
         ),
-        "_start": (F.sum("_day"), lambda f: F.coalesce(F.sum("_start").over(f.before), F.lit(0))),
+        "_start": ("sum(_day)", "coalesce(sum(_start) over {before}, 0)"),
     }
     rows = series.carry_between(rows, "_span", carried)
     so_far = Window.partitionBy("ticker", "_span").orderBy("date", "_day").rowsBetween(Window.unboundedPreceding, 0)

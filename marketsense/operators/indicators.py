@@ -21,11 +21,11 @@ def _rolling(rows: int):
 
 
 def change_of(close: str = "close") -> Column:
-    return F.col(close) - F.lag(close, 1).over(series.block_window())
+    return F.expr(f"{close} - lag({close}) over ({series.block_sql()})")
 
 
 def with_ema(rows: DataFrame, spans: dict[str, int], value: str, halo: int, size: int) -> DataFrame:
-    return rows.withColumns({name: series.ema(F.col(value), span, halo, size) for name, span in spans.items()})
+    return rows.withColumns({name: series.ema(value, span, halo, size) for name, span in spans.items()})
 
 
 def with_macd(rows: DataFrame, halo: int, size: int) -> DataFrame:
@@ -82,17 +82,18 @@ def signed_volume(flat: str = "subtract") -> Column:
 
 def obv_carry() -> series.Carried:
     """Running total of the earlier blocks (``_flow`` holds the signed volume)."""
-    return {"_obv_before": (F.sum("_flow"), lambda f: F.coalesce(F.sum("_obv_before").over(f.before), F.lit(0.0)))}
+    return {"_obv_before": ("sum(_flow)", "coalesce(sum(_obv_before) over {before}, 0.0D)")}
 
 
 def running_obv() -> Column:
-    so_far = series.block_window().rowsBetween(Window.unboundedPreceding, 0)
-    return F.col("_obv_before") + F.sum("_flow").over(so_far)
+    so_far = f"({series.block_sql()} rows between unbounded preceding and current row)"
+    return F.expr(f"_obv_before + sum(_flow) over {so_far}")
 
 
-def lagged(names: list[str], steps: int) -> dict[str, Column]:
-    ordered = series.block_window()
-    return {f"{name}_lag_{step}": F.lag(name, step).over(ordered) for name in names for step in range(1, steps + 1)}
+def lagged(names: list[str], steps: int) -> list[str]:
+    """SQL of the lag columns, grouped by name."""
+    ordered = series.block_sql()
+    return [f"lag({name}, {step}) over ({ordered}) as {name}_lag_{step}" for name in names for step in range(1, steps + 1)]
 
 
 # -- stand-alone operators -----------------------------------------------------
@@ -134,8 +135,8 @@ def lag_features(df: DataFrame, names: list[str] | None = None, steps: int = LAG
     """``<name>_lag_<k>`` for k = 1..steps, all in one window."""
     names = names or TECHNICAL
     rows = series.cut_blocks(series.number_rows(_pick(df, *names)), before=steps)
-    columns = lagged(names, steps)
-    return _pick(series.own_rows(rows.withColumns(columns)), *names, *columns)
+    columns = [f"{name}_lag_{step}" for name in names for step in range(1, steps + 1)]
+    return _pick(series.own_rows(rows.selectExpr("*", *lagged(names, steps))), *names, *columns)
 
 
 def target_label(bars: DataFrame, drop_last: bool = False) -> DataFrame:

@@ -7,33 +7,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketsense.operators import series
 
 
-def extremes(names: list[str], key: str = "ticker") -> series.Carried:
+def extremes(names: list[str]) -> series.Carried:
     """Carries ``_<name>_min`` and ``_<name>_max`` of the whole series."""
-    carried: series.Carried = {}
-    for name in names:
-        for side in ("min", "max"):
-            alias = f"_{name}_{side}"
-            over = F.expr(f"{side}({alias}) over (partition by {key})")
-            carried[alias] = (F.expr(f"{side}({name})"), lambda _, over=over: over)
-    return carried
+    return {
+        f"_{name}_{side}": (f"{side}({name})", f"{side}(_{name}_{side}) over {{whole}}")
+        for name in names
+        for side in ("min", "max")
+    }
 
 
-def scaled(name: str, value: str | None = None) -> Column:
+def scaled_sql(name: str, value: str | None = None) -> str:
     """(x - min) / (max - min); a constant column becomes 0, nulls stay null.
 
     ``value`` names another column to scale by the extremes of ``name``.
     """
     value = value or name
     ratio = f"try_divide({value} - _{name}_min, _{name}_max - _{name}_min)"
-    return F.expr(f"case when {value} is not null then coalesce({ratio}, 0.0D) end")
+    return f"case when {value} is not null then coalesce({ratio}, 0.0D) end"
 
 
 def minmax_scale(df: DataFrame, names: list[str], group: str = "_span", key: str = "ticker") -> DataFrame:
     """Min-max scale columns per series; ``group`` is the partitioning rows have."""
     types = dict(df.dtypes)
     kept = [f"cast({c} as double) as {c}" if c in names and types[c] != "double" else c for c in df.columns]
-    rows = series.carry_between(df.selectExpr(*kept), group, extremes(names, key), key)
-    return rows.select(*[scaled(c).alias(c) if c in names else c for c in df.columns])
+    rows = series.carry_between(df.selectExpr(*kept), group, extremes(names), key)
+    return rows.selectExpr(*[f"{scaled_sql(c)} as {c}" if c in names else c for c in df.columns])
 
 
 def minmax_features(df: DataFrame, names: list[str], key: str = "ticker", order: str = "date") -> DataFrame:
@@ -53,14 +51,13 @@ def significant_volume(bars: DataFrame, deviations: float = 2.0, key: str = "tic
     """Days whose volume exceeds mean + deviations * sample standard deviation."""
     rows = bars.withColumn("_span", series.span_of(order))
     # Mergeable moments per group keep the summary to one small row per span.
+    total, count = "sum(_mean * _n) over {whole}", "sum(_n) over {whole}"
     carried: series.Carried = {
-        "_n": (F.count("volume"), lambda f: F.sum("_n").over(f.all)),
-        "_mean": (F.avg("volume"), lambda f: F.sum(F.col("_mean") * F.col("_n")).over(f.all) / F.sum("_n").over(f.all)),
+        "_n": ("count(volume)", count),
+        "_mean": ("avg(volume)", f"{total} / {count}"),
         "_m2": (
-            F.var_pop("volume") * F.count("volume"),
-            lambda f: F.sum("_m2").over(f.all)
-            + F.sum(F.col("_n") * F.pow("_mean", F.lit(2.0))).over(f.all)
-            - F.pow(F.sum(F.col("_mean") * F.col("_n")).over(f.all), F.lit(2.0)) / F.sum("_n").over(f.all),
+            "var_pop(volume) * count(volume)",
+            f"sum(_m2 + _n * _mean * _mean) over {{whole}} - ({total}) * ({total}) / ({count})",
         ),
     }
     rows = series.carry_between(rows, "_span", carried, key)

@@ -19,76 +19,53 @@ columns the rows are already partitioned by, so the rows do not move again.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPAN_DAYS = 512
 BLOCK_ROWS = 4096
 
-Carried = dict[str, tuple[Column, Callable[["Frames"], Column]]]
-
-
-class Frames:
-    """Frames over the group summaries of one series."""
-
-    def __init__(self, key: str, group: str):
-        ordered = Window.partitionBy(key).orderBy(group)
-        self.before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        self.all = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+# Column name -> (aggregate per group, value over the summaries), both SQL.  The
+# second part names the aggregate by the column name and may use the windows
+# ``before`` (earlier groups) and ``whole`` (all groups of the series).
+Carried = dict[str, tuple[str, str]]
 
 
 def carry_between(df: DataFrame, group: str, carried: Carried, key: str = "ticker") -> DataFrame:
     """Add columns that bring state from the other groups of the same series.
 
-    ``carried`` maps a column name to (aggregate per group, value over the
-    ``Frames`` of the summaries); the second callable sees the aggregate under
-    the same column name.  ``df`` must not hold halo copies.
+    ``df`` must not hold halo copies.
     """
+    ordered = f"(partition by {key} order by {group} rows between unbounded preceding and"
+    frames = {"before": f"{ordered} 1 preceding)", "whole": f"{ordered} unbounded following)"}
     # Both branches below read the same columns behind the same filters, so
     # Spark runs the exchange under them once (ReusedExchange).
-    summary = df.groupBy(key, group).agg(*[agg.alias(name) for name, (agg, _) in carried.items()])
-    frames = Frames(key, group)
-    summary = summary.select(key, group, *[over(frames).alias(name) for name, (_, over) in carried.items()])
-    return df.join(summary, [key, group])
-
-
-def _last_value(name: str, order: str) -> Column:
-    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order)))
-
-
-def _first_value(name: str, order: str) -> Column:
-    return F.min_by(name, F.when(F.col(name).isNotNull(), F.col(order)))
+    summary = df.groupBy(key, group).agg(*[F.expr(f"{aggregate} as {name}") for name, (aggregate, _) in carried.items()])
+    values = [f"{over.format(**frames)} as {name}" for name, (_, over) in carried.items()]
+    return df.join(summary.selectExpr(key, group, *values), [key, group])
 
 
 def fill_carries(names: Iterable[str], order: str, backward: bool = True) -> Carried:
     """Carries for ``filled``: last value before the group, first one of the series."""
     carried: Carried = {}
     for name in names:
-        carried[f"_{name}_before"] = (
-            _last_value(name, order),
-            lambda f, n=f"_{name}_before": F.last(n, ignorenulls=True).over(f.before),
-        )
+        known = f"case when {name} is not null then {order} end"
+        carried[f"_{name}_before"] = (f"max_by({name}, {known})", f"last(_{name}_before, true) over {{before}}")
         if backward:
-            carried[f"_{name}_first"] = (
-                _first_value(name, order),
-                lambda f, n=f"_{name}_first": F.first(n, ignorenulls=True).over(f.all),
-            )
+            carried[f"_{name}_first"] = (f"min_by({name}, {known})", f"first(_{name}_first, true) over {{whole}}")
     return carried
 
 
-def filled(name: str, ordered, backward: bool = True) -> Column:
-    """Forward fill, then back fill, of a column over group window ``ordered``.
+def filled(name: str, window: str, backward: bool = True) -> Column:
+    """Forward fill, then back fill, of a column inside its group.
 
     Only leading nulls are left to the back fill, so its value is the first one
     of the series; a frame that looks ahead from every row is not needed (Spark
     evaluates those in quadratic time).
     """
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    values = [F.last(name, ignorenulls=True).over(so_far), F.col(f"_{name}_before")]
-    if backward:
-        values.append(F.col(f"_{name}_first"))
-    return F.coalesce(*values)
+    so_far = f"last({name}, true) over ({window} rows between unbounded preceding and current row)"
+    return F.expr(f"coalesce({so_far}, _{name}_before{f', _{name}_first' if backward else ''})")
 
 
 def span_of(order: str) -> Column:
@@ -109,15 +86,12 @@ def number_rows(
     fill = list(fill)
     columns = df.columns
     rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).withColumn("_span", span_of(order))
-    carried: Carried = {
-        "_start": (F.count(F.lit(1)), lambda f: F.coalesce(F.sum("_start").over(f.before), F.lit(0)))
-    }
-    carried.update(fill_carries(fill, order, backward))
-    ordered = Window.partitionBy(key, "_span").orderBy(order)
-    rows = carry_between(rows, "_span", carried, key)
+    carried: Carried = {"_start": ("count(1)", "coalesce(sum(_start) over {before}, 0)")}
+    rows = carry_between(rows, "_span", carried | fill_carries(fill, order, backward), key)
+    ordered = f"partition by {key}, _span order by {order}"
     return rows.select(
         *[filled(c, ordered, backward).alias(c) if c in fill else c for c in columns],
-        (F.col("_start") + F.row_number().over(ordered) - 1).alias("pos"),
+        F.expr(f"_start + row_number() over ({ordered}) - 1 as pos"),
     )
 
 
@@ -142,6 +116,11 @@ def cut_blocks(df: DataFrame, before: int = 0, after: int = 0, size: int = BLOCK
     return rows.withColumn("_halo", F.col("_block") != own)
 
 
+def block_sql(key: str = "ticker", order: str = "date") -> str:
+    """The block window as SQL, without a frame."""
+    return f"partition by {key}, _block order by {order}"
+
+
 def block_window(key: str = "ticker", order: str = "date"):
     return Window.partitionBy(key, "_block").orderBy(order)
 
@@ -188,13 +167,13 @@ def ema_layout(chains: Iterable[Iterable[int]]) -> tuple[int, int]:
     return halo, min(size, 8 * halo)
 
 
-def ema(value: Column, span: int, halo: int, size: int, key: str = "ticker") -> Column:
+def ema(value: str, span: int, halo: int, size: int, key: str = "ticker") -> Column:
     """Exponential average (no bias correction) over blocks cut by ``ema_layout``.
 
-    ``value`` must not be null: fill gaps first.
+    ``value`` (SQL) must not be null: fill gaps first.
     """
     q = _decay(span)
-    n = (F.col("pos") - F.greatest(F.lit(0), F.col("_block") * size - halo)).cast("double")
-    weight = F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0 - q))
-    running = block_window(key).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(weight * value * F.pow(F.lit(q), -n)).over(running) * F.pow(F.lit(q), n)
+    n = f"cast(pos - greatest(0, _block * {size} - {halo}) as double)"
+    term = f"case when {n} = 0 then 1.0D else {1.0 - q!r}D end * ({value}) * pow({q!r}D, -{n})"
+    running = f"({block_sql(key)} rows between unbounded preceding and current row)"
+    return F.expr(f"sum({term}) over {running} * pow({q!r}D, {n})")

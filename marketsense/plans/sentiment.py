@@ -49,19 +49,19 @@ def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = Fal
         | series.fill_carries([AVERAGE], "date", backward=False)
         | series.fill_carries([MOVING], "date", look_back),
     )
-    ordered = series.block_window()
+    ordered = series.block_sql()
     rows = rows.withColumns(
         {"_average": series.filled(AVERAGE, ordered, backward=False), "_moving": series.filled(MOVING, ordered, look_back)}
     )
-    average = scaling.scaled(AVERAGE)
-    rows = rows.select(
+    count = scaling.scaled_sql("mention_count")
+    rows = rows.selectExpr(
         "ticker",
         "date",
-        scaling.scaled(AVERAGE, "_average").alias(AVERAGE),
-        F.coalesce(scaling.scaled("mention_count"), F.lit(0.0)).alias("mention_count"),
-        F.coalesce(scaling.scaled("total_score"), F.lit(0.0)).alias("total_score"),
-        scaling.scaled(AVERAGE, "_moving").alias(MOVING),
-        (average * scaling.scaled("mention_count")).alias("sentiment_mentions_interaction"),
+        f"{scaling.scaled_sql(AVERAGE, '_average')} as {AVERAGE}",
+        f"coalesce({count}, 0.0D) as mention_count",
+        f"coalesce({scaling.scaled_sql('total_score')}, 0.0D) as total_score",
+        f"{scaling.scaled_sql(AVERAGE, '_moving')} as {MOVING}",
+        f"({scaling.scaled_sql(AVERAGE)}) * ({count}) as sentiment_mentions_interaction",
     )
     return rows.select("ticker", "date", *SENTIMENT)
 

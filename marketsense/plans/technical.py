@@ -42,12 +42,12 @@ def technical_features(
     rows = stage(series.own_rows(rows), "indicators")
     rows = series.carry_between(rows, "_block", carried)
     rows = rows.withColumn("obv", indicators.running_obv())
-    ordered = series.block_window()
+    ordered = series.block_sql()
     rows = rows.withColumns({name: series.filled(name, ordered, look_back) for name in gappy})
     rows = rows.select("ticker", "date", "pos", *TECHNICAL, "target")
 
     rows = series.cut_blocks(rows, before=LAG_STEPS)
-    rows = rows.withColumns(indicators.lagged(TECHNICAL, LAG_STEPS))
+    rows = rows.selectExpr("*", *indicators.lagged(TECHNICAL, LAG_STEPS))
     rows = series.own_rows(rows).dropna("any", subset=TECHNICAL + LAGS + ["target"])
     if scale:
         rows = scaling.minmax_scale(rows, TECHNICAL + LAGS, "_block")
