@@ -20,9 +20,10 @@ NORMALISATION = 15.0
 
 # Words that strengthen the word after them.
 STRONGER = """
-absolutely amazingly awfully completely considerably decidedly deeply enormously entirely especially exceptionally
-extremely fabulously fully greatly highly hugely incredibly intensely majorly more most particularly purely quite
-really remarkably so substantially thoroughly totally tremendously uber unbelievably unusually utterly very
+absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely especially
+exceptionally extremely fabulously flippin flipping frickin fricking friggin frigging fucking fully greatly hella
+highly hugely incredibly intensely majorly more most particularly purely quite really remarkably so substantially
+thoroughly totally tremendously uber unbelievably unusually utterly very
 """.split()
 
 # Words that weaken the word after them.
@@ -44,6 +45,7 @@ weren't without wont wouldnt won't wouldn't rarely seldom despite
 
 # Phrases with a valence of their own.
 IDIOMS = {
+    "the shit": 3.0,
     "the bomb": 3.0,
     "bad ass": 1.5,
     "yeah right": -2.0,

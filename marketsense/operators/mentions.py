@@ -134,9 +134,11 @@ def match_tickers(df: DataFrame, tickers: list[str], column: str = "body") -> Da
     lengths are joined with the tickers.
     """
     if len(tickers) <= IN_ROW_TICKERS:
-        upper = F.upper(column)
-        found = F.array_compact(F.array(*[F.when(upper.contains(t.upper()), F.lit(t)) for t in tickers]))
-        return df.withColumn("ticker", F.explode(found))
+
+        def found(upper: Column) -> Column:
+            return F.array_compact(F.array(*[F.when(upper.contains(t.upper()), F.lit(t)) for t in tickers]))
+
+        return df.withColumn("ticker", F.explode(tx.let(F.upper(column), found)))
     lengths = sorted({len(t.upper()) for t in tickers})
     wanted = df.sparkSession.createDataFrame([(t, t.upper()) for t in tickers], "ticker string, _piece string")
     upper = F.upper(column)

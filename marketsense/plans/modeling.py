@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, functions as F
 
 from marketsense.operators import folds, metrics
+from marketsense.operators.sampling import smote
+from marketsense.operators.scaling import impute_mean
 from marketsense.schemas import MODEL_FEATURES
 from marketsense.session import stage
 
@@ -51,6 +53,20 @@ def model_table(merged: DataFrame, by: str = "ticker") -> DataFrame:
     )
 
 
+def preprocess_features(rows: DataFrame, features: list[str] | None = None, seed: int = SEED) -> DataFrame:
+    """Opt-in preparation: mean imputation, rows still incomplete dropped, classes balanced.
+
+    ``rows`` has ``pos`` and ``label``; returns (id, label, features array), the
+    id being null on synthetic rows.
+    """
+    features = features or MODEL_FEATURES
+    complete = impute_mean(rows, features).dropna("any", subset=features)
+    prepared = complete.select(
+        F.col("pos").alias("id"), F.col("label").cast("int").alias("label"), F.array(*features).alias("features")
+    )
+    return smote(stage(prepared, "prepared"), seed=seed)
+
+
 def feature_stages(features: list[str]) -> list:
     """Mean imputation, fitted on the rows a model trains on, and assembly."""
     filled = [f"{name}_filled" for name in features]

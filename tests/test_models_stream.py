@@ -37,6 +37,15 @@ def test_training_evaluation_and_persistence(spark, merged, tmp_path):
     assert modeling.predictions(again, test).collect() == modeling.predictions(search.bestModel, test).collect()
 
 
+def test_preparation_imputes_and_balances(merged):
+    table = modeling.model_table(merged)
+    out = modeling.preprocess_features(table)
+    counts = sampling.class_counts(out)
+    assert counts[0] == counts[1]
+    assert out.where(F.exists("features", lambda x: x.isNull())).isEmpty()
+    assert out.where("id is not null").count() == 240
+
+
 def test_folds_train_on_the_past_only(merged):
     table = modeling.model_table(merged)
     for fit, held in modeling.ExpandingCrossValidator(numFolds=3)._kFold(table):
