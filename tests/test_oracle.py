@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from marketsense import catalog
 from check import TABLES, compare
 
 from conftest import SF
@@ -19,7 +20,7 @@ def duck():
 
 def test_every_query_is_callable_and_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    without = set(contract.queries()) - set(contract.oracle_sql())
+    without = set(catalog.queries()) - set(catalog.oracle_sql())
     assert without == {
         "train_random_forest", "train_gbt", "grid_search_cv", "cross_validate", "evaluate_model",
         "feature_importance", "train_pipeline",
