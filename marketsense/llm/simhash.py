@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketsense.llm.common import mix64, numbered
+from marketsense.llm.common import mix64, spare_name
 from marketsense.llm.components import components
 from marketsense.session import stage
 
@@ -63,16 +63,22 @@ def majority_bits(hashes: np.ndarray, planes: int = 1) -> list[int]:
     return words
 
 
-def signatures(docs: DataFrame, width: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, signature): ``planes`` big-endian words of 64 bits as one binary value per row of ``docs``; null texts are empty."""
+def signatures(docs: DataFrame, width: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, signature): ``planes`` big-endian words of 64 bits as one binary value per row of ``docs``.
+
+    Null texts are empty; row is null unless ``row_col`` names a column of row numbers.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             signed = [b"".join(word.to_bytes(8, "big") for word in majority_bits(shingle_hashes(text, width), planes)) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "signature": signed})
+            yield batch[["doc_id", "row"]].assign(signature=signed)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(sign, f"doc_id {kind}, signature binary")
+    row = F.col(row_col) if row_col else F.lit(None)
+    # Ids travel through pandas as text: a column of integers with nulls would turn to floats there.
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), row.cast("string").alias("row"), F.col(text_col).alias("text"))
+    signed = chosen.mapInPandas(sign, "doc_id string, row string, signature binary")
+    return signed.select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("row").cast("long"), "signature")
 
 
 class _Forest:
@@ -122,11 +128,12 @@ def walk_pairs(left: np.ndarray, right: np.ndarray, same: bool, depth: int, bits
         am, bm = _middle(left, al, ah, bits, depth), _middle(right, bl, bh, bits, depth)
         kids = [(al, am, bl, bm, diff, own), (am, ah, bm, bh, diff, own), (al, am, bm, bh, diff + 1, np.zeros_like(own))]
         kids.append(tuple(x[~own] for x in (am, ah, bl, bm, diff + 1, np.zeros_like(own))))
-        for kid in kids:
-            keep = (kid[0] < kid[1]) & (kid[2] < kid[3]) & (kid[4] <= budget)
-            kid = tuple(x[keep] for x in kid)
-            for start in range(0, len(kid[0]), WALK):
-                stack.append((depth + 1, tuple(x[start : start + WALK] for x in kid)))
+        # All children of a batch stay together: many small batches would cost far more than their node pairs.
+        kid = tuple(np.concatenate(parts) for parts in zip(*kids))
+        keep = (kid[0] < kid[1]) & (kid[2] < kid[3]) & (kid[4] <= budget)
+        kid = tuple(x[keep] for x in kid)
+        for start in range(0, len(kid[0]), WALK):
+            stack.append((depth + 1, tuple(x[start : start + WALK] for x in kid)))
 
 
 def _middle(keys: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int, depth: int) -> np.ndarray:
@@ -319,16 +326,20 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 3, leaf: i
     return signed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_copies(docs: DataFrame, width: int = 5, planes: int = 4, band_bits: int = 32, budget: int = 3, similarity: float = 0.8, leaf: int = 4 * LEAF) -> DataFrame:
-    """(doc_id, keep): of each group of near-copies the row with the smallest id stays.
+def near_copies(
+    docs: DataFrame, row_col: str, width: int = 5, planes: int = 4, band_bits: int = 32, budget: int = 3, similarity: float = 0.8, leaf: int = 4 * LEAF,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, row, keep): of each group of near-copies the row with the smallest id stays; ``row_col`` numbers the rows of ``docs``.
 
     Near means that the wide signature (``planes`` words) says the shingle sets are
     about ``similarity`` alike (Jaccard): the angle of two such sets fixes the expected
     share of differing bits.  Pairs are found by trie joins of the signature's bands of
     ``band_bits`` bits, so each pair has several chances; a link is only kept if the
-    whole signature agrees.  Rows without words are copies of each other.
+    whole signature agrees.  Rows without words are copies of each other.  Null ids come
+    last; rows of one id are ordered by row number.
     """
-    rows = numbered(signatures(docs, width, planes), "near-signatures")
+    rows = stage(signatures(docs, width, planes, id_col, text_col, row_col), "near-signatures")
     cosine = 2 * similarity / (1 + similarity)
     most = int(64 * planes * np.arccos(cosine) / np.pi + 0.5 * np.sqrt(64 * planes * 0.13))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
@@ -340,3 +351,15 @@ def near_copies(docs: DataFrame, width: int = 5, planes: int = 4, band_bits: int
     rooted = classes.join(tree, classes.id == tree.node, "left").select("signature", "least", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
     return rooted.join(least, "root").join(rows, "signature").select("doc_id", "row", (F.col("first.row") == F.col("row")).alias("keep"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-copies; columns as they were.
+
+    A row leaves only if another row of its group stays.  Rows that repeat an id and a
+    text are copies of each other, so one of them stays.
+    """
+    row = spare_name(docs, "near_row")
+    held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
+    kept = near_copies(held, row, id_col=id_col, text_col=text_col).filter("keep").select(F.col("row").alias(row))
+    return held.join(kept, row, "left_semi").select(*docs.columns)

