@@ -5,17 +5,31 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketsense.llm import mixing, simhash
+from marketsense.llm import language, mixing, packing, quality, simhash
 from marketsense.session import join_path, shared_folder
 
 ORACLE_SQL = None  # trained models and hashes have no SQL; tests compare with brute-force versions
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model rejects go: no letters, or a probability under the calibrated threshold."""
+    return language.keep_identified(docs, language.train(docs))
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3 for quality go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five-word shingles, about 0.8 alike) stays: the one with the smallest id."""
     return simhash.drop_near_copies(docs)
 
@@ -25,7 +39,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs, mixing.mix_sources(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: a row per piece of a document, with its token ids."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("quality", judge_quality),
+    ("near_dedup", drop_near_copies),
+    ("mix", mix),
+    ("pack", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,31 @@ def mix64(values: np.ndarray) -> np.ndarray:
     values *= np.uint64(0x94D049BB133111EB)
     values ^= values >> np.uint64(31)
     return values
+
+
+def sample_classes(labelled: DataFrame, key: Column, per_class: int, most_classes: int = 500) -> DataFrame:
+    """About ``per_class`` rows (label, ...) of each class, chosen by a hash of ``key``; classes that have no more stay whole.
+
+    At most twice ``per_class`` rows a class are returned, so what a model is fitted on is
+    bounded however large the table is.  The classes themselves must be few.
+    """
+    counts = labelled.groupBy("label").count().limit(most_classes).collect()
+    rate = F.lit(0.0)
+    for found in counts:
+        rate = F.when(F.col("label") == F.lit(found["label"]), F.lit(per_class / found["count"])).otherwise(rate)
+    share = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return labelled.filter(share < rate).limit(2 * per_class * max(1, len(counts)))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample of labelled documents outside the held-out fold.
+
+    Labels are sampled before they meet the texts, so the side that is broadcast is as
+    bounded as the sample.  A document with several labels counts as the larger one;
+    null ids and null labels take no part.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
+    known = known.groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
+    chosen = sample_classes(known, F.col("doc_id"), per_class)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketsense.llm import mixing, simhash, warc
+from marketsense.llm import fingerprints, language, mixing, packing, quality, simhash, toxicity, warc
 from marketsense.session import join_path, shared_folder
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +23,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_restored_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_parse_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_chain(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -38,10 +55,25 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(leaders, "leader", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_restored_toxicity": op3_restored_toxicity,
+    "op4_pack_curve": op4_pack_curve,
+    "op5_parse_fingerprints": op5_parse_fingerprints,
     "op6_simhash_components": op6_simhash_components,
     "op8_warc_transactions": op8_warc_transactions,
+    "op9_language_id": op9_language_id,
+    "op10_boosted_quality": op10_boosted_quality,
 }
 
 ORACLES = {
