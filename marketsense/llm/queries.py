@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketsense.llm import fingerprints, language, mixing, packing, quality, simhash, toxicity, warc
+from marketsense.llm import fingerprints, language, maxscore, mixing, packing, quality, simhash, suffix_tree, toxicity, warc
 from marketsense.session import join_path, shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), maxscore.quantised(F.col("embedding")).alias("vector"))
+    return maxscore.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), 5)
+
+
 def op3_restored_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -41,6 +46,10 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.plan_captures(_table(spark, sf_dir, "pages"))
     path = join_path(shared_folder(spark), "marketsense", f"warc-{uuid.uuid4().hex}")
@@ -67,10 +76,12 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_maxscore_search": op2_maxscore_search,
     "op3_restored_toxicity": op3_restored_toxicity,
     "op4_pack_curve": op4_pack_curve,
     "op5_parse_fingerprints": op5_parse_fingerprints,
     "op6_simhash_components": op6_simhash_components,
+    "op7_suffix_tree_scores": op7_suffix_tree_scores,
     "op8_warc_transactions": op8_warc_transactions,
     "op9_language_id": op9_language_id,
     "op10_boosted_quality": op10_boosted_quality,
@@ -103,6 +114,15 @@ ORACLES = {
         select doc_id, size, source_size, target,
                cast(case when source_size = 0 then 0 else (budget // source_size) * size + greatest(0, least(size, budget % source_size - start)) end as bigint) as taken
         from placed""",
+    "op2_maxscore_search": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as vector from embeddings
+            where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.vector, c.vector) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""",
     "op8_warc_transactions": r"""
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
