@@ -13,7 +13,7 @@ from marketsense.session import join_path, shared_folder
 
 ORACLE_SQL = None  # trained models and hashes have no SQL; tests compare with brute-force versions
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: a row per piece of a document, with its token ids."""
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER, RANKS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketsense.llm import fingerprints, language, maxscore, mixing, packing, quality, simhash, suffix_tree, toxicity, warc
 from marketsense.session import join_path, shared_folder
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_restored_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -1,10 +1,11 @@
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from marketsense.llm import packing
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def check_packed(pieces, texts, length):
@@ -31,20 +32,30 @@ def test_pieces_cover_every_id_once(spark):
     texts = [" ".join(rng.choice(["alpha", "beta,", "gamma.", "été", "42", "\n"], rng.integers(0, 80))) for _ in range(150)]
     texts += [None, "", " ", "same text"] + ["same text"] * 30 + ["long " * 5000, "<|endoftext|> x"]
     docs = spark.createDataFrame([(None if i % 50 == 7 else i // 2, t, "z", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, part int")
-    pieces = packing.pack_documents(docs, PATH, length=64).collect()
+    pieces = packing.pack_documents(docs, PATH, RANKS, length=64).collect()
     check_packed(pieces, texts, 64)
     assert packing.pack_documents(docs.limit(0), PATH).collect() == []
 
 
-def test_parts_code_like_whole_texts():
-    coder = Tokenizer.from_file(PATH)
+@pytest.mark.parametrize("ranks", [None, RANKS])
+def test_parts_code_like_whole_texts(ranks):
+    coder, order = packing.load_coders(PATH, ranks)
     rng = np.random.default_rng(8)
     texts = ["".join(rng.choice(list("ab1' \n\té!s  ,. \x1c"), rng.integers(0, 30))) for _ in range(3000)] + ["", "a." * 200]
-    known = {}
-    got = [ids for at in range(0, len(texts), 100) for ids in packing.encode_texts(coder, texts[at : at + 100], known)]
+    parts = packing.PartCoder(coder, order)
+    got = [ids.tolist() for at in range(0, len(texts), 100) for ids in parts.encode(texts[at : at + 100])]
     assert got == [found.ids for found in coder.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("ranks", [None, RANKS])
+def test_real_texts_code_alike(spark, ranks):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    coder, order = packing.load_coders(PATH, ranks)
+    parts = packing.PartCoder(coder, order)
+    got = [ids.tolist() for at in range(0, len(texts), 100) for ids in parts.encode(texts[at : at + 100])]
+    assert got == [found.ids for found in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_keys(points, 3)
