@@ -76,7 +76,7 @@ class Forest:
         return 1 / (1 + np.exp(-margin))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 5.0) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 1.0) -> Forest:
     """Gradient boosting for the logistic loss on weighted rows; without rows every score is 0.5."""
     inner, leaves = 2**depth - 1, 2**depth
     if not len(y):
