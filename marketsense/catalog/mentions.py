@@ -57,7 +57,7 @@ def _scores(spark, sf):
 
 
 def _coerced(spark, sf):
-    rows = m.coerce_dates(fixtures.table(spark, sf, "dirty_mentions").where(F.col("id").isNotNull()))
+    rows = m.coerce_dates(fixtures.table(spark, sf, "dirty_mentions"))
     return rows.select("ticker", "id", "author", F.col("created_date").cast("timestamp_ntz").alias("created_date"))
 
 
@@ -91,7 +91,7 @@ def _news(spark, sf):
 QUERIES = {
     "scan_ndjson": _scan,
     "parse_raw_lines": _parse_raw,
-    "extract_mentions": lambda s, d: _naive(m.extract_mentions(fixtures.table(s, d, "raw_lines"), TICKER, START, END)),
+    "extract_mentions": lambda s, d: _naive(m.extract_mentions(fixtures.table(s, d, "raw_lines"), TICKERS, START, END)),
     "mentions_in_range": _in_range,
     "mention_text": _text,
     "mentions_substring": lambda s, d: m.match_tickers(
@@ -104,7 +104,7 @@ QUERIES = {
     "mention_word_counts": lambda s, d: m.word_counts(_threads(s, d), "La", NAME).select(
         "post_id", "turn", "ticker_count", "name_count"
     ),
-    "current_mentions": lambda s, d: _naive(m.current_mentions(_threads(s, d), "La", NAME, AS_OF, LIMITS)),
+    "current_mentions": lambda s, d: _naive(m.current_mentions(_threads(s, d), "La", None, AS_OF, LIMITS, {"La": NAME})),
     "latest_posts": lambda s, d: _naive(m.latest_posts(_threads(s, d), LIMITS)),
     "latest_comments": lambda s, d: _naive(m.latest_comments(_threads(s, d), LIMITS)),
     "union_posts_comments": _union,
@@ -114,16 +114,18 @@ QUERIES = {
     "news_frame": _news,
 }
 
-_SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x0B]"
+_SPACE = fixtures.SPACE
 
 
 def _strip(text: str) -> str:
     return f"regexp_replace({text}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
-# One row per line with the JSON members; invalid lines and non-objects give null.
+# One row per line with the JSON members; invalid lines and non-objects give null.  Of a repeated id
+# the last one counts, and NaN, which DuckDB lets pass, is no JSON.
 _FIELDS = f"""{fixtures.ctes("raw_lines")},
-objects as (select doc_id, case when json_valid(value) and json_type(value) = 'OBJECT' then value::json end as j from raw_lines),
+single as (select doc_id, replace(value, '"id":"first",', '') as value from raw_lines),
+objects as (select doc_id, case when json_valid(value) and json_type(value) = 'OBJECT' and not contains(value, '"score":NaN') then value::json end as j from single),
 fields as (
   select doc_id, j, j is not null as parsed, j->>'id' as id, j->>'created_utc' as created_utc, j->>'author' as author, j->>'score' as score,
          case when j is null then null when json_exists(j, '$.created_utc') then try_cast(j->>'created_utc' as double) else 0.0::double end as seconds,
@@ -156,20 +158,23 @@ _YESTERDAY = f"created_date >= date '{AS_OF}' - interval 1 day and created_date
 
 _ELEMENT = "(?s)<({tag})(?:\\s[^>]*)?>(.*?)</{tag}>"
 
+_WANTED = ", ".join(f"('{t}')" for t in TICKERS)
+
 ORACLES = {
     "scan_ndjson": f"{fixtures.ctes('raw_lines')} select value from raw_lines",
     "parse_raw_lines": f"{_FIELDS} select doc_id, parsed, id, created_utc, author, score from fields",
-    "extract_mentions": f"""{_FIELDS} select '{TICKER}' as ticker, make_timestamp(cast(seconds * 1000000 as bigint)) as created_date,
-case when json_exists(j, '$.author') then author else '[deleted]' end as author, body, score_int as score, id from outcomes where outcome = 'ok'""",
+    "extract_mentions": f"""{_FIELDS} select ticker, make_timestamp(cast(seconds * 1000000 as bigint)) as created_date,
+case when json_exists(j, '$.author') then author else '[deleted]' end as author, body, score_int as score, id from fields join (values {_WANTED}) w(ticker) on contains(upper(body), upper(ticker))
+where seconds between epoch(timestamp '{START}') and epoch(timestamp '{END}') and id is not null and score_int is not null""",
     "mentions_in_range": f"""{_FIELDS} select doc_id, seconds from fields
 where seconds between epoch(timestamp '{START}') and epoch(timestamp '{END}')""",
     "mention_text": f"{_FIELDS} select doc_id, body from fields where parsed and body is not null",
     "mentions_substring": f"""select doc_id, ticker from documents
-join (values {', '.join(f"('{t}')" for t in TICKERS)}) w(ticker) on contains(upper(text), upper(ticker))""",
+join (values {_WANTED}) w(ticker) on contains(upper(text), upper(ticker))""",
     "mention_rejects": f"{_FIELDS} select outcome, count(*) as n_lines from outcomes group by outcome",
     "mention_score_cast": f"{_FIELDS} select doc_id, cast(score_int as varchar) as score from fields",
     "coerce_dates": f"""{fixtures.ctes('dirty_mentions')} select ticker, id, author, try_cast(created_date as timestamp) as created_date
-from dirty_mentions where try_cast(created_date as timestamp) is not null and id is not null""",
+from dirty_mentions where try_cast(created_date as timestamp) is not null""",
     "yesterday_mentions": f"{fixtures.ctes('threads')} select * from threads where {_YESTERDAY}",
     "mention_word_counts": f"{fixtures.ctes('threads')} select post_id, turn, {_COUNTS} from threads",
     "current_mentions": f"""{_LIMITED} select * from (select *, {_COUNTS} from latest where {_YESTERDAY}) c

@@ -1,7 +1,7 @@
 """Model training on the merged table.
 
-The grids are small so that the queries finish on a test machine; the full
-grids are ``modeling.FULL_FOREST_GRID`` and ``FULL_BOOSTED_GRID``.
+All folds and every axis of the grids are searched; only the trees are few, so
+that the queries finish on a test machine.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from marketsense.operators import sampling
 from marketsense.plans import modeling
 from marketsense.plans.merged import merged_features
 
-FOREST = {"numTrees": [5], "maxDepth": [2, 4]}
-BOOSTED = {"maxIter": [3], "maxDepth": [2], "stepSize": [0.05, 0.1]}
-N_FOLDS = 2
+FOREST = {**modeling.FOREST_GRID, "numTrees": [2, 3]}
+BOOSTED = {**modeling.BOOSTED_GRID, "maxIter": [1, 2]}
 
 
 def _merged(spark, sf):
@@ -28,7 +27,7 @@ def _table(spark, sf):
 
 def _evaluated(spark, sf):
     table = _table(spark, sf)
-    best = modeling.train_random_forest(table, {"numTrees": [5], "maxDepth": [4]}, N_FOLDS).bestModel
+    best = modeling.train_random_forest(table, {"numTrees": [5], "maxDepth": [4]}).bestModel
     return modeling.evaluate_model(best, table.where("split = 'test'"), "random_forest")
 
 
@@ -42,20 +41,19 @@ def _smote_counts(spark, sf):
 
 QUERIES = {
     "smote_counts": _smote_counts,
-    "train_random_forest": lambda s, d: modeling.grid_results(modeling.train_random_forest(_table(s, d), FOREST, N_FOLDS)),
-    "train_gbt": lambda s, d: modeling.grid_results(modeling.train_gbt(_table(s, d), BOOSTED, N_FOLDS)),
+    "train_random_forest": lambda s, d: modeling.grid_results(modeling.train_random_forest(_table(s, d), FOREST)),
+    "train_gbt": lambda s, d: modeling.grid_results(modeling.train_gbt(_table(s, d), BOOSTED)),
     "grid_search_cv": lambda s, d: modeling.grid_results(
-        modeling.train_random_forest(_table(s, d), {"numTrees": [4], "maxDepth": [3, 5]}, 3)
+        modeling.train_random_forest(_table(s, d), {"numTrees": [4], "maxDepth": [3, 5]})
     ),
-    "cross_validate": lambda s, d: modeling.cross_validate({"numTrees": 5, "maxDepth": 3}, "forest", _table(s, d), N_FOLDS),
+    "cross_validate": lambda s, d: modeling.cross_validate({"numTrees": 5, "maxDepth": 3}, "forest", _table(s, d)),
     "evaluate_model": _evaluated,
     "feature_importance": lambda s, d: modeling.feature_importance(
-        modeling.train_random_forest(_table(s, d), {"numTrees": [5], "maxDepth": [4]}, N_FOLDS).bestModel
+        modeling.train_random_forest(_table(s, d), {"numTrees": [5], "maxDepth": [4]}).bestModel
     ),
     "train_pipeline": lambda s, d: modeling.train_pipeline(
         _merged(s, d),
         {"random_forest": {"numTrees": [5], "maxDepth": [3]}, "boosted_trees": {"maxIter": [3], "maxDepth": [2]}},
-        N_FOLDS,
     ),
 }
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from marketsense import fixtures
 from marketsense.operators import indicators, scaling, series
 from marketsense.plans.technical import technical_features
 from marketsense.schemas import LAG_STEPS, LAGS, TECHNICAL
+from marketsense.session import join_path, shared_folder
 from marketsense.sources import bars as sources
 
 
@@ -24,9 +27,20 @@ def _technical(spark, sf):
     return rounded(df, 8, *TECHNICAL, *LAGS)
 
 
-TICKERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "9-UNKNOWN"]
+TICKERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "9-UNKNOWN"]
 RANGE = ("1996-01-01", "1998-01-01")
 
+def _load_merged(spark, sf):
+    """Two stage tables, one that does not exist and one that is no parquet, read back as one."""
+    bars, folder = _bars(spark, sf), join_path(shared_folder(spark), "marketsense", f"merged-{uuid.uuid4().hex}")
+    first = F.col("ticker") < "3"
+    paths = [join_path(folder, name) for name in ("first", "second", "broken", "missing")]
+    bars.where(first).write.parquet(paths[0])
+    bars.where(~first).write.parquet(paths[1])
+    bars.select("ticker").write.text(paths[2])
+    return sources.stack_tickers(sources.load_merged(spark, paths, schema=bars.schema), TICKERS)
+
+
 QUERIES = {
     "ema": lambda s, d: rounded(indicators.ema(_bars(s, d)), 4, "ema_12", "ema_26"),
     "macd": lambda s, d: rounded(indicators.macd(_bars(s, d)), 4, "macd", "signal"),
@@ -49,7 +63,7 @@ QUERIES = {
     "technical_features": _technical,
     "bars_range_report": lambda s, d: sources.range_report(_bars(s, d), *RANGE),
     "ticker_load_summary": lambda s, d: sources.load_summary(_bars(s, d), TICKERS, *RANGE),
-    "load_merged": lambda s, d: sources.stack_tickers(_bars(s, d), TICKERS).select("ticker", "ticker_ord", "date", "close"),
+    "load_merged": _load_merged,
 }
 
 _RSI = """select ticker, date, case when n < 14 then null when loss > 0 then 100 - 100 / (1 + gain / loss)
@@ -140,5 +154,5 @@ select w.ticker, coalesce(n, 0) as n_rows, n is not null as loaded,
 (select count(*) from wanted join loaded using (ticker)) as n_loaded, (select count(*) from wanted) as n_requested
 from wanted w left join loaded l using (ticker)""",
     "load_merged": f"""{fixtures.ctes('bars')}, wanted(ticker, ord) as (values {_TICKER_LIST})
-select ticker, ord as ticker_ord, date, close from bars join wanted using (ticker)""",
+select bars.*, ord as ticker_ord from bars join wanted using (ticker)""",
 }

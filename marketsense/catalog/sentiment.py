@@ -25,9 +25,9 @@ def _daily(spark, sf):
     return daily.daily_sentiment(_scored(spark, sf))
 
 
-def _half_bars(spark, sf):
-    """Bars of four tickers only, so that one ticker has no price data."""
-    return fixtures.table(spark, sf, "bars").where("ticker <> '5-LOW'")
+def _more_daily(spark, sf):
+    """Days of all mentions, those of a ticker without bars included."""
+    return daily.daily_sentiment(daily.score_mentions(fixtures.table(spark, sf, "mentions_more")))
 
 
 def _asof(spark, sf):
@@ -50,7 +50,7 @@ def _merged(spark, sf):
 
 
 QUERIES = {
-    "sentiment_scores": lambda s, d: fixtures.table(s, d, "documents").select("doc_id", sentiment("text").alias("sentiment")),
+    "sentiment_scores": lambda s, d: fixtures.table(s, d, "blanks").select("doc_id", sentiment("text").alias("sentiment")),
     "daily_sentiment": lambda s, d: rounded(_daily(s, d), 10, "average_sentiment"),
     "daily_current_sentiment": lambda s, d: rounded(
         daily.daily_current_sentiment(_current(s, d)), 10, "average_sentiment"
@@ -58,14 +58,14 @@ QUERIES = {
     "sentiment_decision": lambda s, d: rounded(
         daily.sentiment_decision(_scored(s, d)), 9, "mean_sentiment", "std_sentiment", "threshold"
     ),
-    "trading_calendar": lambda s, d: align.trading_calendar(_half_bars(s, d), _daily(s, d)),
+    "trading_calendar": lambda s, d: align.trading_calendar(fixtures.table(s, d, "bars"), _more_daily(s, d)),
     "asof_sentiment": _asof,
     "sentiment_ma": lambda s, d: rounded(
         daily.moving_average(stage(_daily(s, d), "daily").select("ticker", "date", "average_sentiment")),
         10, "average_sentiment", "sentiment_moving_average_3d",
     ),
     "sentiment_features": lambda s, d: rounded(
-        sentiment_features(fixtures.table(s, d, "mentions"), _half_bars(s, d)), 9, *SENTIMENT
+        sentiment_features(fixtures.table(s, d, "mentions_more"), fixtures.table(s, d, "bars")), 9, *SENTIMENT
     ),
     "current_features": lambda s, d: rounded(current_features(_current(s, d)), 9, *SENTIMENT),
     "merge_price_sentiment": _merged,
@@ -120,7 +120,7 @@ def scorer_ctes(source: str, key: str, text: str) -> str:
         return f"case when p{k} is null or v{k} is not null then {previous} else {turned} end"
 
     return f"""lexicon(word, valence) as (values {_values(lx.STARTER)}),
-split_ as (select {key} as doc, {text} as body, unnest(string_split_regex({text}, '\\s+')) as raw, generate_subscripts(string_split_regex({text}, '\\s+'), 1) as n from {source} where {text} is not null),
+split_ as (select {key} as doc, {text} as body, unnest(string_split_regex({text}, '{fixtures.SPACE}+')) as raw, generate_subscripts(string_split_regex({text}, '{fixtures.SPACE}+'), 1) as n from {source} where {text} is not null),
 trimmed as (select doc, n, raw, trim(raw, '{_PUNCT}') as bare from split_),
 cleaned as (select doc, n, case when length(bare) <= 2 and l.word is not null then raw else bare end as token
             from trimmed t left join lexicon l on l.word = lower(t.raw)),
@@ -148,11 +148,18 @@ scores as (select doc, round(t / sqrt(t * t + {lx.NORMALISATION}), 4) as sentime
 
 
 _DOC_SCORES = scorer_ctes("documents", "doc_id", "text")
-_SCORED = f"""{fixtures.ctes("bars", "mentions")}, {_DOC_SCORES},
-scored as (select m.*, s.sentiment from mentions m join scores s on s.doc = cast(m.id as bigint)),
+
+
+def _scored_ctes(source: str) -> str:
+    """CTEs ending in ``daily`` for one of the mention inputs."""
+    return f"""{fixtures.ctes("bars", source)}, {_DOC_SCORES},
+scored as (select m.*, s.sentiment from {source} m join scores s on s.doc = cast(m.id as bigint)),
 daily as (select ticker, cast(created_date as date) as date, avg(sentiment) as average_sentiment, count(sentiment) as mention_count,
                  cast(coalesce(sum(score), 0) as bigint) as total_score from scored group by all)"""
 
+
+_SCORED, _SCORED_MORE = _scored_ctes("mentions"), _scored_ctes("mentions_more")
+
 _ASCII = "regexp_replace(body, '[\\x{C0}-\\x{24F}]', 'z', 'g')"
 _CURRENT = f"""{fixtures.ctes("threads")}, numbered as (select *, post_id * 100000 + turn as doc_key from threads),
 {scorer_ctes("numbered", "doc_key", "body")},
@@ -184,11 +191,11 @@ def _round(digits: int, names: list[str]) -> str:
     return ", ".join(f"round({n}, {digits}) as {n}" for n in names)
 
 
-_CALENDAR = """calendar as (select ticker, date from bars where ticker <> '5-LOW'
-  union all select ticker, date from daily where ticker not in (select ticker from bars where ticker <> '5-LOW'))"""
+_CALENDAR = """calendar as (select ticker, date from bars
+  union all select ticker, date from daily where ticker not in (select ticker from bars))"""
 
 ORACLES = {
-    "sentiment_scores": f"with {_DOC_SCORES} select doc as doc_id, sentiment from scores",
+    "sentiment_scores": f"{fixtures.ctes('blanks')}, {scorer_ctes('blanks', 'doc_id', 'text')} select doc as doc_id, sentiment from scores",
     "daily_sentiment": f"{_SCORED} select ticker, date, round(average_sentiment, 10) as average_sentiment, mention_count, total_score from daily",
     "daily_current_sentiment": f"{_CURRENT} select ticker, date, round(average_sentiment, 10) as average_sentiment, mention_count, total_score from current_daily",
     "sentiment_decision": f"""{_SCORED},
@@ -197,14 +204,14 @@ stats as (select ticker, avg(a) as m, stddev_samp(a) as d from days group by tic
 select ticker, case when good_days > 0 then 'yes' else 'no' end as decision, good_days, round(m, 9) as mean_sentiment, round(d, 9) as std_sentiment,
        round(m * 1.5, 9) as threshold
 from (select ticker, count(*) filter (where a > m and s >= 0) as good_days, any_value(m) as m, any_value(d) as d from days join stats using (ticker) group by ticker) x""",
-    "trading_calendar": f"{_SCORED}, {_CALENDAR} select * from calendar",
+    "trading_calendar": f"{_SCORED_MORE}, {_CALENDAR} select * from calendar",
     "asof_sentiment": f"""{_SCORED}, holes as (select ticker, date, case when day(date) % 5 <> 0 then average_sentiment end as average_sentiment, mention_count, total_score from daily)
 select b.ticker, b.date, round(h.average_sentiment, 10) as average_sentiment, h.mention_count::double as mention_count, h.total_score::double as total_score
 from bars b asof left join holes h on h.ticker = b.ticker and h.date <= b.date""",
     "sentiment_ma": f"""{_SCORED} select ticker, date, round(average_sentiment, 10) as average_sentiment,
 round(case when count(average_sentiment) over w = 3 then avg(average_sentiment) over w end, 10) as sentiment_moving_average_3d
 from daily window w as (partition by ticker order by date rows 2 preceding)""",
-    "sentiment_features": f"{_SCORED}, {_CALENDAR}, {_features('calendar', 'daily')} select ticker, date, {_round(9, SENTIMENT)} from features",
+    "sentiment_features": f"{_SCORED_MORE}, {_CALENDAR}, {_features('calendar', 'daily')} select ticker, date, {_round(9, SENTIMENT)} from features",
     "current_features": f"""{_CURRENT}, ma as (select *, case when count(average_sentiment) over w = 3 then avg(average_sentiment) over w end as m
   from current_daily window w as (partition by ticker order by date rows 2 preceding))
 select ticker, date, round(average_sentiment, 9) as average_sentiment, mention_count::double as mention_count, total_score::double as total_score,

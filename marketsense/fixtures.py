@@ -38,6 +38,11 @@ select doc_id, source, case doc_id % 20
   when 9 then concat('{"id":"', k, '","created_utc":"nope","body":"', txt, '","score":3}')
   when 10 then '[1]'
   when 11 then ''
+  when 12 then concat('{''id'':''', k, ''',''created_utc'':', ts, ',''body'':''that'',''score'':3}')
+  when 13 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":3} that garbage')
+  when 14 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":3},{"id":"', k, '","body":"that"}')
+  when 15 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":NaN}')
+  when 16 then concat('{"id":"first","created_utc":', ts, ',"body":"', txt, '","score":3,"id":"', k, '"}')
   else concat('{"id":"', k, '","author":"a', k, '","created_utc":', ts, ',"body":"', txt, '","score":', cast(doc_id % 50 - 5 as varchar(20)), '}')
   end as value
 from (select doc_id, source, cast(doc_id as varchar(20)) as k,
@@ -70,7 +75,21 @@ select ticker,
        case when n % 31 = 0 then null when n % 37 = 0 then 'dup' else id end as id, 'x' as flair
 from (select m.*, cast(id as bigint) as n from ({MENTIONS}) m) t"""
 
+# Texts whose blanks are no-break spaces in every fifth document.
+BLANKS = """
+select doc_id, case when doc_id % 5 = 0 then replace(text, ' ', chr(160)) else text end as text from documents"""
+
+# Mentions, and some of them again for a ticker without any bar.
+MENTIONS_MORE = f"""
+select ticker, id, created_date, author, body, score from ({MENTIONS}) m
+union all select 'NO BARS' as ticker, id, created_date, author, body, score from ({MENTIONS}) n where score % 7 = 0"""
+
+# White space beyond ASCII, for patterns of DuckDB.
+SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x0B]"
+
 TABLES = {
+    "blanks": (BLANKS, ["documents"]),
+    "mentions_more": (MENTIONS_MORE, ["documents", "orders"]),
     "bars": (BARS, ["orders"]),
     "bars_gaps": (BARS_GAPS, ["orders"]),
     "mentions": (MENTIONS, ["documents", "orders"]),

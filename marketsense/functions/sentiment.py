@@ -64,7 +64,7 @@ def tokens(text: Column, known: Callable[[Column], Column]) -> Column:
     def whole(token: Column, bare: Column) -> Column:
         return (F.length(bare) <= 2) & (F.length(token) > F.length(bare)) & known(F.lower(token)).isNotNull()
 
-    return F.filter(F.transform(F.split(text, r"\s+"), clean), lambda token: F.length(token) > 1)
+    return F.filter(F.transform(F.split(text, r"(?U)\s+"), clean), lambda token: F.length(token) > 1)
 
 
 def _is_caps(token: Column) -> Column:

@@ -28,6 +28,28 @@ def word_count(text: Column, word: str, ignore_case: bool = False) -> Column:
     return F.regexp_count(text, F.lit(rf"{flags}\b\Q{word}\E\b"))
 
 
+def json_object(line: Column) -> Column:
+    """Top-level members of a line that is exactly one JSON object, as a map of strings; else null.
+
+    The line is read as the only element of an array, so text behind the object
+    makes it malformed.  Single quotes and numbers JSON does not know are refused;
+    of a repeated key the last value counts.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", strict)
+
+    def last_values(members: Column) -> Column:
+        keys = F.map_keys(members)
+
+        def is_last(entry: Column, place: Column) -> Column:
+            return ~F.array_contains(F.slice(keys, place + 2, F.size(keys)), entry["key"])
+
+        single = F.map_from_entries(F.filter(F.map_entries(members), is_last))
+        return F.when(F.size(F.array_distinct(keys)) < F.size(keys), single).otherwise(members)
+
+    return let(listed, lambda items: F.when(F.size(items) == 1, let(F.get(items, F.lit(0)), last_values)))
+
+
 def has_key(fields: Column, key: str) -> Column:
     return F.map_contains_key(fields, key)
 

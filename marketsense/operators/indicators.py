@@ -142,8 +142,8 @@ def lag_features(df: DataFrame, names: list[str] | None = None, steps: int = LAG
 def target_label(bars: DataFrame, drop_last: bool = False) -> DataFrame:
     """1 when the next close is higher, else 0.
 
-    The last row of a series has no next close: it gets 0 and stays, unless
-    ``drop_last`` is set.
+    A comparison with a missing close is not higher.  The last row of a series has
+    no next close: it gets 0 and stays, unless ``drop_last`` is set.
     """
     rows = series.cut_blocks(series.number_rows(_pick(bars, "close")), after=1)
     return _pick(series.own_rows(with_target(rows, drop_last)), "target")
@@ -151,8 +151,7 @@ def target_label(bars: DataFrame, drop_last: bool = False) -> DataFrame:
 
 def with_target(rows: DataFrame, drop_last: bool = False) -> DataFrame:
     following = F.lead("close", 1).over(series.block_window())
-    rise = F.coalesce(following > F.col("close"), F.lit(False)).cast("int")
-    rows = rows.withColumn("target", F.when(F.col("close").isNotNull(), rise))
+    rows = rows.withColumn("target", F.coalesce(following > F.col("close"), F.lit(False)).cast("int"))
     if drop_last:
         rows = rows.withColumn("_more", F.lead("pos", 1).over(series.block_window()).isNotNull())
         rows = rows.where(F.col("_more") | F.col("_halo")).drop("_more")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketsense.functions import text as tx
+from marketsense.functions.sentiment import LookupTable
 from marketsense.schemas import require_columns
 
 # Outcomes of extraction, in the order the checks apply.
@@ -16,11 +19,8 @@ COMPANY_NAMES = {"AAPL": "apple", "MSFT": "microsoft", "GOOGL": "google", "AMZN"
 # Newest posts read per forum.
 FORUM_LIMITS = {"wallstreetbets": 100, "stocks": 50, "StockMarket": 25}
 
-# Above this many tickers the in-row search gives way to a join on substrings.
-IN_ROW_TICKERS = 200
-
-# Above this many the ticker list is shuffled, not broadcast.
-BROADCAST_TICKERS = 100_000
+# Rows that a side may have to be broadcast by hint.
+SMALL_SIDE = 100_000
 
 
 def epoch_seconds(fields: Column) -> Column:
@@ -75,84 +75,101 @@ def classified(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFram
     return rows.withColumn("outcome", outcome)
 
 
-def may_mention(line: Column, ticker: str) -> Column:
-    """False only for lines that cannot mention the ticker, judged before parsing.
+def _alternatives(words: list[str]) -> str:
+    """Pattern of a prefix tree of the words, longest match first."""
+    starts: dict[str, list[str]] = {}
+    for word in words:
+        starts.setdefault(word[:1], []).append(word[1:])
+    end = starts.pop("", None) is not None
+    branches = [(f"\\x{{{ord(first):x}}}" + _alternatives(rest)) for first, rest in sorted(starts.items())]
+    if not branches:
+        return ""
+    joined = branches[0] if len(branches) == 1 and not end else f"(?:{'|'.join(branches)})"
+    return f"{joined}?" if end else joined
 
-    A body holds the ticker as it stands in the line unless the line has escape
-    sequences; a ticker with white space could span title and text.
-    """
-    if ticker != "".join(ticker.split()):
-        return F.lit(True)
-    return tx.contains_ignoring_case(line, ticker) | line.contains("\\")
 
+class TickerList:
+    """Finds all tickers of a list in a text, inside the row and in one pass over it.
+
+    The list becomes one pattern, a prefix tree, tried at every place; a match is the
+    longest ticker that starts there, and shorter ones that start it follow from a
+    constant table.  The plan is the same for one ticker and for thousands.
+    """
 
-def extract_mentions(lines: DataFrame, ticker: str, start: str, end: str, column: str = "value") -> DataFrame:
-    """Mentions of one ticker in raw JSON lines: narrow work only, no shuffle.
+    def __init__(self, tickers: list[str]):
+        if not tickers or not all(tickers):
+            raise ValueError("tickers must not be empty")
+        self.tickers = list(dict.fromkeys(tickers))
+        self.spaced = any(ticker != "".join(ticker.split()) for ticker in self.tickers)
+        uppers: dict[str, list[str]] = {}
+        for ticker in self.tickers:
+            uppers.setdefault(ticker.upper(), []).append(ticker)
+        self.pattern = _alternatives(list(uppers))
+        # For every upper-case ticker, the tickers it starts with, itself included.
+        starts = [[name for size in range(1, len(upper) + 1) for name in uppers.get(upper[:size], [])] for upper in uppers]
+        self.places = LookupTable({upper: float(place) for place, upper in enumerate(uppers)})
+        self.starts = F.from_json(F.lit(json.dumps(starts)), "array<array<string>>")
+
+    def found(self, text: Column) -> Column:
+        """The distinct tickers contained in a text, ignoring case; empty for null."""
+        hits = F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(f"(?=({self.pattern}))"), F.lit(1)))
+        table = self.places.bind()
+        named = F.transform(hits, lambda hit: F.get(self.starts, self.places.get(table, hit).cast("int")))
+        return F.coalesce(F.array_distinct(F.flatten(named)), F.array().cast("array<string>"))
+
+    def may_be_in(self, line: Column) -> Column:
+        """False only for lines that cannot mention a ticker, judged before parsing.
+
+        A body holds a ticker as it stands in the line unless the line has escape
+        sequences; a ticker with white space could span title and text.
+        """
+        return F.lit(True) if self.spaced else F.upper(line).rlike(self.pattern) | line.contains("\\")
+
+
+def extract_mentions(lines: DataFrame, tickers: str | list[str], start: str, end: str, column: str = "value") -> DataFrame:
+    """Mentions of all tickers in raw JSON lines, in one pass: narrow work only, no shuffle.
 
     Lines that cannot match are dropped before parsing.  The rest goes through
-    one generator that parses each line once and yields one row or none; a
+    one generator that parses each line once and yields a row per ticker; a
     filter behind the parser would make Spark repeat the parsing inside it.
     """
+    wanted = TickerList([tickers] if isinstance(tickers, str) else tickers)
 
     def mention(fields: Column) -> Column:
         seconds = epoch_seconds(fields)
         return F.when(in_range(seconds, start, end), tx.let(mention_text(fields), lambda body: matched(fields, seconds, body)))
 
     def matched(fields: Column, seconds: Column, body: Column) -> Column:
-        identifier = F.try_element_at(fields, F.lit("id"))
-        hit = tx.contains_ignoring_case(body, ticker) & identifier.isNotNull()
-        return F.when(hit, tx.let(tx.json_integer(fields, F.col(column), "score"), lambda score: row(fields, seconds, body, score)))
-
-    def row(fields: Column, seconds: Column, body: Column, score: Column) -> Column:
-        made = F.struct(
-            F.lit(ticker).alias("ticker"),
-            F.timestamp_seconds(seconds).alias("created_date"),
-            tx.field_or(fields, "author", "[deleted]").alias("author"),
-            body.alias("body"),
-            score.alias("score"),
-            F.try_element_at(fields, F.lit("id")).alias("id"),
-        )
-        return F.when(score.isNotNull(), made)
-
-    parsed = F.from_json(column, "map<string,string>")
-    return lines.where(may_mention(F.col(column), ticker)).select(
-        F.inline(F.array_compact(F.array(tx.let(parsed, mention))))
-    )
-
+        def scored(found: Column) -> Column:
+            hit = (F.size(found) > 0) & F.try_element_at(fields, F.lit("id")).isNotNull()
+            return F.when(hit, tx.let(tx.json_integer(fields, F.col(column), "score"), lambda score: rows(fields, seconds, body, score, found)))
 
-def count_outcomes(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFrame:
-    """Lines per outcome."""
-    return classified(parsed, ticker, start, end).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_lines"))
+        return tx.let(wanted.found(body), scored)
 
+    def rows(fields: Column, seconds: Column, body: Column, score: Column, found: Column) -> Column:
+        def row(ticker: Column) -> Column:
+            return F.struct(
+                ticker.alias("ticker"),
+                F.timestamp_seconds(seconds).alias("created_date"),
+                tx.field_or(fields, "author", "[deleted]").alias("author"),
+                body.alias("body"),
+                score.alias("score"),
+                F.try_element_at(fields, F.lit("id")).alias("id"),
+            )
 
-def match_tickers(df: DataFrame, tickers: list[str], column: str = "body") -> DataFrame:
-    """One output row per (row, ticker contained in its text).
+        return F.when(score.isNotNull(), F.transform(found, row))
 
-    A short list is searched inside the row.  A long list becomes an equi-join:
-    a text contains a ticker exactly if the ticker is among the text's
-    substrings of the ticker's length, so the distinct substrings of those few
-    lengths are joined with the tickers.
-    """
-    if len(tickers) <= IN_ROW_TICKERS:
+    return lines.where(wanted.may_be_in(F.col(column))).select(F.inline(tx.let(tx.json_object(F.col(column)), mention)))
 
-        def found(upper: Column) -> Column:
-            return F.array_compact(F.array(*[F.when(upper.contains(t.upper()), F.lit(t)) for t in tickers]))
 
-        return df.withColumn("ticker", F.explode(tx.let(F.upper(column), found)))
-    lengths = sorted({len(t.upper()) for t in tickers})
-    wanted = df.sparkSession.createDataFrame([(t, t.upper()) for t in tickers], "ticker string, _piece string")
-    upper = F.upper(column)
+def count_outcomes(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFrame:
+    """Lines per outcome."""
+    return classified(parsed, ticker, start, end).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_lines"))
 
-    def pieces(length: int) -> Column:
-        starts = F.sequence(F.lit(1), F.char_length(upper) - length + 1)
-        return F.when(
-            F.char_length(upper) >= length, F.transform(starts, lambda i: F.substring(upper, i, F.lit(length)))
-        ).otherwise(F.array().cast("array<string>"))
 
-    # The list comes from the caller, so its size is known.
-    wanted = F.broadcast(wanted) if len(tickers) <= BROADCAST_TICKERS else wanted
-    every = F.array_distinct(F.flatten(F.array(*[pieces(length) for length in lengths])))
-    return df.withColumn("_piece", F.explode(every)).join(wanted, "_piece").drop("_piece")
+def match_tickers(df: DataFrame, tickers: list[str], column: str = "body") -> DataFrame:
+    """One output row per (row, ticker contained in its text)."""
+    return df.withColumn("ticker", F.explode(TickerList(tickers).found(F.col(column))))
 
 
 def coerce_dates(df: DataFrame, column: str = "created_date") -> DataFrame:
@@ -204,9 +221,11 @@ def latest_posts(threads: DataFrame, limits: dict[str, int], after: str | None =
 def latest_comments(threads: DataFrame, limits: dict[str, int], min_score: int = 0) -> DataFrame:
     """Comments of the newest posts with at least ``min_score``.
 
-    At most sum(limits) posts are selected, so that side is broadcast.
+    At most sum(limits) posts are selected; while that is a small number they are
+    broadcast, beyond it Spark joins as it sees fit.
     """
-    posts = F.broadcast(latest_posts(threads, limits).select("subreddit", "post_id"))
+    posts = latest_posts(threads, limits).select("subreddit", "post_id")
+    posts = F.broadcast(posts) if sum(limits.values()) <= SMALL_SIDE else posts
     comments = threads.where((F.col("type") == "comment") & (F.col("score") >= min_score))
     return comments.join(posts, ["subreddit", "post_id"], "left_semi")
 
@@ -217,14 +236,21 @@ def union_posts_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def with_reply_count(posts: DataFrame, threads: DataFrame) -> DataFrame:
-    """Number of comments per post."""
-    replies = threads.where(F.col("type") == "comment").groupBy("post_id").agg(F.count(F.lit(1)).alias("comments"))
+    """Number of comments of each of ``posts``; comments of other posts are dropped before they are counted."""
+    comments = threads.where(F.col("type") == "comment").select("post_id")
+    replies = comments.join(posts.select("post_id"), "post_id", "left_semi").groupBy("post_id").agg(F.count(F.lit(1)).alias("comments"))
     return posts.join(replies, "post_id", "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
 
 
-def current_mentions(threads: DataFrame, ticker: str, name: str, as_of: str, limits: dict[str, int]) -> DataFrame:
-    """Yesterday's newest posts and comments that name the ticker or the company."""
+def current_mentions(
+    threads: DataFrame, ticker: str, name: str | None, as_of: str, limits: dict[str, int] | None = None, names: dict[str, str] | None = None
+) -> DataFrame:
+    """Yesterday's newest posts and comments that name the ticker or its company.
+
+    Without ``name`` the company is looked up in ``names`` (ticker -> name); an unknown ticker is an error.
+    """
     require_columns(threads, "body", "created_date")
+    name, limits = name or company_name(ticker, names), FORUM_LIMITS if limits is None else limits
     rows = union_posts_comments(latest_posts(threads, limits), latest_comments(threads, limits))
     return mentioned(word_counts(yesterday(rows, as_of), ticker, name))
 

@@ -24,13 +24,13 @@ SEED = 42
 
 # The search grids.  Trees deeper than 30 are not possible here,
 # so "no limit" becomes 30, and there is no minimum node size for a split.
-FULL_FOREST_GRID = {
+FOREST_GRID = {
     "numTrees": [100, 200],
     "maxDepth": [30, 10, 20],
     "minInstancesPerNode": [1, 2],
     "bootstrap": [True, False],
 }
-FULL_BOOSTED_GRID = {
+BOOSTED_GRID = {
     "maxIter": [100, 200],
     "stepSize": [0.01, 0.05],
     "maxDepth": [3, 5],
@@ -38,10 +38,6 @@ FULL_BOOSTED_GRID = {
     "featureSubsetStrategy": ["0.6", "0.8"],
 }
 
-# Deep trees need much memory per node; these are the defaults.
-FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10], "minInstancesPerNode": [1, 2], "bootstrap": [True, False]}
-BOOSTED_GRID = FULL_BOOSTED_GRID
-
 
 def model_table(merged: DataFrame, by: str = "ticker") -> DataFrame:
     """Features as doubles, ``label``, position and split; written once because fits read it often."""
@@ -126,8 +122,9 @@ def grid_results(search: CrossValidatorModel) -> DataFrame:
     for params, mean, std in zip(search.getEstimatorParamMaps(), search.avgMetrics, search.stdMetrics):
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda item: item[0].name))
         rows.append((text, float(mean), float(std)))
-    best = max(mean for _, mean, _ in rows)
-    rows = [(*row, row[1] == best) for row in rows]
+    # Of equal means the first was refitted.
+    means = [mean for _, mean, _ in rows]
+    rows = [(*row, place == means.index(max(means))) for place, row in enumerate(rows)]
     return SparkSession.active().createDataFrame(rows, "params string, mean_auc double, std_auc double, best boolean")
 
 
@@ -206,7 +203,10 @@ def train_pipeline(
             best = trainers[name](table, grid, n_folds).bestModel
             rows = evaluate_model(best, table.where("split = 'test'"), name)
             if save_to:
-                save_model(best, f"{save_to.rstrip('/')}/{name}")
+                try:
+                    save_model(best, f"{save_to.rstrip('/')}/{name}")
+                except Exception:  # the model is good all the same
+                    log.exception("model %s could not be saved", name)
             results.append(rows.select("model", F.lit("ok").alias("status"), "metric", "value"))
         except Exception as error:  # isolate the models from one another
             log.exception("model %s failed", name)

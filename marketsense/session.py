@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a repeated JSON key the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -46,16 +47,11 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a test machine) a new local folder is used.
+    Only where the cluster names none, a folder beside the tables is used: the
+    warehouse is shared as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="marketsense-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or join_path(spark.conf.get("spark.sql.warehouse.dir"), "_stages")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -72,4 +68,4 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def join_path(folder: str, *parts: str) -> str:
-    return os.path.join(folder, *parts) if "://" not in folder else "/".join([folder.rstrip("/"), *parts])
+    return "/".join([folder.rstrip("/"), *parts]) if ":/" in folder else os.path.join(folder, *parts)

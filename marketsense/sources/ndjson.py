@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marketsense.functions.text import json_object
 from marketsense.session import join_path, shared_folder
 
 
@@ -65,11 +66,11 @@ def _batch(pa, path: str, lines: list[str]):
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Add ``fields``: the top-level members as a map of strings, null if malformed.
+    """Add ``fields``: the top-level members as a map of strings, null unless the line is one JSON object.
 
     A map keeps "key missing" and "key is null" apart.
     """
-    return lines.withColumn("fields", F.from_json(column, "map<string,string>"))
+    return lines.withColumn("fields", json_object(F.col(column)))
 
 
 def rewrite_dump(lines: DataFrame, name: str) -> str:

@@ -122,3 +122,7 @@ def test_impute_mean_can_be_fitted_on_some_rows(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None), (3, 10.0)], "n int, x double")
     assert [r.x for r in scaling.impute_mean(df, ["x"]).orderBy("n").collect()] == [2.0, 6.0, 10.0]
     assert [r.x for r in scaling.impute_mean(df, ["x"], fit_on=F.col("n") < 3).orderBy("n").collect()] == [2.0, 2.0, 10.0]
+
+
+def test_target_of_a_missing_close_is_zero(spark):
+    assert by_date(indicators.target_label(bars_frame(spark, [1.0, None, 3.0, 4.0])), "target") == [0, 0, 1, 0]

@@ -70,12 +70,31 @@ def test_range_bounds_are_inclusive_midnights(spark):
     assert outcomes(spark, *rows) == ["out of range", "ok", "ok", "out of range"]
 
 
-@pytest.mark.parametrize("limit", [200, 0])
-def test_many_tickers_by_search_or_join(spark, monkeypatch, limit):
-    monkeypatch.setattr(m, "IN_ROW_TICKERS", limit)
+@pytest.mark.parametrize("more", [0, 1000])
+def test_many_tickers_in_one_pass(spark, more):
     df = spark.createDataFrame([(1, "abmsftxaapl msft"), (2, "Aapl"), (3, ""), (4, None), (5, "f")], "n int, body string")
-    got = m.match_tickers(df, ["MSFT", "AAPL", "F"]).select("n", "ticker").collect()
-    assert sorted((r.n, r.ticker) for r in got) == [(1, "AAPL"), (1, "F"), (1, "MSFT"), (2, "AAPL"), (5, "F")]
+    tickers = ["MSFT", "AAPL", "F", "aapl", "AA", "."] + [f"Q{n}" for n in range(more)]
+    got = m.match_tickers(df, tickers).select("n", "ticker").collect()
+    apple = ["AA", "AAPL", "aapl"]
+    assert sorted((r.n, r.ticker) for r in got) == sorted([(1, "F"), (1, "MSFT"), (5, "F")] + [(n, t) for n in (1, 2) for t in apple])
+
+
+def test_extraction_of_many_tickers_reads_once(spark):
+    frame = lines(spark, line(body="msft and aapl"), line(body="aaplx", id="b"), line(body="none", id="c"))
+    tickers = ["MSFT", "AAPL", *[f"Q{n}" for n in range(1000)]]
+    found = m.extract_mentions(frame, tickers, *RANGE)
+    assert sorted((r.id, r.ticker) for r in found.collect()) == sorted([("a", "AAPL"), ("a", "MSFT"), ("b", "AAPL")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("raw", ["{'id':'1','created_utc':1,'body':'x','score':3}", '{"id":"1"} more', '{"id":"1"},{"id":"2"}', '{"id":"1","score":NaN}', "[1]", ""])
+def test_only_one_whole_object_is_a_line(spark, raw):
+    assert ndjson.parse_lines(lines(spark, raw)).first().fields is None
+
+
+def test_last_of_repeated_keys_counts(spark):
+    assert ndjson.parse_lines(lines(spark, '{"id":"1","x":null,"id":"2"}')).first().fields == {"id": "2", "x": None}
 
 
 def test_word_counts_respect_boundaries_and_case(spark):
