@@ -200,8 +200,7 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
     """
     pending = stage(keyed, "trie-keys")
     size = pending.groupBy("table").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, int(size // leaf).bit_length())
-    depth = min(bits, depth + depth % STEP)
+    depth = min(bits, int(size // leaf).bit_length())
     prefix = lambda d: F.shiftrightunsigned("key", bits - d) if d else F.lit(0).cast("long")
     # Nodes: leaves hold at most `leaf` keys; where more share a prefix, the trie goes deeper.
     leaves: list[DataFrame] = []
@@ -264,10 +263,8 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
                 a, b = _spanning(left, right, min(row.u_depth, row.v_depth), bits, int(row.differing), budget, total)
                 yield pd.DataFrame({"a": a, "b": b})
 
-    # Walking costs far more than reading, so pairs are dealt out by number, not by bytes.
-    tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 16)
-    keys = [f"{side}_{n}" for side in "uv" for n in NODE[1:]]
-    return work.repartition(tasks, "table", *keys).mapInPandas(link, "a long, b long").distinct()
+    # The join with the right side has dealt the pairs out by node already; moving full leaves once more is not worth it.
+    return work.mapInPandas(link, "a long, b long").distinct()
 
 
 def _cut(prefix: str, low: Column) -> Column:
@@ -327,7 +324,7 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 3, leaf: i
 
 
 def near_copies(
-    docs: DataFrame, row_col: str, width: int = 5, planes: int = 4, band_bits: int = 32, budget: int = 3, similarity: float = 0.8, leaf: int = 4 * LEAF,
+    docs: DataFrame, row_col: str, width: int = 5, planes: int = 4, band_bits: int = 24, budget: int = 2, similarity: float = 0.8, leaf: int = 16 * LEAF,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, row, keep): of each group of near-copies the row with the smallest id stays; ``row_col`` numbers the rows of ``docs``.
@@ -335,8 +332,8 @@ def near_copies(
     Near means that the wide signature (``planes`` words) says the shingle sets are
     about ``similarity`` alike (Jaccard): the angle of two such sets fixes the expected
     share of differing bits.  Pairs are found by trie joins of the signature's bands of
-    ``band_bits`` bits, so each pair has several chances; a link is only kept if the
-    whole signature agrees.  Rows without words are copies of each other.  Null ids come
+    ``band_bits`` bits, so each pair has several chances (ten bands find 96 % of the
+    pairs at 0.8, nearly all at 0.9); a link is only kept if the whole signature agrees.  Rows without words are copies of each other.  Null ids come
     last; rows of one id are ordered by row number.
     """
     rows = stage(signatures(docs, width, planes, id_col, text_col, row_col), "near-signatures")

@@ -91,7 +91,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(got[i] == 1 for i in range(2, 61)) and all(got[100 + i] == 100 for i in range(1, 50))
 
 
-@pytest.mark.parametrize("leaf", [16, 4 * simhash.LEAF])
+@pytest.mark.parametrize("leaf", [16, 16 * simhash.LEAF])
 def test_near_copies_keep_one_of_each_group(spark, leaf):
     rng = np.random.default_rng(5)
     rows, groups = [], {}
