@@ -72,11 +72,10 @@ def _union(spark, sf):
     return _naive(rows.withColumn("comments", F.col("comments").cast("double")))
 
 
-def _headlines(spark, sf):
+def _headlines(spark, sf, table="pages", **outer):
     host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
-    return pages.page_headlines(
-        fixtures.table(spark, sf, "pages"), host, pages.element(tag="p"), pages.element(tag="b")
-    ).withColumn("place", F.col("place").cast("bigint"))
+    found = pages.page_headlines(fixtures.table(spark, sf, table), host, pages.element(**outer), pages.element(tag="b"))
+    return found.withColumn("place", F.col("place").cast("bigint"))
 
 
 def _news(spark, sf):
@@ -110,7 +109,8 @@ QUERIES = {
     "union_posts_comments": _union,
     "mentions_preview": lambda s, d: _naive(m.preview(fixtures.table(s, d, "mentions"))),
     "ticker_universe": lambda s, d: pages.ticker_universe(fixtures.table(s, d, "symbols")),
-    "page_headlines": _headlines,
+    "page_headlines": lambda s, d: _headlines(s, d, tag="p"),
+    "class_headlines": lambda s, d: _headlines(s, d, "classes", tag="div", css_class="ad"),
     "news_frame": _news,
 }
 
@@ -156,7 +156,25 @@ _ASCII = "regexp_replace(body, '[\\x{C0}-\\x{24F}]', 'z', 'g')"
 _COUNTS = f"""len(regexp_extract_all({_ASCII}, '\\bLa\\b')) as ticker_count, len(regexp_extract_all({_ASCII}, '(?i)\\b{NAME}\\b')) as name_count"""
 _YESTERDAY = f"created_date >= date '{AS_OF}' - interval 1 day and created_date < date '{AS_OF}'"
 
-_ELEMENT = "(?s)<({tag})(?:\\s[^>]*)?>(.*?)</{tag}>"
+_P, _B = ("(?is)<({tag})(?:\\s[^>]*)?>(.*?)</{tag}\\s*>".format(tag=tag) for tag in "pb")
+_AD = """(?is)<(div)\\s(?:[^>]*\\s)?class\\s*=\\s*(?:"(?:[^"]*\\s)?ad(?:\\s[^"]*)?"|''(?:[^'']*\\s)?ad(?:\\s[^'']*)?'')[^>]*>(.*?)</div\\s*>"""
+
+
+def _decoded(text: str) -> str:
+    for reference, char in pages.ENTITIES.items():
+        text = "replace({}, '{}', '{}')".format(text, reference, char.replace("'", 2 * "'"))
+    return text
+
+
+def _headline_sql(outer: str, source: str) -> str:
+    inner = f"case when regexp_matches(content, '{_B}') then regexp_extract(content, '{_B}', 2) else content end"
+    bare = f"regexp_replace({inner}, '<[^>]*>', '', 'g')"
+    return f"""found as (
+  select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as source, regexp_extract_all(html, '{outer}', 2)[1:5] as items from {source}),
+items as (select page_id, source, unnest(items) as content, generate_subscripts(items, 1) - 1 as place from found)
+select page_id, source, place, {_strip(_decoded(bare))} as headline from items"""
+
+
 
 _WANTED = ", ".join(f"('{t}')" for t in TICKERS)
 
@@ -186,10 +204,7 @@ union all select c.*, null from comments c""",
     "mentions_preview": f"""{fixtures.ctes('mentions')} select * from (select 'head' as part, created_date, body, score, id from mentions order by created_date, id limit 5) h
 union all select * from (select 'tail' as part, created_date, body, score, id from mentions order by created_date desc, id desc limit 5) t""",
     "ticker_universe": f"{fixtures.ctes('symbols')} select distinct replace(symbol, '.', '-') as symbol from symbols",
-    "page_headlines": f"""with found as (
-  select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as source, regexp_extract_all(html, '{_ELEMENT.format(tag="p")}', 2)[1:5] as items from pages),
-items as (select page_id, source, unnest(items) as content, generate_subscripts(items, 1) - 1 as place from found)
-select page_id, source, place, {_strip("regexp_replace(case when regexp_matches(content, '" + _ELEMENT.format(tag="b") + "') then regexp_extract(content, '" + _ELEMENT.format(tag="b") + "', 2) else content end, '<[^>]*>', '', 'g')")} as headline
-from items""",
+    "page_headlines": f"with {_headline_sql(_P, 'pages')}",
+    "class_headlines": f"{fixtures.ctes('classes')}, {_headline_sql(_AD, 'classes')}",
     "news_frame": "select regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, make_timestamp((1704067200 + page_id * 60) * 1000000) as date from pages",
 }

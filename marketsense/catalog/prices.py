@@ -97,15 +97,18 @@ steps as (
 _MINMAX = "coalesce(({c} - min({c}) over (partition by ticker)) / nullif(max({c}) over (partition by ticker) - min({c}) over (partition by ticker), 0), 0)"
 
 
-def _technical_sql() -> str:
-    fill = (
-        "coalesce(last_value({c} ignore nulls) over (partition by ticker order by date rows unbounded preceding),"
-        " first_value({c} ignore nulls) over (partition by ticker order by date rows between current row and unbounded following))"
-    )
+def _technical_sql(train_until: str | None = None) -> str:
+    """CTEs ending in ``technical``; with a date the leak-free table, scaled by the rows before it."""
+    fill = "last_value({c} ignore nulls) over (partition by ticker order by date rows unbounded preceding)"
+    minmax = _MINMAX
+    if train_until is None:
+        fill = f"coalesce({fill}, first_value({{c}} ignore nulls) over (partition by ticker order by date rows between current row and unbounded following))"
+    else:
+        minmax = _MINMAX.replace(") over", f") filter (where date < date '{train_until}') over")
     lags = ", ".join(
         f"lag({c}, {k}) over (partition by ticker order by date) as {c}_lag_{k}" for c in TECHNICAL for k in range(1, LAG_STEPS + 1)
     )
-    scaled = ", ".join(f"round(case when {c} is not null then {_MINMAX.format(c=c)} end, 8) as {c}" for c in TECHNICAL + LAGS)
+    scaled = ", ".join(f"round(case when {c} is not null then {minmax.format(c=c)} end, 8) as {c}" for c in TECHNICAL + LAGS)
     kept = " and ".join(f"{c} is not null" for c in TECHNICAL + LAGS)
     return f"""{fixtures.ctes("bars")}, {_EMA.format(bars="bars")},
 rsi_ as ({_RSI.format(bars="bars")}), atr_ as ({_ATR.format(bars="bars")}), obv_ as ({_OBV.format(bars="bars")}),
@@ -119,7 +122,8 @@ lagged as (select *, {lags} from filled),
 technical as (select ticker, date, {scaled}, target from lagged where {kept})"""
 
 
-TECHNICAL_CTES = _technical_sql()
+TRAIN_UNTIL = "1999-07-01"
+TECHNICAL_CTES, TECHNICAL_LEAK_FREE = _technical_sql(), _technical_sql(TRAIN_UNTIL)
 
 _TICKER_LIST = ", ".join(f"('{t}', {i})" for i, t in enumerate(TICKERS))
 

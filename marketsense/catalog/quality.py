@@ -8,6 +8,7 @@ from marketsense import fixtures
 from marketsense.catalog.mentions import END, START, _FIELDS
 from marketsense.operators import quality
 
+TICKERS = ["2-HIGH", "NO FILE"]
 BOUNDS = ("1995-01-01", "2001-12-31")
 
 
@@ -17,6 +18,7 @@ def _profiles(spark, sf):
 
 def _validated(spark, sf):
     df = quality.validate_mentions(fixtures.table(spark, sf, "dirty_mentions"), *BOUNDS)
+    df = quality.with_missing_files(df, TICKERS)
     return df.withColumn("value", F.round("value", 6))
 
 
@@ -62,7 +64,8 @@ ORACLES = {
     "coverage_check": f"""{_PROFILE} select min(earliest) as earliest, max(latest) as latest,
 case when min(earliest) is null then 'undetermined' when min(earliest) <= epoch(timestamp '{START}') and max(latest) >= epoch(timestamp '{END}')
      then 'covered' else 'not covered' end as coverage from profiles""",
-    "dq_mentions": f"{_CHECKS} select ticker, check_name, round(value, 6) as value, case when value > 0 then bad else 'info' end as severity from long_",
+    "dq_mentions": f"""{_CHECKS} select ticker, check_name, round(value, 6) as value, case when value > 0 then bad else 'info' end as severity from long_
+union all select 'NO FILE', unnest(['missing_file', 'failed']), 1.0, 'fail'""",
     "dq_bad_dates": f"""{fixtures.ctes("dirty_mentions")} select ticker, id, created_date
 from (select ticker, id, created_date, row_number() over (partition by ticker order by created_date nulls first, id nulls first) as n
       from dirty_mentions where try_cast(created_date as timestamp) is null) t where n <= 5""",

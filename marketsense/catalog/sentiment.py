@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketsense import fixtures
-from marketsense.catalog.prices import TECHNICAL_CTES, rounded
+from marketsense.catalog.prices import TECHNICAL_CTES, TECHNICAL_LEAK_FREE, TRAIN_UNTIL, rounded
 from marketsense.functions import lexicon as lx
 from marketsense.functions.sentiment import sentiment
 from marketsense.operators import align, daily, mentions as m
@@ -44,8 +44,8 @@ def _current(spark, sf):
     return daily.score_mentions(m.mentioned(m.word_counts(threads, WORD, NAME)))
 
 
-def _merged(spark, sf):
-    df = merged_features(fixtures.table(spark, sf, "bars"), fixtures.table(spark, sf, "mentions"))
+def _merged(spark, sf, **options):
+    df = merged_features(fixtures.table(spark, sf, "bars"), fixtures.table(spark, sf, "mentions"), **options)
     return rounded(df, 8, *TECHNICAL, *LAGS, *SENTIMENT)
 
 
@@ -69,6 +69,7 @@ QUERIES = {
     ),
     "current_features": lambda s, d: rounded(current_features(_current(s, d)), 9, *SENTIMENT),
     "merge_price_sentiment": _merged,
+    "merge_leak_free": lambda s, d: _merged(s, d, leak_free=True, train_until=TRAIN_UNTIL),
 }
 
 
@@ -170,9 +171,13 @@ current_daily as (
   join scores on doc = doc_key where tc > 0 or nc > 0 group by all)"""
 
 
-def _features(calendar: str, days: str) -> str:
-    """CTEs ending in ``features`` from calendar and daily tables."""
+def _features(calendar: str, days: str, train_until: str | None = None) -> str:
+    """CTEs ending in ``features`` from calendar and daily tables; with a date the leak-free ones."""
     scale = "case when {c} is not null then coalesce(({c} - min({c}) over t) / nullif(max({c}) over t - min({c}) over t, 0), 0) end as {c}"
+    moving = "coalesce(last_value(ma ignore nulls) over f, first_value(ma ignore nulls) over b)"
+    if train_until is not None:
+        scale = scale.replace(") over t", f") filter (where date < date '{train_until}') over t")
+        moving = "last_value(ma ignore nulls) over f"
     numbers = ", ".join(scale.format(c=c) for c in ("average_sentiment", "mention_count", "total_score"))
     return f"""aligned as (select c.ticker, c.date, d.average_sentiment, d.mention_count::double as mention_count, d.total_score::double as total_score
   from {calendar} c asof left join {days} d on d.ticker = c.ticker and d.date <= c.date),
@@ -181,7 +186,7 @@ smooth as (select *, case when count(average_sentiment) over w = 3 then avg(aver
              average_sentiment * mention_count as interaction from normal window w as (partition by ticker order by date rows 2 preceding)),
 features as (select ticker, date, last_value(average_sentiment ignore nulls) over f as average_sentiment, coalesce(mention_count, 0) as mention_count,
    coalesce(total_score, 0) as total_score,
-   coalesce(last_value(ma ignore nulls) over f, first_value(ma ignore nulls) over b) as sentiment_moving_average_3d,
+   {moving} as sentiment_moving_average_3d,
    interaction as sentiment_mentions_interaction
   from smooth window f as (partition by ticker order by date rows unbounded preceding),
                      b as (partition by ticker order by date rows between current row and unbounded following))"""
@@ -191,6 +196,15 @@ def _round(digits: int, names: list[str]) -> str:
     return ", ".join(f"round({n}, {digits}) as {n}" for n in names)
 
 
+def _merged_sql(technical: str, train_until: str | None = None) -> str:
+    return f"""{technical}, {fixtures.ctes("mentions").removeprefix("with recursive ")}, {_DOC_SCORES},
+scored as (select m.*, s.sentiment from mentions m join scores s on s.doc = cast(m.id as bigint)),
+daily as (select ticker, cast(created_date as date) as date, avg(sentiment) as average_sentiment, count(sentiment) as mention_count,
+                 cast(coalesce(sum(score), 0) as bigint) as total_score from scored group by all),
+{_features('technical', 'daily', train_until)}
+select t.*, {_round(8, SENTIMENT)} from technical t join features f on f.ticker = t.ticker and f.date = t.date"""
+
+
 _CALENDAR = """calendar as (select ticker, date from bars
   union all select ticker, date from daily where ticker not in (select ticker from bars))"""
 
@@ -216,10 +230,6 @@ from daily window w as (partition by ticker order by date rows 2 preceding)""",
   from current_daily window w as (partition by ticker order by date rows 2 preceding))
 select ticker, date, round(average_sentiment, 9) as average_sentiment, mention_count::double as mention_count, total_score::double as total_score,
 round(coalesce(m, 0), 9) as sentiment_moving_average_3d, round(average_sentiment * mention_count, 9) as sentiment_mentions_interaction from ma""",
-    "merge_price_sentiment": f"""{TECHNICAL_CTES}, {fixtures.ctes("mentions").removeprefix("with recursive ")}, {_DOC_SCORES},
-scored as (select m.*, s.sentiment from mentions m join scores s on s.doc = cast(m.id as bigint)),
-daily as (select ticker, cast(created_date as date) as date, avg(sentiment) as average_sentiment, count(sentiment) as mention_count,
-                 cast(coalesce(sum(score), 0) as bigint) as total_score from scored group by all),
-{_features('technical', 'daily')}
-select t.*, {_round(8, SENTIMENT)} from technical t join features f on f.ticker = t.ticker and f.date = t.date""",
+    "merge_price_sentiment": _merged_sql(TECHNICAL_CTES),
+    "merge_leak_free": _merged_sql(TECHNICAL_LEAK_FREE, TRAIN_UNTIL),
 }

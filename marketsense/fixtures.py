@@ -84,6 +84,12 @@ MENTIONS_MORE = f"""
 select ticker, id, created_date, author, body, score from ({MENTIONS}) m
 union all select 'NO BARS' as ticker, id, created_date, author, body, score from ({MENTIONS}) n where score % 7 = 0"""
 
+# Pages whose advertisements have several classes, in either kind of quotes.
+CLASSES = """
+select page_id, url, case page_id % 3 when 0 then replace(html, 'class="ad"', 'id="x" class="wide ad"')
+                                      when 1 then replace(html, '<div class="ad"', '<DIV CLASS = ''ad left''') else replace(html, 'class="ad"', 'class="ads"') end as html
+from pages"""
+
 # White space beyond ASCII, for patterns of DuckDB.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x0B]"
 
@@ -98,6 +104,7 @@ TABLES = {
     "scored": (SCORED, ["labels"]),
     "symbols": (SYMBOLS, ["nation"]),
     "dirty_mentions": (DIRTY_MENTIONS, ["documents", "orders"]),
+    "classes": (CLASSES, ["pages"]),
     "pages": ("select page_id, url, html from pages", ["pages"]),
     "documents": ("select doc_id, text, source from documents", ["documents"]),
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marketsense.operators.mentions import epoch_seconds
 from marketsense.schemas import MENTION_COLUMNS
+from marketsense.sinks import scan_mentions_csv
 from marketsense.sources.ndjson import parse_lines
 
 MAX_BODY = 1000
@@ -128,6 +129,25 @@ def validate_mentions(mentions: DataFrame, start: str, end: str, max_body: int =
     return found.select("ticker", F.inline(tidy))
 
 
+def with_missing_files(checks: DataFrame, tickers: list[str]) -> DataFrame:
+    """Checks plus a failing ``missing_file`` row, and ``failed``, for every requested ticker without any row."""
+    spark = checks.sparkSession
+    wanted = spark.createDataFrame([(ticker,) for ticker in tickers], "ticker string")
+    absent = wanted.join(checks.select("ticker").distinct(), "ticker", "left_anti")
+    names = F.explode(F.array(F.lit("missing_file"), F.lit("failed")))
+    return checks.unionByName(absent.select("ticker", names.alias("check_name"), F.lit(1.0).alias("value"), F.lit("fail").alias("severity")))
+
+
+def validate_folder(spark: SparkSession, folder: str, start: str, end: str, tickers: list[str] | None = None) -> DataFrame:
+    """One report over all mention files of a folder; a file's ticker is its name up to the first ``_`` or ``.``.
+
+    Tickers that were asked for and have no file fail.
+    """
+    rows = scan_mentions_csv(spark, folder, ticker_of_file=True)
+    checks = validate_mentions(rows, start, end)
+    return with_missing_files(checks, tickers) if tickers else checks
+
+
 def bad_date_samples(mentions: DataFrame, limit: int = 5) -> DataFrame:
     """First unparsable dates per ticker; tasks keep only ``limit`` rows before the shuffle."""
     bad = mentions.where(F.try_to_timestamp("created_date").isNull()).select("ticker", "id", "created_date")

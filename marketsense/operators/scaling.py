@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketsense.operators import series
 
 
-def extremes(names: list[str]) -> series.Carried:
-    """Carries ``_<name>_min`` and ``_<name>_max`` of the whole series."""
+def extremes(names: list[str], fit_on: str | None = None) -> series.Carried:
+    """Carries ``_<name>_min`` and ``_<name>_max`` of the whole series, or of its rows where ``fit_on`` (SQL) holds."""
+    value = f"case when {fit_on} then {{}} end" if fit_on else "{}"
     return {
-        f"_{name}_{side}": (f"{side}({name})", f"{side}(_{name}_{side}) over {{whole}}")
+        f"_{name}_{side}": (f"{side}({value.format(name)})", f"{side}(_{name}_{side}) over {{whole}}")
         for name in names
         for side in ("min", "max")
     }
@@ -26,11 +27,14 @@ def scaled_sql(name: str, value: str | None = None) -> str:
     return f"case when {value} is not null then coalesce({ratio}, 0.0D) end"
 
 
-def minmax_scale(df: DataFrame, names: list[str], group: str = "_span", key: str = "ticker") -> DataFrame:
-    """Min-max scale columns per series; ``group`` is the partitioning rows have."""
+def minmax_scale(df: DataFrame, names: list[str], group: str = "_span", key: str = "ticker", fit_on: str | None = None) -> DataFrame:
+    """Min-max scale columns per series; ``group`` is the partitioning rows have.
+
+    With ``fit_on`` (SQL) only such rows set the extremes; a series without any becomes 0.
+    """
     types = dict(df.dtypes)
     kept = [f"cast({c} as double) as {c}" if c in names and types[c] != "double" else c for c in df.columns]
-    rows = series.carry_between(df.selectExpr(*kept), group, extremes(names), key)
+    rows = series.carry_between(df.selectExpr(*kept), group, extremes(names, fit_on), key)
     return rows.selectExpr(*[f"{scaled_sql(c)} as {c}" if c in names else c for c in df.columns])
 
 

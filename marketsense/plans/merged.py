@@ -14,18 +14,21 @@ from marketsense.session import stage
 
 
 def merged_features(
-    bars: DataFrame, mentions: DataFrame, lexicon: Lexicon | None = None, leak_free: bool = False
+    bars: DataFrame, mentions: DataFrame, lexicon: Lexicon | None = None, leak_free: bool = False, train_until: str | None = None
 ) -> DataFrame:
     """41 features and the target, keyed by (ticker, date).
 
     Sentiment is aligned to the days of the technical table: the first rows of a
-    series are lost to the lags.
+    series are lost to the lags.  ``leak_free`` leaves out all that looks ahead, and
+    then needs ``train_until``: scaling is fitted on the rows before that date.
     """
-    technical = technical_features(bars, leak_free=leak_free)
+    if leak_free and train_until is None:
+        raise ValueError("a leak-free table needs train_until, the date that ends the training rows")
+    technical = technical_features(bars, leak_free=leak_free, train_until=train_until)
     if leak_free:
         technical = stage(technical, "technical")
         days = technical.select("ticker", "date")
     else:
         # Fills leave no gaps, so the days are known without the indicators.
         days = number_rows(bars.select("ticker", "date")).where(F.col("pos") >= LAG_STEPS).drop("pos")
-    return merge_price_sentiment(technical, sentiment_features(mentions, days, lexicon, leak_free))
+    return merge_price_sentiment(technical, sentiment_features(mentions, days, lexicon, leak_free, train_until))

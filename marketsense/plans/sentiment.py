@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marketsense.functions.lexicon import Lexicon
 from marketsense.operators import align, daily, scaling, series
+from marketsense.plans.technical import train_rows
 from marketsense.schemas import SENTIMENT
 from marketsense.session import stage
 
@@ -18,21 +19,22 @@ def with_interaction(df: DataFrame) -> DataFrame:
 
 
 def sentiment_features(
-    mentions: DataFrame, bars: DataFrame, lexicon: Lexicon | None = None, leak_free: bool = False
+    mentions: DataFrame, bars: DataFrame, lexicon: Lexicon | None = None, leak_free: bool = False, train_until: str | None = None
 ) -> DataFrame:
     """Daily sentiment aligned to trading days: scaled, smoothed, filled.
 
     Nulls afterwards: the average before the first mention and the interaction
     of such days stay null; counts become 0; the moving average is filled
-    forward, then back (``leak_free`` leaves the back fill out).
+    forward, then back (``leak_free`` leaves the back fill out).  ``train_until`` fits
+    the scaling on the days before that date only.
     """
     dated = mentions.where(F.col("created_date").isNotNull())
     # Scoring text is the dear part: it runs once, the day table is read several times.
     days = stage(daily.daily_sentiment(daily.score_mentions(dated, lexicon)), "daily")
-    return aligned_features(days, align.trading_calendar(bars, days), leak_free)
+    return aligned_features(days, align.trading_calendar(bars, days), leak_free, train_until)
 
 
-def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = False) -> DataFrame:
+def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = False, train_until: str | None = None) -> DataFrame:
     """Align, scale, smooth and fill.
 
     Scaling is linear, so smoothing and filling run on the raw values and the
@@ -45,7 +47,7 @@ def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = Fal
     rows = series.carry_between(
         rows,
         "_block",
-        scaling.extremes(NUMBERS)
+        scaling.extremes(NUMBERS, train_rows(train_until))
         | series.fill_carries([AVERAGE], "date", backward=False)
         | series.fill_carries([MOVING], "date", look_back),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from marketsense.operators import indicators, scaling, series
@@ -16,14 +18,15 @@ def technical_features(
     leak_free: bool = False,
     drop_last: bool = False,
     scale: bool = True,
+    train_until: str | None = None,
 ) -> DataFrame:
     """ticker, date, 6 indicators, 30 lags (grouped by indicator) and target.
 
     Order of work: fill prices, indicators, fill indicators, lags, drop
     incomplete rows, scale, target.  Back fills and whole-history scaling look
     ahead; ``leak_free`` leaves out the back fills (the first rows of a series
-    then drop out) and ``scale=False`` leaves scaling to a later step fitted on
-    training rows only.
+    then drop out), ``train_until`` (a date) fits the scaling on the rows before it
+    only, and ``scale=False`` leaves scaling out.
     """
     look_back = not leak_free
     prices = bars.select("ticker", "date", *[F.nanvl(F.col(c), F.lit(None)).alias(c) for c in PRICES])
@@ -50,5 +53,10 @@ def technical_features(
     rows = rows.selectExpr("*", *indicators.lagged(TECHNICAL, LAG_STEPS))
     rows = series.own_rows(rows).dropna("any", subset=TECHNICAL + LAGS + ["target"])
     if scale:
-        rows = scaling.minmax_scale(rows, TECHNICAL + LAGS, "_block")
+        rows = scaling.minmax_scale(rows, TECHNICAL + LAGS, "_block", fit_on=train_rows(train_until))
     return rows.select("ticker", "date", *TECHNICAL, *LAGS, "target")
+
+
+def train_rows(train_until: str | None) -> str | None:
+    """SQL condition of the rows that scaling is fitted on."""
+    return None if train_until is None else f"date < date'{date.fromisoformat(train_until)}'"

@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketsense.schemas import MENTIONS_FILE
+from marketsense.session import stage
 
 
 def write_mentions(mentions: DataFrame, path: str) -> None:
     """Quoted CSV in time order; nothing is written for an empty table.
 
-    The sort is a range shuffle: files are ordered among themselves and inside.
+    The sort is a range shuffle: files are ordered among themselves and inside.  It
+    and the check for rows read a staged copy, so the mentions are computed once.
     """
-    if mentions.isEmpty():
-        return
     columns = [c for c in ("created_date", "author", "body", "score", "id") if c in mentions.columns]
-    ordered = mentions.orderBy("created_date", "id").select(*columns)
+    staged = stage(mentions.select(*dict.fromkeys([*columns, "created_date", "id"])), "mentions")
+    if staged.isEmpty():
+        return
+    ordered = staged.orderBy("created_date", "id").select(*columns)
     writer = ordered.write.mode("overwrite").option("header", True).option("quoteAll", True)
     writer.option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
-def scan_mentions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Mentions from quoted CSV, everything as text; bodies may contain line breaks."""
+def scan_mentions_csv(spark: SparkSession, path: str, ticker_of_file: bool = False) -> DataFrame:
+    """Mentions from quoted CSV, everything as text; bodies may contain line breaks.
+
+    ``ticker_of_file`` adds ``ticker``, the file's name up to the first ``_`` or ``.``.
+    """
     reader = spark.read.schema(MENTIONS_FILE).option("header", True).option("multiLine", True)
-    return reader.option("quote", '"').option("escape", '"').csv(path)
+    rows = reader.option("quote", '"').option("escape", '"').csv(path)
+    if ticker_of_file:
+        rows = rows.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_path"), r"([^/_.]+)[^/]*$", 1))
+    return rows
 
 
 def write_stage(df: DataFrame, path: str, by: str = "ticker") -> None:

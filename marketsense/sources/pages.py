@@ -23,14 +23,30 @@ def symbols_of_tables(pages: DataFrame, column: str = "html", cell: str = r"<td[
 
 
 def element(tag: str | None = None, css_class: str | None = None) -> str:
-    """Pattern of an element selected by tag and/or class; group 2 is its content."""
+    """Pattern of an element selected by tag and/or any of its classes; group 2 is its content.
+
+    Tags match in any case, class lists in either kind of quotes or none.  The content
+    ends at the first closing tag of that name.
+    """
     name = re.escape(tag) if tag else r"[a-zA-Z][a-zA-Z0-9]*"
-    attribute = rf"\s[^>]*class=\"{re.escape(css_class)}\"[^>]*" if css_class else r"(?:\s[^>]*)?"
-    return rf"(?s)<({name}){attribute}>(.*?)</\1>"
+    attribute = r"(?:\s[^>]*)?"
+    if css_class:
+        one = re.escape(css_class)
+        lists = [rf"{quote}(?:[^{quote}]*\s)?(?-i:{one})(?:\s[^{quote}]*)?{quote}" for quote in "\"'"]
+        attribute = rf"\s(?:[^>]*?\s)?class\s*=\s*(?:{lists[0]}|{lists[1]}|(?-i:{one})(?=[\s>]))[^>]*"
+    return rf"(?is)<({name}){attribute}>(.*?)</\1\s*>"
+
+
+# The character references that pages use for marks of the markup itself, and blanks.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#34;": '"', "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
 def plain_text(html: Column) -> Column:
-    return strip(F.regexp_replace(html, r"<[^>]*>", ""))
+    """Text without tags, character references decoded (the ampersand last), stripped."""
+    text = F.regexp_replace(html, r"<[^>]*>", "")
+    for reference, char in ENTITIES.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return strip(text)
 
 
 def page_headlines(pages: DataFrame, source: Column, outer: str, inner: str, limit: int = 5) -> DataFrame:

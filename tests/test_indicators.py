@@ -126,3 +126,15 @@ def test_impute_mean_can_be_fitted_on_some_rows(spark):
 
 def test_target_of_a_missing_close_is_zero(spark):
     assert by_date(indicators.target_label(bars_frame(spark, [1.0, None, 3.0, 4.0])), "target") == [0, 0, 1, 0]
+
+
+def test_test_rows_do_not_change_scaled_training_rows(spark):
+    values = [10.0 + (i * 7) % 13 for i in range(90)]
+    changed = values[:60] + [v * 50 for v in values[60:]]
+    tables = []
+    for closes in (values, changed):
+        got = technical_features(bars_frame(spark, closes), leak_free=True, train_until="2024-03-01").orderBy("date").toPandas()
+        tables.append(got[got.date < pd.Timestamp("2024-02-28").date()].reset_index(drop=True))
+    assert len(tables[0]) > 20
+    pd.testing.assert_frame_equal(*tables)
+    assert tables[0][["macd", "rsi"]].max().max() <= 1.0 and tables[0]["macd"].max() > 0.5

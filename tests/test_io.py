@@ -125,7 +125,21 @@ def test_zones(spark):
 def test_stage_and_text_reader(spark, tmp_path):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert stage(df).orderBy("id").collect() == df.orderBy("id").collect()
-    df.coalesce(1).write.parquet(str(tmp_path / "one"))
-    assert "Exchange" in read_texts(spark, str(tmp_path / "one"), "id")._jdf.queryExecution().executedPlan().toString()
-    df.repartition(16).write.parquet(str(tmp_path / "many"))
-    assert "Exchange" not in read_texts(spark, str(tmp_path / "many"), "id")._jdf.queryExecution().executedPlan().toString()
+    # Whether texts move is the caller's choice and does not depend on the number of files.
+    for name, frame in (("one", df.coalesce(1)), ("many", df.repartition(16))):
+        frame.write.parquet(str(tmp_path / name))
+        for key in (None, "id"):
+            plan = read_texts(spark, str(tmp_path / name), key)._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange" in plan) == (key is not None)
+
+
+def test_folder_report_names_missing_files(spark, tmp_path):
+    from marketsense.operators import quality
+
+    head = '"created_date","author","body","score","id"\n'
+    (tmp_path / "AAPL_mentions.csv").write_text(head + '"2020-01-01 00:00:00","u","text","1","a"\n')
+    (tmp_path / "MSFT_mentions.csv").write_text(head + '"never","u","two\nlines","1.5","a"\n')
+    rows = quality.validate_folder(spark, str(tmp_path), "2020-01-01", "2020-01-02", ["AAPL", "MSFT", "F"]).collect()
+    found = {(r.ticker, r.check_name): r.value for r in rows}
+    assert found["AAPL", "records"] == found["MSFT", "invalid_dates"] == found["F", "missing_file"] == found["F", "failed"] == 1
+    assert ("AAPL", "missing_file") not in found and found["AAPL", "failed"] == 0

@@ -147,3 +147,10 @@ def test_symbols_of_the_first_table(spark):
     html = "<table><tr><th>Symbol</th></tr><tr><td> BRK.B </td><td>x</td></tr><tr><td>AA</td></tr></table><table><tr><td>no</td></tr></table>"
     df = spark.createDataFrame([(html,)], "html string")
     assert sorted(r.symbol for r in pages.symbols_of_tables(df).collect()) == ["AA", "BRK-B"]
+
+
+@pytest.mark.parametrize("html", ['<div class="hl big">x &amp;lt; y</div>', "<DIV id=1 CLASS='hl'>x &amp;lt; y</DIV >", "<p class=hl>x &amp;lt; y</p>", '<p class="a hl">x &amp;lt; y</p>'])
+def test_elements_by_any_of_their_classes(spark, html):
+    df = spark.createDataFrame([(1, f'<p class="hlx">no</p><i data-class="hl">no</i>{html}')], "page_id int, html string")
+    got = pages.page_headlines(df, F.lit("s"), pages.element(css_class="hl"), pages.element(tag="b")).collect()
+    assert [r.headline for r in got] == ["x &lt; y"]
