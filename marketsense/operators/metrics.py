@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-FINE_BITS, COARSE_BITS = 20, 10
+from marketsense.session import stage
+
+RANGES = 1024
 
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
@@ -63,44 +66,43 @@ def precision_recall_f1(scored: DataFrame, *by: str) -> DataFrame:
     return _outcomes(scored, *by).select(*by, *[v.alias(n) for v, n in zip(values, ("precision", "recall", "f1"))])
 
 
+def score_ranges(counts: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``counts`` with ``_range``: its place among at most ``ranges`` ranges that hold about as many scores each.
+
+    The cuts are approximate quantiles, so crowded scores and outliers do not matter.
+    """
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = counts.agg(F.percentile_approx("score", shares, 20 * ranges)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    if len(splits) < 3:
+        return counts.withColumn("_range", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(counts)
+
+
 def cumulative_counts(scored: DataFrame) -> DataFrame:
-    """Per distinct score the positives and negatives at or above it.
+    """Per distinct score the positives and negatives at or above it; null scores take no part.
 
-    Ties collapse first.  The running totals then go through two levels of
-    score ranges (a radix of the scaled score), so no task sorts more than one
-    narrow range and the only window without a partition covers at most
-    2**COARSE_BITS + 1 rows.
+    Ties collapse first and are staged.  The running totals then go through ranges of
+    about equally many scores, so no task sorts more than one range and the only window
+    without a partition covers one row per range.
     """
-    counts = scored.groupBy("score").agg(
+    counts = scored.where(F.col("score").isNotNull()).groupBy(F.col("score").cast("double").alias("score")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
     )
-    bounds = scored.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high")).alias("b")).scalar()
-    low, high = bounds.getField("low"), bounds.getField("high")
-    unit = F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(0.0))
-    counts = counts.withColumn("_fine", F.floor(unit * (1 << FINE_BITS)))
-    counts = counts.withColumn("_coarse", F.shiftright("_fine", FINE_BITS - COARSE_BITS))
-
-    fine = counts.groupBy("_coarse", "_fine").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    coarse = fine.groupBy("_coarse").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    by_coarse, by_fine = Window.orderBy(F.desc("_coarse")), Window.partitionBy("_coarse").orderBy(F.desc("_fine"))
-    everything = by_coarse.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    coarse = coarse.select(
-        "_coarse",
-        _above("pos", by_coarse).alias("_pos"),
-        _above("neg", by_coarse).alias("_neg"),
+    counts = score_ranges(stage(counts, "ties"))
+    by_range = Window.orderBy(F.desc("_range"))
+    everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = counts.groupBy("_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    totals = totals.select(
+        "_range",
+        _above("pos", by_range).alias("_pos"),
+        _above("neg", by_range).alias("_neg"),
         F.sum("pos").over(everything).alias("total_pos"),
         F.sum("neg").over(everything).alias("total_neg"),
     )
-    fine = fine.join(coarse, "_coarse").select(
-        "_coarse",
-        "_fine",
-        (F.col("_pos") + _above("pos", by_fine)).alias("_pos"),
-        (F.col("_neg") + _above("neg", by_fine)).alias("_neg"),
-        "total_pos",
-        "total_neg",
-    )
-    inside = Window.partitionBy("_coarse", "_fine").orderBy(F.desc("score"))
-    return counts.join(fine, ["_coarse", "_fine"]).select(
+    inside = Window.partitionBy("_range").orderBy(F.desc("score"))
+    # At most RANGES rows are broadcast.
+    return counts.join(F.broadcast(totals), "_range").select(
         "score",
         "pos",
         "neg",

@@ -88,6 +88,13 @@ def test_cumulative_counts_of_crowded_scores(spark):
     assert got.cum_neg.tolist() == got.neg.cumsum().tolist()
 
 
+def test_no_range_holds_many_scores(spark):
+    crowded = spark.range(20_000).select((F.col("id") * 1e-9 + 0.5).alias("score")).union(spark.createDataFrame([(1e9,), (-1e9,)], "score double"))
+    sizes = [r["count"] for r in metrics.score_ranges(crowded, 64).groupBy("_range").count().collect()]
+    assert sum(sizes) == 20_002 and max(sizes) <= 2 * 20_002 / 64
+    assert metrics.cumulative_counts(spark.createDataFrame([], "label int, score double, prediction int")).collect() == []
+
+
 def test_zero_denominators_are_zero(spark):
     df = spark.createDataFrame([(1, 0.1, 0), (0, 0.2, 0)], "label int, score double, prediction int")
     report = {r.row_name: r for r in metrics.classification_report(df).collect()}
