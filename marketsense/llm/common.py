@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketsense.session import stage
+from marketsense.session import join_path, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,9 +36,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder with a column ``row`` that tells all rows apart, repeated ones too.
 
     The numbers are part of the files, so every later plan, and every task that is
-    run again, sees the same ones.
+    run again, sees the same ones.  Long texts are packed tightly.
     """
-    return stage(df.withColumn("row", F.monotonically_increasing_id()), name)
+    spark, rows = df.sparkSession, df.withColumn("row", F.monotonically_increasing_id())
+    path = join_path(shared_folder(spark), "marketsense", f"{name}-{uuid.uuid4().hex}")
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def text_chunks(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:

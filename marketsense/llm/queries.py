@@ -116,8 +116,8 @@ ORACLES = {
         from placed""",
     "op2_maxscore_search": """
         with v as (
-            select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as vector from embeddings
-            where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+            select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vector from embeddings
+            where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         scored as (
             select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.vector, c.vector) as bigint) as score
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),

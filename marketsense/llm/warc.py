@@ -8,6 +8,7 @@ store that Spark can write to.  Reading frames records by Content-Length only.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -61,7 +62,7 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_archives(captures: DataFrame, path: str) -> None:
-    """Write three records per capture; each file has at most ``RECORDS_PER_FILE`` of them."""
+    """Write three records per capture; each file is one gzip stream of at most ``RECORDS_PER_FILE`` of them."""
 
     def identity(part: str, row: str = "row", page: str = "page_id") -> Column:
         return _urn(F.lit(part), F.coalesce(F.col(page).cast("string"), F.lit("~")), F.col(row).cast("string"))
@@ -93,7 +94,8 @@ def write_archives(captures: DataFrame, path: str) -> None:
         F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("fetchStatus: 200\r\n")),
     )
     lines = captures.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer = lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer.option("compression", "gzip").text(path)
 
 
 _FIELDS = {
@@ -130,13 +132,14 @@ def parse_records(content: bytes) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in a folder.  A task holds one file, which the writer keeps small."""
+    """All records of the archives in a folder, plain or gzip.  A task holds one file, which the writer keeps small."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 held, size = [], 0
-                for record in parse_records(bytes(content)):
+                content = bytes(content)
+                for record in parse_records(gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content):
                     held.append(record)
                     size += len(record["block"])
                     if size > 8_000_000:
@@ -154,14 +157,17 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records meet by identifier: a response by its own, the others by the one they
     are concurrent to.  Identifiers are per capture, so no group grows with the
-    data.  A capture without request or metadata has null there; records concurrent
-    to nothing known are returned with a null response.
+    data.  A capture without request or metadata has null or no element there; records
+    concurrent to nothing known are returned with null fields in the response.  Every
+    field is gathered by itself, so fields that a query leaves out (the blocks, mostly)
+    are not moved.
     """
-    body = F.struct("record_id", "type", "refers_to", "target_uri", "digest", "payload_length", "profile", "block")
-    keyed = records.select(F.coalesce("concurrent_to", "record_id").alias("capture"), "type", body.alias("record"))
-    main = F.col("type").isin("response", "revisit")
-    return keyed.groupBy("capture").agg(
-        F.max(F.when(main, F.col("record"))).alias("response"),
-        F.max(F.when(F.col("type") == "request", F.struct("record.record_id", "record.block"))).alias("request"),
-        F.sort_array(F.collect_list(F.when(F.col("type") == "metadata", F.struct("record.record_id", "record.block")))).alias("metadata"),
+    keyed = records.withColumn("capture", F.coalesce("concurrent_to", "record_id"))
+    fields = ["record_id", "type", "refers_to", "target_uri", "digest", "payload_length", "profile", "block"]
+    main, request, metadata = F.col("type").isin("response", "revisit"), F.col("type") == "request", F.col("type") == "metadata"
+    found = keyed.groupBy("capture").agg(
+        *[F.max(F.when(main, F.col(name))).alias(f"main_{name}") for name in fields],
+        F.max(F.when(request, F.struct("record_id", "block"))).alias("request"),
+        F.sort_array(F.collect_list(F.when(metadata, F.struct("record_id", "block")))).alias("metadata"),
     )
+    return found.select("capture", F.struct(*[F.col(f"main_{name}").alias(name) for name in fields]).alias("response"), "request", "metadata")
