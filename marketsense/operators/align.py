@@ -28,7 +28,7 @@ def asof_backward(calendar: DataFrame, facts: DataFrame) -> DataFrame:
     payload = F.struct(*names)
     days = calendar.select("ticker", "date", F.lit(1).alias("_day"), F.lit(None).cast(_struct(row_type, names)).alias("_row"))
     rows = days.unionByName(facts.select("ticker", "date", F.lit(0).alias("_day"), payload.alias("_row")))
-    rows = rows.where(F.col("ticker").isNotNull() & F.col("date").isNotNull()).withColumn("_span", series.span_of("date"))
+    rows = series.placed(rows).withColumn("_span", series.span_of("date"))
     carried: series.Carried = {
         "_row_before": (
             "max_by(_row, case when _row is not null then date end)",

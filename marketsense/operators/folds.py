@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketsense.operators import series
 from marketsense.operators.series import span_of
 
 TRAIN_SHARE = 0.8
@@ -18,7 +19,7 @@ def global_positions(df: DataFrame, by: str = "ticker", rank: str = "ticker") ->
     ticker.  Rows are only sorted inside small groups; group sizes are added up
     on a summary table (one row per ticker and time span, or per date).
     """
-    rows = df.where(F.col("ticker").isNotNull() & F.col("date").isNotNull())
+    rows = series.placed(df)
     if by == "date":
         group, inside = ["date"], Window.partitionBy("date").orderBy("ticker")
         # One row per calendar day.

@@ -100,12 +100,19 @@ def lagged(names: list[str], steps: int) -> list[str]:
 
 
 def ema(bars: DataFrame, spans: list[int] | None = None, column: str = "close") -> DataFrame:
-    """Exponential averages ``ema_<span>`` of a gap-free column."""
+    """Exponential averages ``ema_<span>`` of a gap-free column.
+
+    Spans that fit one block layout are computed together; others get blocks of their own.
+    """
     spans = spans or [FAST, SLOW]
-    halo, size = series.ema_layout([[span] for span in spans])
-    rows = series.cut_blocks(series.number_rows(_pick(bars, column)), before=halo, size=size)
-    rows = with_ema(rows, {f"ema_{span}": span for span in spans}, column, halo, size)
-    return _pick(series.own_rows(rows), *[f"ema_{span}" for span in spans])
+    numbered = series.number_rows(_pick(bars, column))
+    result = None
+    for group in series.span_groups(spans):
+        halo, size = series.ema_layout([[span] for span in group])
+        rows = with_ema(series.cut_blocks(numbered, before=halo, size=size), {f"ema_{span}": span for span in group}, column, halo, size)
+        found = _pick(series.own_rows(rows), *[f"ema_{span}" for span in group])
+        result = found if result is None else result.join(found, ["ticker", "date"])
+    return _pick(result, *[f"ema_{span}" for span in spans])
 
 
 def macd(bars: DataFrame) -> DataFrame:

@@ -72,6 +72,12 @@ def span_of(order: str) -> Column:
     return F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / F.lit(SPAN_DAYS))
 
 
+def placed(df: DataFrame, key: str = "ticker", order: str = "date") -> DataFrame:
+    """``df``, failing on the first row without a key or a place in its series: it belongs nowhere, and dropping it unseen would hide the loss."""
+    known = F.col(key).isNotNull() & F.col(order).isNotNull()
+    return df.where(F.when(known, True).otherwise(F.raise_error(F.lit(f"a row has no {key} or no {order}; drop or repair such rows first"))))
+
+
 def number_rows(
     df: DataFrame,
     key: str = "ticker",
@@ -81,11 +87,11 @@ def number_rows(
 ) -> DataFrame:
     """Add ``pos``, the dense 0-based position in the series, filling ``fill``.
 
-    ``order`` must be unique within ``key``.
+    ``order`` must be unique within ``key``, and neither may be null.
     """
     fill = list(fill)
     columns = df.columns
-    rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).withColumn("_span", span_of(order))
+    rows = placed(df, key, order).withColumn("_span", span_of(order))
     carried: Carried = {"_start": ("count(1)", "coalesce(sum(_start) over {before}, 0)")}
     rows = carry_between(rows, "_span", carried | fill_carries(fill, order, backward), key)
     ordered = f"partition by {key}, _span order by {order}"
@@ -161,12 +167,28 @@ def ema_layout(chains: Iterable[Iterable[int]]) -> tuple[int, int]:
     chains = [list(chain) for chain in chains]
     halo = max(sum(memory(span) for span in chain) for chain in chains)
     fastest = min(span for chain in chains for span in chain)
-    size = int(RANGE_DIGITS / -math.log10(_decay(fastest))) - halo
+    size = _room(fastest) - halo
     if size < halo:
         raise ValueError("spans too far apart for one pass; compute them in separate passes")
     return halo, min(size, 8 * halo)
 
 
+def span_groups(spans: Iterable[int]) -> list[list[int]]:
+    """Spans in groups that one block layout serves, close spans together."""
+    groups: list[list[int]] = []
+    for span in sorted(set(spans)):
+        if groups and _room(groups[-1][0]) >= 2 * memory(span):
+            groups[-1].append(span)
+        else:
+            groups.append([span])
+    return groups
+
+
+def _room(span: int) -> int:
+    """Rows over which the powers of a span's decay stay inside the range of a double."""
+    return int(RANGE_DIGITS / -math.log10(_decay(span)))
+
+
 def ema(value: str, span: int, halo: int, size: int, key: str = "ticker") -> Column:
     """Exponential average (no bias correction) over blocks cut by ``ema_layout``.
 

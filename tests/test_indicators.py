@@ -138,3 +138,18 @@ def test_test_rows_do_not_change_scaled_training_rows(spark):
     assert len(tables[0]) > 20
     pd.testing.assert_frame_equal(*tables)
     assert tables[0][["macd", "rsi"]].max().max() <= 1.0 and tables[0]["macd"].max() > 0.5
+
+
+def test_rows_without_a_place_are_an_error(spark):
+    bars = bars_frame(spark, [1.0, 2.0]).withColumn("date", F.when(F.col("close") > 1, F.col("date")))
+    with pytest.raises(Exception, match="no ticker or no date"):
+        series.fill_gaps(bars, ["close"]).collect()
+
+
+def test_far_apart_spans_are_averaged_too(spark):
+    closes = walk(700)
+    got = indicators.ema(bars_frame(spark, closes), [200, 2, 3]).orderBy("date").toPandas()
+    for span in (2, 3, 200):
+        want = pd.Series(closes).ewm(span=span, adjust=False).mean()
+        np.testing.assert_allclose(got[f"ema_{span}"], want, rtol=1e-10)
+    assert len(series.span_groups([2, 3, 200])) == 2
