@@ -96,10 +96,40 @@ def test_decoding_restores_disguises(spark):
         assert toxicity.decode(seen, model) == meant
     words = toxicity.restored_words("You s t u p i d, tr@sh!! house 2024 u-n-d-e-r", model, {})
     assert {"stupid", "trash", "house", "under"} <= words
-    # The search is exact: no spelling of the lattice is likelier than the one found.
     assert toxicity.restored_words(None, model, {}) == set()
 
 
+def test_decoding_finds_the_likeliest_path():
+    rng = np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS))).tolist()
+
+    def paths(token, place=0):
+        """All (text, cost) readings of a token, one sign after the other."""
+        if place == len(token):
+            yield "", 0.0
+            return
+        char = token[place]
+        ways = [(char, toxicity.PLAIN)] if char.isalpha() else []
+        ways += [(letter, toxicity.SWAP) for letter in toxicity.LOOKALIKES.get(char, "")]
+        if char in toxicity.MARKS or not ways:
+            ways.append(("", toxicity.MARK))
+        elif char.isalpha() and place and token[place - 1] == char:
+            thrice = token[place - 2 : place] == 2 * char or token[place : place + 2] == 2 * char
+            ways.append(("", toxicity.REPEAT if thrice else toxicity.DOUBLE))
+        for text, cost in ways:
+            for rest, more in paths(token, place + 1):
+                yield text + rest, cost + more
+
+    def score(text, cost):
+        seen = [0, 0, *map(toxicity.symbol_of, text), 0]
+        return cost + sum(model[a][b][c] for a, b, c in zip(seen, seen[1:], seen[2:]))
+
+    for token in ["a1b", "l1ll0", "$s-s!", "aab.b", "1|1", "é3ee", "s...t"]:
+        best = max(score(*path) for path in paths(token))
+        found = toxicity.decode(token, model)
+        assert max(score(*path) for path in paths(token) if path[0] == found) == pytest.approx(best)
+
+
 def test_toxicity_edges(spark):
     rows = [(i, f"a plain text of the day number {i}", None, None, 0.0, "") for i in range(100)] + [(200 + i, f"you are an idi0t and more {i}", None, None, 0.0, "") for i in range(60)]
     docs = spark.createDataFrame(rows, DOCS).union(edge_frame(spark))
