@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,6 +34,7 @@ CHUNK = 500_000  # characters tokenised at a time
 KNOWN_PARTS = 200_000  # coded parts a task keeps
 SPACED, BLANKS = re.compile(r"\s "), re.compile(r"\s")
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -73,9 +75,10 @@ def curve_keys(texts: list[str | None]) -> np.ndarray:
     planes = np.random.default_rng(20240501).standard_normal((BUCKETS, DIMENSIONS))
     spots = np.zeros((len(texts), DIMENSIONS))
     for row, text in enumerate(texts):
-        held = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        held = (text or "").lower().encode("utf-8", "surrogatepass")
         if len(held) > 2:
-            grams = (held[:-2] << np.uint32(16) | held[1:-1] << np.uint32(8) | held[2:]) * np.uint32(2654435761)
+            # Every place read as a 32-bit number; the shift drops its fourth byte.
+            grams = (np.ndarray(len(held) - 2, "<u4", held + b"\0\0", strides=(1,)) << np.uint32(8)) * np.uint32(2654435761)
             # Square roots keep frequent grams from drowning the rest; the sum of the squares is the number of grams.
             spots[row] = np.sqrt(np.bincount(grams >> np.uint32(20), minlength=BUCKETS) / len(grams)) @ planes
     # Coordinates are about normal; their distribution function spreads them over the cube.
@@ -87,8 +90,8 @@ class PartCoder:
     """Token ids of texts; parts of texts that came up before are not coded again.
 
     A byte-level coder starts a new piece at every space that follows a character
-    which is no white space, whatever came before it, and between a letter and a
-    comma or full stop.  So the parts between such places can be coded alone.  Known
+    which is no white space, whatever came before it, and between a letter and
+    marks that end a part.  So the parts between such places can be coded alone.  Known
     parts are numbered, and their ids lie in one array; all is emptied when it is
     full, which changes nothing but speed.
 
@@ -100,13 +103,13 @@ class PartCoder:
     def __init__(self, coder, ranks=None):
         self.coder, self.ranks = coder, ranks
         self.line = coder.token_to_id("Ċ")  # the token of a line feed alone
-        self.ends = {mark: self._code([mark])[0] for mark in ",."}
+        self.ends: dict[str, np.ndarray] = {}  # ids of marks behind a word
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes = [], []
+        self.starts, self.sizes = array("q"), array("q")
 
     def _code(self, parts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, np.uint32) for found in self.coder.encode_batch_fast(parts, add_special_tokens=False)]
@@ -129,7 +132,7 @@ class PartCoder:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         if coded:
             self.ids[self.used : self.used + total] = np.concatenate(coded)
-        self.starts.extend((self.used + np.cumsum([0, *sizes[:-1]])).tolist() if sizes else [])
+        self.starts.frombytes((self.used + np.cumsum([0, *sizes[:-1]])).astype(np.int64).tobytes() if sizes else b"")
         self.sizes.extend(sizes)
         self.used += total
         return range(first, len(self.starts))
@@ -138,6 +141,8 @@ class PartCoder:
         """The ids of each text."""
         if len(self.number) > KNOWN_PARTS:
             self.clear()
+        if len(self.ends) > KNOWN_PARTS:
+            self.ends.clear()
         parted, loose = [], []
         for text in texts:
             parts = text.split(" ")
@@ -154,17 +159,19 @@ class PartCoder:
         new = list(set().union(*parted) - self.number.keys())
         odd = [part for part in new if not part or BLANKS.search(part)]
         plain = list(set(new).difference(odd))
-        split = [part for part in plain if len(part) > 1 and part[-1] in ",." and part[-2].isalpha()]
-        words = set(plain).difference(split).union(part[:-1] for part in split) - self.number.keys()
+        split = {part: found.groups() for part in plain if (found := MARKED.fullmatch(part))}
+        words = set(plain).difference(split).union(word for word, _ in split.values()) - self.number.keys()
         other = [word for word in words if not LATIN.fullmatch(word)]
         words = list(words.difference(other))
         self.number.update(zip(words, self._add(self._code_words(words))))
         odd += other
         self.number.update(zip(odd, self._add(self._code([f" {part}" for part in odd]))))
-        self.number.update(zip(split, self._add([np.concatenate([self._part(part[:-1]), self.ends[part[-1]]]) for part in split])))
+        marks = list({mark for _, mark in split.values()} - self.ends.keys())
+        self.ends.update(zip(marks, self._code(marks)))
+        self.number.update(zip(split, self._add([np.concatenate([self._part(word), self.ends[mark]]) for word, mark in split.values()])))
         firsts = self._add(self._code(loose))
         numbers = np.fromiter(chain.from_iterable([first, *map(self.number.__getitem__, parts)] for first, parts in zip(firsts, parted)), np.int64)
-        starts, sizes = np.array(self.starts)[numbers], np.array(self.sizes)[numbers]
+        starts, sizes = np.frombuffer(self.starts, np.int64)[numbers], np.frombuffer(self.sizes, np.int64)[numbers]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.cumsum([1 + len(parts) for parts in parted])
