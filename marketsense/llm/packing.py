@@ -103,46 +103,49 @@ class PartCoder:
     def __init__(self, coder, ranks=None):
         self.coder, self.ranks = coder, ranks
         self.line = coder.token_to_id("Ċ")  # the token of a line feed alone
-        self.ends: dict[str, np.ndarray] = {}  # ids of marks behind a word
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.marks: dict[str, int] = {}  # numbers of marks behind a word
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes = array("q"), array("q")
 
-    def _code(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(found.ids, np.uint32) for found in self.coder.encode_batch_fast(parts, add_special_tokens=False)]
+    def _code(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and how many each has."""
+        found = [one.ids for one in self.coder.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64)
 
-    def _code_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of parts of letters, each after a space: coded in one go, a line each, and parted at the line feeds."""
+    def _code_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of letters, each after a space: coded in one go, a line each, and parted at the line feeds."""
         if not words:
-            return []
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         lined = " " + "\n ".join(words)
         ids = self.ranks.encode_to_numpy(lined, disallowed_special=()) if self.ranks else self._code([lined])[0]
-        parts = np.split(ids, np.flatnonzero(ids == self.line))
-        return [parts[0], *[part[1:] for part in parts[1:]]]
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+        return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
 
-    def _add(self, coded: list[np.ndarray]) -> range:
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
         """Store ids of parts; returns their numbers."""
         first = len(self.starts)
-        sizes = [len(ids) for ids in coded]
-        total = sum(sizes)
-        while self.used + total > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        if coded:
-            self.ids[self.used : self.used + total] = np.concatenate(coded)
-        self.starts.frombytes((self.used + np.cumsum([0, *sizes[:-1]])).astype(np.int64).tobytes() if sizes else b"")
-        self.sizes.extend(sizes)
-        self.used += total
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts.frombytes((self.used + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.used += len(ids)
         return range(first, len(self.starts))
 
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered parts end to end, and how many each has."""
+        starts, sizes = np.frombuffer(self.starts, np.int64)[numbers], np.frombuffer(self.sizes, np.int64)[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.number) > KNOWN_PARTS:
+        if len(self.number) + len(self.marks) > KNOWN_PARTS:
             self.clear()
-        if len(self.ends) > KNOWN_PARTS:
-            self.ends.clear()
         parted, loose = [], []
         for text in texts:
             parts = text.split(" ")
@@ -163,23 +166,19 @@ class PartCoder:
         words = set(plain).difference(split).union(word for word, _ in split.values()) - self.number.keys()
         other = [word for word in words if not LATIN.fullmatch(word)]
         words = list(words.difference(other))
-        self.number.update(zip(words, self._add(self._code_words(words))))
+        self.number.update(zip(words, self._add(*self._code_words(words))))
         odd += other
-        self.number.update(zip(odd, self._add(self._code([f" {part}" for part in odd]))))
-        marks = list({mark for _, mark in split.values()} - self.ends.keys())
-        self.ends.update(zip(marks, self._code(marks)))
-        self.number.update(zip(split, self._add([np.concatenate([self._part(word), self.ends[mark]]) for word, mark in split.values()])))
-        firsts = self._add(self._code(loose))
+        self.number.update(zip(odd, self._add(*self._code([f" {part}" for part in odd]))))
+        marks = list({mark for _, mark in split.values()} - self.marks.keys())
+        self.marks.update(zip(marks, self._add(*self._code(marks))))
+        pairs = np.array([(self.number[word], self.marks[mark]) for word, mark in split.values()], np.int64)
+        ids, sizes = self._gather(pairs.ravel())
+        self.number.update(zip(split, self._add(ids, sizes.reshape(-1, 2).sum(axis=1))))
+        firsts = self._add(*self._code(loose))
         numbers = np.fromiter(chain.from_iterable([first, *map(self.number.__getitem__, parts)] for first, parts in zip(firsts, parted)), np.int64)
-        starts, sizes = np.frombuffer(self.starts, np.int64)[numbers], np.frombuffer(self.sizes, np.int64)[numbers]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.cumsum([1 + len(parts) for parts in parted])
-        return np.split(ids, ends[cuts[:-1] - 1]) if len(texts) else []
-
-    def _part(self, part: str) -> np.ndarray:
-        at = self.number[part]
-        return self.ids[self.starts[at] : self.starts[at] + self.sizes[at]]
+        ids, sizes = self._gather(numbers)
+        ends = np.cumsum(sizes)[np.cumsum([1 + len(parts) for parts in parted], dtype=np.int64) - 1].tolist()
+        return [ids[start:stop] for start, stop in zip([0, *ends[:-1]], ends)]
 
 
 @lru_cache(maxsize=2)
