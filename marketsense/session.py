@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts are long: a Python worker holds a few megabytes of them at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Of a repeated JSON key the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
