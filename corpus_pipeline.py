@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketsense.llm import language, mixing, packing, quality, simhash
-from marketsense.session import join_path, shared_folder
+from marketsense.session import configure, join_path, shared_folder
 
 ORACLE_SQL = None  # trained models and hashes have no SQL; tests compare with brute-force versions
 
@@ -20,27 +20,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go: no letters, or a probability under the calibrated threshold."""
+    configure(spark)
     return language.keep_identified(docs, language.train(docs))
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3 for quality go."""
+    configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five-word shingles, about 0.8 alike) stays: the one with the smallest id."""
+    configure(spark)
     return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: documents outside the budget go, others appear once per epoch."""
+    configure(spark)
     return mixing.repeated(docs, mixing.mix_sources(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: a row per piece of a document, with its token ids."""
+    configure(spark)
     return packing.pack_documents(docs, TOKENIZER, RANKS)
 
 

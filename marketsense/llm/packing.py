@@ -31,7 +31,7 @@ DIMENSIONS = 3
 CURVE_BITS = 16  # bits of each coordinate
 BUCKETS = 1 << 12
 CHUNK = 500_000  # characters tokenised at a time
-KNOWN_PARTS = 200_000  # coded parts a task keeps
+KNOWN_PARTS = 150_000  # coded parts a task keeps
 SPACED, BLANKS = re.compile(r"\s "), re.compile(r"\s")
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
