@@ -158,9 +158,8 @@ def assemble(records: DataFrame) -> DataFrame:
     Records meet by identifier: a response by its own, the others by the one they
     are concurrent to.  Identifiers are per capture, so no group grows with the
     data.  A capture without request or metadata has null or no element there; records
-    concurrent to nothing known are returned with null fields in the response.  Every
-    field is gathered by itself, so fields that a query leaves out (the blocks, mostly)
-    are not moved.
+    concurrent to nothing known are returned with null fields in the response.  Blocks
+    move with their records once.
     """
     keyed = records.withColumn("capture", F.coalesce("concurrent_to", "record_id"))
     fields = ["record_id", "type", "refers_to", "target_uri", "digest", "payload_length", "profile", "block"]
