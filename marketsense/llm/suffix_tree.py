@@ -1,16 +1,19 @@
-"""Language-model scoring by a probabilistic suffix tree over the letters of words.
+"""Language-model scoring by a probabilistic suffix tree over the bytes of texts.
 
 Symbols are the bytes of lower-cased words, a blank that ends a word, and a line feed
-that ends a text.  A state is a suffix of what stands before a symbol in its word
-(with a blank for the word's start).  Contexts that are frequent enough are tested
-from short to long: one is retained if its next-symbol distribution diverges from its
-parent's by more than chance, together with its own suffixes.  Distributions are
-smoothed towards the parent's, and a symbol is scored in the state of the longest
-retained suffix.
-
-Counts of words (for the base score) and of letters are gathered in one shuffle
-each; words travel as 96-bit hashes in packed arrays, a part for each range of the
-hash, and what comes back are sums per document.
+that ends a text.  A state is a suffix of what stands before a symbol in its text,
+across word borders (with a line feed for the text's start).  Contexts seen often
+enough are tested from short to long: one is retained if its next-symbol distribution
+diverges from its parent's by more than chance, together with its own suffixes.
+Distributions are smoothed towards the parent's, and a symbol is scored in the state
+of the longest retained suffix.
+
+Contexts of up to ``SHORT`` bytes are bounded by the alphabet and known everywhere.  All
+longer ones are dealt out by their nearest ``SHORT + 1`` bytes, so a part of the tree
+holds whole branches: it adds up the grams of all units of text, grows its branches,
+and sends the log probability of each distinct gram back to the unit it came from.
+Words (for the base score) travel as 96-bit hashes in packed arrays, a part for each
+range of the hash, and what comes back are sums per document.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +33,12 @@ from marketsense.llm.common import fold_of, mix64, text_chunks
 from marketsense.session import stage
 
 DEPTH = 6  # symbols of the longest context
-LEAST_SHARE = 1e-5  # contexts rarer than this share of all symbols are no states, so at most DEPTH / LEAST_SHARE are
+LEAST_COUNT = 2  # contexts seen less often are no states
+SHORT = 2  # contexts of up to so many bytes are states everywhere
 DIVERGENCE = 3.0  # nats by which a context must gain on its parent, over all its symbols
 PRIOR = 4.0  # weight of the parent's distribution
 CHUNK = 1_500_000  # characters handled at a time
+UNIT = 16  # chunks whose distinct grams are sent together
 PART_WORDS = 2_000_000  # words of a hash range
 BLANK, END = 32, 10
 _TABLES = np.random.default_rng(77).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -49,11 +55,14 @@ class Words:
     text: np.ndarray  # the text each word belongs to
     first: np.ndarray  # hash of 64 bits
     second: np.ndarray  # and of 32 more
+    grams: np.ndarray  # each byte with the DEPTH bytes of its text before it: the byte lowest, the farthest highest
+    ends: np.ndarray  # the gram of each text's end
 
 
 def find_words(texts: list[str | None]) -> Words:
     """Lower-case A-Z and split at ASCII blanks; hashes are sums of powers, taken from running sums."""
-    parts = [(text or "").encode("utf-8", "surrogatepass").lower() + b" " for text in texts]
+    split = [b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) for text in texts]
+    parts = [b"\n" + part + b" " if part else b"\n" for part in split]
     ends = np.cumsum([len(part) for part in parts])
     held = np.frombuffer(b"".join(parts), np.uint8)
     inside = (held != 32) & ((held < 9) | (held > 13))
@@ -66,7 +75,15 @@ def find_words(texts: list[str | None]) -> Words:
         # Dividing by the power of the place makes equal words equal: the base is odd, so it has an inverse.
         inverse = _powers(pow(base, -1, 2**64), len(held) + 1)
         found.append(mix64((running[stop] - running[start]) * inverse[start] + (stop - start).astype(np.uint64)))
-    return Words(held, start, stop, np.searchsorted(ends, start, side="right"), found[0], found[1] >> np.uint64(32))
+    grams = held.astype(np.uint64)
+    for back in range(1, DEPTH + 1):
+        grams[back:] |= held[:-back].astype(np.uint64) << np.uint64(8 * back)
+    begin = ends - [len(part) for part in parts]
+    for place in range(DEPTH):  # nothing stands before a text's start mark
+        near = begin[begin + place < ends] + place
+        grams[near] &= np.uint64((1 << 8 * (place + 1)) - 1)
+    last = (grams[ends - 1] << np.uint64(8) | np.uint64(END)) & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
+    return Words(held, start, stop, np.searchsorted(ends, start, side="right"), found[0], found[1] >> np.uint64(32), grams, last)
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -98,30 +115,36 @@ def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
+def distinct_settings(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``distinct_words``, of words together with the DEPTH bytes before them: all their grams are equal."""
+    before = words.grams[words.start - 1] & np.uint64((1 << 8 * DEPTH) - 1)
+    _, first, number = np.unique(mix64(words.first ^ mix64(before + words.second)), return_index=True, return_inverse=True)
+    return first, number
+
+
 def word_grams(words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, word of each): DEPTH context bytes and the symbol after them, for every symbol of the chosen words.
+    """(grams, word of each): DEPTH context bytes and the symbol after them, for every symbol of the chosen words and their closing blanks.
 
     A gram is a 64-bit number with the symbol in its low byte and the nearest context
-    byte above; 0 stands before a word's start mark.
+    byte above; 0 stands before a text's start mark.
     """
-    sizes = words.stop[places] - words.start[places] + 2  # start mark, letters, closing blank
+    sizes = words.stop[places] - words.start[places] + 1  # letters, closing blank
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.full(bounds[-1], BLANK, np.uint64)
     inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
-    letters = (inside > 0) & (inside < np.repeat(sizes, sizes) - 1)
-    flat[letters] = words.bytes[(np.repeat(words.start[places], sizes) + inside - 1)[letters]]
-    grams = flat.copy()
-    for back in range(1, DEPTH + 1):
-        grams[back:] |= np.where(inside[back:] >= back, flat[:-back], np.uint64(0)) << np.uint64(8 * back)
-    keep = inside > 0  # the start mark is context only
-    return grams[keep], np.repeat(np.arange(len(places)), sizes - 1)
+    return words.grams[np.repeat(words.start[places], sizes) + inside], np.repeat(np.arange(len(places)), sizes)
 
 
-END_GRAM = np.uint64(BLANK << 8 | END)
+def text_grams(words: Words, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams in order, their counts) of a chunk; ``weight`` says how often each text counts."""
+    places, number = distinct_settings(words)
+    found, word = word_grams(words, places)
+    times = np.bincount(number, weight[words.text], len(places))[word]
+    return _summed(np.append(found, words.ends), np.append(times, weight))
 
 
-def gram_counts(docs: DataFrame, trained) -> DataFrame:
-    """(gram, n) over the texts where ``trained`` holds; ``words`` rides along as gram -1."""
+def gram_counts(docs: DataFrame, trained, depth: int = DEPTH) -> DataFrame:
+    """(gram, n) with contexts of up to ``depth`` bytes over the texts where ``trained`` holds; ``words`` rides along as gram -1."""
+    mask = np.uint64((1 << 8 * (depth + 1)) - 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, counts, total, pending = [], [], 0, 0
@@ -130,13 +153,13 @@ def gram_counts(docs: DataFrame, trained) -> DataFrame:
             for low, high in text_chunks(texts, CHUNK):
                 words = find_words(texts[low:high])
                 total += len(words.start)
-                places, number = distinct_words(words)
-                found, word = word_grams(words, places)
-                weight = np.bincount(number, minlength=len(places))[word]
-                found, weight = np.append(found, END_GRAM), np.append(weight, high - low)
-                some, at = np.unique(found, return_inverse=True)
+                if depth < DEPTH:
+                    used = np.concatenate([words.grams[words.bytes != END], words.ends]) & mask
+                    some, n = np.unique_counts(np.sort(used))
+                else:
+                    some, n = text_grams(words, np.ones(high - low))
                 grams.append(some)
-                counts.append(np.bincount(at, weight).astype(np.int64))
+                counts.append(n)
                 pending += len(some)
                 if pending > 2_000_000:
                     grams, counts = _merged(grams, counts)
@@ -152,16 +175,36 @@ def gram_counts(docs: DataFrame, trained) -> DataFrame:
     return docs.filter(trained).select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order and the sum of the counts of each."""
+    if not len(grams):
+        return grams, counts.astype(np.int64)
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[new], np.add.reduceat(counts, new)
+
+
 def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    some, at = np.unique(np.concatenate(grams), return_inverse=True)
-    return [some], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
+    some, n = _summed(np.concatenate(grams), np.concatenate(counts))
+    return [some], [n]
+
+
+def tree_levels(grams: np.ndarray, counts: np.ndarray, sizes: range) -> pd.DataFrame:
+    """(size, context, symbol, n) of the suffixes of grams; a context of k symbols must have its farthest one."""
+    parts = []
+    for size in sizes:
+        whole = (grams >> np.uint64(8 * size)) & np.uint64(255) != 0 if size else np.ones(len(grams), bool)
+        pair, n = _summed(grams[whole] & np.uint64((1 << 8 * (size + 1)) - 1), counts[whole])
+        parts.append(pd.DataFrame({"size": size, "context": pair >> np.uint64(8), "symbol": (pair & np.uint64(255)).astype(np.int64), "n": n}))
+    return pd.concat(parts, ignore_index=True)
 
 
 class SuffixTree:
     """States by length: sorted contexts with their back-off weights, and sorted (context, symbol) with log10 probabilities."""
 
     def __init__(self, table: pd.DataFrame):
-        """``table``: size, context (its bytes as a number, nearest lowest), symbol, n - all contexts of a kept length."""
+        """``table``: size, context (its bytes as a number, nearest lowest), symbol, n - all of whole branches, and the short levels."""
         root = np.bincount(table.symbol[table["size"] == 0], table.n[table["size"] == 0], 256) if len(table) else np.zeros(256)
         self.root = (root + 0.01) / (root.sum() + 2.56)
         self.contexts, self.backoff, self.pairs, self.logs = [], [], [], []
@@ -174,6 +217,11 @@ class SuffixTree:
             context, first = np.unique(pair >> np.uint64(8), return_index=True)
             sums = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             owner = np.repeat(np.arange(len(context)), np.diff(np.append(first, len(pair))))
+            # A suffix is seen as often as the context at least, so branches stay whole.
+            often = sums >= LEAST_COUNT
+            if size > SHORT and not often.all():
+                pair, n, owner = pair[often[owner]], n[often[owner]], (np.cumsum(often) - 1)[owner[often[owner]]]
+                context, sums = context[often], sums[often]
             levels.append((context, pair, n, sums, owner))
         # Top down: probabilities smoothed towards the parent's, and the divergence of each context from its parent.
         logs: list[np.ndarray] = []
@@ -182,7 +230,7 @@ class SuffixTree:
             p = (n + PRIOR * before) / (sums[owner] + PRIOR)
             gain = np.bincount(owner, n * np.log(p / before), len(context)) if len(context) else np.zeros(0)
             logs.append(p)
-            kept.append(gain > DIVERGENCE)
+            kept.append((gain > DIVERGENCE) | (size <= SHORT))
         # Bottom up: a retained context keeps its suffixes.
         for size in range(DEPTH, 1, -1):
             mask = np.uint64((1 << 8 * (size - 1)) - 1)
@@ -237,25 +285,15 @@ def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def grow(counts: DataFrame) -> SuffixTree:
-    """The tree from gram counts: Spark adds up all contexts and keeps the frequent ones, the driver tests divergence.
+    """The whole tree in one place, for gram counts that fit there; ``score_texts`` grows it in parts."""
+    table = counts.filter(F.col("gram") >= 0).toPandas()
+    return SuffixTree(tree_levels(table.gram.to_numpy(np.int64).view(np.uint64), table.n.to_numpy(np.int64), range(DEPTH + 1)))
 
-    At most ``DEPTH / LEAST_SHARE`` contexts can be frequent, so what the driver gets and
-    broadcasts has a bound that does not depend on the corpus.
-    """
-    grams = counts.filter(F.col("gram") >= 0)
-    sizes = F.sequence(F.lit(0), F.lit(DEPTH))
-    # A context of k symbols must have its farthest one; shifting keeps the k nearest.
-    levels = grams.select(F.explode(sizes).alias("size"), "gram", "n").filter(
-        (F.col("size") == 0) | (F.call_function("shiftrightunsigned", F.col("gram"), F.col("size") * 8).bitwiseAND(F.lit(255)) != 0)
-    )
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("size") + 1) * 8) - 1
-    low = F.col("gram").bitwiseAND(mask)
-    levels = levels.select("size", F.shiftrightunsigned(low, 8).alias("context"), low.bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-    pairs = levels.groupBy("size", "context", "symbol").agg(F.sum("n").alias("n"))
-    everything = grams.agg(F.sum("n")).first()[0] or 0
-    frequent = pairs.groupBy("size", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= LEAST_SHARE * everything).select("size", "context")
-    table = pairs.join(frequent, ["size", "context"], "left_semi")
-    return SuffixTree(table.toPandas())
+
+def branch_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the tree that holds the longer states of each gram, by its nearest SHORT + 1 context bytes."""
+    near = (grams >> np.uint64(8)) & np.uint64((1 << 8 * (SHORT + 1)) - 1)
+    return (mix64(near) % np.uint64(parts)).astype(np.int64)
 
 
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
@@ -267,28 +305,44 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType
     kept = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold_of(F.col("doc_id"), folds) == held).alias("held_out"))
-    counts = stage(gram_counts(kept, ~F.col("held_out")), "suffix-grams")
-    ends = counts.filter(F.col("gram") == int(END_GRAM)).agg(F.sum("n")).first()[0] or 0
-    total = (counts.filter(F.col("gram") == -1).agg(F.sum("n")).first()[0] or 0) + ends
-    tree = docs.sparkSession.sparkContext.broadcast(grow(counts))
+    # Contexts of up to SHORT bytes: their number is bounded by the alphabet, not by the corpus.
+    counts = stage(gram_counts(kept, ~F.col("held_out"), SHORT), "suffix-grams")
+    known = counts.toPandas()
+    is_gram = known.gram >= 0
+    grams, n = known.gram[is_gram].to_numpy(np.int64).view(np.uint64), known.n[is_gram].to_numpy(np.int64)
+    ends = int(n[grams & np.uint64(255) == END].sum())
+    total = int(known.n[~is_gram].sum()) + ends
+    short = docs.sparkSession.sparkContext.broadcast(tree_levels(grams, n, range(SHORT + 1)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
 
+    def unit_rows(task: int, unit: int, held: list) -> Iterator[pd.DataFrame]:
+        """A unit's distinct grams with their training counts, by branch."""
+        some, n = _summed(np.concatenate([grams for grams, _ in held]), np.concatenate([n for _, n in held]))
+        part = branch_of(some, parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = []
+        for p in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[p] : cuts[p + 1]]
+            rows.append((parts + int(p), task, unit, 0, 0, some[at].tobytes(), n[at].tobytes(), b"", b"", b""))
+        yield pd.DataFrame(rows, columns=names)
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, chunk = TaskContext.get().partitionId(), 0
+        task, chunk, unit_grams = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             texts = batch["text"].tolist()
             for low, high in text_chunks(texts, CHUNK):
+                unit = chunk // UNIT
                 words = find_words(texts[low:high])
-                places, number = distinct_words(words)
-                grams, word = word_grams(words, places)
-                some, at = np.unique(grams, return_inverse=True)
-                cost = np.bincount(word, tree.value.score(some)[at], len(places))
                 size = high - low
-                score = np.bincount(words.text, cost[number], size) + tree.value.score(np.array([END_GRAM]))[0]
                 held_out = batch["held_out"].iloc[low:high].to_numpy(bool)
+                unit_grams.append(text_grams(words, (~held_out).astype(np.int64)))
                 ids = json.dumps(batch["doc_id"].iloc[low:high].tolist()).encode()
-                rows = [(-1, task, chunk, size, ids, held_out.tobytes(), np.bincount(words.text, minlength=size).tobytes(), score.tobytes(), b"")]
+                many_words = np.bincount(words.text, minlength=size).astype(np.int64)
+                text = json.dumps(texts[low:high]).encode()
+                rows = [(-1, task, unit, chunk, size, ids, held_out.tobytes(), many_words.tobytes(), pa.compress(text, "zstd", asbytes=True), str(len(text)).encode())]
                 # One entry per distinct word of a document; words grouped by hash range.
+                places, number = distinct_words(words)
                 entry, n = np.unique(number * size + words.text, return_counts=True)
                 owner, text = entry // size, entry % size
                 learned = np.bincount(owner, n * ~held_out[text], len(places)).astype(np.int64)
@@ -301,19 +355,35 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                     w, x = slice(cuts[p], cuts[p + 1]), slice(entries[p], entries[p + 1])
                     many = np.bincount(owner[x] - cuts[p], minlength=cuts[p + 1] - cuts[p])
                     packed = [first[w], second[w].astype(np.uint32), learned[w].astype(np.int32), many.astype(np.int32), np.stack([text[x], n[x]]).astype(np.int32)]
-                    rows.append((int(p), task, chunk, size, *[array.tobytes() for array in packed]))
+                    rows.append((int(p), task, unit, chunk, size, *[array.tobytes() for array in packed]))
                 yield pd.DataFrame(rows, columns=names)
                 chunk += 1
+                if chunk % UNIT == 0:
+                    yield from unit_rows(task, unit, unit_grams)
+                    unit_grams = []
+        if unit_grams:
+            yield from unit_rows(task, (chunk - 1) // UNIT, unit_grams)
 
-    schema = "part int, task int, chunk int, size int, a binary, b binary, c binary, d binary, e binary"
+    schema = "part int, task int, unit int, chunk int, size int, a binary, b binary, c binary, d binary, e binary"
     names = [field.split()[0] for field in schema.split(", ")]
     # Ids travel as text, which tells nulls from numbers.
     sent = kept.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(spread, schema)
 
+    def score_branch(group: pd.DataFrame) -> pd.DataFrame:
+        """The branches of a part, grown from the grams of all units, and the log probabilities of the grams of each unit."""
+        held = [np.frombuffer(a, np.uint64) for a in group["a"]]
+        some, n = _summed(np.concatenate(held), np.concatenate([np.frombuffer(b, np.int64) for b in group["b"]]))
+        learned = n > 0
+        tree = SuffixTree(pd.concat([short.value, tree_levels(some[learned], n[learned], range(SHORT + 1, DEPTH + 1))], ignore_index=True))
+        logs = tree.score(some).astype(np.float32)
+        return group.assign(a=[logs[np.searchsorted(some, grams)].tobytes() for grams in held], b=b"", distinct=0)
+
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
         """Counts of all words of a hash range, then each chunk's sums per document; the documents themselves pass through."""
         if group["part"].iloc[0] < 0:
             return group.assign(distinct=0)
+        if group["part"].iloc[0] >= parts:
+            return score_branch(group)
         first = np.concatenate([np.frombuffer(a, np.uint64) for a in group["a"]])
         second = np.concatenate([np.frombuffer(b, np.uint32) for b in group["b"]])
         learned = np.concatenate([np.frombuffer(c, np.int32) for c in group["c"]])
@@ -330,8 +400,8 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
             word = np.repeat(number[at : at + len(many)], many)
             at += len(many)
             texts, where = np.unique(text, return_inverse=True)
-            found.append((row.task, row.chunk, texts.astype(np.int32).tobytes(), np.bincount(where, n * log[word]).tobytes(), np.bincount(where, n * seen[word]).tobytes()))
-        frame = pd.DataFrame(found, columns=["task", "chunk", "a", "b", "c"]).assign(part=group["part"].iloc[0], size=0, d=b"", e=b"", distinct=0)
+            found.append((row.task, row.unit, row.chunk, texts.astype(np.int32).tobytes(), np.bincount(where, n * log[word]).tobytes(), np.bincount(where, n * seen[word]).tobytes()))
+        frame = pd.DataFrame(found, columns=["task", "unit", "chunk", "a", "b", "c"]).assign(part=group["part"].iloc[0], size=0, d=b"", e=b"", distinct=0)
         frame.loc[0, "distinct"] = int(seen.sum())
         return frame[[*group.columns, "distinct"]]
 
@@ -343,21 +413,46 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     unit, end_log = np.log10(total + 0.1 * (distinct + 1)), np.log10(ends + 0.1)
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
-        """One chunk: its documents, and the sums of their words from all hash ranges."""
-        head = group[group["part"] < 0].iloc[0]
-        size = int(head["size"])
-        words, logs, known = np.frombuffer(head["c"], np.int64), np.full(size, end_log), np.full(size, int(ends > 0), np.int64)
-        for row in group[group["part"] >= 0].sort_values("part").itertuples(index=False):
-            texts = np.frombuffer(row.a, np.int32)
-            logs[texts] += np.frombuffer(row.b, np.float64)
-            known[texts] += np.frombuffer(row.c, np.float64).astype(np.int64)
-        tokens = words + 1
-        return pd.DataFrame(
-            {
-                "doc_id": json.loads(bytes(head["a"])), "held_out": np.frombuffer(head["b"], bool), "n_tokens": tokens, "n_known": known,
-                "train_tokens": total, "base_score": logs - tokens * unit, "score": np.frombuffer(head["d"], np.float64),
-            }
-        )
-
-    done = summed.groupBy("task", "chunk").applyInPandas(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        """One unit: its documents, the sums of their words from all hash ranges, and their symbols by the replies of all branches."""
+        heads = group[group["part"] < 0].sort_values("chunk")
+        sums = dict(list(group[(group["part"] >= 0) & (group["part"] < parts)].groupby("chunk")))
+        replies = {row.part - parts: np.frombuffer(row.a, np.float32) for row in group[group["part"] >= parts].itertuples(index=False)}
+        kept_texts = [json.loads(pa.decompress(head.d, int(head.e), "zstd", asbytes=True)) for head in heads.itertuples(index=False)]
+        every, chunks = [], []
+        for texts in kept_texts:
+            words = find_words(texts)
+            places, number = distinct_settings(words)
+            grams, word = word_grams(words, places)
+            every.append(np.unique_values(np.append(grams, words.ends)))
+            every[-1].sort()
+            chunks.append((grams, word, len(places), number, words.text, words.ends))
+        some = np.concatenate(every)
+        some.sort()
+        some = some[np.concatenate([[True], some[1:] != some[:-1]])]
+        part, price = branch_of(some, parts), np.empty(len(some))
+        order = np.argsort(part, kind="stable")
+        price[order] = np.concatenate([replies[p] for p in sorted(replies)])
+        found = []
+        for head, (grams, word, settings, number, text, last) in zip(heads.itertuples(index=False), chunks):
+            size = int(head.size)
+            cost = np.bincount(word, price[np.searchsorted(some, grams)], settings)
+            score = np.bincount(text, cost[number], size) + price[np.searchsorted(some, last)]
+            words, logs, known = np.frombuffer(head.c, np.int64), np.full(size, end_log), np.full(size, int(ends > 0), np.int64)
+            rows = sums.get(head.chunk)
+            for row in rows.sort_values("part").itertuples(index=False) if rows is not None else ():
+                texts = np.frombuffer(row.a, np.int32)
+                logs[texts] += np.frombuffer(row.b, np.float64)
+                known[texts] += np.frombuffer(row.c, np.float64).astype(np.int64)
+            tokens = words + 1
+            found.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": json.loads(bytes(head.a)), "held_out": np.frombuffer(head.b, bool), "n_tokens": tokens, "n_known": known,
+                        "train_tokens": total, "base_score": logs - tokens * unit, "score": score,
+                    }
+                )
+            )
+        return pd.concat(found, ignore_index=True)
+
+    done = summed.groupBy("task", "unit").applyInPandas(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -58,3 +58,56 @@ def test_edge_cases(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     none = suffix_tree.score_texts(spark.createDataFrame([(i, "word") for i in held], schema)).collect()
     assert all((r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score < 0 for r in none)
+
+
+def test_contexts_cross_word_borders(spark):
+    """After "red " comes always "fox", after "big " always "cat": only the word before tells which."""
+    texts = ["red fox big cat " * 20] * 30
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    tree = suffix_tree.grow(suffix_tree.gram_counts(docs, F.lit(True)))
+    words = suffix_tree.find_words(["big red fox", "red big fox"])
+    first = [words.grams[words.start[2]], words.grams[words.start[5]]]  # the f of fox, after red and after big
+    likely, unlikely = tree.score(np.array(first, np.uint64))
+    assert likely > -0.05 and unlikely < -1.5
+
+
+def test_rare_contexts_stay_states(spark):
+    """A context that diverges is a state however large the share of other texts is."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghij")
+    hot = [(i, " ".join("".join(rng.choice(letters, 6)) for _ in range(400))) for i in range(300)]
+    rare = [(1000 + i, "zyxwa vyxwb") for i in range(8)]
+    docs = spark.createDataFrame(hot + rare, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    counts = suffix_tree.gram_counts(docs, F.lit(True))
+    tree = suffix_tree.grow(counts)
+    seen = int.from_bytes(b"zyxw", "big")  # what stands before "yxw" tells a from b
+    assert counts.filter("gram >= 0").agg(F.sum("n")).first()[0] * 1e-5 > 8 and seen in tree.contexts[3].tolist()
+
+
+def test_parts_score_like_the_whole_tree(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_tree, "CHUNK", 300)
+    monkeypatch.setattr(suffix_tree, "UNIT", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "été", "gamma", "x"], rng.integers(0, 30)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
+    kept = spark.createDataFrame([row for row, used in zip(rows, learned) if used], "doc_id long, text string")
+    tree = suffix_tree.grow(suffix_tree.gram_counts(kept, F.lit(True)))
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(docs).collect()}
+    for i, text in rows:
+        words = suffix_tree.find_words([text])
+        grams = np.append(words.grams[1:], words.ends)
+        assert got[i] == pytest.approx(tree.score(grams).sum(), rel=1e-5)
+
+
+def test_held_out_score_beats_word_counts(spark):
+    from marketsense.llm import queries
+
+    held = queries.op7_suffix_tree_scores(spark, "/root/testdata/sf0.1").filter("held_out").toPandas()
+    assert held.score.sum() > held.base_score.sum()
