@@ -192,11 +192,26 @@ def _spanning(left: tuple, right: tuple | None, depth: int, bits: int, differing
     return forest_ids[tied], forest_ids[up[tied]]
 
 
-def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = None, leaf: int = LEAF) -> DataFrame:
+def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing: int, budget: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (smaller id, larger id) between two subtries or within one whose ends are of different groups (the last word)."""
+    keys, ids, words = left
+    other, other_ids, other_words = right if right is not None else left
+    for a, b in walk_pairs(keys, other, right is None, depth, bits, differing, budget):
+        open_ = words[a, -1] != other_words[b, -1]
+        a, b = a[open_], b[open_]
+        near = np.bitwise_count(words[a, :-1] ^ other_words[b, :-1]).sum(axis=1) <= total
+        one, two = ids[a[near]], other_ids[b[near]]
+        if len(one):
+            yield np.minimum(one, two), np.maximum(one, two)
+
+
+def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = None, leaf: int = LEAF, apart: bool = False) -> DataFrame:
     """Links (a, b) between ids whose keys of one table differ in at most ``budget`` bits; together they span every component.
 
     ``keyed``: table int, key long (its low ``bits`` bits), id long, words binary.  With
-    ``total``, a link also needs at most ``total`` differing bits in ``words``.
+    ``total``, a link also needs at most ``total`` differing bits in ``words``.  With
+    ``apart``, ``words`` end with the number of a group, and all links between different
+    groups are returned instead of spanning ones.
     """
     pending = stage(keyed, "trie-keys")
     size = pending.groupBy("table").count().agg(F.max("count")).first()[0] or 0
@@ -260,8 +275,10 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
                 left = unpack(row.u_n, row.u_keys, row.u_ids, row.u_words)
                 own = (row.u_depth, row.u_prefix, row.u_block) == (row.v_depth, row.v_prefix, row.v_block)
                 right = None if own else unpack(row.v_n, row.v_keys, row.v_ids, row.v_words)
-                a, b = _spanning(left, right, min(row.u_depth, row.v_depth), bits, int(row.differing), budget, total)
-                yield pd.DataFrame({"a": a, "b": b})
+                depth = min(row.u_depth, row.v_depth)
+                found = _between(left, right, depth, bits, int(row.differing), budget, total) if apart else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
+                for a, b in found:
+                    yield pd.DataFrame({"a": a, "b": b})
 
     # The join with the right side has dealt the pairs out by node already; moving full leaves once more is not worth it.
     return work.mapInPandas(link, "a long, b long").distinct()
@@ -323,31 +340,87 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 3, leaf: i
     return signed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def set_signatures(docs: DataFrame, width: int, planes: int, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    """(doc_id, row, signature, digest): signature and 128-bit digest of the set of shingles of each row."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            signed, digests = [], []
+            for text in batch["text"]:
+                hashes = np.unique(shingle_hashes(text, width))
+                signed.append(b"".join(word.to_bytes(8, "big") for word in majority_bits(hashes, planes)))
+                digests.append(xxhash.xxh128_digest(hashes.tobytes(), SEED))
+            yield batch[["doc_id", "row"]].assign(signature=signed, digest=digests)
+
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(row_col).cast("string").alias("row"), F.col(text_col).alias("text"))
+    signed = chosen.mapInPandas(sign, "doc_id string, row string, signature binary, digest binary")
+    return signed.select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("row").cast("long"), "signature", "digest")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``; ``texts``: id, text."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["id"]].assign(shingles=[np.unique(shingle_hashes(text, width)).tobytes() for text in batch["text"]])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch["left"], batch["right"]):
+                one, two = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stage(texts.join(ids, "id", "left_semi").mapInPandas(cut, "id long, shingles binary"), "near-shingles")
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+    return joined.mapInPandas(compare, "a long, b long")
+
+
 def near_copies(
-    docs: DataFrame, row_col: str, width: int = 5, planes: int = 4, band_bits: int = 24, budget: int = 2, similarity: float = 0.8, leaf: int = 16 * LEAF,
+    docs: DataFrame, row_col: str, width: int = 5, planes: int = 4, band_bits: int = 24, budget: int = 3, similarity: float = 0.8, leaf: int = 16 * LEAF,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, row, keep): of each group of near-copies the row with the smallest id stays; ``row_col`` numbers the rows of ``docs``.
 
-    Near means that the wide signature (``planes`` words) says the shingle sets are
-    about ``similarity`` alike (Jaccard): the angle of two such sets fixes the expected
-    share of differing bits.  Pairs are found by trie joins of the signature's bands of
-    ``band_bits`` bits, so each pair has several chances (ten bands find 96 % of the
-    pairs at 0.8, nearly all at 0.9); a link is only kept if the whole signature agrees.  Rows without words are copies of each other.  Null ids come
-    last; rows of one id are ordered by row number.
+    Near means that the sets of shingles are at least ``similarity`` alike (Jaccard).
+    Candidates come from wide signatures (``planes`` words) of the sets, whose differing
+    bits follow from the angle of the sets: trie joins of bands of ``band_bits`` bits that
+    cover the signature find pairs within ``budget`` bits of a band, and the whole
+    signature may differ by three sigma more than expected at ``similarity``.  The exact
+    sets decide.  Spanning links of clearly near pairs are decided first; after that, only
+    pairs of still different groups are listed, all of them, so a large group of copies
+    costs no list of its pairs.  Rows without words are copies of each other.  Null ids
+    come last; rows of one id are ordered by row number.
     """
-    rows = stage(signatures(docs, width, planes, id_col, text_col, row_col), "near-signatures")
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * planes * np.arccos(cosine) / np.pi + 0.5 * np.sqrt(64 * planes * 0.13))
+    rows = stage(set_signatures(docs, width, planes, id_col, text_col, row_col), "near-signatures")
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    size = 64 * planes
+    mean, sigma = size * share, np.sqrt(size * share * (1 - share))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    classes = stage(rows.groupBy("signature").agg(F.min(order).alias("least"), F.min("row").alias("id")), "near-classes")
-    digits = band_bits // 4
-    bands = F.array(*[F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("signature"), 1 + t * digits, digits), 16, 10).cast("long").alias("key")) for t in range(64 * planes // band_bits)])
-    keyed = classes.select(F.explode(bands).alias("band"), "id", F.col("signature").alias("words")).select("band.table", "band.key", "id", "words")
-    tree = components(trie_links(keyed, band_bits, budget, most, leaf))
-    rooted = classes.join(tree, classes.id == tree.node, "left").select("signature", "least", F.coalesce("root", "id").alias("root"))
+    # Rows of one class have the same set of shingles.
+    classes = stage(rows.groupBy("digest", "signature").agg(F.min(order).alias("least"), F.min("row").alias("id")), "near-classes")
+    texts = docs.select(F.col(row_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    digits, every = band_bits // 4, size // 4
+    begins = [min(start, every - digits) for start in range(0, every, digits)]
+    bands = F.array(*[F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("signature"), 1 + begin, digits), 16, 10).cast("long").alias("key")) for t, begin in enumerate(begins)])
+
+    def keyed(words: Column, of: DataFrame) -> DataFrame:
+        return of.select(F.explode(bands).alias("band"), "id", words.alias("words")).select("band.table", "band.key", "id", "words")
+
+    clear = stage(trie_links(keyed(F.col("signature"), classes), band_bits, 1, int(mean - 3 * sigma), leaf), "near-clear")
+    sure = stage(verified(clear, texts, width, similarity), "near-sure")
+    tree = components(sure)
+    grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", F.coalesce("root", "id").alias("root")), "near-groups")
+    numbered = F.concat("signature", F.unhex(F.lpad(F.hex("root"), 16, "0")))
+    open_ = stage(trie_links(keyed(numbered, grouped), band_bits, budget, int(mean + 3 * sigma), leaf, apart=True), "near-open")
+    links = sure.union(verified(open_, texts, width, similarity))
+    tree = components(links)
+    rooted = classes.join(tree, classes.id == tree.node, "left").select("digest", "signature", "least", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    return rooted.join(least, "root").join(rows, "signature").select("doc_id", "row", (F.col("first.row") == F.col("row")).alias("keep"))
+    return rooted.join(least, "root").join(rows, ["digest", "signature"]).select("doc_id", "row", (F.col("first.row") == F.col("row")).alias("keep"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,3 +108,34 @@ def test_near_copies_keep_one_of_each_group(spark, leaf):
     kept = sorted(r.doc_id for r in simhash.near_copies(docs, "near_row", leaf=leaf).filter("keep").collect())
     assert leaf == 16 or sorted(simhash.drop_near_copies(docs).collect()) == sorted(r for r in docs.collect() if r.doc_id in kept and r.near_row != 62)
     assert kept == [5 * g for g in range(12)] + [900, 950]
+
+
+def altered(words, share, rng):
+    """A copy whose five-word shingle set has about ``share`` of its Jaccard similarity with the words'."""
+    changed = list(words)
+    for n in range(10**6):
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, changed)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if alike <= share + 0.01:
+            return changed, alike
+        changed[rng.integers(len(words))] = f"n{n}"
+
+
+def test_near_copies_are_decided_by_shingle_sets(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for place in range(160):
+        words = [f"g{k}" for k in rng.integers(0, 10**6, 500)]
+        copy, alike = altered(words, [0.7, 0.75, 0.8, 0.83][place % 4], rng)
+        rows += [(2 * place, " ".join(words)), (2 * place + 1, " ".join(copy))]
+        want[2 * place + 1] = alike
+    repeated = "one two three four five six seven " * 60  # few shingles make most of the text, the sets are not alike
+    rows += [(900, repeated + " ".join(f"p{k}" for k in range(20))), (901, repeated + " ".join(f"q{k}" for k in range(20)))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, near_row long")
+    kept = {r.doc_id for r in simhash.near_copies(docs, "near_row").filter("keep").collect()}
+    assert {900, 901} <= kept and all(2 * place in kept for place in range(160))
+    assert all(i in kept for i, alike in want.items() if alike < 0.8)
+    near = [i for i, alike in want.items() if alike >= 0.8]
+    found = sum(i not in kept for i in near) / len(near)
+    print("recall", found, len(near))
+    assert len(near) > 60 and found >= 0.97
