@@ -1,9 +1,10 @@
 """Toxicity: restore disguised words by noisy-channel decoding, then score the restored text.
 
 A writer's word passes a channel that swaps letters for look-alikes, repeats letters,
-and puts marks or spaces between them.  A character trigram model of the corpus says
+and puts marks or spaces between them, or marks in place of spaces.  A character trigram model of the corpus says
 which restored word is likely; Viterbi decoding finds the likeliest path through the
-lattice of readings of each odd-looking token.  A logistic model over restored words
+lattice of readings of each odd-looking token, and of each run of short pieces with the
+blanks between them.  A logistic model over restored words
 and their beginnings gives the score.
 """
 
@@ -34,9 +35,12 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "¥": "y",
 }
 MARKS = set("._-*~'^·/\\​­")
-# Costs in natural logarithms: a letter read as it stands, a look-alike, a dropped mark,
+# Costs in natural logarithms: a letter or blank read as it stands, a look-alike, a dropped
+# mark or blank (or a mark read as a blank),
 # a dropped letter of a run of three or more, one of a pair.
 PLAIN, SWAP, MARK, REPEAT, DOUBLE = 0.0, -2.0, -1.0, -0.5, -4.0
+SPACED = -2.0  # a dropped blank between single letters
+GAP = -3.0  # a dropped blank or mark that does not stand among single letters
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER = 0, 27  # start and end of a word; any letter that is not a-z
@@ -83,34 +87,68 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log((three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20))
 
 
-def decode(token: str, model: Sequence) -> str:
-    """The likeliest letters behind a token, by Viterbi search over (two last symbols)."""
-    states = {(EDGE, EDGE): (0.0, "")}
+def decode(token: str, model: Sequence, borders: bool = False) -> str:
+    """The likeliest letters behind a token, by Viterbi search over (two last symbols).
+
+    With ``borders`` the token may be several words: a blank is kept or dropped, any
+    other sign but letters and digits may stand for a blank, and blanks part the result.
+    """
+    states = {(EDGE, EDGE): 0.0}
+    steps = []  # for each place: where each state comes from, and what was read
     for place, char in enumerate(token):
         readings = []
         if char.isalpha():
-            readings.append((char, PLAIN))
-        readings += [(letter, SWAP) for letter in LOOKALIKES.get(char, "")]
+            readings.append((char, symbol_of(char), PLAIN))
+        readings += [(letter, symbol_of(letter), SWAP) for letter in LOOKALIKES.get(char, "")]
         drop = MARK if char in MARKS or not readings else None
         if char.isalpha() and place and token[place - 1] == char:
             drop = REPEAT if token[place - 2 : place] == 2 * char or token[place : place + 2] == 2 * char else DOUBLE
+        blank = char.isspace()
+        if borders and drop is not None and not char.isalnum():
+            drop = GAP if not _between_letters(token, place, blank) else SPACED if blank else drop
+        if borders and not char.isalnum():
+            readings.append((" ", EDGE, PLAIN if blank else MARK))
         after: dict = {}
-        for (a, b), (score, text) in states.items():
-            for letter, cost in readings:
-                c = symbol_of(letter)
-                value = score + cost + model[a][b][c]
-                if (b, c) not in after or value > after[b, c][0]:
-                    after[b, c] = value, text + letter
-            if drop is not None and ((a, b) not in after or score + drop > after[a, b][0]):
-                after[a, b] = score + drop, text
+        came: dict = {}
+        for state, score in states.items():
+            a, b = state
+            row = model[a][b]
+            for letter, c, cost in readings:
+                if c == EDGE and b == EDGE and letter == " ":
+                    value, to, letter = score + cost, state, ""  # a border already
+                else:
+                    value, to = score + cost + row[c], (b, c)
+                if to not in after or value > after[to]:
+                    after[to], came[to] = value, (state, letter)
+            if drop is not None and (state not in after or score + drop > after[state]):
+                after[state], came[state] = score + drop, (state, "")
+        steps.append(came)
         states = after
-    return max(states.items(), key=lambda item: (item[1][0] + model[item[0][0]][item[0][1]][EDGE], item[1][1]))[1][1]
+    last = max(states, key=lambda state: states[state] + (0.0 if borders and state[1] == EDGE else model[state[0]][state[1]][EDGE]))
+    found = []
+    for came in reversed(steps):
+        last, letter = came[last]
+        found.append(letter)
+    return "".join(reversed(found))
+
+
+def _between_letters(token: str, place: int, blank: bool) -> bool:
+    """Whether a blank has single letters (repeats aside) on both sides, or another mark one on either side."""
+    low, high = place, place + 1
+    while low and not token[low - 1].isalnum() and token[low - 1] not in LOOKALIKES:
+        low -= 1
+    while high < len(token) and not token[high].isalnum() and token[high] not in LOOKALIKES:
+        high += 1
+    far, near = token[max(0, low - 2) : low], token[high : high + 2]
+    before = len(far) < 2 or far[0] == far[1] or not (far[0].isalnum() or far[0] in LOOKALIKES)
+    after = len(near) < 2 or near[0] == near[1] or not (near[1].isalnum() or near[1] in LOOKALIKES)
+    return before and after if blank else before or after
 
 
 _TRIM = re.compile(r"^[^\w@$!|+€£¡¥]+|[^\w@$€£¥]+$|\W{2,}$")
 _THRICE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:[ ._*-]+\w){2,}(?=\s|[.,;:!?]|$)")
 LONGEST = 40  # a longer token is no disguised word and is left as it is
+PIECE = 3  # signs of a piece that may be a part of a word set apart
 
 
 def odd(token: str) -> bool:
@@ -118,30 +156,45 @@ def odd(token: str) -> bool:
     return len(token) <= LONGEST and any(map(str.isalpha, token)) and (not token.isalpha() or _THRICE.search(token) is not None)
 
 
+def windows_of(tokens: list[str]) -> set[str]:
+    """Runs of two or more short pieces, and those of single signs in them: the lattice of each holds the blanks between them."""
+    found: set[str] = set()
+    for most in (1, PIECE):
+        run: list[str] = []
+        for token in [*tokens, ""]:
+            token = token.rstrip(".,;:!?") or token
+            if 0 < len(token) <= most and (len(token) == 1 or not token.isdigit()):
+                run.append(token)
+                continue
+            if len(run) > 1:
+                found.add(" ".join(run))
+            run = []
+    return found
+
+
 def restored_words(text: str | None, model: Sequence, known: dict[str, str]) -> set[str]:
-    """The distinct words of a text after restoring; ``known`` keeps decoded tokens."""
-    lower = (text or "").lower()
+    """The distinct words of a text after restoring; ``known`` keeps decoded tokens and windows."""
+    tokens = (text or "").lower().split()
     words: set[str] = set()
-    tokens = set(lower.split())
-    # Letters set apart by blanks or marks are read together as well.
-    tokens.update("".join(filter(str.isalnum, run.group())) for run in _SPACED.finditer(lower))
-    for token in tokens:
+    # Pieces set apart by blanks are read together as well.
+    disguised = windows_of(tokens)
+    for token in set(tokens):
         if token.isalpha() and not (token[:1] * 3 in token or _THRICE.search(token)):
             words.add(token)
             continue
         core = _TRIM.sub("", _TRIM.sub("", token))
         if not core:
             continue
-        if core.isalpha() and not _THRICE.search(core):
-            words.add(core)
-        elif odd(core):
-            if core not in known:
-                if len(known) > KNOWN_TOKENS:
-                    known.clear()
-                known[core] = decode(core, model)
-            words.add(known[core])
+        if odd(core):
+            disguised.add(core)
         else:
             words.add(core)
+    for part in disguised:
+        if part not in known:
+            if len(known) > KNOWN_TOKENS:
+                known.clear()
+            known[part] = decode(part, model, borders=True)
+        words.update(known[part].split())
     words.discard("")
     return words
 

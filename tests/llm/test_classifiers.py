@@ -142,3 +142,22 @@ def test_toxicity_edges(spark):
     bare = toxicity.train(docs.limit(0), labels.limit(0))
     assert {r.score for r in toxicity.score_toxicity(docs, bare).collect()} == {0.5}
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    """Letter model of sf0.01 and of sentences with the words that are disguised."""
+    said = ["you are a stupid man", "i hate you", "an idiot and a stupid idiot", "everyone knows it here"] * 400
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in said], "text string"))
+    return toxicity.language_model(toxicity.letter_trigrams(docs)).tolist()
+
+
+@pytest.mark.parametrize(
+    "seen, meant",
+    [
+        ("you are a s t u p i d man", {"stupid", "man", "you", "a"}), ("i h a t e you", {"i", "hate", "you"}), ("i d i o t s t u p i d", {"idiot", "stupid"}),
+        ("$ t u p i d", {"stupid"}), ("s t u p ! d", {"stupid"}), ("s\tt\nu\tp\ni\td", {"stupid"}), ("an id iot", {"idiot"}), ("s t u p ii d", {"stupid"}),
+    ],
+)
+def test_spaced_words_are_restored(spoken, seen, meant):
+    assert meant <= toxicity.restored_words(seen, spoken, {})
