@@ -147,13 +147,12 @@ def _between_letters(token: str, place: int, blank: bool) -> bool:
 
 _TRIM = re.compile(r"^[^\w@$!|+€£¡¥]+|[^\w@$€£¥]+$|\W{2,}$")
 _THRICE = re.compile(r"(.)\1\1")
-LONGEST = 40  # a longer token is no disguised word and is left as it is
 PIECE = 3  # signs of a piece that may be a part of a word set apart
 
 
 def odd(token: str) -> bool:
     """Whether a trimmed token may be disguised: letters among other signs, or a letter three times in a row."""
-    return len(token) <= LONGEST and any(map(str.isalpha, token)) and (not token.isalpha() or _THRICE.search(token) is not None)
+    return any(map(str.isalpha, token)) and (not token.isalpha() or _THRICE.search(token) is not None)
 
 
 def windows_of(tokens: list[str]) -> set[str]:

@@ -161,3 +161,10 @@ def spoken(spark):
 )
 def test_spaced_words_are_restored(spoken, seen, meant):
     assert meant <= toxicity.restored_words(seen, spoken, {})
+
+
+def test_long_tokens_are_restored(spoken):
+    words = lambda text: toxicity.restored_words(text, spoken, {})
+    assert "stupid" in words("st" + "u" * 60 + "pid")
+    assert "stupid" in words(".-.-.-.-.-".join("stupid"))
+    assert {"you", "are", "idiot", "everyone", "knows", "here"} <= words("you.are.an.id1ot.and.everyone.knows.it.here")
