@@ -9,6 +9,7 @@ store that Spark can write to.  Reading frames records by Content-Length only.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -105,7 +106,11 @@ _FIELDS = {
 
 
 def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive, framed by Content-Length; a broken rest raises ValueError."""
+    """The records of one archive, framed by Content-Length; a broken rest raises ValueError.
+
+    Size and digest of a response's payload are those of the bytes read; a revisit has
+    the ones its headers name.
+    """
     place = 0
     while place < len(content):
         if not content.startswith(b"WARC/", place):
@@ -121,7 +126,11 @@ def parse_records(content: bytes) -> Iterator[dict]:
         record = dict.fromkeys(["type", "record_id", "concurrent_to", "refers_to", "target_uri", "digest", "payload_length", "profile"])
         record |= {ours: named[theirs].decode() for theirs, ours in _FIELDS.items() if theirs in named}
         record["block"] = content[start : start + size]
-        if record["type"] in ("response", "revisit"):
+        if record["type"] == "response":
+            # What was read counts, not what the headers say.
+            payload = record["block"].partition(b"\r\n\r\n")[2]
+            record["payload_length"], record["digest"] = len(payload), f"sha256:{hashlib.sha256(payload).hexdigest()}"
+        elif record["type"] == "revisit":
             head = record["block"].partition(b"\r\n\r\n")[0]
             length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
             record["payload_length"] = int(length[1]) if length else None

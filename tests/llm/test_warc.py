@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -45,3 +46,13 @@ def test_empty_and_broken_archives(spark, tmp_path):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort"))
     with pytest.raises(ValueError):
         list(warc.parse_records(b"junk"))
+
+
+def test_damaged_payload_shows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a" * 120), (2, "u", "a" * 120)], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_captures(pages), str(tmp_path / "w"))
+    content = b"".join(gzip.decompress(file.read_bytes()) for file in sorted((tmp_path / "w").glob("part-*")))
+    records = {r["type"]: r for r in warc.parse_records(content.replace(b"a" * 120, b"a" * 60 + b"b" * 60))}
+    damaged, meant = hashlib.sha256(b"a" * 60 + b"b" * 60).hexdigest(), hashlib.sha256(b"a" * 120).hexdigest()
+    assert (records["response"]["digest"], records["response"]["payload_length"]) == (f"sha256:{damaged}", 120)
+    assert (records["revisit"]["digest"], records["revisit"]["payload_length"]) == (f"sha256:{meant}", 120)
