@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketsense.llm import fingerprints, language, maxscore, mixing, packing, periodic, quality, simhash, suffix_tree, toxicity, warc
+from marketsense.llm import alignment, fingerprints, language, maxscore, mixing, packing, periodic, projection_forest, quality, simhash, suffix_tree, toxicity, warc
 from marketsense.llm.common import WORD
 from marketsense.session import join_path, shared_folder
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return projection_forest.nearest(vectors, vectors.filter(F.col("id") % 20 == 0), 20)
+
+
+def op13_aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(groups):
+        return F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+
+    aligned = alignment.align_documents(_table(spark, sf_dir, "documents"), TOKENIZER, PIECES, RANKS, digest)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_maxscore_search": op2_maxscore_search,
@@ -113,6 +127,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_boosted_quality": op10_boosted_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_forest_neighbours": op12_forest_neighbours,
+    "op13_aligned_tokens": op13_aligned_tokens,
 }
 
 ORACLES = {
