@@ -59,16 +59,52 @@ def test_a_failing_model_does_not_stop_the_other(merged):
     assert status["random_forest"].startswith("failed") and status["boosted_trees"] == "ok"
 
 
-@pytest.mark.parametrize("block", [4096, 13])
-def test_neighbours_equal_brute_force(spark, block):
-    rng = np.random.default_rng(3)
-    x = rng.integers(0, 6, size=(60, 3)).astype(float)
-    points = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "point bigint, features array<double>")
-    got = sampling.nearest_neighbours(points, 60, k=5, block=block).orderBy("point", "place").toPandas()
+def brute_neighbours(x, k):
     distance = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(distance, np.inf)
-    want = np.argsort(distance, axis=1, kind="stable")[:, :5]
-    assert got.neighbour.to_numpy().reshape(60, 5).tolist() == want.tolist()
+    return np.argsort(distance, axis=1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("ring", [4096, 13, 3])
+@pytest.mark.parametrize("kind", ["ties", "clusters", "copies"])
+def test_neighbours_equal_brute_force(spark, ring, kind):
+    rng = np.random.default_rng(3)
+    if kind == "ties":
+        x = rng.integers(0, 6, size=(60, 3)).astype(float)
+    elif kind == "clusters":
+        x = rng.normal(size=(6, 4))[rng.integers(0, 6, 200)] * 50 + rng.normal(size=(200, 4))
+    else:  # a third of all rows are one vector, some others come twice
+        x = np.concatenate([np.full((70, 2), 0.5), rng.integers(0, 12, size=(130, 2)) / 7])
+    points = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "point bigint, features array<double>").repartition(5)
+    got = sampling.nearest_neighbours(points, k=5, ring=ring).orderBy("point", "place").toPandas()
+    assert got.neighbour.to_numpy().reshape(len(x), 5).tolist() == brute_neighbours(x, 5).tolist()
+
+
+def test_far_rings_are_never_met(spark):
+    """Of well parted clusters only rings of the same cluster meet."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(20, 3)) * 1000)[np.arange(2000) % 20] + rng.normal(size=(2000, 3))
+    distinct = spark.createDataFrame([(i, 1, list(map(float, v))) for i, v in enumerate(x)], "own bigint, copies int, features array<double>")
+    rows, bounds, pivots = sampling._rings(distinct, 5, 50)
+    rings = bounds.count()
+    assert bounds.agg({"n": "max"}).first()[0] <= 50 and rows.count() == 2000
+    assert sampling._ring_pairs(bounds, pivots, 5).count() < 0.2 * rings * rings
+
+
+def test_neighbours_of_few_points(spark):
+    make = lambda rows: spark.createDataFrame(rows, "point bigint, features array<double>")
+    assert sampling.nearest_neighbours(make([]), 3).collect() == []
+    assert sampling.nearest_neighbours(make([(4, [1.0])]), 3).collect() == []
+    assert sorted(map(tuple, sampling.nearest_neighbours(make([(4, [1.0]), (9, [2.0])]), 3).collect())) == [(4, 9, 0), (9, 4, 0)]
+    with pytest.raises(Exception, match="finite"):
+        sampling.nearest_neighbours(make([(4, [1.0]), (9, [float("nan")])]), 3).collect()
+
+
+def test_two_rows_against_a_million(spark):
+    df = spark.range(1_000_002).selectExpr("id", "cast(id >= 2 as int) as label", "array(cast(id as double), 1.0D) as features")
+    out = sampling.smote(df).where("id is null")
+    found = out.selectExpr("count(*) as n", "min(features[0]) as low", "max(features[0]) as high", "avg(features[0]) as middle", "min(label) as label").first()
+    assert (found.n, found.label) == (999_998, 0) and 0 <= found.low < 0.001 < 0.999 < found.high <= 1 and abs(found.middle - 0.5) < 0.01
 
 
 @pytest.mark.parametrize("small", [2, 7, 45])
