@@ -42,6 +42,8 @@ select doc_id, source, case doc_id % 20
   when 13 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":3} that garbage')
   when 14 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":3},{"id":"', k, '","body":"that"}')
   when 15 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":NaN}')
+  when 17 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":3} ]')
+  when 18 then concat('{"id":"', k, '","created_utc":', ts, ',"body":"', txt, '","score":3}],[{"id":"', k, '","body":"that"}')
   when 16 then concat('{"id":"first","created_utc":', ts, ',"body":"', txt, '","score":3,"id":"', k, '"}')
   else concat('{"id":"', k, '","author":"a', k, '","created_utc":', ts, ',"body":"', txt, '","score":', cast(doc_id % 50 - 5 as varchar(20)), '}')
   end as value

@@ -32,11 +32,15 @@ def json_object(line: Column) -> Column:
     """Top-level members of a line that is exactly one JSON object, as a map of strings; else null.
 
     The line is read as the only element of an array, so text behind the object
-    makes it malformed.  Single quotes and numbers JSON does not know are refused;
-    of a repeated key the last value counts.
+    makes it malformed.  A reader stops at the closing bracket, though, so a line that
+    brings one behind an object is read a second time, as the only member of an
+    object: each form refuses what the other lets through.  Single quotes and numbers
+    JSON does not know are refused; of a repeated key the last value counts.
     """
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
     listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", strict)
+    member = F.from_json(F.concat(F.lit('{"x":'), line, F.lit("}")), "map<string,string>", strict)
+    whole = ~line.rlike(r"\}\s*\]") | member.isNotNull()
 
     def last_values(members: Column) -> Column:
         keys = F.map_keys(members)
@@ -47,7 +51,7 @@ def json_object(line: Column) -> Column:
         single = F.map_from_entries(F.filter(F.map_entries(members), is_last))
         return F.when(F.size(F.array_distinct(keys)) < F.size(keys), single).otherwise(members)
 
-    return let(listed, lambda items: F.when(F.size(items) == 1, let(F.get(items, F.lit(0)), last_values)))
+    return let(listed, lambda items: F.when((F.size(items) == 1) & whole, let(F.get(items, F.lit(0)), last_values)))
 
 
 def has_key(fields: Column, key: str) -> Column:

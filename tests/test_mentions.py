@@ -88,11 +88,16 @@ def test_extraction_of_many_tickers_reads_once(spark):
     assert plan.count("Scan") == 1 and "Exchange" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("raw", ["{'id':'1','created_utc':1,'body':'x','score':3}", '{"id":"1"} more', '{"id":"1"},{"id":"2"}', '{"id":"1","score":NaN}', "[1]", ""])
+@pytest.mark.parametrize("raw", ["{'id':'1','created_utc':1,'body':'x','score':3}", '{"id":"1"} more', '{"id":"1"},{"id":"2"}', '{"id":"1","score":NaN}', "[1]", "", '{"id":"1"}]', '{"id":"1"} ]', '{"id":"1"}],[{"id":"2"}', '{"id":"}]"}}', '{"id":[{}]},"x":1'])
 def test_only_one_whole_object_is_a_line(spark, raw):
     assert ndjson.parse_lines(lines(spark, raw)).first().fields is None
 
 
+@pytest.mark.parametrize("raw", ['{"id":[{"a":1}]}', '{"id":"}]"}', ' {"id":[{}] } '])
+def test_brackets_inside_an_object_are_fine(spark, raw):
+    assert list(ndjson.parse_lines(lines(spark, raw)).first().fields) == ["id"]
+
+
 def test_last_of_repeated_keys_counts(spark):
     assert ndjson.parse_lines(lines(spark, '{"id":"1","x":null,"id":"2"}')).first().fields == {"id": "2", "x": None}
 
