@@ -12,7 +12,6 @@ from marketsense.operators import align, daily, mentions as m
 from marketsense.plans.merged import merged_features
 from marketsense.plans.sentiment import current_features, sentiment_features
 from marketsense.schemas import LAGS, SENTIMENT, TECHNICAL
-from marketsense.session import stage
 
 WORD, NAME = "La", "la"
 
@@ -31,12 +30,12 @@ def _more_daily(spark, sf):
 
 
 def _asof(spark, sf):
-    days = stage(_daily(spark, sf), "daily").withColumn(
+    days = _daily(spark, sf).withColumn(
         "average_sentiment", F.when(F.dayofmonth("date") % 5 != 0, F.col("average_sentiment"))
     )
     found = align.asof_backward(fixtures.table(spark, sf, "bars").select("ticker", "date"), days)
     found = found.withColumns({n: F.col(n).cast("double") for n in ("mention_count", "total_score")})
-    return rounded(found.drop("pos", "_span"), 10, "average_sentiment")
+    return rounded(found.drop("pos"), 10, "average_sentiment")
 
 
 def _current(spark, sf):
@@ -61,7 +60,7 @@ QUERIES = {
     "trading_calendar": lambda s, d: align.trading_calendar(fixtures.table(s, d, "bars"), _more_daily(s, d)),
     "asof_sentiment": _asof,
     "sentiment_ma": lambda s, d: rounded(
-        daily.moving_average(stage(_daily(s, d), "daily").select("ticker", "date", "average_sentiment")),
+        daily.moving_average(_daily(s, d).select("ticker", "date", "average_sentiment")),
         10, "average_sentiment", "sentiment_moving_average_3d",
     ),
     "sentiment_features": lambda s, d: rounded(

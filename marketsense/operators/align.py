@@ -15,33 +15,26 @@ def trading_calendar(bars: DataFrame, daily: DataFrame) -> DataFrame:
     return days.unionByName(own)
 
 
-def asof_backward(calendar: DataFrame, facts: DataFrame) -> DataFrame:
+def asof_backward(calendar: DataFrame, facts: DataFrame, own_days: bool = False) -> DataFrame:
     """For each calendar day the latest facts row with date <= day, however old.
 
     The found row is taken as it is, nulls included, so whole rows are carried,
-    not columns.  Days before the first row get nulls.  Both sides are cut into
-    time spans; only the last row of each span crosses to later spans.  Also
-    returns ``pos``, the day's position in the calendar.
+    not columns.  Days before the first row get nulls.  Both sides are laid out as one
+    series per ticker: one exchange, one sort.  With ``own_days`` a ticker that the
+    calendar does not know trades on the days of its facts.  Also returns ``pos``, the
+    day's position.
     """
     names = [c for c in facts.columns if c not in ("ticker", "date")]
     row_type = facts.schema
     payload = F.struct(*names)
     days = calendar.select("ticker", "date", F.lit(1).alias("_day"), F.lit(None).cast(_struct(row_type, names)).alias("_row"))
-    rows = days.unionByName(facts.select("ticker", "date", F.lit(0).alias("_day"), payload.alias("_row")))
-    rows = series.placed(rows).withColumn("_span", series.span_of("date"))
-    carried: series.Carried = {
-        "_row_before": (
-            "max_by(_row, case when _row is not null then date end)",
-            "last(_row_before, true) over {before}",
-        ),
-        "_start": ("sum(_day)", "coalesce(sum(_start) over {before}, 0)"),
-    }
-    rows = series.carry_between(rows, "_span", carried)
-    so_far = Window.partitionBy("ticker", "_span").orderBy("date", "_day").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.coalesce(F.last("_row", ignorenulls=True).over(so_far), F.col("_row_before"))
-    position = F.col("_start") + F.sum("_day").over(so_far) - 1
-    rows = rows.withColumns({"_found": found, "pos": position}).where(F.col("_day") == 1)
-    return rows.select("ticker", "date", *[F.col("_found").getField(n).alias(n) for n in names], "pos", "_span")
+    rows = series.placed(days.unionByName(facts.select("ticker", "date", F.lit(0).alias("_day"), payload.alias("_row"))))
+    earlier = Window.partitionBy("ticker").orderBy("date", "_day").rowsBetween(Window.unboundedPreceding, 0)
+    if own_days:
+        known = F.max("_day").over(Window.partitionBy("ticker"))
+        rows = rows.withColumn("_day", F.when(known == 0, 1).otherwise(F.col("_day")))
+    rows = rows.withColumns({"_found": F.last("_row", ignorenulls=True).over(earlier), "pos": F.sum("_day").over(earlier) - 1})
+    return rows.where(F.col("_day") == 1).select("ticker", "date", *[F.col("_found").getField(n).alias(n) for n in names], "pos")
 
 
 def _struct(schema, names):

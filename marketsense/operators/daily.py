@@ -83,11 +83,10 @@ def sentiment_decision(scored: DataFrame) -> DataFrame:
 
 def moving_average(df: DataFrame, window: int = 3, column: str = AVERAGE) -> DataFrame:
     """Mean of the last ``window`` rows (not days); null unless all of them have a value."""
-    rows = series.cut_blocks(series.number_rows(df), before=window)
-    return series.own_rows(with_moving_average(rows, window, column)).drop("pos", "_block")
+    return with_moving_average(series.placed(df), window, column)
 
 
 def with_moving_average(rows: DataFrame, window: int = 3, column: str = AVERAGE) -> DataFrame:
-    frame = series.block_window().rowsBetween(1 - window, 0)
+    frame = series.ordered_window().rowsBetween(1 - window, 0)
     full = F.count(column).over(frame) == window
     return rows.withColumn(f"sentiment_moving_average_{window}d", F.when(full, F.avg(column).over(frame)))

@@ -17,11 +17,11 @@ def _pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _rolling(rows: int):
-    return series.block_window().rowsBetween(1 - rows, 0)
+    return series.ordered_window().rowsBetween(1 - rows, 0)
 
 
 def change_of(close: str = "close") -> Column:
-    return F.expr(f"{close} - lag({close}) over ({series.block_sql()})")
+    return F.expr(f"{close} - lag({close}) over ({series.ordered_sql()})")
 
 
 def with_ema(rows: DataFrame, spans: dict[str, int], value: str, halo: int, size: int) -> DataFrame:
@@ -36,7 +36,7 @@ def with_macd(rows: DataFrame, halo: int, size: int) -> DataFrame:
 
 
 def with_rsi(rows: DataFrame) -> DataFrame:
-    """RSI over the simple mean of 14 changes; needs 14 rows of halo.
+    """RSI over the simple mean of 14 changes.
 
     A missing first change counts as no change.  No losses: 100; neither gains
     nor losses: null.
@@ -54,8 +54,8 @@ def with_rsi(rows: DataFrame) -> DataFrame:
 
 
 def with_atr(rows: DataFrame) -> DataFrame:
-    """Mean true range of 14 rows; needs 14 rows of halo."""
-    previous = F.lag("close", 1).over(series.block_window())
+    """Mean true range of 14 rows."""
+    previous = F.lag("close", 1).over(series.ordered_window())
     true_range = F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous)
     )
@@ -80,19 +80,14 @@ def signed_volume(flat: str = "subtract") -> Column:
     return sign * F.col("volume")
 
 
-def obv_carry() -> series.Carried:
-    """Running total of the earlier blocks (``_flow`` holds the signed volume)."""
-    return {"_obv_before": ("sum(_flow)", "coalesce(sum(_obv_before) over {before}, 0.0D)")}
-
-
-def running_obv() -> Column:
-    so_far = f"({series.block_sql()} rows between unbounded preceding and current row)"
-    return F.expr(f"_obv_before + sum(_flow) over {so_far}")
+def with_obv(rows: DataFrame, flat: str = "subtract") -> DataFrame:
+    """Running total of the signed volume."""
+    return rows.withColumn("_flow", signed_volume(flat)).withColumn("obv", series.so_far("sum(_flow)")).drop("_flow")
 
 
 def lagged(names: list[str], steps: int) -> list[str]:
     """SQL of the lag columns, grouped by name."""
-    ordered = series.block_sql()
+    ordered = series.ordered_sql()
     return [f"lag({name}, {step}) over ({ordered}) as {name}_lag_{step}" for name in names for step in range(1, steps + 1)]
 
 
@@ -122,28 +117,23 @@ def macd(bars: DataFrame) -> DataFrame:
 
 
 def rsi(bars: DataFrame) -> DataFrame:
-    rows = series.cut_blocks(series.number_rows(_pick(bars, "close")), before=WINDOW)
-    return _pick(series.own_rows(with_rsi(rows)), "rsi")
+    return _pick(with_rsi(series.number_rows(_pick(bars, "close"))), "rsi")
 
 
 def atr(bars: DataFrame) -> DataFrame:
-    rows = series.cut_blocks(series.number_rows(_pick(bars, "close", "high", "low")), before=WINDOW)
-    return _pick(series.own_rows(with_atr(rows)), "atr")
+    return _pick(with_atr(series.placed(_pick(bars, "close", "high", "low"))), "atr")
 
 
 def obv(bars: DataFrame, flat: str = "subtract") -> DataFrame:
-    rows = series.cut_blocks(series.number_rows(_pick(bars, "close", "volume")), before=1)
-    rows = series.own_rows(rows.withColumn("_flow", signed_volume(flat)))
-    rows = series.carry_between(rows, "_block", obv_carry())
-    return _pick(rows.withColumn("obv", running_obv()), "obv")
+    return _pick(with_obv(series.placed(_pick(bars, "close", "volume")), flat), "obv")
 
 
 def lag_features(df: DataFrame, names: list[str] | None = None, steps: int = LAG_STEPS) -> DataFrame:
     """``<name>_lag_<k>`` for k = 1..steps, all in one window."""
     names = names or TECHNICAL
-    rows = series.cut_blocks(series.number_rows(_pick(df, *names)), before=steps)
+    rows = series.placed(_pick(df, *names))
     columns = [f"{name}_lag_{step}" for name in names for step in range(1, steps + 1)]
-    return _pick(series.own_rows(rows.selectExpr("*", *lagged(names, steps))), *names, *columns)
+    return _pick(rows.selectExpr("*", *lagged(names, steps)), *names, *columns)
 
 
 def target_label(bars: DataFrame, drop_last: bool = False) -> DataFrame:
@@ -152,14 +142,13 @@ def target_label(bars: DataFrame, drop_last: bool = False) -> DataFrame:
     A comparison with a missing close is not higher.  The last row of a series has
     no next close: it gets 0 and stays, unless ``drop_last`` is set.
     """
-    rows = series.cut_blocks(series.number_rows(_pick(bars, "close")), after=1)
-    return _pick(series.own_rows(with_target(rows, drop_last)), "target")
+    return _pick(with_target(series.placed(_pick(bars, "close")), drop_last), "target")
 
 
 def with_target(rows: DataFrame, drop_last: bool = False) -> DataFrame:
-    following = F.lead("close", 1).over(series.block_window())
+    following = F.lead("close", 1).over(series.ordered_window())
     rows = rows.withColumn("target", F.coalesce(following > F.col("close"), F.lit(False)).cast("int"))
     if drop_last:
-        rows = rows.withColumn("_more", F.lead("pos", 1).over(series.block_window()).isNotNull())
-        rows = rows.where(F.col("_more") | F.col("_halo")).drop("_more")
+        rows = rows.withColumn("_next", F.lead("date", 1).over(series.ordered_window()))
+        rows = rows.where(F.col("_next").isNotNull()).drop("_next")
     return rows

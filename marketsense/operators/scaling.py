@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketsense.operators import series
 
-
-def extremes(names: list[str], fit_on: str | None = None) -> series.Carried:
-    """Carries ``_<name>_min`` and ``_<name>_max`` of the whole series, or of its rows where ``fit_on`` (SQL) holds."""
+def with_extremes(df: DataFrame, names: list[str], fit_on: str | None = None, key: str = "ticker") -> DataFrame:
+    """Add ``_<name>_min`` and ``_<name>_max`` of the whole series, or of its rows where ``fit_on`` (SQL) holds."""
     value = f"case when {fit_on} then {{}} end" if fit_on else "{}"
-    return {
-        f"_{name}_{side}": (f"{side}({value.format(name)})", f"{side}(_{name}_{side}) over {{whole}}")
-        for name in names
-        for side in ("min", "max")
-    }
+    sides = [f"{side}({value.format(name)}) over (partition by {key}) as _{name}_{side}" for name in names for side in ("min", "max")]
+    return df.selectExpr("*", *sides)
 
 
 def scaled_sql(name: str, value: str | None = None) -> str:
@@ -27,23 +22,17 @@ def scaled_sql(name: str, value: str | None = None) -> str:
     return f"case when {value} is not null then coalesce({ratio}, 0.0D) end"
 
 
-def minmax_scale(df: DataFrame, names: list[str], group: str = "_span", key: str = "ticker", fit_on: str | None = None) -> DataFrame:
-    """Min-max scale columns per series; ``group`` is the partitioning rows have.
+def minmax_features(df: DataFrame, names: list[str], key: str = "ticker", fit_on: str | None = None) -> DataFrame:
+    """Min-max scale columns per series.
 
     With ``fit_on`` (SQL) only such rows set the extremes; a series without any becomes 0.
     """
     types = dict(df.dtypes)
     kept = [f"cast({c} as double) as {c}" if c in names and types[c] != "double" else c for c in df.columns]
-    rows = series.carry_between(df.selectExpr(*kept), group, extremes(names, fit_on), key)
+    rows = with_extremes(df.selectExpr(*kept), names, fit_on, key)
     return rows.selectExpr(*[f"{scaled_sql(c)} as {c}" if c in names else c for c in df.columns])
 
 
-def minmax_features(df: DataFrame, names: list[str], key: str = "ticker", order: str = "date") -> DataFrame:
-    """Min-max scale columns of a table that is not cut into groups yet."""
-    rows = df.withColumn("_span", series.span_of(order))
-    return minmax_scale(rows, names, "_span", key).drop("_span")
-
-
 def impute_mean(df: DataFrame, names: list[str], fit_on: Column | None = None) -> DataFrame:
     """Replace nulls by the column mean (of the rows where ``fit_on`` holds)."""
     fit = df if fit_on is None else df.where(fit_on)
@@ -53,18 +42,7 @@ def impute_mean(df: DataFrame, names: list[str], fit_on: Column | None = None) -
 
 def significant_volume(bars: DataFrame, deviations: float = 2.0, key: str = "ticker", order: str = "date") -> DataFrame:
     """Days whose volume exceeds mean + deviations * sample standard deviation."""
-    rows = bars.withColumn("_span", series.span_of(order))
-    # Mergeable moments per group keep the summary to one small row per span.
-    total, count = "sum(_mean * _n) over {whole}", "sum(_n) over {whole}"
-    carried: series.Carried = {
-        "_n": ("count(volume)", count),
-        "_mean": ("avg(volume)", f"{total} / {count}"),
-        "_m2": (
-            "var_pop(volume) * count(volume)",
-            f"sum(_m2 + _n * _mean * _mean) over {{whole}} - ({total}) * ({total}) / ({count})",
-        ),
-    }
-    rows = series.carry_between(rows, "_span", carried, key)
-    deviation = F.sqrt(F.greatest(F.try_divide(F.col("_m2"), F.col("_n") - 1), F.lit(0.0)))
-    rows = rows.withColumn("threshold", F.col("_mean") + F.lit(deviations) * deviation)
+    whole = Window.partitionBy(key)
+    deviation = F.coalesce(F.stddev_samp("volume").over(whole), F.lit(0.0))
+    rows = bars.withColumn("threshold", F.avg("volume").over(whole) + F.lit(deviations) * deviation)
     return rows.where(F.col("volume") > F.col("threshold")).select(key, order, "volume", "threshold")

@@ -1,19 +1,16 @@
-"""Ordered work on long series without one task per series.
-
-A window ``partitionBy('ticker')`` puts a whole series into one task, so the
-busiest ticker decides the run time.  Here a series is cut twice:
-
-* ``number_rows`` cuts by time.  A *span* is ``SPAN_DAYS`` calendar days, so a
-  (ticker, span) group of daily rows never exceeds that many rows, however the
-  rows are spread over tickers.  It yields dense positions.
-* ``cut_blocks`` cuts by position.  A block has ``size`` rows plus copies of
-  the neighbouring rows that fixed-length windows need ("halo"), so ordinary
-  lag/lead/rolling windows over (ticker, block) are exact.
-
-State without a fixed length (fills, running totals, extremes) crosses groups
-through a summary of one row per group: ``carry_between`` aggregates each
-group, runs a window over the summaries and joins the result back on the
-columns the rows are already partitioned by, so the rows do not move again.
+"""Ordered work on daily series: one exchange by ticker, windows from there on.
+
+A series has one row per ticker and day, so the calendar bounds it: a century is 36,525
+rows, a few megabytes, however many texts or trades stand behind a row (those are added up
+per day before they meet a series).  Every operator here therefore keeps a series in
+one task, sorted by date, and says all it needs as window functions over the same
+partitioning: positions, fills, lags, running totals, extremes.  Spark runs them
+after a single exchange, without a self-join or a summary table, and tickers are
+what is dealt out.
+
+Exponential averages need more: their weights leave the range of a double within some
+thousand rows.  ``cut_blocks`` cuts a series into blocks of equal length with copies of
+the rows before them ("halo"); windows over (ticker, block) stay inside the series' task.
 """
 
 from __future__ import annotations
@@ -26,46 +23,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SPAN_DAYS = 512
 BLOCK_ROWS = 4096
 
-# Column name -> (aggregate per group, value over the summaries), both SQL.  The
-# second part names the aggregate by the column name and may use the windows
-# ``before`` (earlier groups) and ``whole`` (all groups of the series).
-Carried = dict[str, tuple[str, str]]
 
+def ordered_sql(key: str = "ticker", order: str = "date") -> str:
+    """The series window as SQL, without a frame."""
+    return f"partition by {key} order by {order}"
 
-def carry_between(df: DataFrame, group: str, carried: Carried, key: str = "ticker") -> DataFrame:
-    """Add columns that bring state from the other groups of the same series.
 
-    ``df`` must not hold halo copies.
-    """
-    ordered = f"(partition by {key} order by {group} rows between unbounded preceding and"
-    frames = {"before": f"{ordered} 1 preceding)", "whole": f"{ordered} unbounded following)"}
-    # Both branches below read the same columns behind the same filters, so
-    # Spark runs the exchange under them once (ReusedExchange).
-    summary = df.groupBy(key, group).agg(*[F.expr(f"{aggregate} as {name}") for name, (aggregate, _) in carried.items()])
-    values = [f"{over.format(**frames)} as {name}" for name, (_, over) in carried.items()]
-    return df.join(summary.selectExpr(key, group, *values), [key, group])
+def ordered_window(key: str = "ticker", order: str = "date"):
+    return Window.partitionBy(key).orderBy(order)
 
 
-def fill_carries(names: Iterable[str], order: str, backward: bool = True) -> Carried:
-    """Carries for ``filled``: last value before the group, first one of the series."""
-    carried: Carried = {}
-    for name in names:
-        known = f"case when {name} is not null then {order} end"
-        carried[f"_{name}_before"] = (f"max_by({name}, {known})", f"last(_{name}_before, true) over {{before}}")
-        if backward:
-            carried[f"_{name}_first"] = (f"min_by({name}, {known})", f"first(_{name}_first, true) over {{whole}}")
-    return carried
+def so_far(aggregate: str, key: str = "ticker", order: str = "date") -> Column:
+    """An aggregate (SQL) over the series up to the row."""
+    return F.expr(f"{aggregate} over ({ordered_sql(key, order)} rows between unbounded preceding and current row)")
 
 
-def filled(name: str, window: str, backward: bool = True) -> Column:
-    """Forward fill, then back fill, of a column inside its group.
+def filled(name: str, key: str = "ticker", order: str = "date", backward: bool = True) -> Column:
+    """Forward fill, then back fill, of a column.
 
     Only leading nulls are left to the back fill, so its value is the first one
     of the series; a frame that looks ahead from every row is not needed (Spark
     evaluates those in quadratic time).
     """
-    so_far = f"last({name}, true) over ({window} rows between unbounded preceding and current row)"
-    return F.expr(f"coalesce({so_far}, _{name}_before{f', _{name}_first' if backward else ''})")
+    last = so_far(f"last({name}, true)", key, order)
+    if not backward:
+        return last
+    return F.coalesce(last, F.expr(f"first({name}, true) over ({ordered_sql(key, order)} rows between unbounded preceding and unbounded following)"))
 
 
 def span_of(order: str) -> Column:
@@ -90,14 +73,9 @@ def number_rows(
     ``order`` must be unique within ``key``, and neither may be null.
     """
     fill = list(fill)
-    columns = df.columns
-    rows = placed(df, key, order).withColumn("_span", span_of(order))
-    carried: Carried = {"_start": ("count(1)", "coalesce(sum(_start) over {before}, 0)")}
-    rows = carry_between(rows, "_span", carried | fill_carries(fill, order, backward), key)
-    ordered = f"partition by {key}, _span order by {order}"
-    return rows.select(
-        *[filled(c, ordered, backward).alias(c) if c in fill else c for c in columns],
-        F.expr(f"_start + row_number() over ({ordered}) - 1 as pos"),
+    return placed(df, key, order).select(
+        *[filled(c, key, order, backward).alias(c) if c in fill else c for c in df.columns],
+        F.expr(f"row_number() over ({ordered_sql(key, order)}) - 1 as pos"),
     )
 
 
@@ -106,19 +84,13 @@ def fill_gaps(df: DataFrame, names: Iterable[str], key: str = "ticker", order: s
     return number_rows(df, key, order, fill=names, backward=backward).drop("pos")
 
 
-def cut_blocks(df: DataFrame, before: int = 0, after: int = 0, size: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``_block`` and ``_halo``; copies edge rows into the neighbouring block."""
-    if size < max(before, after, 1):
+def cut_blocks(df: DataFrame, before: int, size: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block`` and ``_halo``; the last ``before`` rows of a block are copied into the next one."""
+    if size < max(before, 1):
         raise ValueError("a block must be at least as long as its halo")
     own = F.floor(F.col("pos") / F.lit(size))
-    offset = F.col("pos") % F.lit(size)
-    copies = [own]
-    if after:
-        copies.append(F.when((offset < after) & (own > 0), own - 1))
-    if before:
-        copies.append(F.when(offset >= size - before, own + 1))
-    blocks = F.array_compact(F.array(*copies)) if len(copies) > 1 else F.array(own)
-    rows = df.withColumn("_block", F.explode(blocks)).where(F.col("_block").isNotNull())
+    next_block = F.when(F.col("pos") % F.lit(size) >= size - before, own + 1)
+    rows = df.withColumn("_block", F.explode(F.array_compact(F.array(own, next_block))))
     return rows.withColumn("_halo", F.col("_block") != own)
 
 
@@ -127,13 +99,9 @@ def block_sql(key: str = "ticker", order: str = "date") -> str:
     return f"partition by {key}, _block order by {order}"
 
 
-def block_window(key: str = "ticker", order: str = "date"):
-    return Window.partitionBy(key, "_block").orderBy(order)
-
-
 def own_rows(df: DataFrame) -> DataFrame:
     """Drop the halo copies."""
-    return df.where(~F.col("_halo")).drop("_halo")
+    return df.where(~F.col("_halo")).drop("_halo", "_block")
 
 
 # -- exponential averages ------------------------------------------------------

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from marketsense.functions.lexicon import Lexicon
 from marketsense.operators.align import merge_price_sentiment
-from marketsense.operators.series import number_rows
 from marketsense.plans.sentiment import sentiment_features
 from marketsense.plans.technical import technical_features
 from marketsense.schemas import LAG_STEPS
-from marketsense.session import stage
 
 
 def merged_features(
@@ -26,9 +24,6 @@ def merged_features(
         raise ValueError("a leak-free table needs train_until, the date that ends the training rows")
     technical = technical_features(bars, leak_free=leak_free, train_until=train_until)
     if leak_free:
-        technical = stage(technical, "technical")
-        days = technical.select("ticker", "date")
-    else:
-        # Fills leave no gaps, so the days are known without the indicators.
-        days = number_rows(bars.select("ticker", "date")).where(F.col("pos") >= LAG_STEPS).drop("pos")
-    return merge_price_sentiment(technical, sentiment_features(mentions, days, lexicon, leak_free, train_until))
+        return merge_price_sentiment(technical, sentiment_features(mentions, technical, lexicon, leak_free, train_until))
+    # Fills leave no gaps, so the days are known without the indicators: all but the first ones.
+    return merge_price_sentiment(technical, sentiment_features(mentions, bars, lexicon, skip=LAG_STEPS))

@@ -8,7 +8,6 @@ from marketsense.functions.lexicon import Lexicon
 from marketsense.operators import align, daily, scaling, series
 from marketsense.plans.technical import train_rows
 from marketsense.schemas import SENTIMENT
-from marketsense.session import stage
 
 AVERAGE, MOVING = "average_sentiment", "sentiment_moving_average_3d"
 NUMBERS = [AVERAGE, "mention_count", "total_score"]
@@ -19,42 +18,33 @@ def with_interaction(df: DataFrame) -> DataFrame:
 
 
 def sentiment_features(
-    mentions: DataFrame, bars: DataFrame, lexicon: Lexicon | None = None, leak_free: bool = False, train_until: str | None = None
+    mentions: DataFrame, bars: DataFrame, lexicon: Lexicon | None = None, leak_free: bool = False, train_until: str | None = None, skip: int = 0
 ) -> DataFrame:
     """Daily sentiment aligned to trading days: scaled, smoothed, filled.
 
-    Nulls afterwards: the average before the first mention and the interaction
-    of such days stay null; counts become 0; the moving average is filled
-    forward, then back (``leak_free`` leaves the back fill out).  ``train_until`` fits
-    the scaling on the days before that date only.
+    ``bars`` tells the trading days, one row per ticker and day; a ticker without bars
+    trades on its sentiment days.  Nulls afterwards: the average before the first mention
+    and the interaction of such days stay null; counts become 0; the moving average is
+    filled forward, then back (``leak_free`` leaves the back fill out).  ``train_until`` fits
+    the scaling on the days before that date only; the first ``skip`` days of each ticker
+    are left out of everything.
     """
     dated = mentions.where(F.col("created_date").isNotNull())
-    # Scoring text is the dear part: it runs once, the day table is read several times.
-    days = stage(daily.daily_sentiment(daily.score_mentions(dated, lexicon)), "daily")
-    return aligned_features(days, align.trading_calendar(bars, days), leak_free, train_until)
+    days = daily.daily_sentiment(daily.score_mentions(dated, lexicon))
+    return aligned_features(days, bars.select("ticker", "date"), leak_free, train_until, skip)
 
 
-def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = False, train_until: str | None = None) -> DataFrame:
+def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = False, train_until: str | None = None, skip: int = 0) -> DataFrame:
     """Align, scale, smooth and fill.
 
     Scaling is linear, so smoothing and filling run on the raw values and the
-    results are scaled: extremes and fill values then cross the blocks together.
+    results are scaled.
     """
-    look_back = not leak_free
-    rows = align.asof_backward(calendar, days).drop("_span")
+    rows = align.asof_backward(calendar, days, own_days=True).where(F.col("pos") >= skip)
     rows = rows.withColumns({name: F.col(name).cast("double") for name in NUMBERS})
-    rows = series.own_rows(daily.with_moving_average(series.cut_blocks(rows, before=3)))
-    rows = series.carry_between(
-        rows,
-        "_block",
-        scaling.extremes(NUMBERS, train_rows(train_until))
-        | series.fill_carries([AVERAGE], "date", backward=False)
-        | series.fill_carries([MOVING], "date", look_back),
-    )
-    ordered = series.block_sql()
-    rows = rows.withColumns(
-        {"_average": series.filled(AVERAGE, ordered, backward=False), "_moving": series.filled(MOVING, ordered, look_back)}
-    )
+    rows = daily.with_moving_average(rows)
+    rows = rows.withColumns({"_average": series.filled(AVERAGE, backward=False), "_moving": series.filled(MOVING, backward=not leak_free)})
+    rows = scaling.with_extremes(rows, NUMBERS, train_rows(train_until))
     count = scaling.scaled_sql("mention_count")
     rows = rows.selectExpr(
         "ticker",
@@ -71,6 +61,6 @@ def aligned_features(days: DataFrame, calendar: DataFrame, leak_free: bool = Fal
 def current_features(scored: DataFrame) -> DataFrame:
     """Current daily table, unscaled: average filled forward, everything else 0."""
     rows = series.number_rows(daily.daily_current_sentiment(scored), fill=["average_sentiment"], backward=False)
-    rows = series.own_rows(daily.with_moving_average(series.cut_blocks(rows, before=3)))
+    rows = daily.with_moving_average(rows)
     rows = with_interaction(rows)
     return rows.select("ticker", "date", *[F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name) for name in SENTIMENT])

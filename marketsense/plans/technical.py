@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from marketsense.operators import indicators, scaling, series
 from marketsense.schemas import LAG_STEPS, LAGS, TECHNICAL
-from marketsense.session import stage
 
 PRICES = ["close", "high", "low", "volume"]
 
@@ -35,25 +34,15 @@ def technical_features(
         rows = series.number_rows(rows.where(F.col("close").isNotNull()).drop("pos"))
 
     halo, size = series.ema_layout(indicators.MACD_CHAINS)
-    rows = series.cut_blocks(rows, before=halo, after=1, size=size)
-    rows = indicators.with_macd(rows, halo, size)
-    rows = indicators.with_atr(indicators.with_rsi(rows))
-    rows = indicators.with_target(rows, drop_last).withColumn("_flow", indicators.signed_volume())
-
-    gappy = ["rsi", "atr"]
-    carried = series.fill_carries(gappy, "date", look_back) | indicators.obv_carry()
-    rows = stage(series.own_rows(rows), "indicators")
-    rows = series.carry_between(rows, "_block", carried)
-    rows = rows.withColumn("obv", indicators.running_obv())
-    ordered = series.block_sql()
-    rows = rows.withColumns({name: series.filled(name, ordered, look_back) for name in gappy})
-    rows = rows.select("ticker", "date", "pos", *TECHNICAL, "target")
-
-    rows = series.cut_blocks(rows, before=LAG_STEPS)
-    rows = rows.selectExpr("*", *indicators.lagged(TECHNICAL, LAG_STEPS))
-    rows = series.own_rows(rows).dropna("any", subset=TECHNICAL + LAGS + ["target"])
+    rows = series.own_rows(indicators.with_macd(series.cut_blocks(rows, before=halo, size=size), halo, size))
+    rows = indicators.with_obv(indicators.with_atr(indicators.with_rsi(rows)))
+    rows = indicators.with_target(rows, drop_last)
+    rows = rows.withColumns({name: series.filled(name, backward=look_back) for name in ("rsi", "atr")})
+    rows = rows.select("ticker", "date", *TECHNICAL, "target")
+
+    rows = rows.selectExpr("*", *indicators.lagged(TECHNICAL, LAG_STEPS)).dropna("any", subset=TECHNICAL + LAGS + ["target"])
     if scale:
-        rows = scaling.minmax_scale(rows, TECHNICAL + LAGS, "_block", fit_on=train_rows(train_until))
+        rows = scaling.minmax_features(rows, TECHNICAL + LAGS, fit_on=train_rows(train_until))
     return rows.select("ticker", "date", *TECHNICAL, *LAGS, "target")
 
 

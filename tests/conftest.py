@@ -20,16 +20,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture()
 def small_groups(monkeypatch):
-    """Spans of 8 days and blocks of 16 rows, so that short series cross many groups."""
+    """Spans of 8 days, so that short series cross many groups."""
     from marketsense.operators import series
 
     monkeypatch.setattr(series, "SPAN_DAYS", 8)
-    cut = series.cut_blocks
-
-    def small(df, before=0, after=0, size=series.BLOCK_ROWS):
-        return cut(df, before, after, 16 if size == series.BLOCK_ROWS else size)
-
-    monkeypatch.setattr(series, "cut_blocks", small)
 
 
 def bars_frame(spark, closes, ticker="T", volume=None, start="2024-01-01"):

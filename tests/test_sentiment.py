@@ -1,6 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
+from marketsense import catalog
 from marketsense.functions.lexicon import Lexicon, read_lexicon
 from marketsense.functions.sentiment import sentiment
 from marketsense.operators import align, daily
@@ -118,3 +122,19 @@ def test_decision(spark):
 def test_current_table_without_word_counts(spark):
     got = current_features(scored(spark, [("A", "2024-01-01 00:00:00", 0.5, 4)])).first()
     assert (got.average_sentiment, got.mention_count, got.total_score, got.sentiment_moving_average_3d) == (0.5, 0.0, 4.0, 0.0)
+
+
+@pytest.mark.parametrize("name", ["merge_price_sentiment", "merge_leak_free"])
+def test_the_merged_table_takes_few_exchanges(spark, name):
+    merged = catalog.queries()[name](spark, SF)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<![a-zA-Z])Exchange ", plan)) <= 8 and "Python" not in plan
+    # Nothing was staged on the way: all files are those of the test tables.
+    assert all(path.startswith(f"file:{SF}/") for path in merged.inputFiles())
+
+
+def test_a_ticker_without_bars_trades_on_its_own_days(spark):
+    rows = [("U", "2024-01-03", 0.1, 1, 1), ("T", "2024-01-09", 0.1, 1, 1), ("T", "2024-01-01", 0.3, 1, 1)]
+    got = align.asof_backward(calendar(spark, "2024-01-02", "2024-01-10"), facts(spark, rows), own_days=True)
+    found = sorted((r.ticker, str(r.date), r.average_sentiment, r.pos) for r in got.collect())
+    assert found == [("T", "2024-01-02", 0.3, 0), ("T", "2024-01-10", 0.1, 1), ("U", "2024-01-03", 0.1, 0)]
