@@ -34,7 +34,7 @@ RECALL = 0.95  # share of the true neighbours that the budget is measured to fin
 SAMPLE_BYTES = 16_000_000  # of the vectors the forest is fitted on
 LEAST_SAMPLE = 16  # sampled vectors of a leaf
 PROBES = 128  # queries that the budget is measured with
-PART_BYTES = 8_000_000  # of the vectors a task holds
+PART_BYTES = 16_000_000  # of the vectors a task holds: a query leaves k rows in each part it visits, so few large parts
 PAIRS = 400_000  # scored pairs a task keeps before it drops all but the best
 
 
@@ -156,6 +156,9 @@ def nearest(
     """
     spark = vectors.sparkSession
     keys = ["key_a", "key_b"]
+    # Vectors travel in their own precision; sums are doubles.
+    kinds = {df.schema["vector"].dataType.elementType.typeName() for df in (vectors, queries)}
+    kind = np.dtype(np.float32 if kinds == {"float"} else np.float64)
 
     def keyed(df: DataFrame) -> DataFrame:
         sound = df.filter(F.col("id").isNotNull() & usable(F.col("vector")))
@@ -193,7 +196,7 @@ def nearest(
 
     budget = _measured_budget(kept, asking, forest, counts, k, recall, width)
     # Leaves one after the other, in parts of about as many rows; a leaf that is larger is cut into blocks.
-    size = max(1, part_bytes // (8 * width))
+    size = max(1, part_bytes // (kind.itemsize * width))
     blocks = np.maximum(1, -(-counts // size))
     per_block = np.repeat(-(-counts // blocks), blocks)
     part_of_block = (np.cumsum(per_block) - per_block) // size
@@ -205,7 +208,7 @@ def nearest(
         for batch in batches:
             matrix = _stacked(batch["vector"], width)
             cells, rows = shared.value.route(matrix), batch["row"].to_numpy(np.int64)
-            packed = [row.tobytes() for row in matrix]
+            packed = [row.tobytes() for row in matrix.astype(kind)]
             for tree in range(trees):
                 block = first[cells[:, tree]] + rows % blocks[cells[:, tree]]
                 yield pd.DataFrame({"part": part[block], "cell": cells[:, tree], "row": rows, "least": batch["least"].to_numpy(np.int64), "vector": packed})
@@ -222,7 +225,7 @@ def nearest(
                     cells, parts = np.repeat(cells, blocks[cells]), part[block]
                     for some in np.unique(parts):
                         chosen = np.unique(cells[parts == some])
-                        found.append((int(some), batch["key_a"].iloc[at], batch["key_b"].iloc[at], vector.tobytes(), chosen.astype(np.int32).tobytes()))
+                        found.append((int(some), batch["key_a"].iloc[at], batch["key_b"].iloc[at], vector.astype(kind).tobytes(), chosen.astype(np.int32).tobytes()))
             yield pd.DataFrame(found, columns=["part", *keys, "vector", "cells"])
 
     dealt = kept.select("row", "least", "vector").mapInPandas(deal, "part long, cell long, row long, least long, vector binary")
@@ -233,9 +236,9 @@ def nearest(
         if not len(rows) or not len(asks):
             return pd.DataFrame({name: [] for name in [*keys, "row", "least", "score"]})
         rows = rows.sort_values("cell", kind="stable")
-        matrix = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(-1, width)
+        matrix = np.frombuffer(b"".join(rows["vector"]), kind).reshape(-1, width)
         cell, number, least = rows["cell"].to_numpy(np.int64), rows["row"].to_numpy(np.int64), rows["least"].to_numpy(np.int64)
-        wanted = np.frombuffer(b"".join(asks["vector"]), np.float64).reshape(-1, width)
+        wanted = np.frombuffer(b"".join(asks["vector"]), kind).reshape(-1, width).astype(np.float64)
         lists = [np.frombuffer(cells, np.int32) for cells in asks["cells"]]
         visited, visitor = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(cells) for cells in lists])
         order = np.argsort(visited, kind="stable")
@@ -261,9 +264,10 @@ def nearest(
                 query = asking_of[low : low + 512]
                 for start in range(rows_of.start, rows_of.stop, 4096):
                     stop = min(start + 4096, rows_of.stop)
-                    score = wanted[query] @ matrix[start:stop].T
+                    block = matrix[start:stop].astype(np.float64)
+                    score = wanted[query] @ block.T
                     q, r = np.nonzero(score >= (floor - slack)[query][:, None])
-                    held.append((query[q], r + start, _exact(wanted[query[q]], matrix[r + start])))
+                    held.append((query[q], r + start, _exact(wanted[query[q]], block[r])))
                     pending += len(q)
                     if pending > PAIRS:
                         held = pruned()

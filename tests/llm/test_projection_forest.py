@@ -58,7 +58,7 @@ def test_large_leaves_are_cut_and_visited_whole(spark):
     """A part takes 8 rows, so every leaf is several blocks; all of them answer."""
     rows = clustered(4, 300, 4)
     vectors = table(spark, rows)
-    got = projection_forest.nearest(vectors, vectors.filter("id % 20 = 0"), 300, trees=2, leaf=100, part_bytes=8 * 8 * 4)
+    got = projection_forest.nearest(vectors, vectors.filter("id % 20 = 0"), 300, trees=2, leaf=100, part_bytes=8 * 4 * 4)
     same(answers(got), brute(rows, 300, lambda i: i % 20 == 0))
 
 
