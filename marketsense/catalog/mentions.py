@@ -25,8 +25,9 @@ def _threads(spark, sf):
 
 
 def _scan(spark, sf):
-    folder = ndjson.rewrite_dump(fixtures.table(spark, sf, "raw_lines").select("value"), "lines")
-    return ndjson.scan_ndjson(spark, folder, "*.gz").select("value")
+    """A dump of many small frames, cut inside lines, read back by ranges that hold a few frames each."""
+    folder = ndjson.rewrite_dump(fixtures.table(spark, sf, "raw_lines").select("value"), "lines", frame_bytes=1 << 16)
+    return ndjson.scan_ndjson(spark, folder, split_bytes=1 << 17).select("value")
 
 
 def _parse_raw(spark, sf):

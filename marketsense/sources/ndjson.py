@@ -2,69 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketsense.functions.text import json_object
 from marketsense.session import join_path, shared_folder
+from marketsense.sources.zstframes import FRAME_BYTES, SPLIT_BYTES, scan_zst, write_zst
 
 
-def scan_ndjson(spark: SparkSession, path: str, pattern: str = "*.zst", spread: int | None = None) -> DataFrame:
+def scan_ndjson(spark: SparkSession, path: str, pattern: str = "*.zst", spread: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Lines of all matching files as ``value`` with the ``source_file`` they come from.
 
-    A zst file cannot be split, so one task reads one file; ``spread`` then
-    distributes the lines over that many partitions for the parsing work.
-    Every line counts, the last one included.
+    zst files, long match windows included, are read by a task per ``split_bytes`` of
+    compressed data as far as they have frames; files of other kinds are read as Spark
+    reads them (gzip: a task a file).  ``spread`` distributes the lines of files that
+    cannot be split over that many partitions for the parsing work.  Every line counts,
+    the last one included.
     """
-    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-    lines = lines.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"), "value")
+    if pattern.endswith(".zst"):
+        lines = scan_zst(spark, path, pattern, split_bytes)
+    else:
+        lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+        lines = lines.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"), "value")
     return lines.repartition(spread) if spread else lines
 
 
-def scan_large_window(spark: SparkSession, folder: str, pattern: str = "*.zst") -> DataFrame:
-    """The same for files written with a long match window (the built-in codec refuses them).
-
-    Only the file listing goes through Spark's reader; each task then streams
-    its files through the decompressor line by line.
-    """
-    # The length column is all that is read of each file here.
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
-    files = listing.repartition(max(1, listing.count()), "path")
-
-    def lines(batches: Iterator) -> Iterator:
-        import io
-
-        import pyarrow as pa
-        import pyarrow.fs as pafs
-        import zstandard
-
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                if path.startswith("file:"):
-                    filesystem, name = pafs.LocalFileSystem(), path[5:]
-                else:
-                    filesystem, name = pafs.FileSystem.from_uri(path)
-                with filesystem.open_input_stream(name, compression=None) as raw:
-                    reader = zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(raw, read_across_frames=True)
-                    text = io.TextIOWrapper(reader, encoding="utf-8", errors="replace", newline="\n")
-                    chunk: list[str] = []
-                    for line in text:
-                        chunk.append(line.rstrip("\n"))
-                        if len(chunk) == 10_000:
-                            yield _batch(pa, path, chunk)
-                            chunk = []
-                    if chunk:
-                        yield _batch(pa, path, chunk)
-
-    return files.mapInArrow(lines, "source_file string, value string")
-
-
-def _batch(pa, path: str, lines: list[str]):
-    name = path.rsplit("/", 1)[-1]
-    return pa.RecordBatch.from_pydict({"source_file": [name] * len(lines), "value": lines})
-
-
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Add ``fields``: the top-level members as a map of strings, null unless the line is one JSON object.
 
@@ -73,10 +36,8 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn("fields", json_object(F.col(column)))
 
 
-def rewrite_dump(lines: DataFrame, name: str) -> str:
-    """Write lines as gzip text into the shared folder and return the folder."""
-    import uuid
-
+def rewrite_dump(lines: DataFrame, name: str, frame_bytes: int = FRAME_BYTES) -> str:
+    """Write lines as zst files into the shared folder and return the folder."""
     folder = join_path(shared_folder(lines.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    lines.write.option("compression", "gzip").text(folder)
+    write_zst(lines, folder, frame_bytes)
     return folder

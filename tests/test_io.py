@@ -10,7 +10,7 @@ from marketsense import sinks
 from marketsense.operators import align
 from marketsense.operators import mentions as m
 from marketsense.session import stage
-from marketsense.sources import bars, ndjson, pages
+from marketsense.sources import bars, ndjson, pages, zstframes
 from marketsense.sources.tables import read_texts
 
 LINES = [json.dumps({"id": str(i), "created_utc": 1600000000 + i, "body": f"MSFT é {i}", "score": i}) for i in range(500)]
@@ -45,11 +45,93 @@ def test_scan_keeps_every_line(spark, tmp_path):
 def test_scan_of_long_window_files(spark, tmp_path):
     write_zst(tmp_path / "a.zst", "\n".join(LINES), long_window=True)
     write_zst(tmp_path / "b.zst", "\n".join(LINES[:7]), frames=2, long_window=True)
-    df = ndjson.scan_large_window(spark, str(tmp_path))
+    df = ndjson.scan_ndjson(spark, str(tmp_path))
     assert {r.source_file: r["count"] for r in df.groupBy("source_file").count().collect()} == {"a.zst": 500, "b.zst": 7}
     assert sorted(r.value for r in df.where("source_file = 'b.zst'").collect()) == sorted(LINES[:7])
 
 
+TEXTS = {
+    "lines": "\n".join(LINES),
+    "closed": "\n".join(LINES[:40]) + "\n",
+    "blank lines": "\n\n" + "\n\n\n".join(LINES[:30]) + "\n\n",
+    "one long line": "x" * 20_000,
+    "long and short": "y" * 9_000 + "\n" + "\n".join(LINES[:20]) + "\n" + "z" * 9_000,
+    "one line feed": "\n",
+    "empty": "",
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+@pytest.mark.parametrize("frames", [1, 2, 9, 60])
+def test_ranges_of_frames_give_each_line_once(tmp_path, name, frames):
+    """Every way to cut a file into byte ranges gives the lines of the text in order."""
+    path, text = str(tmp_path / "a.zst"), TEXTS[name]
+    write_zst(path, text, frames)
+    wanted = text.encode().split(b"\n")
+    wanted = wanted[:-1] if wanted[-1] == b"" else wanted
+    data = open(path, "rb").read()
+    store, name = zstframes.open_store(path)
+    with store.open_input_file(name) as handle:
+        for split in {1, 7, 50, 333, len(data) // 3 + 1, len(data) + 1} if frames < 60 else {211, 10**6}:
+            if len(data) // split > 3000:
+                continue
+            got = [line for start in range(0, len(data), split) for line in zstframes.lines_of(handle, len(data), start, min(start + split, len(data)))]
+            assert got == wanted, split
+
+
+def test_skippable_frames_and_magic_numbers_inside_data(tmp_path):
+    import os
+
+    lines = [os.urandom(8).hex().encode() + zstframes.MAGIC * 3 + b"%d" % i for i in range(400)]
+    raw = b"\n".join(lines)
+    cut = len(raw) // 5
+    with open(tmp_path / "a.zst", "wb") as out:
+        for k in range(6):
+            out.write(zstandard.ZstdCompressor(level=1, write_checksum=bool(k % 2), write_content_size=k > 2).compress(raw[k * cut : (k + 1) * cut]))
+            out.write(b"\x53\x2a\x4d\x18\x05\x00\x00\x00hello")
+    size = os.path.getsize(tmp_path / "a.zst")
+    store, name = zstframes.open_store(str(tmp_path / "a.zst"))
+    with store.open_input_file(name) as handle:
+        for split in (97, 1000, size):
+            got = [line for start in range(0, size, split) for line in zstframes.lines_of(handle, size, start, min(start + split, size))]
+            assert got == lines
+
+
+def test_one_file_of_many_frames_is_read_by_many_tasks(spark, tmp_path):
+    write_zst(tmp_path / "a.zst", "\n".join(LINES), frames=50)
+    size = (tmp_path / "a.zst").stat().st_size
+    df = ndjson.scan_ndjson(spark, str(tmp_path / "a.zst"), split_bytes=size // 10)
+    assert df.rdd.getNumPartitions() >= 10
+    assert sum(1 for part in df.rdd.glom().collect() if part) >= 8
+    assert [r.value for r in df.collect()] == LINES
+
+
+def test_broken_dumps_fail(spark, tmp_path):
+    (tmp_path / "text.zst").write_text("no zst at all")
+    with pytest.raises(Exception, match="no zstd frame"):
+        ndjson.scan_ndjson(spark, str(tmp_path)).collect()
+    write_zst(tmp_path / "whole.zst", "\n".join(LINES), frames=4)
+    whole = (tmp_path / "whole.zst").read_bytes()
+    store, name = zstframes.open_store(str(tmp_path / "cut.zst"))
+    (tmp_path / "cut.zst").write_bytes(whole[:-100])
+    with store.open_input_file(name) as handle, pytest.raises(zstframes.Truncated):
+        for start in range(0, len(whole) - 100, 500):
+            list(zstframes.lines_of(handle, len(whole) - 100, start, min(start + 500, len(whole) - 100)))
+    with pytest.raises(Exception, match="missing"):
+        ndjson.scan_ndjson(spark, str(tmp_path / "missing")).collect()
+
+
+def test_dumps_are_written_and_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(line,) for line in [*LINES, "", "ß" * 5000]], "value string").repartition(3)
+    zstframes.write_zst(df, str(tmp_path / "out"), frame_bytes=700)
+    back = ndjson.scan_ndjson(spark, str(tmp_path / "out"), split_bytes=900)
+    assert sorted(r.value for r in back.collect()) == sorted([*LINES, "", "ß" * 5000])
+    assert len({r.source_file for r in back.collect()}) == 3
+    none = df.where("value = 'nothing'")
+    zstframes.write_zst(none, str(tmp_path / "none"))
+    assert ndjson.scan_ndjson(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_ohlcv_files(spark, tmp_path):
     head = "Price,Adj Close,Close,High,Low,Open,Volume\nTicker,AA,AA,AA,AA,AA,AA\nDate,,,,,,\n"
     (tmp_path / "AA_1d.csv").write_text(head + "2024-01-02 00:00:00+00:00,1,2,3,4,5,6\n2024-01-03,,nan,3,4,5,6\n")
