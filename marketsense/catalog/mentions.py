@@ -8,12 +8,13 @@ from marketsense import fixtures
 from marketsense.operators import mentions as m
 from marketsense.sources import ndjson, pages
 
-TICKER = "that"
 START, END = "2020-01-01", "2023-12-31"
 LIMITS = {"sub0": 100, "sub1": 50, "sub2": 25}
 AS_OF = "2024-01-02"
 NAME = "la"
 TICKERS = ["that", "the", "for", "und"]
+# Tickers with company names; one name stands for two tickers, one ticker starts another.
+NAMES = {"La": "la", "The": "el", "Un": "the", "Un la": "la", "los": "y el"}
 
 
 def _parsed(spark, sf):
@@ -67,9 +68,7 @@ def _naive(df):
 
 
 def _union(spark, sf):
-    threads = _threads(spark, sf)
-    posts = m.with_reply_count(m.latest_posts(threads, LIMITS), threads)
-    rows = m.union_posts_comments(posts, m.latest_comments(threads, LIMITS))
+    rows = m.newest_threads(_threads(spark, sf), LIMITS)
     return _naive(rows.withColumn("comments", F.col("comments").cast("double")))
 
 
@@ -97,14 +96,14 @@ QUERIES = {
     "mentions_substring": lambda s, d: m.match_tickers(
         fixtures.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), TICKERS
     ).select("doc_id", "ticker"),
-    "mention_rejects": lambda s, d: m.count_outcomes(_parsed(s, d), TICKER, START, END),
+    "mention_rejects": lambda s, d: m.count_outcomes(_parsed(s, d), TICKERS, START, END),
     "mention_score_cast": _scores,
     "coerce_dates": _coerced,
     "yesterday_mentions": lambda s, d: _naive(m.yesterday(_threads(s, d), AS_OF)),
     "mention_word_counts": lambda s, d: m.word_counts(_threads(s, d), "La", NAME).select(
         "post_id", "turn", "ticker_count", "name_count"
     ),
-    "current_mentions": lambda s, d: _naive(m.current_mentions(_threads(s, d), "La", None, AS_OF, LIMITS, {"La": NAME})),
+    "current_mentions": lambda s, d: _naive(m.current_mentions(_threads(s, d), list(NAMES), AS_OF, LIMITS, NAMES)),
     "latest_posts": lambda s, d: _naive(m.latest_posts(_threads(s, d), LIMITS)),
     "latest_comments": lambda s, d: _naive(m.latest_comments(_threads(s, d), LIMITS)),
     "union_posts_comments": _union,
@@ -140,9 +139,9 @@ fields as (
 outcomes as (
   select *, case when seconds is null then 'malformed'
        when not seconds between epoch(timestamp '{START}') and epoch(timestamp '{END}') then 'out of range'
-       when body is null then 'malformed' when not contains(upper(body), upper('{TICKER}')) then 'no match'
+       when body is null then 'malformed' when not contains(upper(body), upper(ticker)) then 'no match'
        when id is null then 'no id' when score is null then 'no score' when score_int is null then 'bad score' else 'ok' end as outcome
-  from fields)"""
+  from fields, (values {', '.join(f"('{t}')" for t in TICKERS)}) w(ticker))"""
 
 _LIMITED = f"""{fixtures.ctes("threads")},
 limits(subreddit, n) as (values {', '.join(f"('{k}', {v})" for k, v in LIMITS.items())}),
@@ -190,13 +189,16 @@ where seconds between epoch(timestamp '{START}') and epoch(timestamp '{END}')"""
     "mention_text": f"{_FIELDS} select doc_id, body from fields where parsed and body is not null",
     "mentions_substring": f"""select doc_id, ticker from documents
 join (values {_WANTED}) w(ticker) on contains(upper(text), upper(ticker))""",
-    "mention_rejects": f"{_FIELDS} select outcome, count(*) as n_lines from outcomes group by outcome",
+    "mention_rejects": f"{_FIELDS} select ticker, outcome, count(*) as n_lines from outcomes group by all",
     "mention_score_cast": f"{_FIELDS} select doc_id, cast(score_int as varchar) as score from fields",
     "coerce_dates": f"""{fixtures.ctes('dirty_mentions')} select ticker, id, author, try_cast(created_date as timestamp) as created_date
 from dirty_mentions where try_cast(created_date as timestamp) is not null""",
     "yesterday_mentions": f"{fixtures.ctes('threads')} select * from threads where {_YESTERDAY}",
     "mention_word_counts": f"{fixtures.ctes('threads')} select post_id, turn, {_COUNTS} from threads",
-    "current_mentions": f"""{_LIMITED} select * from (select *, {_COUNTS} from latest where {_YESTERDAY}) c
+    "current_mentions": f"""{_LIMITED} select * from (
+  select l.*, ticker, len(regexp_extract_all({_ASCII}, '\\b' || ticker || '\\b')) as ticker_count,
+         len(regexp_extract_all({_ASCII}, '(?i)\\b' || name || '\\b')) as name_count
+  from latest l, (values {', '.join(f"('{t}', '{n}')" for t, n in NAMES.items())}) w(ticker, name) where {_YESTERDAY}) c
 where ticker_count > 0 or name_count > 0""",
     "latest_posts": f"{_LIMITED} select * from posts",
     "latest_comments": f"{_LIMITED} select * from comments",

@@ -57,22 +57,20 @@ def read_fields(parsed: DataFrame) -> DataFrame:
     )
 
 
-def classified(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFrame:
-    """Every line with its ``outcome``; checks run in order, text work last."""
+def classified(parsed: DataFrame, tickers: str | list[str], start: str, end: str) -> DataFrame:
+    """Every line with ``outcome`` and ``found``; checks run in order, text work last.
+
+    Lines that fail before their text is searched have that outcome for every ticker; of
+    the others ``found`` lists the tickers in the text, and ``outcome`` is that of these tickers ("no match" without any).
+    """
+    wanted = TickerList([tickers] if isinstance(tickers, str) else tickers)
     rows = read_fields(parsed)
     raw_score = F.try_element_at("fields", F.lit("score"))
-    rows = rows.withColumn("score", tx.json_integer(F.col("fields"), F.col("value"), "score"))
-    outcome = (
-        F.when(F.col("seconds").isNull(), "malformed")
-        .when(~in_range(F.col("seconds"), start, end), "out of range")
-        .when(F.col("body").isNull(), "malformed")
-        .when(~tx.contains_ignoring_case(F.col("body"), ticker), "no match")
-        .when(F.col("id").isNull(), "no id")
-        .when(raw_score.isNull(), "no score")
-        .when(F.col("score").isNull(), "bad score")
-        .otherwise(OK)
-    )
-    return rows.withColumn("outcome", outcome)
+    early = F.when(F.col("seconds").isNull(), "malformed").when(~in_range(F.col("seconds"), start, end), "out of range").when(F.col("body").isNull(), "malformed")
+    late = F.when(F.col("id").isNull(), "no id").when(raw_score.isNull(), "no score").when(F.col("score").isNull(), "bad score").otherwise(OK)
+    rows = rows.withColumns({"score": tx.json_integer(F.col("fields"), F.col("value"), "score"), "early": early})
+    rows = rows.withColumn("found", F.when(F.col("early").isNull(), wanted.found(F.col("body"))))
+    return rows.withColumn("outcome", F.coalesce("early", F.when(F.size("found") > 0, late).otherwise("no match"))).drop("early")
 
 
 def _alternatives(words: list[str]) -> str:
@@ -162,9 +160,29 @@ def extract_mentions(lines: DataFrame, tickers: str | list[str], start: str, end
     return lines.where(wanted.may_be_in(F.col(column))).select(F.inline(tx.let(tx.json_object(F.col(column)), mention)))
 
 
-def count_outcomes(parsed: DataFrame, ticker: str, start: str, end: str) -> DataFrame:
-    """Lines per outcome."""
-    return classified(parsed, ticker, start, end).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_lines"))
+def count_outcomes(parsed: DataFrame, tickers: str | list[str], start: str, end: str) -> DataFrame:
+    """Lines per (ticker, outcome), for any number of tickers in one pass.
+
+    A line counts once for all tickers that it does not hold: what is counted per
+    ticker are the lines that do, and "no match" is the rest of the searched lines.
+    """
+    names = list(dict.fromkeys([tickers] if isinstance(tickers, str) else tickers))
+    rows = classified(parsed, names, start, end)
+    # One entry for the line itself (no ticker), one per ticker found in it, and one of no line for every ticker asked for.
+    own = F.array(F.struct(F.lit(None).cast("string").alias("ticker"), F.when(F.col("found").isNull(), F.col("outcome")).alias("outcome")))
+    each = F.transform("found", lambda ticker: F.struct(ticker.alias("ticker"), F.col("outcome").alias("outcome")))
+    entries = rows.select(F.inline(F.concat(own, F.coalesce(each, F.array().cast("array<struct<ticker:string,outcome:string>>")))), F.lit(1).alias("n"))
+    asked = parsed.sparkSession.createDataFrame([(name, "no match", 0) for name in names], "ticker string, outcome string, n int")
+    counts = entries.unionByName(asked).groupBy("ticker", "outcome").agg(F.sum("n").alias("n"))
+    # The rest works on a row per ticker and outcome.
+    whole, line = Window.partitionBy(F.lit(0)), F.col("ticker").isNull()
+    searched = F.coalesce(F.sum(F.when(line & F.col("outcome").isNull(), F.col("n"))).over(whole), F.lit(0))
+    early = F.collect_list(F.when(line & F.col("outcome").isNotNull(), F.struct("outcome", "n"))).over(whole)
+    counts = counts.select("*", searched.alias("searched"), early.alias("early"), F.sum("n").over(Window.partitionBy("ticker")).alias("holding"))
+    missed = F.array(F.struct("outcome", (F.col("searched") - F.col("holding")).alias("n")))
+    listed = F.when(F.col("outcome") == "no match", F.concat(missed, "early")).otherwise(F.array(F.struct("outcome", "n")))
+    total = counts.where(F.col("ticker").isNotNull()).select("ticker", F.inline(listed))
+    return total.where(F.col("n") > 0).select("ticker", "outcome", F.col("n").alias("n_lines"))
 
 
 def match_tickers(df: DataFrame, tickers: list[str], column: str = "body") -> DataFrame:
@@ -198,11 +216,89 @@ def mentioned(df: DataFrame) -> DataFrame:
     return df.where((F.col("ticker_count") > 0) | (F.col("name_count") > 0))
 
 
-def company_name(ticker: str, names: dict[str, str] | None = None) -> str:
+class WordList:
+    """Counts whole words of many tickers (exact case) and company names (any ASCII case) in one pass over a text each.
+
+    Each list is one pattern, a prefix tree tried at every word border; a match is the
+    longest word there, and the shorter ones that start it and end at a border
+    inside it follow from a constant table.  So every word is counted as if it
+    were alone, with the same plan for one word and for thousands.
+    """
+
+    def __init__(self, names: dict[str, str]):
+        """``names``: ticker -> company name."""
+        if not names or not all(names) or not all(names.values()):
+            raise ValueError("tickers and names must not be empty")
+        lowered: dict[str, list[str]] = {}
+        for ticker, name in names.items():
+            lowered.setdefault(_ascii_lower(name), []).append(ticker)
+        self.tickers = _Words({ticker: [ticker] for ticker in names}, "")
+        self.companies = _Words(lowered, "(?i)")
+
+    def counts(self, text: Column) -> Column:
+        """array<struct<ticker, ticker_count, name_count>> of the tickers that a text names; empty for null."""
+
+        def counted(hits: Column) -> Column:
+            def one(ticker: Column) -> Column:
+                sizes = [F.size(F.filter(F.get(hits, F.lit(side)), lambda hit: hit == ticker)).cast("bigint") for side in (0, 1)]
+                return F.struct(ticker.alias("ticker"), sizes[0].alias("ticker_count"), sizes[1].alias("name_count"))
+
+            return F.transform(F.array_distinct(F.flatten(hits)), one)
+
+        return tx.let(F.array(self.tickers.found(text), self.companies.found(_ascii_lower_column(text))), counted)
+
+
+def _ascii_lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def _ascii_lower_column(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _border(text: str, place: int) -> bool:
+    """Whether a word border lies inside a text; letters outside ASCII count as letters."""
+    return (text[place - 1].isalnum() or text[place - 1] == "_") != (text[place].isalnum() or text[place] == "_")
+
+
+class _Words:
+    """All occurrences of whole words, each standing for some tickers."""
+
+    def __init__(self, words: dict[str, list[str]], flags: str):
+        # A word that can overlap itself ("la la") is counted alone, without overlaps.
+        self.alone = {w: t for w, t in words.items() if any(w[d:] == w[: len(w) - d] and _border(w, d) for d in range(1, len(w)))}
+        listed = [w for w in words if w not in self.alone]
+        self.pattern = rf"{flags}\b(?=({_alternatives(listed)})\b)" if listed else None
+        self.flags = flags
+        starts = [[t for n in range(1, len(w) + 1) if w[:n] in words and w[:n] not in self.alone and (n == len(w) or _border(w, n)) for t in words[w[:n]]] for w in listed]
+        self.places = LookupTable({w: float(place) for place, w in enumerate(listed)})
+        self.starts = F.from_json(F.lit(json.dumps(starts)), "array<array<string>>")
+
+    def found(self, text: Column) -> Column:
+        """The tickers of all occurrences, repeats included."""
+        parts = []
+        if self.pattern:
+            table = self.places.bind()
+            hits = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(1))
+            parts.append(F.flatten(F.transform(hits, lambda hit: F.get(self.starts, self.places.get(table, hit).cast("int")))))
+        for word, tickers in self.alone.items():
+            times = F.regexp_count(text, F.lit(rf"{self.flags}\b\Q{word}\E\b"))
+            parts += [F.array_repeat(F.lit(ticker), times) for ticker in tickers]
+        return F.coalesce(F.concat(*parts), F.array().cast("array<string>"))
+
+
+def named_tickers(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row per (row, ticker whose word or company name is in ``body``), with both counts."""
+    return df.select("*", F.inline(WordList(names).counts(F.col("body"))))
+
+
+def company_names(tickers: list[str], names: dict[str, str] | None = None) -> dict[str, str]:
+    """Company name of each ticker; a ticker without one is an error."""
     names = COMPANY_NAMES if names is None else names
-    if ticker not in names:
-        raise ValueError(f"no company name known for {ticker!r}")
-    return names[ticker]
+    unknown = [ticker for ticker in tickers if ticker not in names]
+    if unknown:
+        raise ValueError(f"no company name known for {', '.join(map(repr, unknown))}")
+    return {ticker: names[ticker] for ticker in tickers}
 
 
 def latest_posts(threads: DataFrame, limits: dict[str, int], after: str | None = None) -> DataFrame:
@@ -242,17 +338,34 @@ def with_reply_count(posts: DataFrame, threads: DataFrame) -> DataFrame:
     return posts.join(replies, "post_id", "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
 
 
+def newest_threads(threads: DataFrame, limits: dict[str, int], min_score: int = 0) -> DataFrame:
+    """The newest posts of each forum with their number of ``comments``, and their comments of at least ``min_score``.
+
+    The posts are found once: sum(limits) rows at most, which go to the threads they belong
+    to; one exchange by post then counts the replies and gives out both kinds of rows.
+    (subreddit, post_id) names one submission.
+    """
+    keys = ["subreddit", "post_id"]
+    chosen = latest_posts(threads, limits).select(*keys).distinct()
+    chosen = F.broadcast(chosen) if sum(limits.values()) <= SMALL_SIDE else chosen
+    rows = threads.where(F.col("type").isin("submission", "comment")).join(chosen, keys, "left_semi")
+    is_post = F.col("type") == "submission"
+    replies = F.count_if(~is_post).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("comments", F.when(is_post, replies))
+    return rows.where(is_post | (F.col("score") >= min_score))
+
+
 def current_mentions(
-    threads: DataFrame, ticker: str, name: str | None, as_of: str, limits: dict[str, int] | None = None, names: dict[str, str] | None = None
+    threads: DataFrame, tickers: str | list[str], as_of: str, limits: dict[str, int] | None = None, names: dict[str, str] | None = None
 ) -> DataFrame:
-    """Yesterday's newest posts and comments that name the ticker or its company.
+    """Yesterday's newest posts and comments, a row for each ticker that they name by its word or its company's name.
 
-    Without ``name`` the company is looked up in ``names`` (ticker -> name); an unknown ticker is an error.
+    Company names are looked up in ``names`` (ticker -> name); an unknown ticker is an error.
     """
     require_columns(threads, "body", "created_date")
-    name, limits = name or company_name(ticker, names), FORUM_LIMITS if limits is None else limits
-    rows = union_posts_comments(latest_posts(threads, limits), latest_comments(threads, limits))
-    return mentioned(word_counts(yesterday(rows, as_of), ticker, name))
+    wanted = company_names([tickers] if isinstance(tickers, str) else tickers, names)
+    rows = newest_threads(threads, FORUM_LIMITS if limits is None else limits).drop("comments")
+    return named_tickers(yesterday(rows, as_of), wanted)
 
 
 def preview(mentions: DataFrame, rows: int = 5) -> DataFrame:

@@ -13,9 +13,11 @@ def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
 
 
-def live_mentions(lines: DataFrame, ticker: str, name: str, start: str, end: str) -> DataFrame:
-    """The batch extraction and word counts, applied to a stream (or a batch) of lines."""
-    return mentions.mentioned(mentions.word_counts(mentions.extract_mentions(lines, ticker, start, end), ticker, name))
+def live_mentions(lines: DataFrame, names: dict[str, str], start: str, end: str) -> DataFrame:
+    """The batch extraction and word counts of all tickers (ticker -> company name), applied to a stream (or a batch) of lines."""
+    found = mentions.extract_mentions(lines, list(names), start, end).withColumnRenamed("ticker", "_ticker")
+    counted = mentions.named_tickers(found, names)
+    return counted.where(F.col("ticker") == F.col("_ticker")).drop("_ticker")
 
 
 def rollup(live: DataFrame, lexicon: Lexicon | None = None, watermark: str = "2 days") -> DataFrame:

@@ -125,20 +125,67 @@ def test_latest_posts_and_their_comments(spark):
 
 
 def test_current_mentions_of_yesterday(spark):
-    got = m.current_mentions(threads(spark), "AAPL", "apple", "2024-01-04", {"w": 9})
+    got = m.current_mentions(threads(spark), "AAPL", "2024-01-04", {"w": 9})
     assert {str(r.created_date)[:10] for r in got.collect()} == {"2024-01-03"}
     assert got.count() == 6
 
 
+def test_many_words_are_counted_as_each_alone(spark):
+    names = {
+        "AA": "alpha", "AAPL": "apple", "BRK": "berkshire", "BRK.B": "berkshire hathaway", "A": "a", "la": "la la", "T": "Alpha", "$X": "x.y", "É": "été",
+        "C++": "c+", "a.a": "a.a",
+    }
+    texts = [
+        "AA AAPL AAPLs aapl AA. BRK.B BRK BRK.BX brk.b", "Apple apple pineapple éAAPL AAPLé", "la la la la LA LA", "Berkshire Hathaway BERKSHIRE hathaways",
+        "A a A.a a.a.a.a", "pay $X or US$X x.y X.Y.x.y", "É été ÉTÉ Été", "C++ C+ c+x xC++ C++x", None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, body string")
+    got = sorted(map(tuple, m.named_tickers(df, names).select("n", "ticker", "ticker_count", "name_count").collect()))
+    want = []
+    for ticker, name in names.items():
+        alone = m.mentioned(m.word_counts(df, ticker, name))
+        want += [(r.n, ticker, r.ticker_count, r.name_count) for r in alone.collect()]
+    assert got == sorted(want) and len(got) > 10
+
+
+def test_one_plan_for_any_number_of_tickers(spark):
+    def plan(n):
+        names = {f"T{i:04d}": f"company {i}" for i in range(n)}
+        found = m.current_mentions(threads(spark), list(names), "2024-01-04", {"w": 9}, names)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        counted = m.count_outcomes(ndjson.parse_lines(lines(spark, "{}")), list(names), *RANGE)
+        return [text.count(word) for word in ("Scan", "Exchange", "Generate", "Project", "Window [")], counted._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+
+    assert plan(2) == plan(1000)
+
+
+def test_outcomes_of_many_tickers_equal_those_of_each(spark):
+    values = ['{"id":"1","created_utc":1600000000,"body":"aa bb","score":1}', '{"id":"2","created_utc":1600000000,"body":"aa","score":"x"}', '{"created_utc":1600000000,"body":"AA","score":1}']
+    values += ['{"id":"4","created_utc":9,"body":"aa","score":1}', "{", '{"id":"5","created_utc":1600000000,"body":"none"}', '{"id":"6","created_utc":1600000000,"body":"bb"}']
+    parsed = ndjson.parse_lines(lines(spark, *values))
+    together = sorted(map(tuple, m.count_outcomes(parsed, ["aa", "bb", "cc"], *RANGE).collect()))
+    assert together == sorted(tuple(r) for t in ("aa", "bb", "cc") for r in m.count_outcomes(parsed, t, *RANGE).collect())
+    assert dict((r[1], r[2]) for r in together if r[0] == "aa") == {"ok": 1, "bad score": 1, "no id": 1, "out of range": 1, "malformed": 1, "no match": 2}
+    assert dict((r[1], r[2]) for r in together if r[0] == "cc") == {"out of range": 1, "malformed": 1, "no match": 5}
+
+
+def test_newest_threads_equal_posts_and_comments_apart(spark):
+    rows = threads(spark)
+    posts = m.with_reply_count(m.latest_posts(rows, {"w": 4}), rows)
+    want = m.union_posts_comments(posts, m.latest_comments(rows, {"w": 4}))
+    got = m.newest_threads(rows, {"w": 4})
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_unknown_company_is_an_error():
-    assert m.company_name("MSFT") == "microsoft"
+    assert m.company_names(["MSFT"]) == {"MSFT": "microsoft"}
     with pytest.raises(ValueError):
-        m.company_name("XXXX")
+        m.company_names(["MSFT", "XXXX"])
 
 
 def test_missing_columns_are_an_error(spark):
     with pytest.raises(ValueError, match="created_date"):
-        m.current_mentions(threads(spark).drop("created_date"), "AAPL", "apple", "2024-01-04", {"w": 9})
+        m.current_mentions(threads(spark).drop("created_date"), "AAPL", "2024-01-04", {"w": 9})
 
 
 def test_headlines_prefer_the_inner_element(spark):

@@ -135,7 +135,7 @@ def test_stream_equals_batch(spark, tmp_path):
     span = ("2020-01-01", "2023-12-31")
 
     def build(lines):
-        return current.rollup(current.live_mentions(lines, "AAPL", "apple", *span))
+        return current.rollup(current.live_mentions(lines, {"AAPL": "apple"}, *span))
 
     query = current.start(build(current.read_lines(spark, str(folder), 1)), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
