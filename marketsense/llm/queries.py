@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketsense.llm import alignment, fingerprints, language, maxscore, mixing, packing, periodic, projection_forest, quality, simhash, suffix_tree, toxicity, warc
 from marketsense.llm.common import WORD
-from marketsense.session import join_path, shared_folder
+from marketsense.session import join_path, shared_folder, stage
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,14 +56,20 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.plan_captures(_table(spark, sf_dir, "pages"))
     path = join_path(shared_folder(spark), "marketsense", f"warc-{uuid.uuid4().hex}")
     warc.write_archives(captures, path)
-    nested = warc.assemble(warc.read_archives(spark, path))
+    nested = warc.assemble(warc.read_archives(spark, path), payloads=False)
     page_id = F.regexp_extract(F.decode(F.get("metadata", F.lit(0))["block"], "utf-8"), r"pageId: (-?\d+)", 1)
     rows = nested.select(
         "capture", F.nullif(page_id, F.lit("")).cast("long").alias("page_id"), F.col("response.payload_length").alias("payload_bytes"),
-        F.regexp_replace("response.digest", "^sha256:", "").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("leader"),
+        F.regexp_replace("response.digest", "^sha256:", "").alias("payload_digest"), F.col("response.type").alias("record_type"),
+        F.coalesce("response.refers_to", "capture").alias("holder"),
     )
-    leaders = rows.select(F.col("capture").alias("leader"), F.col("page_id").alias("refers_to"))
-    return rows.join(leaders, "leader", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # A small row per capture, written once: the archives are read in one pass.
+    rows = stage(rows, "warc-rows")
+    # What a revisit stands for is what its response held when it was read.
+    holders = rows.filter(F.col("record_type") == "response").select(F.col("capture").alias("holder"), F.col("page_id").alias("held_by"), F.col("payload_bytes").alias("held_bytes"), F.col("payload_digest").alias("held_digest"))
+    read = rows.join(holders, "holder", "left")
+    refers_to = F.when(F.col("record_type") == "revisit", F.col("held_by")).alias("refers_to")
+    return read.select("page_id", F.coalesce("held_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("held_digest", "payload_digest").alias("payload_digest"), "record_type", refers_to)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

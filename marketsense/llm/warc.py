@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from marketsense.llm.common import numbered
 
 RECORD_END = "\r\n\r\n"
-RECORDS_PER_FILE = 3000
+# (captures of up to so many payload bytes, captures in a file): a file holds 64 MB of payload, or one larger capture.
+FILE_CLASSES = [(1 << 16, 1000), (1 << 22, 16), (None, 1)]
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, digest string, payload_length long, profile string, block binary"
 
@@ -63,7 +64,11 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_archives(captures: DataFrame, path: str) -> None:
-    """Write three records per capture; each file is one gzip stream of at most ``RECORDS_PER_FILE`` of them."""
+    """Write three records per capture; each file is one gzip stream, bounded by ``FILE_CLASSES``.
+
+    Captures are written by size class, so a file that is read as a whole stays small
+    whatever the pages are like.
+    """
 
     def identity(part: str, row: str = "row", page: str = "page_id") -> Column:
         return _urn(F.lit(part), F.coalesce(F.col(page).cast("string"), F.lit("~")), F.col(row).cast("string"))
@@ -94,9 +99,13 @@ def write_archives(captures: DataFrame, path: str) -> None:
         "metadata", identity("metadata"), [("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("fetchStatus: 200\r\n")),
     )
-    lines = captures.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    writer = lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.option("compression", "gzip").text(path)
+    below = -1
+    for most, in_file in FILE_CLASSES:
+        chosen = captures.filter((F.col("size") > below) & (F.col("size") <= most if most else F.lit(True)))
+        lines = chosen.select(F.explode(F.array(request, main, metadata)).alias("value"))
+        writer = lines.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", 3 * in_file)
+        writer.option("compression", "gzip").text(path)
+        below = most
 
 
 _FIELDS = {
@@ -161,17 +170,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, RECORD_SCHEMA)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """One nested row per capture: the response or revisit, its request and its metadata records.
 
     Records meet by identifier: a response by its own, the others by the one they
     are concurrent to.  Identifiers are per capture, so no group grows with the
     data.  A capture without request or metadata has null or no element there; records
     concurrent to nothing known are returned with null fields in the response.  Blocks
-    move with their records once.
+    move with their records once; without ``payloads`` those of responses stay where they are.
     """
     keyed = records.withColumn("capture", F.coalesce("concurrent_to", "record_id"))
-    fields = ["record_id", "type", "refers_to", "target_uri", "digest", "payload_length", "profile", "block"]
+    fields = ["record_id", "type", "refers_to", "target_uri", "digest", "payload_length", "profile", *["block"] * payloads]
+    if not payloads:
+        keyed = keyed.withColumn("block", F.when(~F.col("type").isin("response", "revisit"), F.col("block")))
     main, request, metadata = F.col("type").isin("response", "revisit"), F.col("type") == "request", F.col("type") == "metadata"
     found = keyed.groupBy("capture").agg(
         *[F.max(F.when(main, F.col(name))).alias(f"main_{name}") for name in fields],

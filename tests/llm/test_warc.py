@@ -56,3 +56,19 @@ def test_damaged_payload_shows(spark, tmp_path):
     damaged, meant = hashlib.sha256(b"a" * 60 + b"b" * 60).hexdigest(), hashlib.sha256(b"a" * 120).hexdigest()
     assert (records["response"]["digest"], records["response"]["payload_length"]) == (f"sha256:{damaged}", 120)
     assert (records["revisit"]["digest"], records["revisit"]["payload_length"]) == (f"sha256:{meant}", 120)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CLASSES", [(1000, 10), (100_000, 3), (None, 1)])
+    rows = [(i, "u", f"{i} " + "s" * 300) for i in range(25)] + [(100 + i, "u", f"{i} " + "m" * 50_000) for i in range(7)] + [(200 + i, "u", f"{i} " + "l" * 500_000) for i in range(2)]
+    captures = warc.plan_captures(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    warc.write_archives(captures, str(tmp_path / "w"))
+    sizes = sorted(len(gzip.decompress(file.read_bytes())) for file in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) == 3 + 3 + 2 and sizes[2] < 10 * 2_000 and sizes[5] < 3 * 60_000 and sizes[-1] < 520_000
+    nested = warc.assemble(warc.read_archives(spark, str(tmp_path / "w")), payloads=False)
+    assert nested.count() == len(rows) and "block" not in nested.schema["response"].dataType.names
+
+
+def test_the_query_reads_the_archives_once_and_moves_no_payload(spark):
+    plan = queries.op8_warc_transactions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "block" not in plan  # what is left works on the small staged rows
