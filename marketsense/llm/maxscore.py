@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from marketsense.session import stage
 
 SHARD = 1024  # vectors of a shard
 BLOCK = 256  # queries of a block
+BLOCK_BYTES = 1 << 16  # of the vectors of a block
 LANE = 16  # shards that a task searches one after the other
 PROBE = 8  # non-essential terms probed at a time
 
@@ -32,25 +34,40 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & whole, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _packed(vectors: DataFrame, name: str, size: int) -> DataFrame:
-    """Vectors by number (``name``) in bounded groups: their ids and matrix as binary values, one row per id.
+def _packed(vectors: DataFrame, rows: int, block_bytes: int | None = None) -> DataFrame:
+    """Groups of at most ``rows`` consecutive vectors of a task: (number, ids, width, kind, matrix), nothing is shuffled.
 
-    Of rows that repeat an id the smallest vector counts; shorter vectors are filled up with zeros.
+    Every row counts, whatever ids repeat; shorter vectors are filled up with zeros.
+    Components take as few bytes as they need.
     """
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        number = group[name].iloc[0]
-        rows = sorted(zip(group["id"].tolist(), map(tuple, group["vector"])))
-        rows = [row for place, row in enumerate(rows) if not place or rows[place - 1][0] != row[0]]
-        width = max(len(vector) for _, vector in rows)
-        matrix = np.zeros((len(rows), width), np.int64)
-        for place, (_, vector) in enumerate(rows):
-            matrix[place, : len(vector)] = vector
-        return pd.DataFrame({name: [number], "ids": [np.array([i for i, _ in rows], np.int64).tobytes()], "width": [width], "matrix": [matrix.tobytes()]})
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, vectors = batch["id"].to_numpy(np.int64), batch["vector"].tolist()
+            width = max(map(len, vectors), default=0)
+            matrix = np.zeros((len(ids), width), np.int64)
+            for row, vector in zip(matrix, vectors):
+                row[: len(vector)] = vector
+            most = int(np.abs(matrix).max(initial=0))
+            kind = "i2" if most < 1 << 15 else "i4" if most < 1 << 31 else "i8"
+            step = min(rows, max(1, block_bytes // (int(kind[1]) * max(1, width)))) if block_bytes else rows
+            starts = range(0, len(ids), step)
+            cut = [matrix[start : start + step].astype(kind).tobytes() for start in starts]
+            yield pd.DataFrame({"number": number + np.arange(len(starts)), "ids": [ids[start : start + step].tobytes() for start in starts], "width": width, "kind": kind, "matrix": cut})
+            number += len(starts)
+
+    return stage(vectors.select("id", "vector").mapInPandas(pack, "number long, ids binary, width int, kind string, matrix binary"), "maxscore")
+
 
-    groups = max(1, -(-vectors.count() // size))
-    numbered = vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    return stage(numbered.groupBy(name).applyInPandas(pack, f"{name} int, ids binary, width int, matrix binary"), f"maxscore-{name}")
+class _Shard:
+    """A shard's posting lists (its columns) with the bounds of each."""
+
+    def __init__(self, ids: bytes, width: int, kind: str, matrix: bytes):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.columns = np.ascontiguousarray(np.frombuffer(matrix, kind).reshape(len(self.ids), width).T).astype(np.float64 if kind != "i8" else np.int64)
+        self.low, self.high = self.columns.min(axis=1), self.columns.max(axis=1)
+        self.most = float(np.abs(self.columns).max(initial=0))
 
 
 def best_of_shard(query: np.ndarray, own: int, columns: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,47 +102,62 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` with the highest inner product for each query.
 
     Both tables: id long, vector array<long>.  Rows with a null id or vector take no
-    part; a query never finds rows of its own id; ties go to the smaller id; queries
-    with fewer than ``k`` candidates return all.  Vectors of different lengths are
-    compared as if filled up with zeros.  Query blocks meet every shard, as an exact
-    search must; a task holds one block and one shard at a time.
+    part.  Every other row is a candidate, and every row of ``queries`` asks; a query never
+    finds rows of its own id.  Ties go to the smaller id, equal (score, id) rows all
+    count; queries with fewer than ``k`` candidates return all.  Vectors of different
+    lengths are compared as if filled up with zeros.
+
+    Shards are dealt out to lanes of about ``LANE``; a lane gets each of its shards once and
+    each query block once, so what moves grows with rows, and with queries times
+    lanes, never with pairs of shards and blocks.  A task holds the shards of one lane.
     """
     known = F.col("id").isNotNull() & F.col("vector").isNotNull()
-    shards, blocks = _packed(vectors.filter(known), "shard", shard), _packed(queries.filter(known), "block", block)
-    total = max(1, shards.count())
-    lanes = -(-total // LANE)
-    lane = F.pmod(F.col("shard"), F.lit(lanes)).cast("int")
-    asked = blocks.select("block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    work = shards.withColumn("lane", lane).join(asked, "lane").repartition(max(1, min(blocks.count() * lanes, 100_000)), "block", "lane")
+    shards, blocks = _packed(vectors.filter(known), shard), _packed(queries.filter(known), block, BLOCK_BYTES)
+    lanes = max(1, -(-shards.count() // LANE))
+    held = shards.select(F.pmod(F.xxhash64("number"), F.lit(lanes)).cast("int").alias("lane"), F.lit(0).alias("role"), *shards.columns)
+    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(1).alias("role"), *blocks.columns)
+    work = held.unionByName(asked).repartition("lane").sortWithinPartitions("lane", "role", "number")
+
+    def answers(row, lane: list[_Shard]) -> pd.DataFrame:
+        """The best of a lane for each query of a block; thresholds are carried from shard to shard."""
+        own = np.frombuffer(row.ids, np.int64)
+        wanted = np.frombuffer(row.matrix, row.kind).reshape(len(own), row.width)
+        most = float(np.abs(wanted).max(initial=0))
+        found = []
+        for place, (query, query_id) in enumerate(zip(wanted, own.tolist())):
+            ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+            for part in lane:
+                width = min(len(part.columns), len(query))
+                # Doubles hold the sums exactly while they stay under 2 ** 53; else integers are used.
+                kind = np.float64 if part.most * most * 4 * max(1, width) < 2**53 else np.int64
+                columns = part.columns[:width].astype(kind, copy=False)
+                threshold = scores[-1] if len(scores) == k else -np.inf
+                low, high = part.low[:width].astype(kind, copy=False), part.high[:width].astype(kind, copy=False)
+                more_ids, more = best_of_shard(query[:width].astype(kind), query_id, columns, low, high, part.ids, threshold)
+                if len(more_ids):
+                    ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more.astype(np.int64)])
+                    first = np.lexsort((ids, -scores))[:k]
+                    ids, scores = ids[first], scores[first]
+            found.append((row.number, place, query_id, ids, scores))
+        counts = [len(ids) for *_, ids, _ in found]
+        return pd.DataFrame(
+            {
+                "block": row.number, "place": np.repeat([one[1] for one in found], counts), "query_id": np.repeat([one[2] for one in found], counts),
+                "vec_id": np.concatenate([one[3] for one in found]), "score": np.concatenate([one[4] for one in found]),
+            }
+        )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        at, lane = None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids, asking = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-                held = np.frombuffer(row.matrix, np.int64).reshape(len(ids), row.width)
-                wanted = np.frombuffer(row.q_matrix, np.int64).reshape(len(asking), row.q_width)
-                width = min(row.width, row.q_width)
-                held, wanted = held[:, :width], wanted[:, :width]
-                # Doubles hold the sums exactly while they stay under 2 ** 53; else integers are used.
-                size = float(np.abs(held).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * 4 * max(1, width)
-                kind = np.float64 if size < 2**53 else np.int64
-                columns, wanted = np.ascontiguousarray(held.T).astype(kind), wanted.astype(kind)
-                low, high = columns.min(axis=1), columns.max(axis=1)
-                for query, own in zip(wanted, asking.tolist()):
-                    old_ids, old = best.get(own, (np.empty(0, np.int64), np.empty(0, np.int64)))
-                    threshold = old[-1] if len(old) == k else -np.inf
-                    more_ids, more = best_of_shard(query, own, columns, low, high, ids, threshold)
-                    if len(more_ids):
-                        all_ids, scores = np.concatenate([old_ids, more_ids]), np.concatenate([old, more.astype(np.int64)])
-                        first = np.lexsort((all_ids, -scores))[:k]
-                        best[own] = all_ids[first], scores[first]
-        if best:
-            counts = [len(ids) for ids, _ in best.values()]
-            yield pd.DataFrame(
-                {"query_id": np.repeat(list(best), counts), "vec_id": np.concatenate([ids for ids, _ in best.values()]), "score": np.concatenate([s for _, s in best.values()])}
-            )
-
-    found = work.mapInPandas(search, "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                if row.lane != at:
+                    at, lane = row.lane, []
+                if row.role == 0:
+                    lane.append(_Shard(row.ids, row.width, row.kind, row.matrix))
+                else:
+                    yield answers(row, lane)
+
+    found = work.mapInPandas(search, "block long, place int, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -166,12 +166,12 @@ ORACLES = {
         from placed""",
     "op2_maxscore_search": """
         with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vector from embeddings
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vector from embeddings
             where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         scored as (
-            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.vector, c.vector) as bigint) as score
+            select q.row, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.vector, c.vector) as bigint) as score
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        ranked as (select *, row_number() over (partition by row order by score desc, vec_id) as rank from scored)
         select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""",
     "op8_warc_transactions": r"""
         with p as (select page_id, coalesce(html, '') as html from pages),
