@@ -2,8 +2,8 @@
 
 A document's vector of hashed three-byte grams is projected to ``DIMENSIONS`` coordinates; the
 Hilbert key of that point orders the documents, so neighbours on the curve, which
-are alike, share sequences.  Documents are range-partitioned and sorted by key,
-tokenised in that order, and laid end to end; prefix sums over the partitions give
+are alike, share sequences.  Documents are dealt out by stretch of the curve, sorted by key,
+tokenised in that order, and laid end to end; prefix sums over the stretches give
 each document its place in the whole, and every ``length`` tokens make a sequence.
 Only the last sequence is not full.
 """
@@ -20,19 +20,21 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketsense.llm.common import text_chunks
+from marketsense.llm.common import mix64, text_chunks
 from marketsense.session import stage
 
 DIMENSIONS = 3
 CURVE_BITS = 16  # bits of each coordinate
+TIE_BITS = 15
+SAMPLE = 20_000  # documents whose keys cut the curve
+SLOTS = 4  # stretches of the curve for each partition
 BUCKETS = 1 << 12
 CHUNK = 500_000  # characters tokenised at a time
 KNOWN_PARTS = 150_000  # coded parts a task keeps
-SPACED, BLANKS = re.compile(r"\s "), re.compile(r"\s")
+SPACED = re.compile(r"\s ")
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
 
@@ -86,6 +88,28 @@ def curve_keys(texts: list[str | None]) -> np.ndarray:
     return hilbert_keys(np.clip(share * (1 << CURVE_BITS), 0, (1 << CURVE_BITS) - 1), CURVE_BITS)
 
 
+def curve_order(texts: list[str | None], rows: np.ndarray) -> np.ndarray:
+    """Hilbert key and, below it, some bits of a hash of the row: equal keys can be cut apart."""
+    return curve_keys(texts) << TIE_BITS | (mix64(rows) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
+
+
+def curve_cuts(rows: DataFrame, slots: int) -> np.ndarray:
+    """Borders that cut the curve into about ``slots`` stretches of equally many documents, by a bounded sample.
+
+    ``rows`` has text and row.  The sample decides how evenly the work is dealt out, and nothing else.
+    """
+    total = rows.count()
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"curve": curve_order(batch["text"].tolist(), batch["row"].to_numpy(np.int64))})
+
+    found = rows.filter(share).select("text", "row").mapInPandas(order, "curve long").limit(2 * SAMPLE).collect()
+    keys = np.sort(np.array([row.curve for row in found], np.int64))
+    return np.unique(keys[(np.arange(1, slots) * len(keys)) // slots]) if len(keys) else keys
+
+
 class PartCoder:
     """Token ids of texts; parts of texts that came up before are not coded again.
 
@@ -159,25 +183,34 @@ class PartCoder:
                 parts = whole
             loose.append(parts[0])  # the first part has no space before it
             parted.append(parts[1:])
-        new = list(set().union(*parted) - self.number.keys())
-        odd = [part for part in new if not part or BLANKS.search(part)]
-        plain = list(set(new).difference(odd))
-        split = {part: found.groups() for part in plain if (found := MARKED.fullmatch(part))}
-        words = set(plain).difference(split).union(word for word, _ in split.values()) - self.number.keys()
-        other = [word for word in words if not LATIN.fullmatch(word)]
-        words = list(words.difference(other))
+        words, odd, split = [], [], {}
+        for part in set().union(*parted) - self.number.keys():
+            if part.isalpha() and (part.isascii() or LATIN.fullmatch(part)):
+                words.append(part)
+            elif found := MARKED.fullmatch(part):
+                split[part] = found.groups()
+            else:
+                odd.append(part)
+        words += {word for word, _ in split.values()} - self.number.keys() - set(words)
         self.number.update(zip(words, self._add(*self._code_words(words))))
-        odd += other
         self.number.update(zip(odd, self._add(*self._code([f" {part}" for part in odd]))))
         marks = list({mark for _, mark in split.values()} - self.marks.keys())
         self.marks.update(zip(marks, self._add(*self._code(marks))))
-        pairs = np.array([(self.number[word], self.marks[mark]) for word, mark in split.values()], np.int64)
+        pairs = np.empty((len(split), 2), np.int64)
+        for side, known in enumerate((self.number, self.marks)):
+            pairs[:, side] = np.fromiter(map(known.__getitem__, [pair[side] for pair in split.values()]), np.int64, len(split))
         ids, sizes = self._gather(pairs.ravel())
         self.number.update(zip(split, self._add(ids, sizes.reshape(-1, 2).sum(axis=1))))
         firsts = self._add(*self._code(loose))
-        numbers = np.fromiter(chain.from_iterable([first, *map(self.number.__getitem__, parts)] for first, parts in zip(firsts, parted)), np.int64)
+        counts = np.fromiter(map(len, parted), np.int64, len(parted))
+        begins = np.cumsum(counts + 1) - counts - 1
+        numbers = np.empty(int(counts.sum()) + len(parted), np.int64)
+        inner = np.ones(len(numbers), bool)
+        inner[begins] = False
+        numbers[begins] = np.arange(firsts.start, firsts.stop)
+        numbers[inner] = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parted)), np.int64, int(counts.sum()))
         ids, sizes = self._gather(numbers)
-        ends = np.cumsum(sizes)[np.cumsum([1 + len(parts) for parts in parted], dtype=np.int64) - 1].tolist()
+        ends = np.cumsum(sizes)[begins + counts].tolist()
         return [ids[start:stop] for start, stop in zip([0, *ends[:-1]], ends)]
 
 
@@ -207,37 +240,45 @@ def pack_documents(
 
     Returns (doc_id, start, length, ids, doc_tokens, sequence_id, offset) per piece;
     ``ids`` are little-endian 32-bit.  Each document's ids end with ``end_id``; a null
-    or empty text is that id alone.  Ties of the curve are ordered by id, then by row,
-    so copies, however many, are spread over partitions and lie side by side.  Rows
+    or empty text is that id alone.  Documents with equal keys are ordered by a hash of
+    their row, so copies, however many, are spread over partitions and lie side by side.  Rows
     that repeat an id are packed as documents of their own.  An empty table gives none.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    # Ids travel through pandas as text: a column of integers with nulls would turn to floats there.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = spark.sparkContext.broadcast(curve_cuts(rows, SLOTS * wanted))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(curve=curve_keys(batch["text"].tolist()))
+            order = curve_order(batch["text"].tolist(), batch["row"].to_numpy(np.int64))
+            yield batch.assign(slot=np.searchsorted(cuts.value, order, side="right"), curve=order)
 
-    # Ids travel through pandas as text: a column of integers with nulls would turn to floats there.
-    keyed = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, "doc_id string, text string, row long, curve long")
-    ordered = keyed.repartitionByRange("curve", "doc_id", "row").sortWithinPartitions("curve", "doc_id", "row")
+    # Slots are stretches of the curve, several to a partition: no second run over the keys to find out ranges.
+    keyed = rows.mapInPandas(place, "doc_id string, text string, row long, slot int, curve long")
+    ordered = keyed.repartition(wanted, "slot").sortWithinPartitions("slot", "curve", "doc_id", "row")
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
-        parts, part, before = PartCoder(*load_coders(tokenizer, ranks)), TaskContext.get().partitionId(), 0
+        parts, before = PartCoder(*load_coders(tokenizer, ranks)), {}
         for batch in batches:
             texts = [text or "" for text in batch["text"]]
             for start, stop in text_chunks(texts, CHUNK):
                 coded = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in parts.encode(texts[start:stop])]
-                sizes = np.array([len(ids) for ids in coded], np.int64)
-                firsts = before + np.cumsum(sizes) - sizes
-                before += int(sizes.sum())
+                sizes, slots = np.array([len(ids) for ids in coded], np.int64), batch["slot"].to_numpy()[start:stop]
+                firsts = np.cumsum(sizes) - sizes
+                for slot in np.unique(slots):  # a slot goes on where it stood
+                    low, high = np.searchsorted(slots, [slot, slot + 1])
+                    done = before.pop(slot, 0)
+                    before = {slot: done + int(sizes[low:high].sum())}
+                    firsts[low:high] += done - firsts[low]
                 yield pd.DataFrame(
-                    {"part": part, "first": firsts, "doc_id": batch["doc_id"].iloc[start:stop].to_numpy(), "doc_tokens": sizes, "ids": [ids.tobytes() for ids in coded]}
+                    {"part": slots, "first": firsts, "doc_id": batch["doc_id"].to_numpy()[start:stop], "doc_tokens": sizes, "ids": [ids.tobytes() for ids in coded]}
                 )
 
     coded = stage(ordered.mapInPandas(tokenise, "part int, first long, doc_id string, doc_tokens long, ids binary"), "pack-tokens")
-    # One row per partition; a count of partitions, not of documents, bounds this table.
+    # One row per slot; a count of slots, not of documents, bounds this table.
     parts = coded.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     laid = coded.join(F.broadcast(parts.select("part", before.alias("before"))), "part").withColumn("base", F.col("before") + F.col("first"))

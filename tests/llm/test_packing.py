@@ -61,3 +61,22 @@ def test_hilbert_neighbours_are_one_step_apart():
     keys = packing.hilbert_keys(points, 3)
     assert sorted(keys) == list(range(512))
     assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_sequences_follow_the_curve(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["alpha", "beta,", "gamma.", "été", "42"], rng.integers(1, 60))) for _ in range(400)] + ["the same text again"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    pieces = packing.pack_documents(docs, PATH, RANKS, length=128).collect()
+    firsts = sorted((p for p in pieces if p.start == 0), key=lambda p: (p.sequence_id, p.offset))
+    keys = packing.curve_keys(texts)
+    along = [keys[p.doc_id] for p in firsts]
+    assert len(along) == len(texts) and along == sorted(along)
+
+
+def test_copies_are_cut_apart(spark):
+    rows = spark.createDataFrame([(i, "one text" if i % 3 else f"text {i}") for i in range(3000)], "row long, text string")
+    cuts = packing.curve_cuts(rows, 30)
+    order = packing.curve_order([r.text for r in rows.collect()], np.arange(3000))
+    sizes = np.bincount(np.searchsorted(cuts, order, side="right"))
+    assert len(cuts) == 29 and sizes.max() < 3 * 3000 / 30
