@@ -111,6 +111,7 @@ QUERIES = {
     "ticker_universe": lambda s, d: pages.ticker_universe(fixtures.table(s, d, "symbols")),
     "page_headlines": lambda s, d: _headlines(s, d, tag="p"),
     "class_headlines": lambda s, d: _headlines(s, d, "classes", tag="div", css_class="ad"),
+    "nested_headlines": lambda s, d: _headlines(s, d, "nested", tag="div", css_class="ad"),
     "news_frame": _news,
 }
 
@@ -156,24 +157,48 @@ _ASCII = "regexp_replace(body, '[\\x{C0}-\\x{24F}]', 'z', 'g')"
 _COUNTS = f"""len(regexp_extract_all({_ASCII}, '\\bLa\\b')) as ticker_count, len(regexp_extract_all({_ASCII}, '(?i)\\b{NAME}\\b')) as name_count"""
 _YESTERDAY = f"created_date >= date '{AS_OF}' - interval 1 day and created_date < date '{AS_OF}'"
 
-_P, _B = ("(?is)<({tag})(?:\\s[^>]*)?>(.*?)</{tag}\\s*>".format(tag=tag) for tag in "pb")
-_AD = """(?is)<(div)\\s(?:[^>]*\\s)?class\\s*=\\s*(?:"(?:[^"]*\\s)?ad(?:\\s[^"]*)?"|''(?:[^'']*\\s)?ad(?:\\s[^'']*)?'')[^>]*>(.*?)</div\\s*>"""
+# The references that the test pages use; the ampersand last.
+_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&eacute;": "é", "&#8217;": "’", "&#x27;": "'", "&amp;": "&"}
+_CLASS_AD = """(?is)<div\\s(?:[^>]*\\s)?class\\s*=\\s*(?:"(?:[^"]*\\s)?ad(?:\\s[^"]*)?"|''(?:[^'']*\\s)?ad(?:\\s[^'']*)?'')[^>]*>"""
 
 
 def _decoded(text: str) -> str:
-    for reference, char in pages.ENTITIES.items():
+    for reference, char in _REFERENCES.items():
         text = "replace({}, '{}', '{}')".format(text, reference, char.replace("'", 2 * "'"))
     return text
 
 
 def _headline_sql(outer: str, source: str) -> str:
-    inner = f"case when regexp_matches(content, '{_B}') then regexp_extract(content, '{_B}', 2) else content end"
-    bare = f"regexp_replace({inner}, '<[^>]*>', '', 'g')"
-    return f"""found as (
-  select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as source, regexp_extract_all(html, '{outer}', 2)[1:5] as items from {source}),
-items as (select page_id, source, unnest(items) as content, generate_subscripts(items, 1) - 1 as place from found)
-select page_id, source, place, {_strip(_decoded(bare))} as headline from items"""
-
+    """The tags of a page one after the other, with the stack of open elements."""
+    void = ", ".join(f"'{name}'" for name in pages.VOID)
+    content = "list_filter(toks[(spot + 2):(till)], lambda x: not starts_with(x, '<') or x = '<')"
+    return f"""tokens as (
+  select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as source, regexp_extract_all(html, '{pages.TOKEN}') as toks from {source}),
+places as (select page_id, unnest(toks) as tok, generate_subscripts(toks, 1) - 1 as place from tokens),
+tags as (
+  select page_id, list(struct_pack(name := lower(regexp_extract(tok, '{pages.TAG}', 1)), place := place,
+           kind := case when starts_with(tok, '</') then -1 when ends_with(tok, '/>') or lower(regexp_extract(tok, '{pages.TAG}', 1)) in ({void}) then 0 else 1 end)
+           order by place) as tags
+  from places where regexp_matches(tok, '{pages.TAG}') and not regexp_matches(tok, '{pages.RAW}') group by page_id),
+fold as (
+  select page_id, 1 as i, cast([] as struct(name varchar, spot bigint)[]) as stack, cast([] as struct(spot bigint, till bigint)[]) as done from tags
+  union all
+  select page_id, i + 1,
+         case when kind = 1 then list_append(stack, struct_pack(name := name, spot := place)) when kind = -1 and above > 0 then stack[:len(stack) - above] else stack end,
+         case when kind = -1 and above > 0 then list_concat(done, list_transform(stack[len(stack) - above + 1:], lambda x: struct_pack(spot := x.spot, till := place))) else done end
+  from (select f.*, t.tags[i].name as name, t.tags[i].place as place, t.tags[i].kind as kind,
+               coalesce(list_position(list_reverse(list_transform(stack, lambda x: x.name)), t.tags[i].name), 0) as above
+        from fold f join tags t using (page_id) where i <= len(t.tags)) s),
+spans as (
+  select page_id, unnest(list_concat(done, list_transform(stack, lambda x: struct_pack(spot := x.spot, till := cast(len(toks) as bigint))))) as span
+  from fold join tags using (page_id) join tokens using (page_id) where i = len(tags) + 1),
+elements as (select s.page_id, span.spot as spot, span.till as till, tok from spans s join places p on p.page_id = s.page_id and p.place = s.span.spot),
+outers as (
+  select * from (select page_id, spot, till, row_number() over (partition by page_id order by spot) - 1 as nth from elements where regexp_full_match(tok, '{outer}')) o where nth < 5),
+inners as (select page_id, spot, till from elements where regexp_full_match(tok, '(?is)<b(?:[\\s/][^>]*)?>')),
+firsts as (select o.page_id, o.nth, min_by(struct_pack(spot := n.spot, till := n.till), n.spot) as span from outers o join inners n on n.page_id = o.page_id and n.spot > o.spot and n.spot < o.till group by all),
+chosen as (select o.page_id, o.nth, coalesce(f.span.spot, o.spot) as spot, coalesce(f.span.till, o.till) as till from outers o left join firsts f on f.page_id = o.page_id and f.nth = o.nth)
+select page_id, source, nth as place, {_strip(_decoded(f"array_to_string({content}, '')"))} as headline from chosen join tokens using (page_id)"""
 
 
 _WANTED = ", ".join(f"('{t}')" for t in TICKERS)
@@ -207,7 +232,8 @@ union all select c.*, null from comments c""",
     "mentions_preview": f"""{fixtures.ctes('mentions')} select * from (select 'head' as part, created_date, body, score, id from mentions order by created_date, id limit 5) h
 union all select * from (select 'tail' as part, created_date, body, score, id from mentions order by created_date desc, id desc limit 5) t""",
     "ticker_universe": f"{fixtures.ctes('symbols')} select distinct replace(symbol, '.', '-') as symbol from symbols",
-    "page_headlines": f"with {_headline_sql(_P, 'pages')}",
-    "class_headlines": f"{fixtures.ctes('classes')}, {_headline_sql(_AD, 'classes')}",
+    "page_headlines": f"{fixtures.ctes('pages').replace('pages as', 'html_pages as', 1)}, {_headline_sql('(?is)<p(?:[\\s/][^>]*)?>', 'html_pages')}",
+    "class_headlines": f"{fixtures.ctes('classes')}, {_headline_sql(_CLASS_AD, 'classes')}",
+    "nested_headlines": f"{fixtures.ctes('nested')}, {_headline_sql(_CLASS_AD, 'nested')}",
     "news_frame": "select regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, make_timestamp((1704067200 + page_id * 60) * 1000000) as date from pages",
 }

@@ -92,6 +92,14 @@ select page_id, url, case page_id % 3 when 0 then replace(html, 'class="ad"', 'i
                                       when 1 then replace(html, '<div class="ad"', '<DIV CLASS = ''ad left''') else replace(html, 'class="ad"', 'class="ads"') end as html
 from pages"""
 
+# Elements inside elements of the same name, closed and not, with text around them and several kinds of character references.
+NESTED = """
+select page_id, url, case page_id % 3
+  when 0 then replace(html, '<div class="ad">', '<div class="ad">one &eacute;<div>two &#8217;</div><i>three<br/></i> &#x27;')
+  when 1 then replace(html, '<div class="ad">', '<section><div class="ad">open <b>bold <div class="x">deep</div> end</section><div class="ad">')
+  else replace(html, '<div class="ad">', '<div class="ad"><div class="ad">inner</div></p>outer ') end as html
+from pages"""
+
 # White space beyond ASCII, for patterns of DuckDB.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}\x0B]"
 
@@ -107,6 +115,7 @@ TABLES = {
     "symbols": (SYMBOLS, ["nation"]),
     "dirty_mentions": (DIRTY_MENTIONS, ["documents", "orders"]),
     "classes": (CLASSES, ["pages"]),
+    "nested": (NESTED, ["pages"]),
     "pages": ("select page_id, url, html from pages", ["pages"]),
     "documents": ("select doc_id, text, source from documents", ["documents"]),
 }

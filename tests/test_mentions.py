@@ -1,5 +1,10 @@
 import json
 
+import random
+from html import unescape
+from html.entities import html5
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +200,66 @@ def test_headlines_prefer_the_inner_element(spark):
     assert [r.headline for r in got.collect()] == ["two", "three!", "x", "x", "x"]
 
 
+class _Elements(HTMLParser):
+    """Elements of a page with their text, by Python's own parser and a plain stack."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.all = [], []
+
+    def handle_starttag(self, tag, attrs):
+        one = {"tag": tag, "classes": (dict(attrs).get("class") or "").split(), "text": "", "inside": [x["n"] for x in self.open], "n": len(self.all)}
+        self.all.append(one)
+        if tag not in pages.VOID:
+            self.open.append(one)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in pages.VOID:
+            self.open.pop()
+
+    def handle_endtag(self, tag):
+        if any(x["tag"] == tag for x in self.open):
+            while self.open.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1]["tag"] not in ("script", "style"):
+            for x in self.open:
+                x["text"] += data
+
+
+def test_headlines_equal_a_parser_with_a_stack(spark):
+    rng = random.Random(3)
+    stock = ["<div class='hl'>", '<div class="x hl y">', "<div>", "</div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<B class=c>", "<br>", "<br/>", "<div class=hl />", "</section>", "<section>"]
+    stock += ["text ", "é", "&eacute;", "&#8217;", "&#x27;", "&amp;lt;", "&unknown;", " & ", "&hellip;", "&#0;", "&#150;", "<!-- <div class='hl'> -->", "<script>if (a<b) '</div>'</script>", "<style>p{}</style>", "1 < 2", "\n"]
+    rows = [(i, "".join(rng.choice(stock) for _ in range(rng.randrange(0, 60)))) for i in range(300)]
+    rows += [(1000, "<div class=hl>a<div>in</div>tail</div>"), (1001, "<div class=hl>never closed <b>x"), (1002, None), (1003, "<p>a<div class='hl'>b</p>c</div>")]
+    df = spark.createDataFrame(rows, "page_id int, html string")
+    got = pages.page_headlines(df, F.lit("s"), pages.element(tag="div", css_class="hl"), pages.element(tag="b"))
+    want = []
+    for page_id, html in rows:
+        parser = _Elements()
+        parser.feed(html or "")
+        parser.close()
+        found = [x for x in parser.all if x["tag"] == "div" and "hl" in x["classes"]][:5]
+        for place, x in enumerate(found):
+            inner = next((y for y in parser.all if y["tag"] == "b" and x["n"] in y["inside"]), x)
+            want.append((page_id, place, inner["text"].strip()))
+    assert sorted((r.page_id, r.place, r.headline) for r in got.collect()) == sorted(want)
+    assert "aintail" in {w[2] for w in want} and len(want) > 200
+
+
+def test_all_named_references(spark):
+    # Python leaves out control signs that are no characters of a page.
+    odd = {0xB, *range(1, 9), *range(0xE, 0x20), *range(0x7F, 0xA0), *range(0xFDD0, 0xFDF0)}
+    names = [(n, name) for n, name in enumerate(html5, 1) if name.endswith(";") and n not in odd]
+    text = [f"a&{name}b&;&#{n};&#x{n:x};" for n, name in names]
+    df = spark.createDataFrame(list(enumerate(text)), "n int, t string")
+    got = [r.d for r in df.select("n", pages.decode_references(F.col("t")).alias("d")).orderBy("n").collect()]
+    assert got == [unescape(t) for t in text] and len(got) > 1900
+
+
 def test_symbols_of_the_first_table(spark):
     html = "<table><tr><th>Symbol</th></tr><tr><td> BRK.B </td><td>x</td></tr><tr><td>AA</td></tr></table><table><tr><td>no</td></tr></table>"
     df = spark.createDataFrame([(html,)], "html string")
