@@ -30,15 +30,28 @@ def _technical(spark, sf):
 TICKERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "9-UNKNOWN"]
 RANGE = ("1996-01-01", "1998-01-01")
 
-def _load_merged(spark, sf):
-    """Two stage tables, one that does not exist and one that is no parquet, read back as one."""
+def _load_parts(spark, sf):
+    """Two stage tables, one that does not exist and one that is no parquet, read back as one; with the report."""
     bars, folder = _bars(spark, sf), join_path(shared_folder(spark), "marketsense", f"merged-{uuid.uuid4().hex}")
     first = F.col("ticker") < "3"
     paths = [join_path(folder, name) for name in ("first", "second", "broken", "missing")]
     bars.where(first).write.parquet(paths[0])
     bars.where(~first).write.parquet(paths[1])
     bars.select("ticker").write.text(paths[2])
-    return sources.stack_tickers(sources.load_merged(spark, paths, schema=bars.schema), TICKERS)
+    return sources.load_merged(spark, paths, schema=bars.schema)
+
+
+def _load_merged(spark, sf):
+    return sources.stack_tickers(_load_parts(spark, sf)[0], TICKERS)
+
+
+def _load_report(spark, sf):
+    """What became of each of the paths, and the rows that came from it."""
+    rows, report = _load_parts(spark, sf)
+    name = r"/merged-[0-9a-f]+/([a-z]+)"
+    counts = rows.groupBy(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
+    paths = report.select(F.regexp_extract("path", name, 1).alias("part"), "status").distinct()
+    return paths.join(counts, "part", "left").select("part", "status", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 QUERIES = {
@@ -64,6 +77,7 @@ QUERIES = {
     "bars_range_report": lambda s, d: sources.range_report(_bars(s, d), *RANGE),
     "ticker_load_summary": lambda s, d: sources.load_summary(_bars(s, d), TICKERS, *RANGE),
     "load_merged": _load_merged,
+    "load_report": _load_report,
 }
 
 _RSI = """select ticker, date, case when n < 14 then null when loss > 0 then 100 - 100 / (1 + gain / loss)
@@ -157,6 +171,9 @@ loaded as (select ticker, count(*) as n from bars where date >= date '{RANGE[0]}
 select w.ticker, coalesce(n, 0) as n_rows, n is not null as loaded,
 (select count(*) from wanted join loaded using (ticker)) as n_loaded, (select count(*) from wanted) as n_requested
 from wanted w left join loaded l using (ticker)""",
+    "load_report": f"""{fixtures.ctes('bars')}
+select part, status, case part when 'first' then (select count(*) from bars where ticker < '3') when 'second' then (select count(*) from bars where not ticker < '3') else 0 end as n_rows
+from (values ('first', 'read'), ('second', 'read'), ('broken', 'broken'), ('missing', 'missing')) v(part, status)""",
     "load_merged": f"""{fixtures.ctes('bars')}, wanted(ticker, ord) as (values {_TICKER_LIST})
 select bars.*, ord as ticker_ord from bars join wanted using (ticker)""",
 }

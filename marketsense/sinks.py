@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketsense.schemas import MENTIONS_FILE
 from marketsense.session import stage
+from marketsense.sources.files import file_report, listed
+from marketsense.sources.quoted import SPLIT_BYTES, all_files, scan_quoted
 
 
 def write_mentions(mentions: DataFrame, path: str) -> None:
@@ -23,16 +25,27 @@ def write_mentions(mentions: DataFrame, path: str) -> None:
     writer.option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
-def scan_mentions_csv(spark: SparkSession, path: str, ticker_of_file: bool = False) -> DataFrame:
-    """Mentions from quoted CSV, everything as text; bodies may contain line breaks.
+def scan_mentions_csv(spark: SparkSession, path: str | list[str], ticker_of_file: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Mentions from quoted CSV, everything as text; bodies may contain line breaks, and a large file is read by many tasks.
 
     ``ticker_of_file`` adds ``ticker``, the file's name up to the first ``_`` or ``.``.
+    Paths that do not exist are an error; ``load_mentions`` reports them instead.
     """
-    reader = spark.read.schema(MENTIONS_FILE).option("header", True).option("multiLine", True)
-    rows = reader.option("quote", '"').option("escape", '"').csv(path)
+    paths = [path] if isinstance(path, str) else path
+    absent = [one for one in paths if listed(one) is None]
+    if absent:
+        raise FileNotFoundError(", ".join(absent))
+    rows = scan_quoted(spark, all_files(paths), MENTIONS_FILE, split_bytes)
     if ticker_of_file:
-        rows = rows.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_path"), r"([^/_.]+)[^/]*$", 1))
-    return rows
+        rows = rows.withColumn("ticker", F.regexp_extract("source_path", r"([^/_.]+)[^/]*$", 1))
+    return rows.drop("source_path")
+
+
+def load_mentions(spark: SparkSession, paths: list[str], ticker_of_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(mentions of all readable files, report of every path and file): missing and broken ones are left out and reported."""
+    report = stage(file_report(spark, paths, "csv"), "report")
+    good = [row.file for row in report.where("status = 'read'").select("file").collect()]  # names that the driver listed itself
+    return scan_mentions_csv(spark, good, ticker_of_file), report
 
 
 def write_stage(df: DataFrame, path: str, by: str = "ticker") -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketsense.schemas import PRICE_FILE
+from marketsense.session import stage
+from marketsense.sources.files import file_report
 
 
 def scan_ohlcv(spark: SparkSession, path: str | list[str], pattern: str = r"([^/]+)_1d") -> DataFrame:
@@ -69,22 +71,23 @@ def requested(spark: SparkSession, tickers: list[str]) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(tickers)], "ticker string, ticker_ord int")
 
 
-def load_merged(spark: SparkSession, paths: list[str], fmt: str = "parquet", schema=None) -> DataFrame:
-    """Union of stage tables; unreadable or missing files are skipped."""
-    reader = spark.read.format(fmt).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+def load_merged(spark: SparkSession, paths: list[str], fmt: str = "parquet", schema=None) -> tuple[DataFrame, DataFrame]:
+    """(union of the stage tables' readable files, report of every path and file).
+
+    Missing paths and files that cannot be read are left out, and the report says which
+    and why (path, file, size, status, reason).  A file that breaks although its footer
+    is sound fails its task: nothing vanishes without a word.
+    """
+    report = stage(file_report(spark, paths, fmt), "report")
+    good = [row.file for row in report.where("status = 'read'").select("file").collect()]  # names that the driver listed itself
+    if not good:
+        raise ValueError("none of the paths has a readable file")
+    reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    existing = [path for path in paths if _exists(spark, path)]
-    if not existing:
-        raise ValueError("none of the paths exists")
-    return reader.load(existing)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return reader.load(good), report
 
 
 def stack_tickers(df: DataFrame, tickers: list[str]) -> DataFrame:

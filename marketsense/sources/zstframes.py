@@ -21,10 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from marketsense.sources.files import listed, open_store
+
 NAME = "zst_lines"
 SPLIT_BYTES = 64 << 20  # compressed bytes of a partition
 FRAME_BYTES = 4 << 20  # text of a frame that is written
@@ -42,12 +43,6 @@ class Truncated(ValueError):
     """A frame runs beyond the end of its file."""
 
 
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:") or "://" not in path:
-        return pafs.LocalFileSystem(), path.removeprefix("file:") if not path.startswith("file://") else path[len("file://") :]
-    return pafs.FileSystem.from_uri(path)
-
-
 class Compressed:
     """Random access to a compressed file, a window at a time."""
 
@@ -188,18 +183,11 @@ class ZstReader(DataSourceReader):
         self.path, self.pattern, self.split = path, pattern, split
 
     def partitions(self) -> list[FileRange]:
-        store, path = open_store(self.path)
-        found = store.get_file_info(path)
-        if found.type == pafs.FileType.NotFound:
+        files = listed(self.path)
+        if files is None:
             raise FileNotFoundError(self.path)
-        files = [found] if found.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(path, recursive=True))
-        prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        ranges = []
-        for file in sorted(files, key=lambda file: file.path):
-            if file.type == pafs.FileType.File and fnmatch.fnmatchcase(file.base_name, self.pattern) and not file.base_name.startswith(("_", ".")):
-                name = prefix + file.path
-                ranges += [FileRange(name, file.size, start, min(start + self.split, file.size)) for start in range(0, file.size, self.split)]
-        return ranges
+        chosen = [(path, size) for path, size in files if fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], self.pattern)]
+        return [FileRange(path, size, start, min(start + self.split, size)) for path, size in chosen for start in range(0, size, self.split)]
 
     def read(self, partition: FileRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file at all

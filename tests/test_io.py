@@ -1,5 +1,6 @@
 import io
 import json
+import random
 
 import pytest
 import zstandard
@@ -10,7 +11,7 @@ from marketsense import sinks
 from marketsense.operators import align
 from marketsense.operators import mentions as m
 from marketsense.session import stage
-from marketsense.sources import bars, ndjson, pages, zstframes
+from marketsense.sources import bars, ndjson, pages, quoted, zstframes
 from marketsense.sources.tables import read_texts
 
 LINES = [json.dumps({"id": str(i), "created_utc": 1600000000 + i, "body": f"MSFT é {i}", "score": i}) for i in range(500)]
@@ -153,6 +154,60 @@ def test_mentions_csv_round_trip(spark, tmp_path):
     assert '"say ""hi"",\nthere"' in text and text.index("plain") < text.index("say")
 
 
+def random_csv(seed, rows, end="\n"):
+    rng = random.Random(seed)
+    stock = ["a", "bc ", '""', "\n", "\r\n", ",", "é", "\n\n", " "]
+    table = [["".join(rng.choice(stock) for _ in range(rng.randrange(0, 12))) for _ in range(5)] for _ in range(rows)]
+    header = '"created_date","author","body","score","id"' + end
+    return header + "".join(",".join(f'"{field}"' for field in row) + end for row in table), [tuple(field.replace('""', '"') for field in row) for row in table]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_of_quoted_csv_give_each_record_once(spark, tmp_path, end, monkeypatch):
+    text, table = random_csv(4, 300, end)
+    data = text.encode()
+    (tmp_path / "a.csv").write_bytes(data)
+    store, name = zstframes.open_store(str(tmp_path / "a.csv"))
+    with store.open_input_file(name) as handle:
+        for split, window in ((1, 50), (7, 3), (100, 64), (1000, 1 << 20), (len(data) + 5, 10)):
+            monkeypatch.setattr(quoted, "WINDOW", window)
+            got = []
+            for start in range(0, len(data), split):
+                inside = data[:start].count(b'"') % 2 == 1
+                got += quoted.record_bytes(handle, len(data), start, min(start + split, len(data)), inside)
+            assert b"".join(got) == data
+    monkeypatch.undo()
+    columns = ["created_date", "author", "body", "score", "id"]
+    many = sinks.scan_mentions_csv(spark, str(tmp_path), split_bytes=500)
+    as_text = lambda df: sorted(tuple(v or "" for v in r) for r in df.collect())
+    assert as_text(many.select(columns)) == sorted(table)
+    assert many.rdd.getNumPartitions() > 10
+    whole = spark.read.schema(many.select(columns).schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(str(tmp_path))
+    if end == "\n":
+        assert as_text(many.select(columns)) == as_text(whole)
+
+
+def test_records_of_odd_lengths_and_empty_fields(spark, tmp_path):
+    long = "x" * 200_000
+    (tmp_path / "T_mentions.csv").write_text(f'"created_date","author","body","score","id"\n"1","","b",,"2"\n\n"short"\n"1","2","3","4","5","6"\n"1","a","{long}","3","9"')
+    (tmp_path / "U.csv").write_text("")
+    got = sinks.scan_mentions_csv(spark, str(tmp_path), ticker_of_file=True).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(
+        [("1", None, "b", None, "2", "T"), ("short", None, None, None, None, "T"), ("1", "2", "3", "4", "5", "T"), ("1", "a", long, "3", "9", "T")], key=str
+    )
+
+
+def test_missing_mention_files_are_reported(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-02 00:00:00", "a", "text", "1", "2")], "created_date string, author string, body string, score string, id string")
+    sinks.write_mentions(df, str(tmp_path / "A"))
+    (tmp_path / "B.csv").write_bytes(b'"created_date"\n"\xff\xfe\xff"')
+    rows, report = sinks.load_mentions(spark, [str(tmp_path / "A"), str(tmp_path / "B.csv"), str(tmp_path / "C.csv")])
+    assert [r.body for r in rows.collect()] == ["text"]
+    assert sorted((r.path[-5:], r.status) for r in report.collect()) == sorted([(str(tmp_path / "A")[-5:], "read"), ("B.csv", "broken"), ("C.csv", "missing")])
+    with pytest.raises(FileNotFoundError):
+        sinks.scan_mentions_csv(spark, str(tmp_path / "C.csv"))
+
+
 def test_nothing_is_written_for_no_mentions(spark, tmp_path):
     empty = spark.createDataFrame([], "created_date string, author string, body string, score string, id string")
     sinks.write_mentions(empty, str(tmp_path / "none"))
@@ -174,8 +229,14 @@ def test_union_of_files_skips_missing_ones(spark, tmp_path):
     broken = tmp_path / "two" / "part-broken.parquet"
     broken.write_text("no parquet")
     schema = bars_frame(spark, [1.0]).schema
-    df = bars.load_merged(spark, [one, two, str(tmp_path / "three")], schema=schema)
+    (tmp_path / "four").mkdir()
+    (tmp_path / "two" / "part-none.parquet").write_text("")
+    df, report = bars.load_merged(spark, [one, two, str(tmp_path / "three"), str(tmp_path / "four")], schema=schema)
     assert df.count() == 3
+    found = {(r.path.rsplit("/", 1)[-1], (r.file or "").rsplit("/", 1)[-1][:11], r.status) for r in report.collect()}
+    assert {("two", "part-broken", "broken"), ("two", "part-none.p", "empty"), ("three", "", "missing"), ("four", "", "empty")} < found
+    assert {status for path, _, status in found if path == "one"} == {"read"}
+    assert all(r.reason for r in report.where("status <> 'read'").collect())
     stacked = bars.stack_tickers(df, ["B", "A"])
     assert {(r.ticker, r.ticker_ord) for r in stacked.collect()} == {("B", 0), ("A", 1)}
     with pytest.raises(ValueError):
