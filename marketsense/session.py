@@ -63,11 +63,37 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     (scored text) or small (series).  Unlike a cache it survives the loss of
     executors: a lost task re-reads its files.
     """
-    spark = df.sparkSession
-    path = join_path(shared_folder(spark), "marketsense", f"{name}-{uuid.uuid4().hex}")
+    spark, path = df.sparkSession, staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a staged table; ``staged_since`` knows it."""
+    path = join_path(shared_folder(spark), "marketsense", f"{name}-{uuid.uuid4().hex}")
+    _STAGED.append(path)
+    return path
+
+
+def staged_since(mark: int = 0) -> list[str]:
+    """Folders of the staged tables of this process, from the ``mark``-th on; their number is the next mark."""
+    return _STAGED[mark:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Give back the space of staged tables that nobody reads any more.
+
+    A table is overwritten with an empty one: Spark itself then removes the files,
+    wherever they are.  Frames that still read them fail; release only what is done with.
+    """
+    for path in paths:
+        spark.range(0).write.mode("overwrite").parquet(path)
+        if path in _STAGED:
+            _STAGED[_STAGED.index(path)] = ""
+
+
 def join_path(folder: str, *parts: str) -> str:
     return "/".join([folder.rstrip("/"), *parts]) if ":/" in folder else os.path.join(folder, *parts)
