@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketsense.session import join_path, shared_folder
+from marketsense.session import staged_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +38,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     run again, sees the same ones.  Long texts are packed tightly.
     """
     spark, rows = df.sparkSession, df.withColumn("row", F.monotonically_increasing_id())
-    path = join_path(shared_folder(spark), "marketsense", f"{name}-{uuid.uuid4().hex}")
+    path = staged_path(spark, name)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

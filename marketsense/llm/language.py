@@ -52,7 +52,7 @@ class LanguageModel:
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Calibrated probabilities for rows of bucket weights."""
-        z = (weights @ self.logits + self.bias) / self.temperature
+        z = (weights.astype(np.float32, copy=False) @ self.logits + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -82,7 +82,7 @@ def fit(weights: np.ndarray, labels: list[str], epochs: int = 15, rate: float =
         order = rng.permutation(used)
         for start in range(0, len(order), batch):
             rows = order[start : start + batch]
-            x = weights[rows]
+            x = weights[rows].astype(np.float32)
             hidden = x @ embed
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -129,8 +129,11 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, per_class: int = PER_C
 
     rows = sample_classes(known, F.col("key"), per_class).mapInPandas(weigh, "key long, label string, weights binary").collect()
     rows.sort(key=lambda row: (row.key, row.label))
-    weights = np.stack([np.frombuffer(row.weights, np.float16) for row in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS), np.float32)
-    return fit(weights, [row.label for row in rows])
+    # The sample stays in half precision; a batch at a time is widened.
+    weights, labels = np.zeros((len(rows), BUCKETS), np.float16), [row.label for row in rows]
+    for place in range(len(rows)):
+        weights[place], rows[place] = np.frombuffer(rows[place].weights, np.float16), None
+    return fit(weights, labels)
 
 
 def identify(docs: DataFrame, model: LanguageModel, folds: int = 4, held: int = 2) -> DataFrame:

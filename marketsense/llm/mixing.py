@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketsense.llm.common import word_count
@@ -47,13 +47,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     return ranked.select("source", "ordinal", F.col("size").alias("source_size"), target.alias("target"), F.least(bits, F.lit(KEY_BITS)).cast("int").alias("bits"))
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """The hash-random number that orders the documents of a source; a null id is keyed by its text."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), text), F.lit(""))
+    return F.conv(F.substring(F.md5(named), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns a row per row of ``docs``: doc_id, source, size, source_size, target, start
-    (words before it in the order of its source), taken.  A document inside the budget
+    (words before it in the order of its source), taken, key, epochs and rest (whole turns of
+    its source, and words of the last turn).  A document inside the budget
     is taken whole in each epoch; the one at the cut gives its first words only, so a
     source gives exactly the whole part of its target.
 
@@ -61,8 +68,7 @@ def mix_sources(
     keyed by its text.  Repeated rows are rows of their own (the order among equal rows
     does not show).  A source without words has target 0.  An empty table gives none.
     """
-    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.col(text_col)), F.lit(""))
-    key = F.conv(F.substring(F.md5(named), 1, KEY_BITS // 4), 16, 10).cast("long")
+    key = document_key(F.col(id_col), F.col(text_col))
     sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix-sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, share, most)
     keyed = sized.alias("d").join(sources.alias("s"), F.expr("d.source <=> s.source")).selectExpr(
@@ -84,16 +90,28 @@ def mix_sources(
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     return placed.join(offsets, ["ordinal", "bucket"]).select(
-        "doc_id", "source", "size", "source_size", "target", start.cast("long").alias("start"), taken.cast("long").alias("taken")
-    )
+        "doc_id", "source", "size", "source_size", "target", start.cast("long").alias("start"), taken.cast("long").alias("taken"), "key",
+        epochs.cast("int").alias("epochs"), rest.cast("long").alias("rest"),
+    )
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of a mix: each as often as it was taken whole (the one at a cut: if at least half of it was).
 
-    ``mixed`` has a row per id.  Columns are those of ``docs``; documents of size 0 go.
+    ``mixed`` is ``mix_sources`` of the same rows.  The order inside a source is that of
+    key, id and size, so one row per source (its turns and the place of its cut) tells every
+    document how often it comes: texts are not moved.  Rows with equal key, id and size are
+    taken alike.  Columns are those of ``docs``; documents of size 0 go.
     """
-    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
-    wanted = mixed.groupBy("doc_id").agg(F.max(copies).cast("int").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_mixed_id")
-    joined = docs.join(wanted, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    place = F.struct("key", "doc_id", "size")
+    ending = (F.col("rest") > 0) & (F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") >= F.col("rest"))
+    half = 2 * (F.col("rest") - F.col("start")) >= F.col("size")
+    cuts = mixed.groupBy(F.col("source").alias("_source")).agg(
+        F.max("epochs").alias("_epochs"), F.min(F.when(ending, place)).alias("_cut"), F.min_by(half, F.when(ending, place)).alias("_half")
+    )
+    held = docs.withColumns({"_size": word_count(F.col(text_col)), "_key": document_key(F.col(id_col), F.col(text_col))})
+    own = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size"))
+    last = F.when(own < F.col("_cut"), 1).when(own == F.col("_cut"), F.col("_half").cast("int")).otherwise(0)
+    copies = F.when(F.col("_size") > 0, F.col("_epochs") + F.coalesce(last, F.lit(0))).otherwise(0)
+    joined = held.join(cuts, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_copies", copies).filter("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

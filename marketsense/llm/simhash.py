@@ -192,26 +192,31 @@ def _spanning(left: tuple, right: tuple | None, depth: int, bits: int, differing
     return forest_ids[tied], forest_ids[up[tied]]
 
 
-def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing: int, budget: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links (smaller id, larger id) between two subtries or within one whose ends are of different groups (the last word)."""
+def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing: int, budget: int, total: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (smaller id, larger id) between two subtries or within one whose ends are of different groups (the last word).
+
+    The word before the last is a size (big-endian, as all words are); the smaller one must be at least ``ratio`` of the larger.
+    """
     keys, ids, words = left
     other, other_ids, other_words = right if right is not None else left
+    sizes, other_sizes = (some[:, -2].byteswap().astype(np.int64) for some in (words, other_words))
     for a, b in walk_pairs(keys, other, right is None, depth, bits, differing, budget):
-        open_ = words[a, -1] != other_words[b, -1]
+        one, two = sizes[a], other_sizes[b]
+        open_ = (words[a, -1] != other_words[b, -1]) & (np.minimum(one, two) >= ratio * np.maximum(one, two) - 1e-9)
         a, b = a[open_], b[open_]
-        near = np.bitwise_count(words[a, :-1] ^ other_words[b, :-1]).sum(axis=1) <= total
+        near = np.bitwise_count(words[a, :-2] ^ other_words[b, :-2]).sum(axis=1) <= total
         one, two = ids[a[near]], other_ids[b[near]]
         if len(one):
             yield np.minimum(one, two), np.maximum(one, two)
 
 
-def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = None, leaf: int = LEAF, apart: bool = False) -> DataFrame:
+def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = None, leaf: int = LEAF, apart: float | None = None) -> DataFrame:
     """Links (a, b) between ids whose keys of one table differ in at most ``budget`` bits; together they span every component.
 
     ``keyed``: table int, key long (its low ``bits`` bits), id long, words binary.  With
     ``total``, a link also needs at most ``total`` differing bits in ``words``.  With
-    ``apart``, ``words`` end with the number of a group, and all links between different
-    groups are returned instead of spanning ones.
+    ``apart``, ``words`` end with a size and the number of a group, and all links between different
+    groups whose sizes have at least that ratio are returned instead of spanning ones.
     """
     pending = stage(keyed, "trie-keys")
     size = pending.groupBy("table").count().agg(F.max("count")).first()[0] or 0
@@ -276,7 +281,7 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
                 own = (row.u_depth, row.u_prefix, row.u_block) == (row.v_depth, row.v_prefix, row.v_block)
                 right = None if own else unpack(row.v_n, row.v_keys, row.v_ids, row.v_words)
                 depth = min(row.u_depth, row.v_depth)
-                found = _between(left, right, depth, bits, int(row.differing), budget, total) if apart else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
+                found = _between(left, right, depth, bits, int(row.differing), budget, total, apart) if apart is not None else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
                 for a, b in found:
                     yield pd.DataFrame({"a": a, "b": b})
 
@@ -341,20 +346,21 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 3, leaf: i
 
 
 def set_signatures(docs: DataFrame, width: int, planes: int, id_col: str, text_col: str, row_col: str) -> DataFrame:
-    """(doc_id, row, signature, digest): signature and 128-bit digest of the set of shingles of each row."""
+    """(doc_id, row, signature, digest, n): signature, 128-bit digest and size of the set of shingles of each row."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            signed, digests = [], []
+            signed, digests, sizes = [], [], []
             for text in batch["text"]:
                 hashes = np.unique(shingle_hashes(text, width))
                 signed.append(b"".join(word.to_bytes(8, "big") for word in majority_bits(hashes, planes)))
                 digests.append(xxhash.xxh128_digest(hashes.tobytes(), SEED))
-            yield batch[["doc_id", "row"]].assign(signature=signed, digest=digests)
+                sizes.append(len(hashes))
+            yield batch[["doc_id", "row"]].assign(signature=signed, digest=digests, n=sizes)
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(row_col).cast("string").alias("row"), F.col(text_col).alias("text"))
-    signed = chosen.mapInPandas(sign, "doc_id string, row string, signature binary, digest binary")
-    return signed.select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("row").cast("long"), "signature", "digest")
+    signed = chosen.mapInPandas(sign, "doc_id string, row string, signature binary, digest binary, n long")
+    return signed.select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("row").cast("long"), "signature", "digest", "n")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -380,17 +386,17 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def near_copies(
-    docs: DataFrame, row_col: str, width: int = 5, planes: int = 4, band_bits: int = 24, budget: int = 3, similarity: float = 0.8, leaf: int = 16 * LEAF,
+    docs: DataFrame, row_col: str, width: int = 5, planes: int = 8, band_bits: int = 24, bands: int = 11, budget: int = 3, similarity: float = 0.8, leaf: int = 16 * LEAF,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, row, keep): of each group of near-copies the row with the smallest id stays; ``row_col`` numbers the rows of ``docs``.
 
     Near means that the sets of shingles are at least ``similarity`` alike (Jaccard).
     Candidates come from wide signatures (``planes`` words) of the sets, whose differing
-    bits follow from the angle of the sets: trie joins of bands of ``band_bits`` bits that
-    cover the signature find pairs within ``budget`` bits of a band, and the whole
-    signature may differ by three sigma more than expected at ``similarity``.  The exact
-    sets decide.  Spanning links of clearly near pairs are decided first; after that, only
+    bits follow from the angle of the sets: trie joins of ``bands`` bands of ``band_bits``
+    bits find pairs within ``budget`` bits of a band, the whole signature may differ by
+    three sigma more than expected at ``similarity``, and the sizes of the sets must allow
+    that similarity.  The exact sets decide.  Spanning links of clearly near pairs are decided first; after that, only
     pairs of still different groups are listed, all of them, so a large group of copies
     costs no list of its pairs.  Rows without words are copies of each other.  Null ids
     come last; rows of one id are ordered by row number.
@@ -401,21 +407,22 @@ def near_copies(
     mean, sigma = size * share, np.sqrt(size * share * (1 - share))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     # Rows of one class have the same set of shingles.
-    classes = stage(rows.groupBy("digest", "signature").agg(F.min(order).alias("least"), F.min("row").alias("id")), "near-classes")
+    classes = stage(rows.groupBy("digest", "signature", "n").agg(F.min(order).alias("least"), F.min("row").alias("id")), "near-classes")
     texts = docs.select(F.col(row_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     digits, every = band_bits // 4, size // 4
-    begins = [min(start, every - digits) for start in range(0, every, digits)]
-    bands = F.array(*[F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("signature"), 1 + begin, digits), 16, 10).cast("long").alias("key")) for t, begin in enumerate(begins)])
+    begins = [min(start, every - digits) for start in range(0, every, digits)][:bands]
+    cut = F.array(*[F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("signature"), 1 + begin, digits), 16, 10).cast("long").alias("key")) for t, begin in enumerate(begins)])
 
     def keyed(words: Column, of: DataFrame) -> DataFrame:
-        return of.select(F.explode(bands).alias("band"), "id", words.alias("words")).select("band.table", "band.key", "id", "words")
+        return of.select(F.explode(cut).alias("band"), "id", words.alias("words")).select("band.table", "band.key", "id", "words")
 
-    clear = stage(trie_links(keyed(F.col("signature"), classes), band_bits, 1, int(mean - 3 * sigma), leaf), "near-clear")
+    clear = stage(trie_links(keyed(F.col("signature"), classes), band_bits, 1, int(mean - sigma), leaf), "near-clear")
     sure = stage(verified(clear, texts, width, similarity), "near-sure")
     tree = components(sure)
-    grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", F.coalesce("root", "id").alias("root")), "near-groups")
-    numbered = F.concat("signature", F.unhex(F.lpad(F.hex("root"), 16, "0")))
-    open_ = stage(trie_links(keyed(numbered, grouped), band_bits, budget, int(mean + 3 * sigma), leaf, apart=True), "near-open")
+    grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", "n", F.coalesce("root", "id").alias("root")), "near-groups")
+    word = lambda name: F.unhex(F.lpad(F.hex(name), 16, "0"))
+    numbered = F.concat("signature", word("n"), word("root"))
+    open_ = stage(trie_links(keyed(numbered, grouped), band_bits, budget, int(mean + 3 * sigma), leaf, apart=similarity), "near-open")
     links = sure.union(verified(open_, texts, width, similarity))
     tree = components(links)
     rooted = classes.join(tree, classes.id == tree.node, "left").select("digest", "signature", "least", F.coalesce("root", "id").alias("root"))
