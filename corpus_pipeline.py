@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketsense.llm import language, mixing, packing, quality, simhash
-from marketsense.session import configure, join_path, shared_folder
+from marketsense.session import configure, join_path, release, shared_folder, staged_since
 
 ORACLE_SQL = None  # trained models and hashes have no SQL; tests compare with brute-force versions
 
@@ -17,35 +18,56 @@ TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_done: list[str] = []  # staged tables of stages that ended
 
+
+def _stage(function: Stage) -> Stage:
+    """A stage that first gives back the tables staged by those before it, whose results are written by then.
+
+    Tables that ``docs`` still reads, because a result was handed on without being written, stay.
+    """
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = "\n".join(docs.inputFiles())
+        kept = [path for path in _done if path.rsplit("/", 1)[-1] in read]
+        release(configure(spark), [path for path in _done if path not in kept])
+        mark = len(staged_since())
+        found = function(spark, docs, sf_dir)
+        _done[:] = kept + [path for path in staged_since(mark) if path]
+        return found
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go: no letters, or a probability under the calibrated threshold."""
-    configure(spark)
     return language.keep_identified(docs, language.train(docs))
 
 
+@_stage
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3 for quality go."""
-    configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five-word shingles, about 0.8 alike) stays: the one with the smallest id."""
-    configure(spark)
     return simhash.drop_near_copies(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: documents outside the budget go, others appear once per epoch."""
-    configure(spark)
     return mixing.repeated(docs, mixing.mix_sources(docs))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: a row per piece of a document, with its token ids."""
-    configure(spark)
     return packing.pack_documents(docs, TOKENIZER, RANKS)
 
 
@@ -60,9 +82,11 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = join_path(shared_folder(spark), "marketsense", f"pipeline-{name}-{uuid.uuid4().hex}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            release(spark, [before])
+        docs, before = spark.read.parquet(path), path
     return docs
