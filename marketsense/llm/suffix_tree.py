@@ -38,7 +38,8 @@ SHORT = 2  # contexts of up to so many bytes are states everywhere
 DIVERGENCE = 3.0  # nats by which a context must gain on its parent, over all its symbols
 PRIOR = 4.0  # weight of the parent's distribution
 CHUNK = 1_500_000  # characters handled at a time
-UNIT = 16  # chunks whose distinct grams are sent together
+UNIT = 8  # chunks whose distinct grams are sent together
+PENDING = 1_500_000  # grams a task holds before it adds them up
 PART_WORDS = 2_000_000  # words of a hash range
 BLANK, END = 32, 10
 _TABLES = np.random.default_rng(77).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -190,6 +191,18 @@ def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.
     return [some], [n]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Small numbers in few bytes: the lowest bytes of all values, then the next ones, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], size * width, "zstd", asbytes=True), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def tree_levels(grams: np.ndarray, counts: np.ndarray, sizes: range) -> pd.DataFrame:
     """(size, context, symbol, n) of the suffixes of grams; a context of k symbols must have its farthest one."""
     parts = []
@@ -315,20 +328,20 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     short = docs.sparkSession.sparkContext.broadcast(tree_levels(grams, n, range(SHORT + 1)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
 
-    def unit_rows(task: int, unit: int, held: list) -> Iterator[pd.DataFrame]:
+    def unit_rows(task: int, unit: int, grams: list, counts: list) -> Iterator[pd.DataFrame]:
         """A unit's distinct grams with their training counts, by branch."""
-        some, n = _summed(np.concatenate([grams for grams, _ in held]), np.concatenate([n for _, n in held]))
+        ((some,), (n,)) = _merged(grams, counts)
         part = branch_of(some, parts)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         rows = []
         for p in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[p] : cuts[p + 1]]
-            rows.append((parts + int(p), task, unit, 0, 0, some[at].tobytes(), n[at].tobytes(), b"", b"", b""))
+            rows.append((parts + int(p), task, unit, 0, 0, packed(np.diff(some[at], prepend=np.uint64(0))), packed(n[at]), b"", b"", b""))
         yield pd.DataFrame(rows, columns=names)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, chunk, unit_grams = TaskContext.get().partitionId(), 0, []
+        task, chunk, grams, counts = TaskContext.get().partitionId(), 0, [], []
         for batch in batches:
             texts = batch["text"].tolist()
             for low, high in text_chunks(texts, CHUNK):
@@ -336,7 +349,11 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                 words = find_words(texts[low:high])
                 size = high - low
                 held_out = batch["held_out"].iloc[low:high].to_numpy(bool)
-                unit_grams.append(text_grams(words, (~held_out).astype(np.int64)))
+                some, n = text_grams(words, (~held_out).astype(np.int64))
+                grams.append(some)
+                counts.append(n)
+                if sum(map(len, grams[1:])) > PENDING:  # one running sum, and little that waits for it
+                    grams, counts = _merged(grams, counts)
                 ids = json.dumps(batch["doc_id"].iloc[low:high].tolist()).encode()
                 many_words = np.bincount(words.text, minlength=size).astype(np.int64)
                 text = json.dumps(texts[low:high]).encode()
@@ -359,10 +376,10 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names)
                 chunk += 1
                 if chunk % UNIT == 0:
-                    yield from unit_rows(task, unit, unit_grams)
-                    unit_grams = []
-        if unit_grams:
-            yield from unit_rows(task, (chunk - 1) // UNIT, unit_grams)
+                    yield from unit_rows(task, unit, grams, counts)
+                    grams, counts = [], []
+        if grams:
+            yield from unit_rows(task, (chunk - 1) // UNIT, grams, counts)
 
     schema = "part int, task int, unit int, chunk int, size int, a binary, b binary, c binary, d binary, e binary"
     names = [field.split()[0] for field in schema.split(", ")]
@@ -371,8 +388,8 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
 
     def score_branch(group: pd.DataFrame) -> pd.DataFrame:
         """The branches of a part, grown from the grams of all units, and the log probabilities of the grams of each unit."""
-        held = [np.frombuffer(a, np.uint64) for a in group["a"]]
-        some, n = _summed(np.concatenate(held), np.concatenate([np.frombuffer(b, np.int64) for b in group["b"]]))
+        held = [np.cumsum(unpacked(a, np.uint64), dtype=np.uint64) for a in group["a"]]
+        some, n = _summed(np.concatenate(held), np.concatenate([unpacked(b, np.int64) for b in group["b"]]))
         learned = n > 0
         tree = SuffixTree(pd.concat([short.value, tree_levels(some[learned], n[learned], range(SHORT + 1, DEPTH + 1))], ignore_index=True))
         logs = tree.score(some).astype(np.float32)
