@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows DuckDB gives on the same tables."""
 
+import sys
+
 import duckdb
 import pytest
 
@@ -27,7 +29,7 @@ def test_every_query_is_callable_and_every_oracle_has_a_query():
     }
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     line = compare(spark, duck, name, SF)
     assert line.startswith("ok"), line
@@ -35,3 +37,13 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert contract.entry(spark).columns[:2] == ["ticker", "date"]
+
+
+def test_the_entry_works_without_the_training_data_part(monkeypatch):
+    """A library that only that part needs may be missing; so may the part itself."""
+    for missing in ("public_tokenizers", "corpus_pipeline", "marketsense.llm.queries"):
+        with monkeypatch.context() as patch:
+            for name in [name for name in sys.modules if name == "corpus_pipeline" or name.startswith("marketsense.llm")]:
+                patch.delitem(sys.modules, name)
+            patch.setitem(sys.modules, missing, None)
+            assert set(contract.queries()) == set(catalog.queries()) and set(contract.oracle_sql()) == set(catalog.oracle_sql())
