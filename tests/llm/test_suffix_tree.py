@@ -111,3 +111,21 @@ def test_held_out_score_beats_word_counts(spark):
 
     held = queries.op7_suffix_tree_scores(spark, "/root/testdata/sf0.1").filter("held_out").toPandas()
     assert held.score.sum() > held.base_score.sum()
+
+
+@pytest.mark.parametrize("unit", [1, suffix_tree.UNIT])
+def test_scores_equal_a_naive_tree(spark, monkeypatch, unit):
+    """Contexts, divergence test, smoothing and back-off, against dictionaries in plain Python."""
+    from naive_suffix_tree import Naive
+
+    monkeypatch.setattr(suffix_tree, "CHUNK", 2000)
+    monkeypatch.setattr(suffix_tree, "UNIT", unit)
+    monkeypatch.setattr(suffix_tree, "PENDING", 500)
+    rng = np.random.default_rng(7)
+    stock = ["banana", "bandana", "Été", "the", "of", "then", "x", "1999", "cabana,", "\t", "zebra" * 3]
+    rows = [(i, " ".join(rng.choice(stock, rng.integers(0, 40)))) for i in range(200)] + [(1000, None), (1001, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree = Naive([text for i, text in rows if zlib.crc32(str(i).encode()) % 10])
+    assert 50 < len(tree.kept) < len(tree.counts)
+    for r in suffix_tree.score_texts(docs).collect():
+        assert r.score == pytest.approx(tree.score(dict(rows)[r.doc_id]), rel=1e-5, abs=1e-5)
