@@ -54,17 +54,14 @@ QUERIES = {
     "train_random_forest": lambda s, d: modeling.grid_results(modeling.train_random_forest(_table(s, d), FOREST)),
     "train_gbt": lambda s, d: modeling.grid_results(modeling.train_gbt(_table(s, d), BOOSTED)),
     "grid_search_cv": lambda s, d: modeling.grid_results(
-        modeling.train_random_forest(_table(s, d), {"numTrees": [4], "maxDepth": [3, 5]})
+        modeling.train_random_forest(_table(s, d), {**FOREST, "maxDepth": [3, 5]})
     ),
     "cross_validate": lambda s, d: modeling.cross_validate({"numTrees": 5, "maxDepth": 3}, "forest", _table(s, d)),
     "evaluate_model": _evaluated,
     "feature_importance": lambda s, d: modeling.feature_importance(
         modeling.train_random_forest(_table(s, d), {"numTrees": [5], "maxDepth": [4]}).bestModel
     ),
-    "train_pipeline": lambda s, d: modeling.train_pipeline(
-        _merged(s, d),
-        {"random_forest": {"numTrees": [5], "maxDepth": [3]}, "boosted_trees": {"maxIter": [3], "maxDepth": [2]}},
-    ),
+    "train_pipeline": lambda s, d: modeling.train_pipeline(_merged(s, d), {"random_forest": FOREST, "boosted_trees": BOOSTED}),
 }
 
 ORACLES = {

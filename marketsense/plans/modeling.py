@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from marketsense.operators import folds, metrics
 from marketsense.operators.sampling import smote
 from marketsense.operators.scaling import impute_mean
 from marketsense.schemas import MODEL_FEATURES
-from marketsense.session import stage
+from marketsense.plans.prefixes import flat_trees, score_sizes
+from marketsense.session import release, stage, staged_since
 
 log = logging.getLogger(__name__)
 
@@ -80,60 +85,90 @@ def boosted(**params) -> GBTClassifier:
     return GBTClassifier(seed=SEED, **params)
 
 
-class ExpandingCrossValidator(CrossValidator):
-    """Cross validation whose folds train on earlier rows only (column ``pos``)."""
-
-    def _kFold(self, dataset: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-        total, n_folds = dataset.count(), self.getNumFolds()
-        parts = []
-        for fold in range(1, n_folds + 1):
-            first, end = folds.fold_bounds(total, fold, n_folds)
-            test = (F.col("pos") >= first) & (F.col("pos") < end)
-            parts.append((dataset.where(F.col("pos") < first), dataset.where(test)))
-        return parts
-
-
-def exact_auc() -> BinaryClassificationEvaluator:
-    return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
-
-
-def grid_search(classifier, grid: dict, train: DataFrame, features: list[str], n_folds: int, parallelism: int = 4) -> CrossValidatorModel:
-    """Fit every grid point on every fold, refit the best mean AUC on all of ``train``."""
-    pipeline = Pipeline(stages=[*feature_stages(features), classifier])
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder.addGrid(classifier.getParam(name), values)
-    search = ExpandingCrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=builder.build(),
-        evaluator=exact_auc(),
-        numFolds=n_folds,
-        parallelism=parallelism,
-        collectSubModels=False,
-    )
-    return search.fit(train)
+def expanding_folds(rows: DataFrame, n_folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows to fit on, rows to test on) of each fold; a fold trains on earlier rows only (column ``pos``)."""
+    total, parts = rows.count(), []
+    for fold in range(1, n_folds + 1):
+        first, end = folds.fold_bounds(total, fold, n_folds)
+        parts.append((rows.where(F.col("pos") < first), rows.where((F.col("pos") >= first) & (F.col("pos") < end))))
+    return parts
+
+
+def exact_auc(column: str = "rawPrediction") -> BinaryClassificationEvaluator:
+    return BinaryClassificationEvaluator(rawPredictionCol=column, metricName="areaUnderROC", numBins=0)
+
 
+@dataclass
+class GridSearch:
+    points: list[dict]
+    aucs: list[list[float]]  # of each point, by fold
+    bestModel: PipelineModel
 
-def grid_results(search: CrossValidatorModel) -> DataFrame:
+
+def grid_search(classifier, grid: dict, train: DataFrame, features: list[str], n_folds: int, parallelism: int = 8) -> GridSearch:
+    """Score every grid point on every fold, refit the best mean AUC on all of ``train``.
+
+    Points that differ in the number of trees only share a fit: the smaller model is
+    read off the larger one's first trees (for boosting they are the same trees; of a
+    forest they are a forest).  Imputation is fitted once per fold, and the assembled rows are written once.
+    """
+    spark, mark = train.sparkSession, len(staged_since())
+    size = "maxIter" if classifier.hasParam("maxIter") else "numTrees"
+    sizes = sorted(set(grid.get(size, [classifier.getOrDefault(size)])))
+    if sizes[0] < 1:
+        raise ValueError(f"{size} must be at least 1")
+    others = {name: values for name, values in grid.items() if name != size}
+    fits = [dict(zip(others, values)) for values in product(*others.values())]
+    parts = []
+    for fit_rows, test_rows in expanding_folds(train, n_folds):
+        prepared = Pipeline(stages=feature_stages(features)).fit(fit_rows)
+        parts.append([stage(prepared.transform(rows).select("label", "features"), "fold") for rows in (fit_rows, test_rows)])
+
+    def fitted(task: tuple[dict, list[DataFrame]]) -> dict[int, float]:
+        params, (fit_rows, test_rows) = task
+        model = configured(classifier, {**params, size: sizes[-1]}).fit(fit_rows)
+        scored = score_sizes(flat_trees(spark, model), test_rows, sizes).persist()
+        aucs = {n: exact_auc(f"score_{n}").evaluate(scored) for n in sizes}
+        scored.unpersist()
+        return aucs
+
+    tasks = [(params, part) for params in fits for part in parts]
+    with ThreadPool(parallelism) as pool:
+        found = iter(pool.map(inheritable_thread_target(spark)(fitted), tasks))
+    by_fit = [[next(found) for _ in parts] for _ in fits]
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    aucs = [[fold[point.get(size, sizes[-1])] for fold in by_fit[fits.index({k: v for k, v in point.items() if k != size})]] for point in points]
+    means = [sum(folds_) / len(folds_) for folds_ in aucs]
+    best = points[means.index(max(means))]
+    model = Pipeline(stages=[*feature_stages(features), configured(classifier, best)]).fit(train)
+    release(spark, [path for path in staged_since(mark) if path])
+    return GridSearch(points, aucs, model)
+
+
+def configured(classifier, params: dict):
+    """A copy of a classifier with some parameters set by name."""
+    return classifier.copy({classifier.getParam(name): value for name, value in params.items()})
+
+
+def grid_results(search: GridSearch) -> DataFrame:
     """One row per grid point: parameters, mean and deviation of the AUC, rank."""
     from pyspark.sql import SparkSession
 
     rows = []
-    for params, mean, std in zip(search.getEstimatorParamMaps(), search.avgMetrics, search.stdMetrics):
-        text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda item: item[0].name))
-        rows.append((text, float(mean), float(std)))
+    for point, aucs in zip(search.points, search.aucs):
+        rows.append((", ".join(f"{name}={value}" for name, value in sorted(point.items())), float(np.mean(aucs)), float(np.std(aucs))))
     # Of equal means the first was refitted.
     means = [mean for _, mean, _ in rows]
     rows = [(*row, place == means.index(max(means))) for place, row in enumerate(rows)]
     return SparkSession.active().createDataFrame(rows, "params string, mean_auc double, std_auc double, best boolean")
 
 
-def train_random_forest(table: DataFrame, grid: dict | None = None, n_folds: int = folds.N_FOLDS, features=None) -> CrossValidatorModel:
+def train_random_forest(table: DataFrame, grid: dict | None = None, n_folds: int = folds.N_FOLDS, features=None) -> GridSearch:
     train = table.where("split = 'train'")
     return grid_search(forest(), grid or FOREST_GRID, train, features or MODEL_FEATURES, n_folds)
 
 
-def train_gbt(table: DataFrame, grid: dict | None = None, n_folds: int = folds.N_FOLDS, features=None) -> CrossValidatorModel:
+def train_gbt(table: DataFrame, grid: dict | None = None, n_folds: int = folds.N_FOLDS, features=None) -> GridSearch:
     train = table.where("split = 'train'")
     return grid_search(boosted(), grid or BOOSTED_GRID, train, features or MODEL_FEATURES, n_folds)
 
@@ -158,7 +193,7 @@ def cross_validate(estimator_params: dict, kind: str, table: DataFrame, n_folds:
     features = features or MODEL_FEATURES
     classifier = {"forest": forest, "boosted": boosted}[kind](**estimator_params)
     train = table.where("split = 'train'")
-    parts = ExpandingCrossValidator(numFolds=n_folds)._kFold(train)
+    parts = expanding_folds(train, n_folds)
     results = []
     for fold, (fit_rows, test_rows) in enumerate(parts, start=1):
         model = Pipeline(stages=[*feature_stages(features), classifier]).fit(fit_rows)

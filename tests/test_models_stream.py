@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketsense.operators import mentions, sampling
-from marketsense.plans import modeling
+from marketsense.plans import modeling, prefixes
 from marketsense.schemas import MODEL_FEATURES
 from marketsense.streaming import current, live
 
@@ -37,6 +37,33 @@ def test_training_evaluation_and_persistence(spark, merged, tmp_path):
     assert modeling.predictions(again, test).collect() == modeling.predictions(search.bestModel, test).collect()
 
 
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_prefixes_of_an_ensemble(spark, merged, kind):
+    """All trees give the model's own scores; the first trees of a boosted model are the smaller model."""
+    table = modeling.model_table(merged)
+    rows = modeling.Pipeline(stages=modeling.feature_stages(MODEL_FEATURES)).fit(table).transform(table).select("pos", "label", "features").coalesce(1).sortWithinPartitions("pos")
+    make = {"forest": lambda n: modeling.forest(numTrees=n, maxDepth=4), "boosted": lambda n: modeling.boosted(maxIter=n, maxDepth=3, subsamplingRate=0.8)}[kind]
+    model = make(6).fit(rows)
+    trees = prefixes.flat_trees(spark, model)
+    got = prefixes.score_sizes(trees, rows, [2, 6]).toPandas()
+    own = modeling.predictions(model, rows).toPandas()
+    np.testing.assert_allclose(got.score_6, own.score, atol=1e-12)
+    if kind == "boosted":
+        np.testing.assert_allclose(got.score_2, modeling.predictions(make(2).fit(rows), rows).toPandas().score, atol=1e-12)
+    else:
+        parts = [modeling.predictions(tree, rows).toPandas().score for tree in model.trees[:2]]
+        np.testing.assert_allclose(got.score_2, sum(parts) / 2, atol=1e-12)
+
+
+def test_one_fit_serves_all_sizes(spark, merged, monkeypatch):
+    fits = []
+    monkeypatch.setattr(modeling, "flat_trees", lambda spark, model: fits.append(len(model.trees)) or prefixes.flat_trees(spark, model))
+    search = modeling.train_gbt(modeling.model_table(merged), {"maxIter": [1, 3], "maxDepth": [1, 2]}, n_folds=2)
+    results = modeling.grid_results(search).collect()
+    assert [r.params for r in results] == ["maxDepth=1, maxIter=1", "maxDepth=2, maxIter=1", "maxDepth=1, maxIter=3", "maxDepth=2, maxIter=3"]
+    assert sorted(fits) == [3] * 4 and sum(r.best for r in results) == 1 and all(0 <= r.mean_auc <= 1 for r in results)
+
+
 def test_preparation_imputes_and_balances(merged):
     table = modeling.model_table(merged)
     out = modeling.preprocess_features(table)
@@ -48,7 +75,7 @@ def test_preparation_imputes_and_balances(merged):
 
 def test_folds_train_on_the_past_only(merged):
     table = modeling.model_table(merged)
-    for fit, held in modeling.ExpandingCrossValidator(numFolds=3)._kFold(table):
+    for fit, held in modeling.expanding_folds(table, 3):
         assert fit.agg(F.max("pos")).first()[0] < held.agg(F.min("pos")).first()[0]
 
 
