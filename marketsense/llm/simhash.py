@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marketsense.llm.common import mix64, spare_name
 from marketsense.llm.components import components
-from marketsense.session import stage
+from marketsense.session import release, stage, staged_since
 
 SEED = 42
 LEAF = 8192
@@ -386,7 +386,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def near_copies(
-    docs: DataFrame, row_col: str, width: int = 5, planes: int = 8, band_bits: int = 24, bands: int = 11, budget: int = 3, similarity: float = 0.8, leaf: int = 16 * LEAF,
+    docs: DataFrame, row_col: str, width: int = 5, planes: int = 5, band_bits: int = 24, bands: int = 11, budget: int = 3, similarity: float = 0.8, leaf: int = 16 * LEAF,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, row, keep): of each group of near-copies the row with the smallest id stays; ``row_col`` numbers the rows of ``docs``.
@@ -416,13 +416,22 @@ def near_copies(
     def keyed(words: Column, of: DataFrame) -> DataFrame:
         return of.select(F.explode(cut).alias("band"), "id", words.alias("words")).select("band.table", "band.key", "id", "words")
 
-    clear = stage(trie_links(keyed(F.col("signature"), classes), band_bits, 1, int(mean - sigma), leaf), "near-clear")
+    def linked(words: Column, of: DataFrame, name: str, *limits: float) -> DataFrame:
+        """The links of one trie join, written; what the join itself staged is given back."""
+        mark = len(staged_since())
+        links = trie_links(keyed(words, of), band_bits, *limits)
+        own = [path for path in staged_since(mark) if path]
+        links = stage(links, name)
+        release(docs.sparkSession, own)
+        return links
+
+    clear = linked(F.col("signature"), classes, "near-clear", 1, int(mean - sigma), leaf)
     sure = stage(verified(clear, texts, width, similarity), "near-sure")
     tree = components(sure)
     grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", "n", F.coalesce("root", "id").alias("root")), "near-groups")
     word = lambda name: F.unhex(F.lpad(F.hex(name), 16, "0"))
     numbered = F.concat("signature", word("n"), word("root"))
-    open_ = stage(trie_links(keyed(numbered, grouped), band_bits, budget, int(mean + 3 * sigma), leaf, apart=similarity), "near-open")
+    open_ = linked(numbered, grouped, "near-open", budget, int(mean + 3 * sigma), leaf, similarity)
     links = sure.union(verified(open_, texts, width, similarity))
     tree = components(links)
     rooted = classes.join(tree, classes.id == tree.node, "left").select("digest", "signature", "least", F.coalesce("root", "id").alias("root"))
