@@ -34,7 +34,7 @@ SLOTS = 4  # stretches of the curve for each partition
 BUCKETS = 1 << 12
 CHUNK = 500_000  # characters tokenised at a time
 KNOWN_PARTS = 150_000  # coded parts a task keeps
-SPACED = re.compile(r"\s ")
+SPACED = re.compile(r" (?<=\s )")  # begins with a letter that is fast to search for
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
 
@@ -183,18 +183,21 @@ class PartCoder:
                 parts = whole
             loose.append(parts[0])  # the first part has no space before it
             parted.append(parts[1:])
-        words, odd, split = [], [], {}
-        for part in set().union(*parted) - self.number.keys():
-            if part.isalpha() and (part.isascii() or LATIN.fullmatch(part)):
-                words.append(part)
-            elif found := MARKED.fullmatch(part):
+        odd, split = [], {}
+        # `difference` asks the known parts for each new one; `- keys()` would walk all known parts.
+        new = set().union(*parted).difference(self.number)
+        words = list(filter(str.isalpha, new))
+        if not LATIN.fullmatch(together := "".join(words)) and together:
+            words = list(filter(LATIN.fullmatch, words))
+        for part in new.difference(words):
+            if found := MARKED.fullmatch(part):
                 split[part] = found.groups()
             else:
                 odd.append(part)
-        words += {word for word, _ in split.values()} - self.number.keys() - set(words)
+        words += {word for word, _ in split.values()}.difference(self.number).difference(words)
         self.number.update(zip(words, self._add(*self._code_words(words))))
         self.number.update(zip(odd, self._add(*self._code([f" {part}" for part in odd]))))
-        marks = list({mark for _, mark in split.values()} - self.marks.keys())
+        marks = list({mark for _, mark in split.values()}.difference(self.marks))
         self.marks.update(zip(marks, self._add(*self._code(marks))))
         pairs = np.empty((len(split), 2), np.int64)
         for side, known in enumerate((self.number, self.marks)):

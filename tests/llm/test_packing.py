@@ -80,3 +80,19 @@ def test_copies_are_cut_apart(spark):
     order = packing.curve_order([r.text for r in rows.collect()], np.arange(3000))
     sizes = np.bincount(np.searchsorted(cuts, order, side="right"))
     assert len(cuts) == 29 and sizes.max() < 3 * 3000 / 30
+
+
+class Known(dict):
+    """Known parts that may be asked one by one, not walked as a whole for each chunk."""
+
+    def keys(self):
+        raise AssertionError("all known parts were walked")
+
+
+def test_known_parts_are_not_walked():
+    coder = Tokenizer.from_file(PATH)
+    coder.encode_special_tokens = True
+    parts = packing.PartCoder(*packing.load_coders(PATH, RANKS))
+    for texts in (["alpha beta, 42", "été  x"], ["beta, gamma. алфа алфа, 4\u00a0 2", "tab\t word\n line alpha,", "日本 alpha straße"]):
+        assert [ids.tolist() for ids in parts.encode(texts)] == [coder.encode(text, add_special_tokens=False).ids for text in texts]
+        parts.number, parts.marks = Known(parts.number), Known(parts.marks)
