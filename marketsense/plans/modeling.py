@@ -188,16 +188,21 @@ def evaluate_model(model: Model, test: DataFrame, name: str = "model") -> DataFr
     return auc.unionByName(prf)
 
 
-def cross_validate(estimator_params: dict, kind: str, table: DataFrame, n_folds: int = folds.N_FOLDS, features=None) -> DataFrame:
-    """(fold, metric, value) of one parameter set on the expanding folds."""
-    features = features or MODEL_FEATURES
+def cross_validate(
+    estimator_params: dict, kind: str, table: DataFrame, n_folds: int = folds.N_FOLDS, features=None, parallelism: int = 8
+) -> DataFrame:
+    """(fold, metric, value) of one parameter set on the expanding folds, which are fitted side by side."""
+    features, spark = features or MODEL_FEATURES, table.sparkSession
     classifier = {"forest": forest, "boosted": boosted}[kind](**estimator_params)
     train = table.where("split = 'train'")
-    parts = expanding_folds(train, n_folds)
-    results = []
-    for fold, (fit_rows, test_rows) in enumerate(parts, start=1):
+
+    def validated(task: tuple[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+        fold, (fit_rows, test_rows) = task
         model = Pipeline(stages=[*feature_stages(features), classifier]).fit(fit_rows)
-        results.append(evaluate_model(model, test_rows, kind).select(F.lit(fold).alias("fold"), "metric", "value"))
+        return evaluate_model(model, test_rows, kind).select(F.lit(fold).alias("fold"), "metric", "value")
+
+    with ThreadPool(parallelism) as pool:
+        results = pool.map(inheritable_thread_target(spark)(validated), list(enumerate(expanding_folds(train, n_folds), start=1)), chunksize=1)
     result = results[0]
     for more in results[1:]:
         result = result.unionByName(more)

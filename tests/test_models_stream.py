@@ -1,3 +1,4 @@
+import threading
 import json
 
 import numpy as np
@@ -79,6 +80,13 @@ def test_folds_train_on_the_past_only(merged):
         assert fit.agg(F.max("pos")).first()[0] < held.agg(F.min("pos")).first()[0]
 
 
+def test_folds_are_fitted_side_by_side(merged, monkeypatch):
+    table, meet, evaluate = modeling.model_table(merged), threading.Barrier(2, timeout=60), modeling.evaluate_model
+    monkeypatch.setattr(modeling, "evaluate_model", lambda *task: meet.wait() >= 0 and evaluate(*task))
+    rows = modeling.cross_validate({"numTrees": 2, "maxDepth": 2}, "forest", table, n_folds=2).collect()
+    assert [(r.fold, r.metric) for r in rows] == [(fold, name) for fold in (1, 2) for name in ("roc_auc", "precision", "recall", "f1")]
+
+
 def test_a_failing_model_does_not_stop_the_other(merged):
     grids = {"random_forest": {"numTrees": [-1]}, "boosted_trees": {"maxIter": [2], "maxDepth": [2]}}
     rows = modeling.train_pipeline(merged, grids, n_folds=2).collect()
