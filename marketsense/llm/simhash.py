@@ -28,6 +28,7 @@ LEAF = 8192
 STEP = 2
 WALK = 1 << 18  # node pairs walked at a time
 HASHES = 1 << 16  # shingles counted at a time
+MAP = 8  # words of a shingle set's bit map
 NODE = ["table", "depth", "prefix", "block"]
 LOAD = ["n", "keys", "ids", "words"]
 
@@ -195,16 +196,23 @@ def _spanning(left: tuple, right: tuple | None, depth: int, bits: int, differing
 def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing: int, budget: int, total: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All links (smaller id, larger id) between two subtries or within one whose ends are of different groups (the last word).
 
-    The word before the last is a size (big-endian, as all words are); the smaller one must be at least ``ratio`` of the larger.
+    The word before the last is a size (big-endian, as all words are); the ``MAP`` words before it are the bit map of a set
+    (see ``bit_map``).  A link is left out only if these tell that the sets' similarity is below ``ratio``.
     """
     keys, ids, words = left
     other, other_ids, other_words = right if right is not None else left
     sizes, other_sizes = (some[:, -2].byteswap().astype(np.int64) for some in (words, other_words))
+    sign, bits_of = slice(None, -2 - MAP), slice(-2 - MAP, -2)
     for a, b in walk_pairs(keys, other, right is None, depth, bits, differing, budget):
         one, two = sizes[a], other_sizes[b]
         open_ = (words[a, -1] != other_words[b, -1]) & (np.minimum(one, two) >= ratio * np.maximum(one, two) - 1e-9)
         a, b = a[open_], b[open_]
-        near = np.bitwise_count(words[a, :-2] ^ other_words[b, :-2]).sum(axis=1) <= total
+        near = np.bitwise_count(words[a, sign] ^ other_words[b, sign]).sum(axis=1) <= total
+        a, b = a[near], b[near]
+        # A bit that only one set has stands for a member, at least, that the other one lacks: what both have is at most the rest.
+        one, two, here, there = sizes[a], other_sizes[b], words[a, bits_of], other_words[b, bits_of]
+        both = np.minimum(one - np.bitwise_count(here & ~there).sum(axis=1), two - np.bitwise_count(there & ~here).sum(axis=1))
+        near = both >= ratio * (one + two - both) - 1e-9
         one, two = ids[a[near]], other_ids[b[near]]
         if len(one):
             yield np.minimum(one, two), np.maximum(one, two)
@@ -215,9 +223,10 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
 
     ``keyed``: table int, key long (its low ``bits`` bits), id long, words binary.  With
     ``total``, a link also needs at most ``total`` differing bits in ``words``.  With
-    ``apart``, ``words`` end with a size and the number of a group, and all links between different
-    groups whose sizes have at least that ratio are returned instead of spanning ones.
+    ``apart``, ``words`` end with the bit map and the size of a set and the number of a group, and all links between different
+    groups whose sets may have at least that similarity are returned instead of spanning ones.
     """
+    mark = len(staged_since())
     pending = stage(keyed, "trie-keys")
     size = pending.groupBy("table").count().agg(F.max("count")).first()[0] or 0
     depth = min(bits, int(size // leaf).bit_length())
@@ -260,16 +269,20 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
     packed = stage(
         placed.groupBy(*NODE).applyInPandas(pack, "table int, depth int, prefix long, block int, n long, keys binary, ids binary, words binary"), "trie-leaves"
     )
+    release(keyed.sparkSession, [path for path in staged_since(mark)[:-1] if path])  # the leaves hold all of it now
     nodes = packed.select(*NODE)
     pairs = _node_pairs(nodes.select("table", "depth", "prefix").distinct(), bits, budget)
     for side in "uv":
         pairs = pairs.join(nodes.select("table", *[F.col(n).alias(f"{side}_{n}") for n in NODE[1:]]), ["table", f"{side}_depth", f"{side}_prefix"])
     one_node = (F.col("u_depth") == F.col("v_depth")) & (F.col("u_prefix") == F.col("v_prefix"))
     pairs = stage(pairs.filter(~one_node | (F.col("u_block") <= F.col("v_block"))), "trie-pairs")
-    work = pairs
+    # A node paired with itself is loaded once, from where it lies; only different nodes have to meet.
+    single = one_node & (F.col("u_block") == F.col("v_block"))
+    loaded = {side: packed.select("table", *[F.col(n).alias(f"{side}_{n}") for n in NODE[1:] + LOAD]) for side in "uv"}
+    by = {side: ["table", *[f"{side}_{n}" for n in NODE[1:]]] for side in "uv"}
+    alone, work = loaded["u"].join(pairs.filter(single), by["u"]), pairs.filter(~single)
     for side in "uv":
-        loaded = packed.select("table", *[F.col(n).alias(f"{side}_{n}") for n in NODE[1:] + LOAD])
-        work = work.join(loaded, ["table", *[f"{side}_{n}" for n in NODE[1:]]])
+        work = work.join(loaded[side], by[side])
 
     def unpack(n: int, keys: bytes, ids: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(words, np.uint64).reshape(n, -1)
@@ -278,15 +291,14 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
         for batch in batches:
             for row in batch.itertuples(index=False):
                 left = unpack(row.u_n, row.u_keys, row.u_ids, row.u_words)
-                own = (row.u_depth, row.u_prefix, row.u_block) == (row.v_depth, row.v_prefix, row.v_block)
-                right = None if own else unpack(row.v_n, row.v_keys, row.v_ids, row.v_words)
+                right = unpack(row.v_n, row.v_keys, row.v_ids, row.v_words) if hasattr(row, "v_keys") else None
                 depth = min(row.u_depth, row.v_depth)
                 found = _between(left, right, depth, bits, int(row.differing), budget, total, apart) if apart is not None else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
                 for a, b in found:
                     yield pd.DataFrame({"a": a, "b": b})
 
     # The join with the right side has dealt the pairs out by node already; moving full leaves once more is not worth it.
-    return work.mapInPandas(link, "a long, b long").distinct()
+    return alone.mapInPandas(link, "a long, b long").union(work.mapInPandas(link, "a long, b long")).distinct()
 
 
 def _cut(prefix: str, low: Column) -> Column:
@@ -345,22 +357,30 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 3, leaf: i
     return signed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def bit_map(hashes: np.ndarray) -> bytes:
+    """A map of ``MAP`` words: the bits that the members of a set of hashes fall on."""
+    held = np.zeros(64 * MAP, np.uint8)
+    held[(mix64(hashes) % np.uint64(64 * MAP)).astype(np.int64)] = 1
+    return np.packbits(held).tobytes()
+
+
 def set_signatures(docs: DataFrame, width: int, planes: int, id_col: str, text_col: str, row_col: str) -> DataFrame:
-    """(doc_id, row, signature, digest, n): signature, 128-bit digest and size of the set of shingles of each row."""
+    """(doc_id, row, signature, digest, map, n): signature, 128-bit digest, bit map and size of the set of shingles of each row."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            signed, digests, sizes = [], [], []
+            signed, digests, maps, sizes = [], [], [], []
             for text in batch["text"]:
                 hashes = np.unique(shingle_hashes(text, width))
                 signed.append(b"".join(word.to_bytes(8, "big") for word in majority_bits(hashes, planes)))
                 digests.append(xxhash.xxh128_digest(hashes.tobytes(), SEED))
+                maps.append(bit_map(hashes))
                 sizes.append(len(hashes))
-            yield batch[["doc_id", "row"]].assign(signature=signed, digest=digests, n=sizes)
+            yield batch[["doc_id", "row"]].assign(signature=signed, digest=digests, map=maps, n=sizes)
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(row_col).cast("string").alias("row"), F.col(text_col).alias("text"))
-    signed = chosen.mapInPandas(sign, "doc_id string, row string, signature binary, digest binary, n long")
-    return signed.select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("row").cast("long"), "signature", "digest", "n")
+    signed = chosen.mapInPandas(sign, "doc_id string, row string, signature binary, digest binary, map binary, n long")
+    return signed.select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("row").cast("long"), "signature", "digest", "map", "n")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -395,7 +415,7 @@ def near_copies(
     Candidates come from wide signatures (``planes`` words) of the sets, whose differing
     bits follow from the angle of the sets: trie joins of ``bands`` bands of ``band_bits``
     bits find pairs within ``budget`` bits of a band, the whole signature may differ by
-    three sigma more than expected at ``similarity``, and the sizes of the sets must allow
+    three sigma more than expected at ``similarity``, and the sizes and bit maps of the sets must allow
     that similarity.  The exact sets decide.  Spanning links of clearly near pairs are decided first; after that, only
     pairs of still different groups are listed, all of them, so a large group of copies
     costs no list of its pairs.  Rows without words are copies of each other.  Null ids
@@ -407,7 +427,7 @@ def near_copies(
     mean, sigma = size * share, np.sqrt(size * share * (1 - share))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     # Rows of one class have the same set of shingles.
-    classes = stage(rows.groupBy("digest", "signature", "n").agg(F.min(order).alias("least"), F.min("row").alias("id")), "near-classes")
+    classes = stage(rows.groupBy("digest", "signature", "map", "n").agg(F.min(order).alias("least"), F.min("row").alias("id")), "near-classes")
     texts = docs.select(F.col(row_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     digits, every = band_bits // 4, size // 4
     begins = [min(start, every - digits) for start in range(0, every, digits)][:bands]
@@ -428,9 +448,9 @@ def near_copies(
     clear = linked(F.col("signature"), classes, "near-clear", 1, int(mean - sigma), leaf)
     sure = stage(verified(clear, texts, width, similarity), "near-sure")
     tree = components(sure)
-    grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", "n", F.coalesce("root", "id").alias("root")), "near-groups")
+    grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", "map", "n", F.coalesce("root", "id").alias("root")), "near-groups")
     word = lambda name: F.unhex(F.lpad(F.hex(name), 16, "0"))
-    numbered = F.concat("signature", word("n"), word("root"))
+    numbered = F.concat("signature", "map", word("n"), word("root"))
     open_ = linked(numbered, grouped, "near-open", budget, int(mean + 3 * sigma), leaf, similarity)
     links = sure.union(verified(open_, texts, width, similarity))
     tree = components(links)

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 import xxhash
@@ -139,3 +141,38 @@ def test_near_copies_are_decided_by_shingle_sets(spark):
     found = sum(i not in kept for i in near) / len(near)
     print("recall", found, len(near))
     assert len(near) > 60 and found >= 0.97
+
+
+def test_pairs_that_bit_maps_rule_out_are_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base, rows = [f"g{k}" for k in range(150)], []
+    triples = rng.permutation(list(itertools.combinations(range(14), 3)))
+    for copy in range(40):  # any two have a similarity of 0.66 to 0.76: many are candidates by their signatures, none is near
+        words = list(base)
+        for place in triples[copy]:
+            words[5 + 10 * place] = f"c{copy}p{place}"
+        rows.append((copy, " ".join(words), copy))
+    alike = rows[0][1].split()
+    alike[-1] = "other"
+    rows.append((40, " ".join(alike), 40))
+    listed, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *more: listed.append(pairs.count()) or verified(pairs, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_row long")
+    kept = {r.doc_id for r in simhash.near_copies(docs, "near_row").filter("keep").collect()}
+    sets = [set(zip(*[text.split()[i:] for i in range(5)])) for _, text, _ in rows]
+    near = {(a, b) for a in range(41) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    print(listed, near)
+    assert near == {(40, 0)} and kept == set(range(40))
+    assert listed[1] < 41 * 40 / 2 * 0.25
+
+
+def test_bit_maps_rule_out_no_near_pair():
+    rng = np.random.default_rng(8)
+    for size in (1, 3, 40, 300, 5000):
+        one = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for changed in {0, size // 10, size // 9}:
+            two = np.concatenate([one[changed:], rng.integers(0, 2**63, changed, dtype=np.uint64)])
+            ratio = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+            words = [np.frombuffer(bytes(8) + simhash.bit_map(some) + size.to_bytes(8, "big") + root.to_bytes(8, "big"), np.uint64).reshape(1, -1) for some, root in ((one, 1), (two, 2))]
+            left, right = [(np.zeros(1, np.uint64), np.array([root]), held) for root, held in enumerate(words)]
+            assert [(a.tolist(), b.tolist()) for a, b in simhash._between(left, right, 0, 24, 0, 3, 64, ratio)] == [([0], [1])]
