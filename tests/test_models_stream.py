@@ -1,5 +1,5 @@
-import threading
 import json
+import threading
 
 import numpy as np
 import pandas as pd
