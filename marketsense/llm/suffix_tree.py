@@ -60,8 +60,8 @@ class Words:
     ends: np.ndarray  # the gram of each text's end
 
 
-def find_words(texts: list[str | None]) -> Words:
-    """Lower-case A-Z and split at ASCII blanks; hashes are sums of powers, taken from running sums."""
+def find_words(texts: list[str | None], hashed: bool = True) -> Words:
+    """Lower-case A-Z and split at ASCII blanks; hashes are sums of powers, taken from running sums, or left out."""
     split = [b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) for text in texts]
     parts = [b"\n" + part + b" " if part else b"\n" for part in split]
     ends = np.cumsum([len(part) for part in parts])
@@ -70,12 +70,13 @@ def find_words(texts: list[str | None]) -> Words:
     step = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
     start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     found = []
-    for table, base in zip(_TABLES, _BASES):
+    for table, base in zip(_TABLES, _BASES) if hashed else ():
         powers = _powers(base, len(held) + 1)
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[held] * powers[1:])])
         # Dividing by the power of the place makes equal words equal: the base is odd, so it has an inverse.
         inverse = _powers(pow(base, -1, 2**64), len(held) + 1)
         found.append(mix64((running[stop] - running[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+    first, second = found or [np.empty(0, np.uint64)] * 2
     grams = held.astype(np.uint64)
     for back in range(1, DEPTH + 1):
         grams[back:] |= held[:-back].astype(np.uint64) << np.uint64(8 * back)
@@ -84,7 +85,7 @@ def find_words(texts: list[str | None]) -> Words:
         near = begin[begin + place < ends] + place
         grams[near] &= np.uint64((1 << 8 * (place + 1)) - 1)
     last = (grams[ends - 1] << np.uint64(8) | np.uint64(END)) & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
-    return Words(held, start, stop, np.searchsorted(ends, start, side="right"), found[0], found[1] >> np.uint64(32), grams, last)
+    return Words(held, start, stop, np.searchsorted(ends, start, side="right"), first, second >> np.uint64(32), grams, last)
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -116,13 +117,6 @@ def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def distinct_settings(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``distinct_words``, of words together with the DEPTH bytes before them: all their grams are equal."""
-    before = words.grams[words.start - 1] & np.uint64((1 << 8 * DEPTH) - 1)
-    _, first, number = np.unique(mix64(words.first ^ mix64(before + words.second)), return_index=True, return_inverse=True)
-    return first, number
-
-
 def word_grams(words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(grams, word of each): DEPTH context bytes and the symbol after them, for every symbol of the chosen words and their closing blanks.
 
@@ -135,12 +129,25 @@ def word_grams(words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words.grams[np.repeat(words.start[places], sizes) + inside], np.repeat(np.arange(len(places)), sizes)
 
 
-def text_grams(words: Words, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct grams in order, their counts) of a chunk; ``weight`` says how often each text counts."""
-    places, number = distinct_settings(words)
-    found, word = word_grams(words, places)
-    times = np.bincount(number, weight[words.text], len(places))[word]
-    return _summed(np.append(found, words.ends), np.append(times, weight))
+def every_gram(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(the gram of each byte, that of a text's end in the place of its start mark; where each text begins)."""
+    begin = np.flatnonzero(words.bytes == END)
+    grams = words.grams.copy()
+    grams[begin] = words.ends
+    return grams, begin
+
+
+def text_grams(words: Words, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams in order, their counts) of a chunk, counted in the texts that are ``learned``.
+
+    Whether a gram counts is its lowest bit while all are sorted: plain sorting takes a fraction of the time of sorting places.
+    """
+    grams, begin = every_gram(words)
+    grams = grams << np.uint64(1) | np.repeat(learned.astype(np.uint64), np.diff(begin, append=len(grams)))
+    grams.sort()
+    counted, grams = (grams & np.uint64(1)).astype(np.int64), grams >> np.uint64(1)
+    new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[new], np.add.reduceat(counted, new)
 
 
 def gram_counts(docs: DataFrame, trained, depth: int = DEPTH) -> DataFrame:
@@ -152,13 +159,10 @@ def gram_counts(docs: DataFrame, trained, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             for low, high in text_chunks(texts, CHUNK):
-                words = find_words(texts[low:high])
+                words = find_words(texts[low:high], hashed=False)
                 total += len(words.start)
-                if depth < DEPTH:
-                    used = np.concatenate([words.grams[words.bytes != END], words.ends]) & mask
-                    some, n = np.unique_counts(np.sort(used))
-                else:
-                    some, n = text_grams(words, np.ones(high - low))
+                words.grams, words.ends = words.grams & mask, words.ends & mask
+                some, n = text_grams(words, np.ones(high - low, bool))
                 grams.append(some)
                 counts.append(n)
                 pending += len(some)
@@ -180,7 +184,7 @@ def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Distinct grams in order and the sum of the counts of each."""
     if not len(grams):
         return grams, counts.astype(np.int64)
-    order = np.argsort(grams)
+    order = np.argsort(grams, kind="stable")  # most come as a few sorted runs, which are merged
     grams, counts = grams[order], counts[order].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[new], np.add.reduceat(counts, new)
@@ -328,8 +332,11 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     short = docs.sparkSession.sparkContext.broadcast(tree_levels(grams, n, range(SHORT + 1)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
 
-    def unit_rows(task: int, unit: int, grams: list, counts: list) -> Iterator[pd.DataFrame]:
-        """A unit's distinct grams with their training counts, by branch."""
+    def texts_of(head) -> list[str]:
+        return json.loads(pa.decompress(head.d, int(head.e), "zstd", asbytes=True))
+
+    def unit_rows(task: int, unit: int, chunk: int, grams: list, counts: list) -> Iterator[pd.DataFrame]:
+        """Distinct grams of a unit, from ``chunk`` on, with their training counts, by branch."""
         ((some,), (n,)) = _merged(grams, counts)
         part = branch_of(some, parts)
         order = np.argsort(part, kind="stable")
@@ -337,54 +344,61 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         rows = []
         for p in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[p] : cuts[p + 1]]
-            rows.append((parts + int(p), task, unit, 0, 0, packed(np.diff(some[at], prepend=np.uint64(0))), packed(n[at]), b"", b"", b""))
+            rows.append((parts + int(p), task, unit, chunk, 0, packed(np.diff(some[at], prepend=np.uint64(0))), packed(n[at]), b"", b"", b""))
         yield pd.DataFrame(rows, columns=names)
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, chunk, grams, counts = TaskContext.get().partitionId(), 0, [], []
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The documents in chunks; ids travel as text, which tells nulls from numbers."""
+        task, chunk = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch["text"].tolist()
             for low, high in text_chunks(texts, CHUNK):
-                unit = chunk // UNIT
-                words = find_words(texts[low:high])
-                size = high - low
-                held_out = batch["held_out"].iloc[low:high].to_numpy(bool)
-                some, n = text_grams(words, (~held_out).astype(np.int64))
+                ids = json.dumps(batch["doc_id"].iloc[low:high].tolist()).encode()
+                held_out, text = batch["held_out"].iloc[low:high].to_numpy(bool), json.dumps(texts[low:high]).encode()
+                head = (-1, task, chunk // UNIT, chunk, high - low, ids, held_out.tobytes(), b"", pa.compress(text, "zstd", asbytes=True), str(len(text)).encode())
+                yield pd.DataFrame([head], columns=names)
+                chunk += 1
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The words of each chunk, and the grams of each unit as far as its chunks come one after the other."""
+        grams, counts, now = [], [], None
+        for batch in batches:
+            for head in batch.itertuples(index=False):
+                if now and now[:2] != (head.task, head.unit):
+                    yield from unit_rows(*now, grams, counts)
+                    grams, counts, now = [], [], None
+                now = now or (head.task, head.unit, head.chunk)
+                words, size = find_words(texts_of(head)), head.size
+                held_out = np.frombuffer(head.b, bool)
+                some, n = text_grams(words, ~held_out)
                 grams.append(some)
                 counts.append(n)
                 if sum(map(len, grams[1:])) > PENDING:  # one running sum, and little that waits for it
                     grams, counts = _merged(grams, counts)
-                ids = json.dumps(batch["doc_id"].iloc[low:high].tolist()).encode()
-                many_words = np.bincount(words.text, minlength=size).astype(np.int64)
-                text = json.dumps(texts[low:high]).encode()
-                rows = [(-1, task, unit, chunk, size, ids, held_out.tobytes(), many_words.tobytes(), pa.compress(text, "zstd", asbytes=True), str(len(text)).encode())]
                 # One entry per distinct word of a document; words grouped by hash range.
                 places, number = distinct_words(words)
                 entry, n = np.unique(number * size + words.text, return_counts=True)
                 owner, text = entry // size, entry % size
-                learned = np.bincount(owner, n * ~held_out[text], len(places)).astype(np.int64)
-                first, second = words.first[places], words.second[places]
+                learned = np.bincount(owner, n * ~held_out[text], len(places)).astype(np.int32)
+                many = np.bincount(owner, minlength=len(places)).astype(np.int32)
+                first, second = words.first[places], words.second[places].astype(np.uint32)
                 part = (first >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
                 # Distinct words come sorted by hash, so each range is a slice.
                 cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                entries = np.searchsorted(owner, cuts)
+                entries, rows = np.searchsorted(owner, cuts), []
                 for p in np.flatnonzero(np.diff(cuts)):
                     w, x = slice(cuts[p], cuts[p + 1]), slice(entries[p], entries[p + 1])
-                    many = np.bincount(owner[x] - cuts[p], minlength=cuts[p + 1] - cuts[p])
-                    packed = [first[w], second[w].astype(np.uint32), learned[w].astype(np.int32), many.astype(np.int32), np.stack([text[x], n[x]]).astype(np.int32)]
-                    rows.append((int(p), task, unit, chunk, size, *[array.tobytes() for array in packed]))
+                    hashes, found = packed(np.diff(first[w], prepend=np.uint64(0))), packed(np.concatenate([text[x], n[x]]).astype(np.int32))
+                    rows.append((int(p), head.task, head.unit, head.chunk, size, hashes, second[w].tobytes(), packed(np.concatenate([learned[w], many[w]])), b"", found))
                 yield pd.DataFrame(rows, columns=names)
-                chunk += 1
-                if chunk % UNIT == 0:
-                    yield from unit_rows(task, unit, grams, counts)
-                    grams, counts = [], []
-        if grams:
-            yield from unit_rows(task, (chunk - 1) // UNIT, grams, counts)
+        if now:
+            yield from unit_rows(*now, grams, counts)
 
     schema = "part int, task int, unit int, chunk int, size int, a binary, b binary, c binary, d binary, e binary"
     names = [field.split()[0] for field in schema.split(", ")]
-    # Ids travel as text, which tells nulls from numbers.
-    sent = kept.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(spread, schema)
+    # The texts are written once; only what is made of them is dealt out by word and by branch.
+    chunks = stage(kept.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(gather, schema), "suffix-texts")
+    sent = chunks.mapInPandas(spread, schema)
 
     def score_branch(group: pd.DataFrame) -> pd.DataFrame:
         """The branches of a part, grown from the grams of all units, and the log probabilities of the grams of each unit."""
@@ -393,17 +407,15 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         learned = n > 0
         tree = SuffixTree(pd.concat([short.value, tree_levels(some[learned], n[learned], range(SHORT + 1, DEPTH + 1))], ignore_index=True))
         logs = tree.score(some).astype(np.float32)
-        return group.assign(a=[logs[np.searchsorted(some, grams)].tobytes() for grams in held], b=b"", distinct=0)
+        return group.assign(a=[packed(logs[np.searchsorted(some, grams)]) for grams in held], b=b"", distinct=0)
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        """Counts of all words of a hash range, then each chunk's sums per document; the documents themselves pass through."""
-        if group["part"].iloc[0] < 0:
-            return group.assign(distinct=0)
+        """Counts of all words of a hash range, then each chunk's sums per document."""
         if group["part"].iloc[0] >= parts:
             return score_branch(group)
-        first = np.concatenate([np.frombuffer(a, np.uint64) for a in group["a"]])
+        first = np.concatenate([np.cumsum(unpacked(a, np.uint64), dtype=np.uint64) for a in group["a"]])
         second = np.concatenate([np.frombuffer(b, np.uint32) for b in group["b"]])
-        learned = np.concatenate([np.frombuffer(c, np.int32) for c in group["c"]])
+        learned, many_texts = np.concatenate([unpacked(c, np.int32).reshape(2, -1) for c in group["c"]], axis=1)
         order = np.lexsort((second, first))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
@@ -412,55 +424,48 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         count = np.bincount(number, learned)
         log, seen, at, found = np.log10(count + 0.1), count > 0, 0, []
         for row in group.itertuples(index=False):
-            many = np.frombuffer(row.d, np.int32)
-            text, n = np.frombuffer(row.e, np.int32).reshape(2, -1)
-            word = np.repeat(number[at : at + len(many)], many)
-            at += len(many)
+            text, n = unpacked(row.e, np.int32).reshape(2, -1)
+            here = slice(at, at := at + len(row.b) // 4)
+            word = np.repeat(number[here], many_texts[here])
             texts, where = np.unique(text, return_inverse=True)
-            found.append((row.task, row.unit, row.chunk, texts.astype(np.int32).tobytes(), np.bincount(where, n * log[word]).tobytes(), np.bincount(where, n * seen[word]).tobytes()))
+            found.append((row.task, row.unit, row.chunk, packed(np.diff(texts, prepend=np.int32(0))), np.bincount(where, n * log[word]).tobytes(), packed(np.bincount(where, n * seen[word]).astype(np.int32))))
         frame = pd.DataFrame(found, columns=["task", "unit", "chunk", "a", "b", "c"]).assign(part=group["part"].iloc[0], size=0, d=b"", e=b"", distinct=0)
         frame.loc[0, "distinct"] = int(seen.sum())
         return frame[[*group.columns, "distinct"]]
 
-    # The rows of the documents themselves are no group of the word counts: each chunk's row is one of its own.
-    whole = F.col("part") < 0
-    own = F.when(whole, F.pmod(F.xxhash64("task", "chunk"), F.lit(1 << 30))).otherwise(0)
-    summed = stage(sent.withColumn("own", own).groupBy("part", "own").applyInPandas(lambda _, group: add_up(group.drop(columns="own")), f"{schema}, distinct long"), "suffix-sums")
+    summed = stage(sent.groupBy("part").applyInPandas(add_up, f"{schema}, distinct long"), "suffix-sums")
     distinct = (summed.agg(F.sum("distinct")).first()[0] or 0) + (1 if ends else 0)
     unit, end_log = np.log10(total + 0.1 * (distinct + 1)), np.log10(ends + 0.1)
 
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        """One unit: its documents, the sums of their words from all hash ranges, and their symbols by the replies of all branches."""
-        heads = group[group["part"] < 0].sort_values("chunk")
-        sums = dict(list(group[(group["part"] >= 0) & (group["part"] < parts)].groupby("chunk")))
-        replies = {row.part - parts: np.frombuffer(row.a, np.float32) for row in group[group["part"] >= parts].itertuples(index=False)}
-        kept_texts = [json.loads(pa.decompress(head.d, int(head.e), "zstd", asbytes=True)) for head in heads.itertuples(index=False)]
+    def score_chunks(heads: pd.DataFrame, sums: dict, replies: list[np.ndarray]) -> list[pd.DataFrame]:
+        """The documents of a series of chunks, by the sums of their words and the branches' replies to their grams."""
         every, chunks = [], []
-        for texts in kept_texts:
-            words = find_words(texts)
-            places, number = distinct_settings(words)
-            grams, word = word_grams(words, places)
-            every.append(np.unique_values(np.append(grams, words.ends)))
-            every[-1].sort()
-            chunks.append((grams, word, len(places), number, words.text, words.ends))
+        for head in heads.itertuples(index=False):
+            words = find_words(texts_of(head), hashed=False)
+            grams, begin = every_gram(words)
+            order = np.argsort(grams)
+            grams = grams[order]
+            new = np.concatenate([[True], grams[1:] != grams[:-1]])
+            number = np.empty(len(grams), np.int32)
+            number[order] = np.cumsum(new) - 1
+            every.append(grams[new])
+            chunks.append((number, begin, np.bincount(words.text, minlength=len(begin))))
         some = np.concatenate(every)
         some.sort()
         some = some[np.concatenate([[True], some[1:] != some[:-1]])]
-        part, price = branch_of(some, parts), np.empty(len(some))
-        order = np.argsort(part, kind="stable")
-        price[order] = np.concatenate([replies[p] for p in sorted(replies)])
+        price = np.empty(len(some))
+        price[np.argsort(branch_of(some, parts), kind="stable")] = np.concatenate(replies)
         found = []
-        for head, (grams, word, settings, number, text, last) in zip(heads.itertuples(index=False), chunks):
+        for head, grams, (number, begin, many) in zip(heads.itertuples(index=False), every, chunks):
             size = int(head.size)
-            cost = np.bincount(word, price[np.searchsorted(some, grams)], settings)
-            score = np.bincount(text, cost[number], size) + price[np.searchsorted(some, last)]
-            words, logs, known = np.frombuffer(head.c, np.int64), np.full(size, end_log), np.full(size, int(ends > 0), np.int64)
+            score = np.add.reduceat(price[np.searchsorted(some, grams)][number], begin)
+            logs, known = np.full(size, end_log), np.full(size, int(ends > 0), np.int64)
             rows = sums.get(head.chunk)
             for row in rows.sort_values("part").itertuples(index=False) if rows is not None else ():
-                texts = np.frombuffer(row.a, np.int32)
+                texts = np.cumsum(unpacked(row.a, np.int32))
                 logs[texts] += np.frombuffer(row.b, np.float64)
-                known[texts] += np.frombuffer(row.c, np.float64).astype(np.int64)
-            tokens = words + 1
+                known[texts] += unpacked(row.c, np.int32)
+            tokens = many + 1
             found.append(
                 pd.DataFrame(
                     {
@@ -469,7 +474,18 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                     }
                 )
             )
+        return found
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        """One unit: its documents, the sums of their words from all hash ranges, and their symbols by the replies of all branches."""
+        heads = group[group["part"] < 0].sort_values("chunk")
+        sums, branches = group[(group["part"] >= 0) & (group["part"] < parts)], group[group["part"] >= parts].sort_values("part")
+        sums, found = dict(list(sums.groupby("chunk"))), []
+        first = sorted(set(branches["chunk"]))  # where each series of chunks begins whose grams were sent together
+        for start, stop in zip(first, [*first[1:], np.inf]):
+            replies = [unpacked(a, np.float32) for a in branches["a"][branches["chunk"] == start]]
+            found += score_chunks(heads[(heads["chunk"] >= start) & (heads["chunk"] < stop)], sums, replies)
         return pd.concat(found, ignore_index=True)
 
-    done = summed.groupBy("task", "unit").applyInPandas(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    done = summed.unionByName(chunks.withColumn("distinct", F.lit(0).cast("long"))).groupBy("task", "unit").applyInPandas(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))

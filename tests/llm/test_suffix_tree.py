@@ -129,3 +129,30 @@ def test_scores_equal_a_naive_tree(spark, monkeypatch, unit):
     assert 50 < len(tree.kept) < len(tree.counts)
     for r in suffix_tree.score_texts(docs).collect():
         assert r.score == pytest.approx(tree.score(dict(rows)[r.doc_id]), rel=1e-5, abs=1e-5)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_texts_are_written_once(spark, monkeypatch, split):
+    """What is dealt out by word and branch holds no texts; chunks of a unit may be read by several tasks."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "été", "gamma", "x"], rng.integers(0, 30)))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    whole = {r.doc_id: r for r in suffix_tree.score_texts(docs).collect()}
+    tables, stage = {}, suffix_tree.stage
+
+    def staged(df, name):
+        if split and name == "suffix-texts":
+            df = df.repartitionByRange(5, "task", "chunk").sortWithinPartitions("task", "chunk")
+        tables[name] = stage(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_tree, "CHUNK", 300)
+    monkeypatch.setattr(suffix_tree, "UNIT", 4)
+    monkeypatch.setattr(suffix_tree, "stage", staged)
+    got = suffix_tree.score_texts(docs).collect()
+    assert tables["suffix-sums"].filter("part < 0").isEmpty()
+    assert tables["suffix-texts"].count() > 12
+    assert len(got) == len(rows)
+    for r in got:
+        assert r[:5] == whole[r.doc_id][:5]
+        assert (r.base_score, r.score) == (pytest.approx(whole[r.doc_id].base_score, rel=1e-9), pytest.approx(whole[r.doc_id].score, rel=1e-5))
