@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from marketsense import catalog
+from marketsense.functions import lexicon, sentiment as scoring
 from marketsense.functions.lexicon import Lexicon, read_lexicon
 from marketsense.functions.sentiment import sentiment
 from marketsense.operators import align, daily
@@ -138,3 +139,17 @@ def test_a_ticker_without_bars_trades_on_its_own_days(spark):
     got = align.asof_backward(calendar(spark, "2024-01-02", "2024-01-10"), facts(spark, rows), own_days=True)
     found = sorted((r.ticker, str(r.date), r.average_sentiment, r.pos) for r in got.collect())
     assert found == [("T", "2024-01-02", 0.3, 0), ("T", "2024-01-10", 0.1, 1), ("U", "2024-01-03", 0.1, 0)]
+
+
+@pytest.mark.parametrize("text", ["plain words here", "x (good). y", "a :) b", "so... <3!", "can't. stop", "K kind of GOOD; but BAD ass", "a-----good- then the, bomb", ":D", "\u212Aind thing", ""])
+def test_texts_that_share_no_word_are_told_apart(spark, text):
+    words = [*lexicon.STARTER, "can't"]
+    table = scoring.LookupTable(dict.fromkeys(words, 1.0))
+    row = spark.createDataFrame([(text,)], "body string").select(
+        scoring.may_score(F.col("body"), words).alias("may"),
+        scoring.let(table.bind(), lambda t: F.exists(scoring.tokens(F.col("body"), lambda w: table.get(t, w)), lambda w: table.get(t, F.lower(w)).isNotNull())).alias("does"),
+        scoring.let(table.bind(), lambda t: scoring.tokens(F.col("body"), lambda w: table.get(t, w))).alias("slow"),
+        scoring.let(table.bind(), lambda t: scoring.quick_tokens(F.col("body"), words, lambda w: table.get(t, w))).alias("quick"),
+    ).first()
+    assert (row.may or not row.does) and row.slow == row.quick
+    assert row.may == any(word in text.lower() for word in (":)", "<3", "can't", "kind", "good", ":d", "\u212Aind"))
