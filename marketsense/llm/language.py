@@ -42,6 +42,26 @@ def gram_weights(text: str) -> np.ndarray:
     return np.sqrt(np.bincount(every, minlength=BUCKETS) / max(1, len(every))).astype(np.float32)
 
 
+class WeightRows:
+    """Rows of bucket weights in half precision, only those over zero; indexed by row numbers like an array, which widens those rows."""
+
+    def __init__(self, packed: list[tuple[bytes, bytes]]):
+        """``packed``: buckets (unsigned 16-bit) and weights of each row; the list is emptied on the way."""
+        sizes = [len(weights) // 2 for _, weights in packed]
+        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.buckets, self.weights = np.empty(self.starts[-1], np.uint16), np.empty(self.starts[-1], np.float16)
+        for row, (start, stop) in enumerate(zip(self.starts[:-1], self.starts[1:])):
+            self.buckets[start:stop], self.weights[start:stop] = np.frombuffer(packed[row][0], np.uint16), np.frombuffer(packed[row][1], np.float16)
+            packed[row] = (b"", b"")
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(rows), BUCKETS), np.float32)
+        for place, row in enumerate(rows):
+            held = slice(self.starts[row], self.starts[row + 1])
+            wide[place, self.buckets[held]] = self.weights[held]
+        return wide
+
+
 @dataclass
 class LanguageModel:
     names: list[str]
@@ -66,7 +86,7 @@ class LanguageModel:
         return names, sure
 
 
-def fit(weights: np.ndarray, labels: list[str], epochs: int = 15, rate: float = 0.5, batch: int = 32) -> LanguageModel:
+def fit(weights: np.ndarray | WeightRows, labels: list[str], epochs: int = 15, rate: float = 0.5, batch: int = 32) -> LanguageModel:
     """Fit embeddings and softmax on rows of bucket weights; every fifth row calibrates instead."""
     names = sorted(set(labels))
     if not names:
@@ -82,7 +102,7 @@ def fit(weights: np.ndarray, labels: list[str], epochs: int = 15, rate: float =
         order = rng.permutation(used)
         for start in range(0, len(order), batch):
             rows = order[start : start + batch]
-            x = weights[rows].astype(np.float32)
+            x = weights[rows].astype(np.float32, copy=False)
             hidden = x @ embed
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -125,15 +145,15 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, per_class: int = PER_C
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "label": batch["label"], "weights": [gram_weights(text).astype(np.float16).tobytes() for text in batch["text"]]})
+            rows = [gram_weights(text).astype(np.float16) for text in batch["text"]]
+            seen = [np.flatnonzero(row) for row in rows]
+            yield batch[["key", "label"]].assign(buckets=[at.astype(np.uint16).tobytes() for at in seen], weights=[row[at].tobytes() for row, at in zip(rows, seen)])
 
-    rows = sample_classes(known, F.col("key"), per_class).mapInPandas(weigh, "key long, label string, weights binary").collect()
+    rows = sample_classes(known, F.col("key"), per_class).mapInPandas(weigh, "key long, label string, buckets binary, weights binary").collect()
     rows.sort(key=lambda row: (row.key, row.label))
-    # The sample stays in half precision; a batch at a time is widened.
-    weights, labels = np.zeros((len(rows), BUCKETS), np.float16), [row.label for row in rows]
-    for place in range(len(rows)):
-        weights[place], rows[place] = np.frombuffer(rows[place].weights, np.float16), None
-    return fit(weights, labels)
+    labels, packed = [row.label for row in rows], [(row.buckets, row.weights) for row in rows]
+    del rows  # the sample stays in half precision without its zeros; a batch at a time is widened
+    return fit(WeightRows(packed), labels)
 
 
 def identify(docs: DataFrame, model: LanguageModel, folds: int = 4, held: int = 2) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketsense.llm.common import mix64, spare_name
+from marketsense.llm.common import mix64, row_bits, rows_in, spare_name
 from marketsense.llm.components import components
 from marketsense.session import release, stage, staged_since
 
@@ -399,8 +399,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                 keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(texts.join(ids, "id", "left_semi").mapInPandas(cut, "id long, shingles binary"), "near-shingles")
+    ids = row_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    sets = stage(rows_in(texts, "id", ids).mapInPandas(cut, "id long, shingles binary"), "near-shingles")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
     return joined.mapInPandas(compare, "a long, b long")
 
@@ -412,6 +412,7 @@ def near_copies(
     """(doc_id, row, keep): of each group of near-copies the row with the smallest id stays; ``row_col`` numbers the rows of ``docs``.
 
     Near means that the sets of shingles are at least ``similarity`` alike (Jaccard).
+    Texts never move: those of candidates are found by bit maps of their row numbers, which should lie close together.
     Candidates come from wide signatures (``planes`` words) of the sets, whose differing
     bits follow from the angle of the sets: trie joins of ``bands`` bands of ``band_bits``
     bits find pairs within ``budget`` bits of a band, the whole signature may differ by
@@ -467,5 +468,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     row = spare_name(docs, "near_row")
     held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
-    kept = near_copies(held, row, id_col=id_col, text_col=text_col).filter("keep").select(F.col("row").alias(row))
-    return held.join(kept, row, "left_semi").select(*docs.columns)
+    kept = near_copies(held, row, id_col=id_col, text_col=text_col).filter("keep")
+    return rows_in(held, row, row_bits(kept, "row")).select(*docs.columns)

@@ -168,3 +168,11 @@ def test_long_tokens_are_restored(spoken):
     assert "stupid" in words("st" + "u" * 60 + "pid")
     assert "stupid" in words(".-.-.-.-.-".join("stupid"))
     assert {"you", "are", "idiot", "everyone", "knows", "here"} <= words("you.are.an.id1ot.and.everyone.knows.it.here")
+
+
+def test_sampled_weights_are_kept_without_zeros():
+    rows = np.zeros((3, language.BUCKETS), np.float16)
+    rows[0, [3, 8000]], rows[2, 5] = [0.5, 0.25], 1
+    packed = [(np.flatnonzero(row).astype(np.uint16).tobytes(), row[row != 0].tobytes()) for row in rows]
+    held = language.WeightRows(packed)
+    assert held[np.array([2, 0, 1])].tolist() == rows[[2, 0, 1]].tolist() and held.weights.nbytes + held.buckets.nbytes == 12

@@ -2,9 +2,10 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
-from marketsense.llm import simhash
+from marketsense.llm import common, simhash
 from marketsense.llm.components import components
 
 DOCS = "doc_id long, text string, text_ string, Fingerprint string"
@@ -176,3 +177,11 @@ def test_bit_maps_rule_out_no_near_pair():
             words = [np.frombuffer(bytes(8) + simhash.bit_map(some) + size.to_bytes(8, "big") + root.to_bytes(8, "big"), np.uint64).reshape(1, -1) for some, root in ((one, 1), (two, 2))]
             left, right = [(np.zeros(1, np.uint64), np.array([root]), held) for root, held in enumerate(words)]
             assert [(a.tolist(), b.tolist()) for a, b in simhash._between(left, right, 0, 24, 0, 3, 64, ratio)] == [([0], [1])]
+
+
+def test_rows_are_found_by_bit_maps_without_moving_texts(spark):
+    docs = spark.range(0, 3000, 1, 5).select("id", F.monotonically_increasing_id().alias("row"), F.lit("text").alias("text"))
+    chosen = docs.filter("id % 7 = 3 or id in (0, 2999)").select("row")
+    found = common.rows_in(docs, "row", common.row_bits(chosen, "row"))
+    assert found.columns == docs.columns and sorted(r.id for r in found.collect()) == [i for i in range(3000) if i % 7 == 3 or i in (0, 2999)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and common.rows_in(docs, "row", common.row_bits(chosen.limit(0), "row")).count() == 0
