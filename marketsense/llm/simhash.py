@@ -11,7 +11,7 @@ pairs of a group; components join the forests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -193,11 +193,12 @@ def _spanning(left: tuple, right: tuple | None, depth: int, bits: int, differing
     return forest_ids[tied], forest_ids[up[tied]]
 
 
-def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing: int, budget: int, total: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing: int, budget: int, total: int, ratio: float, earlier: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All links (smaller id, larger id) between two subtries or within one whose ends are of different groups (the last word).
 
     The word before the last is a size (big-endian, as all words are); the ``MAP`` words before it are the bit map of a set
-    (see ``bit_map``).  A link is left out only if these tell that the sets' similarity is below ``ratio``.
+    (see ``bit_map``).  A link is left out only if these tell that the sets' similarity is below ``ratio``, or if one of
+    the keys of ``earlier`` tables (first byte and end in the words) is within the budget: that table has the link.
     """
     keys, ids, words = left
     other, other_ids, other_words = right if right is not None else left
@@ -213,18 +214,24 @@ def _between(left: tuple, right: tuple | None, depth: int, bits: int, differing:
         one, two, here, there = sizes[a], other_sizes[b], words[a, bits_of], other_words[b, bits_of]
         both = np.minimum(one - np.bitwise_count(here & ~there).sum(axis=1), two - np.bitwise_count(there & ~here).sum(axis=1))
         near = both >= ratio * (one + two - both) - 1e-9
-        one, two = ids[a[near]], other_ids[b[near]]
+        a, b = a[near], b[near]
+        unlike = np.bitwise_count((words[a] ^ other_words[b]).view(np.uint8))
+        for first, end in earlier:
+            new = unlike[:, first:end].sum(axis=1) > budget
+            a, b, unlike = a[new], b[new], unlike[new]
+        one, two = ids[a], other_ids[b]
         if len(one):
             yield np.minimum(one, two), np.maximum(one, two)
 
 
-def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = None, leaf: int = LEAF, apart: float | None = None) -> DataFrame:
+def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = None, leaf: int = LEAF, apart: float | None = None, places: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """Links (a, b) between ids whose keys of one table differ in at most ``budget`` bits; together they span every component.
 
     ``keyed``: table int, key long (its low ``bits`` bits), id long, words binary.  With
     ``total``, a link also needs at most ``total`` differing bits in ``words``.  With
     ``apart``, ``words`` end with the bit map and the size of a set and the number of a group, and all links between different
-    groups whose sets may have at least that similarity are returned instead of spanning ones.
+    groups whose sets may have at least that similarity are returned instead of spanning ones;
+    with ``places``, where the words hold the key of each table, by the first table that has them.
     """
     mark = len(staged_since())
     pending = stage(keyed, "trie-keys")
@@ -293,7 +300,7 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
                 left = unpack(row.u_n, row.u_keys, row.u_ids, row.u_words)
                 right = unpack(row.v_n, row.v_keys, row.v_ids, row.v_words) if hasattr(row, "v_keys") else None
                 depth = min(row.u_depth, row.v_depth)
-                found = _between(left, right, depth, bits, int(row.differing), budget, total, apart) if apart is not None else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
+                found = _between(left, right, depth, bits, int(row.differing), budget, total, apart, places[: row.table]) if apart is not None else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
                 for a, b in found:
                     yield pd.DataFrame({"a": a, "b": b})
 
@@ -432,12 +439,13 @@ def near_copies(
     texts = docs.select(F.col(row_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     digits, every = band_bits // 4, size // 4
     begins = [min(start, every - digits) for start in range(0, every, digits)][:bands]
+    places = [] if digits % 2 or any(begin % 2 for begin in begins) else [(begin // 2, (begin + digits) // 2) for begin in begins]
     cut = F.array(*[F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("signature"), 1 + begin, digits), 16, 10).cast("long").alias("key")) for t, begin in enumerate(begins)])
 
     def keyed(words: Column, of: DataFrame) -> DataFrame:
         return of.select(F.explode(cut).alias("band"), "id", words.alias("words")).select("band.table", "band.key", "id", "words")
 
-    def linked(words: Column, of: DataFrame, name: str, *limits: float) -> DataFrame:
+    def linked(words: Column, of: DataFrame, name: str, *limits) -> DataFrame:
         """The links of one trie join, written; what the join itself staged is given back."""
         mark = len(staged_since())
         links = trie_links(keyed(words, of), band_bits, *limits)
@@ -452,7 +460,7 @@ def near_copies(
     grouped = stage(classes.join(tree, classes.id == tree.node, "left").select("id", "signature", "map", "n", F.coalesce("root", "id").alias("root")), "near-groups")
     word = lambda name: F.unhex(F.lpad(F.hex(name), 16, "0"))
     numbered = F.concat("signature", "map", word("n"), word("root"))
-    open_ = linked(numbered, grouped, "near-open", budget, int(mean + 3 * sigma), leaf, similarity)
+    open_ = linked(numbered, grouped, "near-open", budget, int(mean + 3 * sigma), leaf, similarity, places)
     links = sure.union(verified(open_, texts, width, similarity))
     tree = components(links)
     rooted = classes.join(tree, classes.id == tree.node, "left").select("digest", "signature", "least", F.coalesce("root", "id").alias("root"))

@@ -185,3 +185,21 @@ def test_rows_are_found_by_bit_maps_without_moving_texts(spark):
     found = common.rows_in(docs, "row", common.row_bits(chosen, "row"))
     assert found.columns == docs.columns and sorted(r.id for r in found.collect()) == [i for i in range(3000) if i % 7 == 3 or i in (0, 2999)]
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and common.rows_in(docs, "row", common.row_bits(chosen.limit(0), "row")).count() == 0
+
+
+def test_each_open_pair_comes_from_its_first_table():
+    rng = np.random.default_rng(6)
+    signs = np.repeat(rng.integers(0, 256, (1, 40), np.uint8), 60, axis=0)
+    signs ^= np.packbits(rng.random((60, 320)) < 0.04, axis=1)
+    tail = [bytes(8 * simhash.MAP) + (9).to_bytes(8, "big") + (n + 1).to_bytes(8, "big") for n in range(60)]
+    words = np.array([np.frombuffer(sign.tobytes() + end, np.uint64) for sign, end in zip(signs, tail)])
+    places = [(3 * t, 3 * t + 3) for t in range(11)]
+    found = {False: [], True: []}
+    for once in found:
+        for t, (first, end) in enumerate(places):
+            keys = np.array([int.from_bytes(sign[first:end].tobytes(), "big") for sign in signs], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            side = keys[order], np.arange(60)[order], words[order]
+            for a, b in simhash._between(side, None, 0, 24, 0, 3, 64, 0.8, places[:t] if once else ()):
+                found[once] += zip(a.tolist(), b.tolist())
+    assert set(found[True]) == set(found[False]) and len(found[True]) == len(set(found[True])) < len(found[False]) / 2
