@@ -11,7 +11,8 @@ pairs of a group; components join the forests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,9 @@ WALK = 1 << 18  # node pairs walked at a time
 HASHES = 1 << 16  # shingles counted at a time
 MAP = 8  # words of a shingle set's bit map
 NODE = ["table", "depth", "prefix", "block"]
-LOAD = ["n", "keys", "ids", "words"]
+PIECE = 2048  # keys in a row of a leaf: Spark's rows and buffers stay far smaller than leaves
+LOAD = ["piece", "keys", "ids", "words"]
+PAIR = ["table", "v_depth", "v_prefix", "v_block", "other", "u_depth", "u_prefix", "u_block", "differing"]
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -268,44 +271,45 @@ def trie_links(keyed: DataFrame, bits: int, budget: int, total: int | None = Non
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         keys, ids = group["key"].to_numpy(np.int64).view(np.uint64), group["id"].to_numpy(np.int64)
-        order = np.lexsort((ids, keys))
-        words = group["words"].to_numpy()
-        packed = [keys[order].tobytes(), ids[order].tobytes(), b"".join(bytes(words[i]) for i in order)]
-        return pd.DataFrame([[*group[NODE].iloc[0], len(group), *packed]], columns=[*NODE, *LOAD])
+        order, words = np.lexsort((ids, keys)), group["words"].to_numpy()
+        pieces = [order[start : start + PIECE] for start in range(0, len(order), PIECE)]
+        packed = [[place, keys[some].tobytes(), ids[some].tobytes(), b"".join(words[some])] for place, some in enumerate(pieces)]
+        node = group[NODE].iloc[0].tolist()
+        return pd.DataFrame([[*node, *piece] for piece in packed], columns=[*NODE, *LOAD])
 
     packed = stage(
-        placed.groupBy(*NODE).applyInPandas(pack, "table int, depth int, prefix long, block int, n long, keys binary, ids binary, words binary"), "trie-leaves"
+        placed.groupBy(*NODE).applyInPandas(pack, "table int, depth int, prefix long, block int, piece int, keys binary, ids binary, words binary"), "trie-leaves"
     )
     release(keyed.sparkSession, [path for path in staged_since(mark)[:-1] if path])  # the leaves hold all of it now
-    nodes = packed.select(*NODE)
+    nodes = packed.filter("piece = 0").select(*NODE)
     pairs = _node_pairs(nodes.select("table", "depth", "prefix").distinct(), bits, budget)
     for side in "uv":
         pairs = pairs.join(nodes.select("table", *[F.col(n).alias(f"{side}_{n}") for n in NODE[1:]]), ["table", f"{side}_depth", f"{side}_prefix"])
     one_node = (F.col("u_depth") == F.col("v_depth")) & (F.col("u_prefix") == F.col("v_prefix"))
-    pairs = stage(pairs.filter(~one_node | (F.col("u_block") <= F.col("v_block"))), "trie-pairs")
-    # A node paired with itself is loaded once, from where it lies; only different nodes have to meet.
-    single = one_node & (F.col("u_block") == F.col("v_block"))
-    loaded = {side: packed.select("table", *[F.col(n).alias(f"{side}_{n}") for n in NODE[1:] + LOAD]) for side in "uv"}
-    by = {side: ["table", *[f"{side}_{n}" for n in NODE[1:]]] for side in "uv"}
-    alone, work = loaded["u"].join(pairs.filter(single), by["u"]), pairs.filter(~single)
-    for side in "uv":
-        work = work.join(loaded[side], by[side])
+    other = ~one_node | (F.col("u_block") != F.col("v_block"))
+    pairs = stage(pairs.filter(~one_node | (F.col("u_block") <= F.col("v_block"))).withColumn("other", other).select(*PAIR), "trie-pairs")
+    loaded = packed.select("table", *[F.col(n).alias(f"u_{n}") for n in NODE[1:]], *LOAD)
+    # Leaves meet piece by piece.  A right node comes first, as every node is paired with itself, and its left nodes one after the other.
+    work = loaded.join(pairs, ["table", "u_depth", "u_prefix", "u_block"]).select(*PAIR, *LOAD)
+    work = work.repartition(*PAIR[:4]).sortWithinPartitions(*PAIR, "piece")
 
-    def unpack(n: int, keys: bytes, ids: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(words, np.uint64).reshape(n, -1)
+    def unpack(pieces: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, ids, words = (b"".join(parts) for parts in zip(*[piece[-3:] for piece in pieces]))
+        return np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(words, np.uint64).reshape(len(keys) // 8, -1)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                left = unpack(row.u_n, row.u_keys, row.u_ids, row.u_words)
-                right = unpack(row.v_n, row.v_keys, row.v_ids, row.v_words) if hasattr(row, "v_keys") else None
-                depth = min(row.u_depth, row.v_depth)
-                found = _between(left, right, depth, bits, int(row.differing), budget, total, apart, places[: row.table]) if apart is not None else [_spanning(left, right, depth, bits, int(row.differing), budget, total)]
-                for a, b in found:
-                    yield pd.DataFrame({"a": a, "b": b})
-
-    # The join with the right side has dealt the pairs out by node already; moving full leaves once more is not worth it.
-    return alone.mapInPandas(link, "a long, b long").union(work.mapInPandas(link, "a long, b long")).distinct()
+        rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        for pair, pieces in groupby(rows, lambda row: row[: len(PAIR)]):
+            table, v_depth, *_, other, u_depth, _, _, differing = pair
+            left = unpack(pieces)
+            if not other:
+                own = left
+            right, depth = own if other else None, min(u_depth, v_depth)
+            found = _between(left, right, depth, bits, differing, budget, total, apart, places[:table]) if apart is not None else [_spanning(left, right, depth, bits, differing, budget, total)]
+            for a, b in found:
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return work.mapInPandas(link, "a long, b long").distinct()
 
 
 def _cut(prefix: str, low: Column) -> Column:
