@@ -203,3 +203,34 @@ def test_each_open_pair_comes_from_its_first_table():
             for a, b in simhash._between(side, None, 0, 24, 0, 3, 64, 0.8, places[:t] if once else ()):
                 found[once] += zip(a.tolist(), b.tolist())
     assert set(found[True]) == set(found[False]) and len(found[True]) == len(set(found[True])) < len(found[False]) / 2
+
+
+def test_leaves_meet_in_small_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 24, 60)
+    keys = np.concatenate([base, rng.choice(base, 240) ^ (1 << rng.integers(0, 24, 240))]).tolist()
+    keyed = spark.createDataFrame([(0, key, i, b"") for i, key in enumerate(keys)], "table int, key long, id long, words binary")
+    staged = {}
+    write = simhash.stage
+
+    def noted(df, name):
+        staged[name] = write(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(simhash, "stage", noted)
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    tree = dict(map(tuple, components(simhash.trie_links(keyed, 24, 3, leaf=100)).collect()))
+    roots = brute_components(dict(enumerate(keys)), 3)
+    assert {i: tree.get(i, i) for i in roots} == roots and len(set(roots.values())) < 100
+    leaves = staged["trie-leaves"].select(F.length("keys").alias("n"), "depth", "prefix").collect()
+    assert sum(row.n for row in leaves) == 8 * 300 and max(row.n for row in leaves) <= 8 * 7
+    assert len({(row.depth, row.prefix) for row in leaves}) > 1
+
+
+def test_a_batch_of_long_values_is_bounded(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(n=sum(map(len, batch["held"])))[["n"]]
+
+    long_ = spark.range(0, 40, 1, 1).select(F.expr("cast(repeat('x', 500000) as binary)").alias("held"))
+    assert max(row.n for row in long_.mapInPandas(sizes, "n long").collect()) < 10_000_000
