@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketsense.catalog import models
 from marketsense.operators import mentions, sampling
 from marketsense.plans import modeling, prefixes
 from marketsense.schemas import MODEL_FEATURES
@@ -94,6 +95,16 @@ def test_a_failing_model_does_not_stop_the_other(merged):
     assert status["random_forest"].startswith("failed") and status["boosted_trees"] == "ok"
 
 
+def test_the_query_searches_the_whole_grids(spark, merged, monkeypatch):
+    """No axis of either grid is shortened, no row of the table and no fold left out."""
+    searched = []
+    monkeypatch.setattr(models, "_merged", lambda spark, folder: merged)
+    monkeypatch.setattr(modeling, "grid_search", lambda classifier, grid, train, features, n_folds, *more: searched.append((grid, train.count(), len(features), n_folds)) or 1 / 0)
+    assert {r.status for r in models.QUERIES["train_pipeline"](spark, "").collect()} == {"failed: ZeroDivisionError"}
+    assert searched == [(modeling.FOREST_GRID, 192, 41, 5), (modeling.BOOSTED_GRID, 192, 41, 5)]
+    assert modeling.FOREST_GRID["numTrees"] == modeling.BOOSTED_GRID["maxIter"] == [100, 200]
+
+
 def brute_neighbours(x, k):
     distance = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(distance, np.inf)
